@@ -41,6 +41,8 @@ LENGTH, GRAM = 100, 50
 HOT = 20_000
 #: Eight-byte steps of the shallow sort; groups that agree so far are the tries' work.
 SHALLOW = 8
+#: Suffixes that a reducer sorts at once (more where one gram has more).
+SLICE = 30_000
 
 
 def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -154,7 +156,7 @@ def _unpack(raw: bytes) -> tuple[np.ndarray, ...]:
 
 def repeated_anchors(rows: DataFrame) -> DataFrame:
     """(uid, places, gram, n): anchors whose gram occurs more than once, packed by document and bucket."""
-    buckets = partitions(rows.sparkSession)
+    buckets = 4 * partitions(rows.sparkSession)
 
     def run(table: pa.Table) -> pa.Table:
         parts = [_unpack(x.as_py()) for x in table["blob"]]
@@ -327,10 +329,11 @@ def later_windows(left: np.ndarray, left_size: np.ndarray, right: np.ndarray, ri
 
 def _padded(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, width: int, step: int = 1) -> np.ndarray:
     """Rows of bytes: sizes[i] from starts[i] on, in direction ``step``, padded with zeros."""
-    j = np.arange(width)
-    index = starts[:, None] + step * j[None, :]
-    inside = j[None, :] < sizes[:, None]
-    return np.where(inside, data[np.where(inside, index, 0)], 0).astype(np.uint8)
+    out = np.zeros((len(starts), width), np.uint8)
+    for j in range(int(sizes.max()) if len(sizes) else 0):
+        at = np.flatnonzero(sizes > j)
+        out[at, j] = data[starts[at] + step * j]
+    return out
 
 
 _WIDE = -(-LENGTH // 8) * 8
@@ -342,59 +345,51 @@ def _entry_rows(marked: DataFrame, hot: np.ndarray, buckets: int) -> DataFrame:
     that are later copies for sure because the same task holds an earlier one."""
     sent = marked.sparkSession.sparkContext.broadcast(np.sort(hot))
 
+    schema = pa.schema([("bucket", pa.int32()), ("blob", pa.binary()), ("uid", pa.int64()), ("start", pa.int64()), ("end", pa.int64())])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        uid_, place_, low_, high_, gram_, text_ = [], [], [], [], [], []
+        seen: set[bytes] = set()  # digests of surroundings and of hot windows; rows come by uid
         for b in batches:
-            ids = np.asarray(b.column(0), np.int64)
-            places = b.column(2)
             for i, own, data, shift in _pieces(b.column(1)):
-                row, at, first, last, gram = anchors(data, own)
-                local = at - own[row] + shift
-                wanted = np.zeros(len(row), bool)
-                cut = np.searchsorted(row, np.arange(len(own)))
-                for k in range(len(own) - 1):
-                    if cut[k + 1] > cut[k]:
-                        wanted[cut[k] : cut[k + 1]] = np.isin(local[cut[k] : cut[k + 1]], places[i + k].values.to_numpy())
-                if not wanted.any():
-                    continue
-                row, at, first, last, gram, local = (x[wanted] for x in (row, at, first, last, gram, local))
-                begin, size = first, last - first + LENGTH
-                raw = data.tobytes()
-                uid_.append(ids[i + row])
-                place_.append(local)
-                low_.append(at - last)
-                high_.append(at - first)
-                gram_.append(gram)
-                text_ += [raw[s : s + n] for s, n in zip(begin.tolist(), size.tolist(), strict=True)]
-        if not uid_:
+                yield from piece(np.asarray(b.column(0), np.int64), b.column(2), i, own, data, shift, seen)
+
+    def piece(ids, places, i, own, data, shift, seen) -> Iterator[pa.RecordBatch]:
+        row, at, first, last, gram = anchors(data, own)
+        local = at - own[row] + shift
+        wanted = np.zeros(len(row), bool)
+        cut = np.searchsorted(row, np.arange(len(own)))
+        for k in range(len(own) - 1):
+            if cut[k + 1] > cut[k]:
+                wanted[cut[k] : cut[k + 1]] = np.isin(local[cut[k] : cut[k + 1]], places[i + k].values.to_numpy())
+        if not wanted.any():
             return
-        uid, place, low, high, gram = (np.concatenate(x) for x in (uid_, place_, low_, high_, gram_))
-        is_hot = np.isin(gram.astype(np.int64), sent.value) if len(sent.value) else np.zeros(len(gram), bool)
-        order = np.lexsort((place, uid))
-        seen: dict = {}
+        row, at, first, last, gram, local = (x[wanted] for x in (row, at, first, last, gram, local))
+        is_hot = np.isin(gram.astype(np.int64), sent.value)
+        raw = data.tobytes()
         entry: list[tuple[int, int, int, int, int, bytes]] = []  # key, uid, place, low, high, bytes from place - high on
         sure: list[tuple[int, int, int]] = []
-        for k in order.tolist():
-            t, lo, hi, u, p = text_[k], int(low[k]), int(high[k]), int(uid[k]), int(place[k])
-            if not is_hot[k]:
-                name = (t, lo)
+        columns = (ids[i + row], local, at - last, at - first, gram, first, last - first + LENGTH, is_hot)
+        for u, p, lo, hi, g, begin, size, heavy in zip(*(c.tolist() for c in columns), strict=True):
+            t = raw[begin : begin + size]
+            if not heavy:
+                name = hashlib.blake2b(t, digest_size=16, salt=lo.to_bytes(2, "little")).digest()
                 if name in seen:
                     sure.append((u, p - hi, p - lo + LENGTH))
                 else:
-                    seen[name] = None
-                    entry.append((int(gram[k]), u, p, lo, hi, t))
+                    seen.add(name)
+                    entry.append((g, u, p, lo, hi, t))
                 continue
             for o in range(hi, lo - 1, -1):  # a window each
                 w = t[hi - o : hi - o + LENGTH]
-                if w in seen:
+                name = hashlib.blake2b(w, digest_size=16).digest()
+                if name in seen:
                     if sure and sure[-1][0] == u and sure[-1][2] >= p - o:
                         sure[-1] = (u, sure[-1][1], p - o + LENGTH)
                     else:
                         sure.append((u, p - o, p - o + LENGTH))
                 else:
-                    seen[w] = None
-                    entry.append((int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "little"), u, p, o, o, w))
-        schema = pa.schema([("bucket", pa.int32()), ("blob", pa.binary()), ("uid", pa.int64()), ("start", pa.int64()), ("end", pa.int64())])
+                    seen.add(name)
+                    entry.append((int.from_bytes(name[:8], "little"), u, p, o, o, w))
         if sure:
             u, s, e = (np.array(x, np.int64) for x in zip(*sure, strict=True))
             keep, ends = [0], []
@@ -414,12 +409,13 @@ def _entry_rows(marked: DataFrame, hot: np.ndarray, buckets: int) -> DataFrame:
             bucket = (mix64(key) % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
             cut = np.searchsorted(bucket[order], np.arange(buckets + 1))
-            for k in np.flatnonzero(np.diff(cut)):
-                some = [entry[x] for x in order[cut[k] : cut[k + 1]]]
-                numbers = np.array([(x[1], x[2], x[3], x[4], len(x[5])) for x in some], np.int64)
-                keys = np.array([x[0] for x in some], np.uint64)
-                blob = len(some).to_bytes(8, "little") + keys.tobytes() + numbers[:, :2].tobytes() + numbers[:, 2:].astype(np.int16).tobytes() + b"".join([x[5] for x in some])
-                yield pa.RecordBatch.from_arrays([pa.array([int(k)], pa.int32()), pa.array([blob], pa.binary()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64())], schema=schema)
+            numbers = np.array([(x[1], x[2], x[3], x[4], len(x[5])) for x in entry], np.int64)
+            blobs, full = [], np.flatnonzero(np.diff(cut))
+            for k in full:
+                some = order[cut[k] : cut[k + 1]]
+                blobs.append(len(some).to_bytes(8, "little") + key[some].tobytes() + numbers[some, :2].tobytes() + numbers[some, 2:].astype(np.int16).tobytes() + b"".join([entry[x][5] for x in some]))
+            n = len(full)
+            yield pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), pa.array(blobs, pa.binary()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())], schema=schema)
 
     return marked.select("uid", "text", "places").mapInArrow(run, "bucket int, blob binary, uid long, start long, end long")
 
@@ -447,7 +443,7 @@ def _settle(table: pa.Table) -> pa.Table:
     k = key[order]
     at = 0
     while at < len(order):
-        end = min(len(order), at + 100_000)
+        end = min(len(order), at + SLICE)
         if end < len(order):
             end = int(np.searchsorted(k, k[end - 1], "right"))
         part = order[at:end]
@@ -473,14 +469,16 @@ def _settle(table: pa.Table) -> pa.Table:
 def later_copies(rows: DataFrame) -> DataFrame:
     """(uid, start, end): stretches of bytes of (uid, text) that strings which start earlier cover."""
     spark = rows.sparkSession
-    buckets = partitions(spark)
+    buckets = 4 * partitions(spark)
     found = repeated_anchors(rows)
     total = found.count()
     # there can be no more than HOT of these
     heavy = found.groupBy("gram").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("c")).filter(F.greatest("n", "c") * HOT > total + 100 * HOT)
     hot = np.array([r["gram"] for r in heavy.select("gram").collect()], np.int64)
     places = found.groupBy("uid").agg(F.collect_list("place").alias("places"))
-    entries, _ = write_table(_entry_rows(rows.join(places, "uid"), hot, buckets), "suffixes")
+    # in order of uid, so that a task's first surroundings are the earliest
+    marked = rows.join(places, "uid").sortWithinPartitions("uid")
+    entries, _ = write_table(_entry_rows(marked, hot, buckets), "suffixes")
     settled = entries.filter("bucket is not null").select("bucket", "blob").groupBy("bucket").applyInArrow(_settle, "uid long, start long, end long")
     sure = entries.filter("bucket is null").select("uid", "start", "end")
     return settled.unionByName(sure)
