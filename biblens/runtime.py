@@ -9,6 +9,8 @@ import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 _shipped: set[str] = set()
 
 
@@ -50,10 +52,18 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def write_table(df: DataFrame, name: str) -> tuple[DataFrame, str]:
-    """Write ``df`` under the shared folder and read it again: cuts lineage, survives lost executors."""
+    """Write ``df`` under the shared folder and read it again: cuts lineage, survives lost executors.
+
+    The shuffle files behind it are not needed once it is written and are deleted then.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(SHUFFLE_CLEANUP, "false")
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(SHUFFLE_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path), path
 
 
