@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from biblens.llm.common import CHUNK, as_bytes, byte_sums, mix64, pick, powers, row_chunks, with_uid
-from biblens.runtime import partitions, write_table
+from biblens.runtime import drop_table, partitions, write_table
 
 LENGTH, GRAM = 100, 50
 HOT = 20_000
@@ -143,19 +143,30 @@ def _anchor_rows(rows: DataFrame, buckets: int) -> DataFrame:
 
 
 def _pack(blob: np.ndarray) -> bytes:
-    """Grams and ids as they are, places in 32 bits or 64, counts in 32."""
-    g, u, p, c = blob
-    return len(g).to_bytes(8, "little") + g.tobytes() + u.tobytes() + p.tobytes() + c.astype(np.int32).tobytes()
+    """Anchors by document and place: each id once with its number of anchors, places in 32 bits, counts
+    in 16 (more is as hot) and the upper 48 bits of the grams, of which the bucket fixes the rest."""
+    g, u, p, c = blob[:, np.lexsort((blob[2], blob[1]))]
+    uid, n = np.unique(u, return_counts=True)
+    high = np.ascontiguousarray(g).view(np.uint8).reshape(-1, 8)[:, 2:]
+    head = np.array([len(g), len(uid)], np.int64).tobytes()
+    return head + uid.tobytes() + n.astype(np.int32).tobytes() + p.astype(np.uint32).tobytes() + np.minimum(c, 65535).astype(np.uint16).tobytes() + high.tobytes()
 
 
 def _unpack(raw: bytes) -> tuple[np.ndarray, ...]:
-    n = int.from_bytes(raw[:8], "little")
-    g, u, p = (np.frombuffer(raw, np.int64, n, 8 + 8 * n * k) for k in range(3))
-    return g, u, p, np.frombuffer(raw, np.int32, n, 8 + 24 * n)
-
-
-def repeated_anchors(rows: DataFrame) -> DataFrame:
-    """(uid, places, gram, n): anchors whose gram occurs more than once, packed by document and bucket."""
+    n, m = np.frombuffer(raw, np.int64, 2).tolist()
+    at = 16
+    uid = np.frombuffer(raw, np.int64, m, at)
+    each = np.frombuffer(raw, np.int32, m, at + 8 * m)
+    at += 12 * m
+    place = np.frombuffer(raw, np.uint32, n, at).astype(np.int64)
+    count = np.frombuffer(raw, np.uint16, n, at + 4 * n).astype(np.int64)
+    gram = np.zeros((n, 8), np.uint8)
+    gram[:, 2:] = np.frombuffer(raw, np.uint8, 6 * n, at + 6 * n).reshape(n, 6)
+    return gram.view(np.int64)[:, 0], np.repeat(uid, each), place, count
+
+
+def repeated_anchors(rows: DataFrame) -> tuple[DataFrame, str]:
+    """(uid, place, gram, n) of anchors whose gram occurs more than once, as a table, and its path."""
     buckets = 4 * partitions(rows.sparkSession)
 
     def run(table: pa.Table) -> pa.Table:
@@ -175,7 +186,7 @@ def repeated_anchors(rows: DataFrame) -> DataFrame:
         return pa.table({"uid": u[index], "place": p[index], "gram": g[index], "n": n})
 
     dealt = _anchor_rows(rows, buckets).groupBy("bucket").applyInArrow(run, "uid long, place long, gram long, n long")
-    return write_table(dealt, "anchors")[0]
+    return write_table(dealt, "anchors")
 
 
 def multikey_quicksort(keys: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
@@ -364,7 +375,7 @@ def _entry_rows(marked: DataFrame, hot: np.ndarray, buckets: int) -> DataFrame:
         if not wanted.any():
             return
         row, at, first, last, gram, local = (x[wanted] for x in (row, at, first, last, gram, local))
-        is_hot = np.isin(gram.astype(np.int64), sent.value)
+        is_hot = np.isin((gram & ~np.uint64(0xFFFF)).astype(np.int64), sent.value)
         raw = data.tobytes()
         entry: list[tuple[int, int, int, int, int, bytes]] = []  # key, uid, place, low, high, bytes from place - high on
         sure: list[tuple[int, int, int]] = []
@@ -470,7 +481,7 @@ def later_copies(rows: DataFrame) -> DataFrame:
     """(uid, start, end): stretches of bytes of (uid, text) that strings which start earlier cover."""
     spark = rows.sparkSession
     buckets = 4 * partitions(spark)
-    found = repeated_anchors(rows)
+    found, path = repeated_anchors(rows)
     total = found.count()
     # there can be no more than HOT of these
     heavy = found.groupBy("gram").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("c")).filter(F.greatest("n", "c") * HOT > total + 100 * HOT)
@@ -479,6 +490,7 @@ def later_copies(rows: DataFrame) -> DataFrame:
     # in order of uid, so that a task's first surroundings are the earliest
     marked = rows.join(places, "uid").sortWithinPartitions("uid")
     entries, _ = write_table(_entry_rows(marked, hot, buckets), "suffixes")
+    drop_table(spark, path)
     settled = entries.filter("bucket is not null").select("bucket", "blob").groupBy("bucket").applyInArrow(_settle, "uid long, start long, end long")
     sure = entries.filter("bucket is null").select("uid", "start", "end")
     return settled.unionByName(sure)
