@@ -6,8 +6,10 @@ document and earlier start). Strings are judged on the input; matches never cros
 Which suffixes are sorted: every ``length``-byte window picks an anchor in it, the leftmost of the
 ``GRAM``-byte strings with the least hash. Equal windows pick the same one, so a window's copies are
 found among copies of its anchor, and one suffix for each anchor (about every 25th byte) stands for all
-windows that picked it. Grams that occur once are dropped first: tasks report each gram once, a reducer
-counts them. Suffixes of the other anchors, with the bytes before them, go to buckets by gram.
+windows that picked it. Anchors meet by gram first. Of those with equal surroundings (hashes of all
+bytes of their windows) the first stands for all, the windows of the others being later copies; a gram
+with one kind of surroundings is done. Only the suffixes of grams with several, with the bytes before
+them, go to buckets to be sorted.
 
 How they are sorted: deep-shallow. Multikey quicksort on eight bytes at a time orders the suffixes to a
 shallow depth; groups that still agree have a long common prefix and are ordered by blind tries. The
@@ -15,10 +17,10 @@ bytes before the anchors are sorted in the same way from right to left. A window
 before its anchor is then an interval of each array, where common prefixes reach length - o to the
 right and o to the left; the pair of intervals names the window's string, and its first place is kept.
 
-Skew: within a task equal surroundings of an anchor are settled at once, the first of them only goes
-on. Grams in more than one of ``HOT`` anchors (there can be no more than HOT of these, so they are
-broadcast) are dealt by the whole window's string instead of the gram's, so that a passage in very many
-documents gives each bucket at most one entry from each task.
+Skew: equal surroundings within a task are settled at once, only their first goes on, so that a gram of
+a passage in very many documents gets at most one entry of each kind from each task. Grams with more
+than a HOTth of the suffixes (there can be no more than HOT of these, so they are broadcast) are dealt
+by the whole window's string instead, each window once from a task.
 
 Null counts as empty. Texts shorter than ``length`` lose nothing. Rows with repeated or null ids are
 documents of their own, in the order of id (null last), then text.
@@ -35,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from biblens.llm.common import CHUNK, as_bytes, byte_sums, mix64, pick, powers, row_chunks, with_uid
-from biblens.runtime import drop_table, partitions, write_table
+from biblens.runtime import partitions, write_table
 
 LENGTH, GRAM = 100, 50
 HOT = 20_000
@@ -55,21 +57,20 @@ def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(out[: len(out) - extra], out[extra:]) if extra else out
 
 
-def gram_hashes(data: np.ndarray, gram: int = GRAM) -> np.ndarray:
-    """A hash of every ``gram``-byte string of data."""
-    n = len(data) - gram + 1
-    if n <= 0:
-        return np.zeros(0, np.uint64)
-    p = byte_sums(data)
-    return mix64((p[gram:] - p[:n]) * powers(n)[1])
+def _stretch_hashes(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of data[starts:ends], from ``byte_sums`` of data."""
+    return mix64((sums[ends] - sums[starts]) * powers(len(sums))[1][starts])
 
 
 def anchors(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
-    """(row, anchor, first window, last window, gram hash); places are relative to ``data``."""
-    empty = tuple(np.zeros(0, np.int64) for _ in range(4)) + (np.zeros(0, np.uint64),)
+    """(row, anchor, first window, last window, gram hash, hash of all bytes of the windows and of where
+    the anchor is among them); places are relative to ``data``."""
+    empty = tuple(np.zeros(0, np.int64) for _ in range(4)) + (np.zeros(0, np.uint64), np.zeros(0, np.uint64))
     if len(data) < length:
         return empty
-    h = gram_hashes(data, gram)
+    sums = byte_sums(data)
+    n = len(data) - gram + 1
+    h = mix64((sums[gram:] - sums[:n]) * powers(n)[1])
     low = np.uint64((1 << 24) - 1)
     picked = _sliding_min((h & ~low) | (np.arange(len(h), dtype=np.uint64) & low), length - gram + 1) & low
     n = len(picked)  # one for each window start
@@ -88,7 +89,9 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: i
     row = np.searchsorted(offsets, at, "right") - 1
     new = np.flatnonzero(np.concatenate([[True], (place[1:] != place[:-1]) | (row[1:] != row[:-1])]))
     last = np.append(new[1:], len(at)) - 1
-    return row[new], place[new], base[new], base[last], h[place[new]]
+    row, place, begin, end = row[new], place[new], base[new], base[last]
+    around = _stretch_hashes(sums, begin, end + length) + (place - begin).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    return row, place, begin, end, h[place], mix64(around)
 
 
 def _pieces(col: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
@@ -106,87 +109,96 @@ def _pieces(col: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.nda
 
 
 def _anchor_rows(rows: DataFrame, buckets: int) -> DataFrame:
-    """(bucket, blob): each task's grams by bucket. A gram goes once from a task; of one that occurs
-    again there, the other places are known to repeat and travel beside it, dealt at random."""
+    """(bucket, blob): each task's anchors by the bucket of their gram. Of anchors with the same
+    surroundings the first goes there; the others are later copies for sure and travel at random."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        uids, places, grams = [], [], []
+        held: list[list[np.ndarray]] = []
         for b in batches:
             uid = np.asarray(b.column(0), np.int64)
             for i, own, data, shift in _pieces(b.column(1)):
-                row, place, _, _, gram = anchors(data, own)
-                uids.append(uid[i + row])
-                places.append(place - own[row] + shift)
-                grams.append(gram)
-        if not grams:
+                row, place, first, last, gram, around = anchors(data, own)
+                held.append([uid[i + row], (place - own[row] + shift).astype(np.uint32), (place - last).astype(np.uint8), (place - first).astype(np.uint8), gram, around])
+        if not held:
             return
-        g = np.concatenate(grams)
-        order = np.argsort(g, kind="stable")
-        g, u, p = g[order], np.concatenate(uids)[order], np.concatenate(places)[order]
-        if not len(g):
+        u, p, lo, hi, g, c = (np.concatenate(x) for x in zip(*held, strict=True))
+        held.clear()
+        if not len(u):
             return
-        new = np.concatenate([[True], g[1:] != g[:-1]])
-        first = np.flatnonzero(new)
-        count = np.diff(np.append(first, len(g)))
-        heads = np.zeros(len(g), np.int64)
-        heads[first] = count
-        # bucket of a first place by its gram, of the others by where they are
-        bucket = np.where(new, g % np.uint64(buckets), mix64(u.astype(np.uint64) * np.uint64(31) + p.astype(np.uint64)) % np.uint64(buckets)).astype(np.int32)
-        order = np.argsort(bucket, kind="stable")
+        by = np.lexsort((p, u, c))  # equal surroundings have equal grams
+        head = np.concatenate([[True], c[by][1:] != c[by][:-1]])
+        bucket = np.empty(len(u), np.int32)
+        bucket[by] = np.where(head, g[by] % np.uint64(buckets), mix64(u[by].astype(np.uint64) * np.uint64(31) + p[by]) % np.uint64(buckets))
+        flag = np.empty(len(u), bool)
+        flag[by] = head
+        order = np.lexsort((p, u, bucket))
         cut = np.searchsorted(bucket[order], np.arange(buckets + 1))
         for k in np.flatnonzero(np.diff(cut)):
             at = order[cut[k] : cut[k + 1]]
-            blob = np.stack([g[at].astype(np.int64), u[at], p[at], heads[at]]).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array([int(k)], pa.int32()), pa.array([_pack(blob)], pa.binary())], names=["bucket", "blob"])
+            yield pa.RecordBatch.from_arrays([pa.array([int(k)], pa.int32()), pa.array([_pack(u[at], p[at], lo[at], hi[at], g[at], c[at], flag[at])], pa.binary())], names=["bucket", "blob"])
 
     return rows.select("uid", "text").mapInArrow(run, "bucket int, blob binary")
 
 
-def _pack(blob: np.ndarray) -> bytes:
-    """Anchors by document and place: each id once with its number of anchors, places in 32 bits, counts
-    in 16 (more is as hot) and the upper 48 bits of the grams, of which the bucket fixes the rest."""
-    g, u, p, c = blob[:, np.lexsort((blob[2], blob[1]))]
+def _pack(u, p, lo, hi, g, c, head) -> bytes:
+    """Anchors in order of document and place: each id once with its number of anchors, and the upper 48
+    bits of the hashes of first copies (the bucket adds some of a gram's other bits)."""
     uid, n = np.unique(u, return_counts=True)
-    high = np.ascontiguousarray(g).view(np.uint8).reshape(-1, 8)[:, 2:]
-    head = np.array([len(g), len(uid)], np.int64).tobytes()
-    return head + uid.tobytes() + n.astype(np.int32).tobytes() + p.astype(np.uint32).tobytes() + np.minimum(c, 65535).astype(np.uint16).tobytes() + high.tobytes()
+    high = [np.ascontiguousarray(x[head]).view(np.uint8).reshape(-1, 8)[:, 2:].tobytes() for x in (g, c)]
+    sizes = np.array([len(u), len(uid), int(head.sum())], np.int64).tobytes()
+    return b"".join([sizes, uid.tobytes(), n.astype(np.int32).tobytes(), p.tobytes(), lo.tobytes(), hi.tobytes(), head.tobytes(), *high])
 
 
 def _unpack(raw: bytes) -> tuple[np.ndarray, ...]:
-    n, m = np.frombuffer(raw, np.int64, 2).tolist()
-    at = 16
-    uid = np.frombuffer(raw, np.int64, m, at)
-    each = np.frombuffer(raw, np.int32, m, at + 8 * m)
+    n, m, k = np.frombuffer(raw, np.int64, 3).tolist()
+    at = 24
+    uid, each = np.frombuffer(raw, np.int64, m, at), np.frombuffer(raw, np.int32, m, at + 8 * m)
     at += 12 * m
-    place = np.frombuffer(raw, np.uint32, n, at).astype(np.int64)
-    count = np.frombuffer(raw, np.uint16, n, at + 4 * n).astype(np.int64)
-    gram = np.zeros((n, 8), np.uint8)
-    gram[:, 2:] = np.frombuffer(raw, np.uint8, 6 * n, at + 6 * n).reshape(n, 6)
-    return gram.view(np.int64)[:, 0], np.repeat(uid, each), place, count
-
-
-def repeated_anchors(rows: DataFrame) -> tuple[DataFrame, str]:
-    """(uid, place, gram, n) of anchors whose gram occurs more than once, as a table, and its path."""
-    buckets = 4 * partitions(rows.sparkSession)
-
-    def run(table: pa.Table) -> pa.Table:
-        parts = [_unpack(x.as_py()) for x in table["blob"]]
-        g, u, p, c = (np.concatenate(x) for x in zip(*parts, strict=True))
-        head = c > 0
-        order = np.argsort(g[head], kind="stable")
-        gs = g[head][order]
-        first = np.flatnonzero(np.concatenate([[True], gs[1:] != gs[:-1]])) if len(gs) else np.zeros(0, np.int64)
-        total = np.add.reduceat(c[head][order].astype(np.int64), first) if len(gs) else np.zeros(0, np.int64)
-        each = np.repeat(total, np.diff(np.append(first, len(gs))))
-        keep = each > 1
-        at = np.flatnonzero(head)[order][keep]
-        rest = np.flatnonzero(~head)
-        index = np.concatenate([at, rest])
-        n = np.concatenate([each[keep], np.zeros(len(rest), np.int64)])
-        return pa.table({"uid": u[index], "place": p[index], "gram": g[index], "n": n})
-
-    dealt = _anchor_rows(rows, buckets).groupBy("bucket").applyInArrow(run, "uid long, place long, gram long, n long")
-    return write_table(dealt, "anchors")
+    p = np.frombuffer(raw, np.uint32, n, at).astype(np.int64)
+    lo, hi = np.frombuffer(raw, np.uint8, n, at + 4 * n).astype(np.int64), np.frombuffer(raw, np.uint8, n, at + 5 * n).astype(np.int64)
+    head = np.frombuffer(raw, bool, n, at + 6 * n)
+    at += 7 * n
+    hashes = []
+    for j in range(2):
+        wide, out = np.zeros((k, 8), np.uint8), np.zeros(n, np.int64)
+        wide[:, 2:] = np.frombuffer(raw, np.uint8, 6 * k, at + 6 * k * j).reshape(k, 6)
+        out[head] = wide.view(np.int64)[:, 0]
+        hashes.append(out)
+    return np.repeat(uid, each), p, lo, hi, *hashes, head
+
+
+def _compare(table: pa.Table) -> pa.Table:
+    """One bucket's anchors: later copies of equal surroundings as stretches (place null), and the first
+    ones whose gram has other surroundings too, with how many."""
+    u, p, lo, hi, g, c, head = (np.concatenate(x) for x in zip(*(_unpack(x.as_py()) for x in table["blob"]), strict=True))
+    at = np.flatnonzero(head)
+    at = at[np.lexsort((p[at], u[at], c[at], g[at]))]
+    gs, cs = g[at], c[at]
+    new_g = np.concatenate([np.ones(min(1, len(at)), bool), gs[1:] != gs[:-1]])
+    first = new_g | np.concatenate([np.ones(min(1, len(at)), bool), cs[1:] != cs[:-1]])
+    group = np.cumsum(new_g) - 1
+    kinds = np.bincount(group[first], minlength=int(new_g.sum()))[group] if len(at) else np.zeros(0, np.int64)
+    ship = first & (kinds > 1)
+    sure = np.concatenate([at[~first], np.flatnonzero(~head)])
+    index = np.concatenate([at[ship], sure])
+    some = np.arange(len(index)) >= int(ship.sum())  # the sure ones
+    n = np.concatenate([kinds[ship], np.zeros(len(sure), np.int64)])
+    return pa.table(
+        {
+            "uid": u[index],
+            "start": pa.array((p - hi)[index].astype(np.int32)),
+            "end": pa.array((p - lo)[index].astype(np.int32) + np.int32(LENGTH)),
+            "place": pa.array(p[index].astype(np.int32), mask=some),
+            "gram": pa.array(g[index], mask=some),
+            "n": pa.array(n.astype(np.int32), mask=some),
+        }
+    )
+
+
+def compared_anchors(rows: DataFrame) -> DataFrame:
+    """(uid, start, end, place, gram, n): a table of what ``_compare`` finds in all buckets."""
+    dealt = _anchor_rows(rows, 4 * partitions(rows.sparkSession)).groupBy("bucket")
+    return write_table(dealt.applyInArrow(_compare, "uid long, start int, end int, place int, gram long, n int"), "anchors")[0]
 
 
 def multikey_quicksort(keys: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
@@ -352,20 +364,20 @@ _LEFT = -(-(LENGTH - GRAM) // 8) * 8
 
 
 def _entry_rows(marked: DataFrame, hot: np.ndarray, buckets: int) -> DataFrame:
-    """(bucket, blob, uid, start, end): surroundings of repeated anchors for the buckets, and stretches
-    that are later copies for sure because the same task holds an earlier one."""
+    """(bucket, blob, uid, start, end): surroundings of the anchors in ``places`` for the buckets; of hot
+    grams one for each window, or a stretch where the same task holds the window earlier."""
     sent = marked.sparkSession.sparkContext.broadcast(np.sort(hot))
 
     schema = pa.schema([("bucket", pa.int32()), ("blob", pa.binary()), ("uid", pa.int64()), ("start", pa.int64()), ("end", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[bytes] = set()  # digests of surroundings and of hot windows; rows come by uid
+        seen: set[bytes] = set()  # digests of hot windows; rows come by uid
         for b in batches:
             for i, own, data, shift in _pieces(b.column(1)):
                 yield from piece(np.asarray(b.column(0), np.int64), b.column(2), i, own, data, shift, seen)
 
     def piece(ids, places, i, own, data, shift, seen) -> Iterator[pa.RecordBatch]:
-        row, at, first, last, gram = anchors(data, own)
+        row, at, first, last, gram, _ = anchors(data, own)
         local = at - own[row] + shift
         wanted = np.zeros(len(row), bool)
         cut = np.searchsorted(row, np.arange(len(own)))
@@ -383,12 +395,7 @@ def _entry_rows(marked: DataFrame, hot: np.ndarray, buckets: int) -> DataFrame:
         for u, p, lo, hi, g, begin, size, heavy in zip(*(c.tolist() for c in columns), strict=True):
             t = raw[begin : begin + size]
             if not heavy:
-                name = hashlib.blake2b(t, digest_size=16, salt=lo.to_bytes(2, "little")).digest()
-                if name in seen:
-                    sure.append((u, p - hi, p - lo + LENGTH))
-                else:
-                    seen.add(name)
-                    entry.append((g, u, p, lo, hi, t))
+                entry.append((g, u, p, lo, hi, t))
                 continue
             for o in range(hi, lo - 1, -1):  # a window each
                 w = t[hi - o : hi - o + LENGTH]
@@ -480,20 +487,20 @@ def _settle(table: pa.Table) -> pa.Table:
 def later_copies(rows: DataFrame) -> DataFrame:
     """(uid, start, end): stretches of bytes of (uid, text) that strings which start earlier cover."""
     spark = rows.sparkSession
-    buckets = 4 * partitions(spark)
-    found, path = repeated_anchors(rows)
-    total = found.count()
-    # there can be no more than HOT of these
-    heavy = found.groupBy("gram").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("c")).filter(F.greatest("n", "c") * HOT > total + 100 * HOT)
+    compared = compared_anchors(rows)
+    ship, sure = compared.filter("place is not null"), compared.filter("place is null").select("uid", "start", "end")
+    total = ship.count()
+    # grams with more than a HOTth of the entries: there can be no more than HOT of these
+    heavy = ship.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") * HOT > total + 100 * HOT)
     hot = np.array([r["gram"] for r in heavy.select("gram").collect()], np.int64)
-    places = found.groupBy("uid").agg(F.collect_list("place").alias("places"))
-    # in order of uid, so that a task's first surroundings are the earliest
+    places = ship.groupBy("uid").agg(F.collect_list(F.col("place").cast("long")).alias("places"))
+    # in order of uid, so that a task's first windows are the earliest
     marked = rows.join(places, "uid").sortWithinPartitions("uid")
-    entries, _ = write_table(_entry_rows(marked, hot, buckets), "suffixes")
-    drop_table(spark, path)
+    entries, _ = write_table(_entry_rows(marked, hot, 4 * partitions(spark)), "suffixes")
     settled = entries.filter("bucket is not null").select("bucket", "blob").groupBy("bucket").applyInArrow(_settle, "uid long, start long, end long")
-    sure = entries.filter("bucket is null").select("uid", "start", "end")
-    return settled.unionByName(sure)
+    more = entries.filter("bucket is null").select("uid", "start", "end")
+    found, _ = write_table(settled.unionByName(more).unionByName(sure), "stretches")
+    return found
 
 
 def dedup(docs: DataFrame, digest: bool = False) -> DataFrame:
