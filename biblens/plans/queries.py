@@ -1,15 +1,422 @@
-"""Queries of the reference audit and SQL with the same results."""
+"""Queries over the driver's tables and SQL with the same results.
+
+The tables hold no bibliography, so one is derived from them: works from ``part``, references and
+notices from ``orders``. Both engines run the same derivation text. Every query reads whole tables.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from biblens.functions import similarity as S
+from biblens.functions import text as X
+from biblens.operators import decide, parse, report, retrieve, score
+from biblens.plans.audit import audit
+from biblens.runtime import ship
+from biblens.sources import payloads
+from biblens.sources import text as T
+
+_A = "substr('abcdefghijklmnopqrstuvwxyz', CAST(1 + p_partkey % 26 AS INT), 1)"
+_B = "substr('abcdefghijklmnopqrstuvwxyz', CAST(1 + floor(p_partkey / 26) % 26 AS INT), 1)"
+WORKS = f"""
+SELECT p_partkey AS work_id, concat('10.5555/p', CAST(p_partkey AS STRING)) AS doi,
+  concat('Effects of ', p_name, ' on ', p_type, ' assembly by ', p_brand) AS title, concat('Ab', {_A}, {_B}, 'son') AS a1,
+  concat('Mc', {_B}, {_A}, 'er') AS a2, concat('Journal of ', p_type, ' Studies') AS venue, p_type AS kind, CAST(1990 + p_size % 30 AS INT) AS year,
+  CAST(1 + p_partkey % 40 AS STRING) AS volume, CAST(1 + p_partkey % 12 AS STRING) AS issue, concat('e', CAST(10000 + p_partkey AS STRING)) AS page
+FROM {{part}}"""
+REFS = f"""
+SELECT o.o_orderkey AS ref_id, w.work_id, w.doi AS work_doi, w.title, w.a1, w.a2, w.venue, w.year, w.volume, w.issue, w.page,
+  CASE WHEN o.o_orderkey % 5 = 0 THEN concat('Notes about ', substr(w.title, 12)) ELSE w.title END AS r_title,
+  CAST(w.year + CASE WHEN o.o_orderkey % 7 = 0 THEN 1 WHEN o.o_orderkey % 11 = 0 THEN 4 ELSE 0 END AS INT) AS r_year,
+  CASE WHEN o.o_orderkey % 13 = 0 THEN '' WHEN o.o_orderkey % 17 = 0 THEN '99' ELSE w.volume END AS r_volume,
+  CASE WHEN o.o_orderkey % 13 = 0 THEN '' WHEN o.o_orderkey % 19 = 0 THEN '' ELSE w.issue END AS r_issue,
+  CASE WHEN o.o_orderkey % 23 = 0 THEN concat(w.page, '-', w.page) WHEN o.o_orderkey % 29 = 0 THEN 'e1' WHEN o.o_orderkey % 31 = 0 THEN '' ELSE w.page END AS r_page
+FROM (SELECT o_orderkey, o_orderkey % (SELECT count(*) FROM {{part}}) AS k FROM {{orders}}) o JOIN ({WORKS}) w ON w.work_id = o.k"""
+LINES = f"""
+SELECT *, concat(a1, ' A, ', a2, ' B. ', r_title, '. ', venue, '. ', CAST(r_year AS STRING), '; ', volume, '(', issue, '): ', page, '.',
+  CASE WHEN ref_id % 3 = 0 THEN concat(' DOI: ', work_doi, ').') ELSE '' END) AS input_text FROM ({REFS}) r"""
+NOTICES = """
+SELECT concat('10.5555/p', CAST(o_orderkey % (SELECT count(*) FROM {part}) AS STRING)) AS target_doi, concat('10.5555/n', CAST(o_orderkey AS STRING)) AS notice_doi,
+  CASE WHEN o_orderstatus = 'F' THEN 'retraction' WHEN o_orderstatus = 'P' THEN 'correction' ELSE 'Withdrawal' END AS update_type, 'publisher' AS source,
+  'Notice' AS label, CAST(CAST(o_orderdate AS DATE) AS STRING) AS updated FROM {orders}"""
+STATUSES = """
+SELECT o_orderkey AS ref_id, CASE WHEN o_orderkey % 10 < 5 THEN 'found' WHEN o_orderkey % 10 < 7 THEN 'likely_wrong' WHEN o_orderkey % 10 < 9 THEN 'not_found' ELSE 'website' END AS status,
+  o_orderkey % 10 < 5 AS found, CASE WHEN o_orderkey % 7 = 0 THEN 'year_warning' END AS note, o_orderstatus = 'F' AND o_orderkey % 10 < 7 AS retracted,
+  CASE WHEN o_orderkey % 11 = 0 THEN 'partial' ELSE 'complete' END AS verification_status FROM {orders}"""
+_DUCK = {n: n for n in ("part", "orders", "documents", "pages", "customer")}
+_BIB = "concat('@article{k', CAST(work_id AS STRING), ', author = {', a1, ', A and ', a2, ', B}, title = {{', title, '}}, journal = \"', venue, '\", year = ', CAST(year AS STRING), ', doi = {', doi, '}}')"
+
+
+def _sql(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
+    """Run SQL whose tables are names in braces."""
+    frames = {n: spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in _DUCK if f"{{{n}}}" in text}
+    return spark.sql(text, **frames)
+
+
+def _duck(text: str) -> str:
+    return text.format(**_DUCK)
+
+
+def works_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Derived works with the columns of a record."""
+    empty = F.array().cast("array<string>")
+    rows = _sql(spark, sf_dir, WORKS)
+    return rows.withColumns(
+        {
+            "authors": F.array(F.lower("a1"), F.lower("a2")), "venue_aliases": empty, "issns": empty, "article_number": F.col("page"),
+            "source": F.lit("crossref"), "source_id": F.lit(None).cast("string"), "is_preprint": F.lit(False), "aliases_resolved": F.lit(False),
+        }
+    )
+
+
+def references_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _sql(spark, sf_dir, LINES)
+
+
+def known_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """References beside the work that they were derived from, as records."""
+    rows = _sql(spark, sf_dir, REFS)
+    none = F.lit(None).cast("string")
+    names = F.array(F.lower("a1"), F.lower("a2"))
+    empty = F.array().cast("array<string>")
+    r = F.struct(F.col("r_title").alias("title"), names.alias("authors"), F.col("r_year").alias("year"), "venue", F.col("r_volume").alias("volume"), F.col("r_issue").alias("issue"), F.col("r_page").alias("page"), none.alias("article_number"))
+    c = F.struct("title", names.alias("authors"), "year", "venue", empty.alias("venue_aliases"), "volume", "issue", "page", none.alias("article_number"), F.col("work_doi").alias("doi"), F.lit("crossref").alias("source"), none.alias("source_id"), F.lit(False).alias("is_preprint"), F.lit(False).alias("aliases_resolved"))
+    return rows.select("ref_id", "work_id", r.alias("r"), c.alias("c"))
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    results = audit(references_table(spark, sf_dir).select("ref_id", "input_text"), works_table(spark, sf_dir), _sql(spark, sf_dir, NOTICES))
+    return results.select("ref_id", "status", "note", "method", "matched_doi", "retracted", "comparison_summary")
+
+
+# -- queries ---------------------------------------------------------------------------------------
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(oracle: str | None = None):
+    def add(f):
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ship(spark)
+            return f(spark, sf_dir)
+
+        QUERIES[f.__name__] = run
+        if oracle:
+            ORACLES[f.__name__] = oracle
+        return f
+
+    return add
+
+
+_LABELS = ", ".join(f"'{x}'" for x in T.LABELS)
+_WORDS = "list_distinct(list_filter(string_split(trim(regexp_replace(regexp_replace(lower({0}), '[^\\p{{L}}\\p{{N}}_\\s]', ' ', 'g'), '\\s+', ' ', 'g')), ' '), lambda x: length(x) > 1))"
+_OVERLAP = "len(list_intersect({0}, {1})) / greatest(len({0}), len({1}))"
+
+
+@query(
+    f"""WITH l AS (SELECT doc_id, unnest(range(len(string_split(text, chr(10))))) AS line_no, unnest(string_split(text, chr(10))) AS line FROM documents)
+SELECT doc_id, CAST(line_no AS INT) AS line_no, trim(regexp_replace(trim(line), '^(\\[\\d+\\]|\\d+[.)])\\s*', '')) AS input_text FROM l
+WHERE trim(line) <> '' AND lower(trim(line)) NOT IN ({_LABELS})"""
+)
+def split_reference_lines(spark, sf_dir):
+    return T.split_references(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id", "text")
+
+
+@query(f"""SELECT ref_id, nullif(rtrim(regexp_extract(input_text, '10\\.\\d{{4,9}}/[^\\s"''<>]+'), ').,;'), '') AS doi FROM ({_duck(LINES)}) t""")
+def extract_doi(spark, sf_dir):
+    return references_table(spark, sf_dir).select("ref_id", parse.doi(F.col("input_text")).alias("doi"))
+
+
+@query(f"""SELECT ref_id, CAST(list_filter(regexp_extract_all(input_text, '\\d+'), lambda x: regexp_full_match(x, '(19|20)\\d\\d'))[-1] AS INT) AS year FROM ({_duck(LINES)}) t""")
+def extract_year(spark, sf_dir):
+    return references_table(spark, sf_dir).select("ref_id", parse.year(F.col("input_text")).alias("year"))
+
+
+_VIP = "'(\\d+)\\s*\\((\\d+[\\w-]*)\\)\\s*[:,]\\s*([A-Za-z]?\\d[\\w-]*)'"
+
+
+@query(f"""SELECT ref_id, regexp_extract(input_text, {_VIP}, 1) AS volume, regexp_extract(input_text, {_VIP}, 2) AS issue, regexp_extract(input_text, {_VIP}, 3) AS page FROM ({_duck(LINES)}) t""")
+def extract_volume_issue_page(spark, sf_dir):
+    return references_table(spark, sf_dir).select("ref_id", parse.numbers(F.col("input_text")).alias("n")).select("ref_id", "n.*")
+
+
+_ARXIV = "concat(CAST(1000 + work_id % 9000 AS STRING), '.', CAST(10000 + work_id % 90000 AS STRING), 'v', CAST(1 + work_id % 3 AS STRING))"
+_ARXIV_TEXT = f"CASE WHEN work_id % 4 = 0 THEN title WHEN work_id % 4 = 1 THEN concat(title, '. https://arxiv.org/abs/', {_ARXIV}) ELSE concat(title, '. arXiv: ', {_ARXIV}, '.') END"
+
+
+@query(f"SELECT work_id, CASE WHEN work_id % 4 <> 0 THEN {_ARXIV} END AS arxiv_id, CASE WHEN work_id % 4 <> 0 THEN regexp_replace({_ARXIV}, 'v\\d+$', '') END AS base_id FROM ({_duck(WORKS)}) w")
+def extract_arxiv_id(spark, sf_dir):
+    found = _sql(spark, sf_dir, WORKS).withColumn("t", F.expr(_ARXIV_TEXT)).select("work_id", parse.arxiv_id(F.col("t")).alias("arxiv_id"))
+    return found.withColumn("base_id", X.strip_version(F.col("arxiv_id")))
+
+
+def _bibtex(spark, sf_dir):
+    return _sql(spark, sf_dir, WORKS).select("work_id", F.expr(f"CASE WHEN work_id % 5 = 0 THEN concat(title, '. ', venue) ELSE {_BIB} END").alias("text"))
+
+
+@query(f"SELECT work_id, work_id % 5 <> 0 AS bibtex FROM ({_duck(WORKS)}) w")
+def bibtex_detect(spark, sf_dir):
+    return _bibtex(spark, sf_dir).select("work_id", T.is_bibtex(F.col("text")).alias("bibtex"))
+
+
+@query(f"""SELECT work_id, CASE WHEN work_id % 5 = 0 THEN concat(title, '. ', venue) ELSE concat_ws('. ', concat(a1, ', ', a2), CAST(year AS STRING), title, venue, concat('DOI: ', doi)) END AS input_text FROM ({_duck(WORKS)}) w""")
+def bibtex_to_text(spark, sf_dir):
+    return T.load_references(_bibtex(spark, sf_dir), "work_id", "text").select("work_id", "input_text")
+
+
+@query(
+    f"""WITH s AS (SELECT ref_id, list_filter(list_transform(string_split(input_text, '.'), lambda x: trim(x)), lambda x: x <> '') AS segs FROM ({_duck(LINES)}) t),
+n AS (SELECT ref_id, unnest(segs[1:4]) AS seg, unnest(range(least(4, len(segs)))) AS i FROM s),
+p AS (SELECT ref_id, seg, 10 * len(regexp_split_to_array(seg, '\\s+')) - 3 * length(regexp_replace(seg, '\\D', '', 'g'))
+  - CASE WHEN len(list_filter(regexp_extract_all(seg, '\\d+'), lambda x: regexp_full_match(x, '(19|20)\\d\\d'))) > 0 THEN 80 ELSE 0 END
+  - CASE WHEN regexp_matches(seg, '\\d+\\s*\\(\\d+\\)') THEN 60 ELSE 0 END AS points FROM n
+  WHERE length(seg) >= 15 AND NOT (i = 0 AND (length(seg) - length(replace(seg, ',', '')) >= 2 OR contains(lower(seg), 'et al') OR (contains(seg, ',') AND regexp_matches(seg, '\\b[A-Z]{{1,3}}\\b'))))),
+b AS (SELECT ref_id, seg FROM p QUALIFY row_number() OVER (PARTITION BY ref_id ORDER BY points DESC, seg DESC) = 1)
+SELECT s.ref_id, coalesce(b.seg, s.segs[2], s.segs[1]) AS title FROM s LEFT JOIN b ON s.ref_id = b.ref_id"""
+)
+def title_candidate(spark, sf_dir):
+    return references_table(spark, sf_dir).select("ref_id", parse.title(F.col("input_text")).alias("title"))
+
+
+_SITE = "CASE WHEN page_id % 3 = 0 THEN concat('Tool page at ', url, ' seen today') WHEN page_id % 3 = 1 THEN concat('One two three four five six seven eight nine words before ', url) ELSE 'An AI-powered tool without an address' END"
+
+
+@query(f"SELECT page_id, page_id % 3 <> 1 AS is_website FROM (SELECT page_id, {_SITE} AS t FROM pages) p")
+def website_filter(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", parse.is_website(F.expr(_SITE)).alias("is_website"))
+
+
+@query("""SELECT doc_id, md5(trim(regexp_replace(regexp_replace(lower(nfc_normalize(text)), '[^\\p{L}\\p{M}\\p{N}_\\s]', ' ', 'g'), '\\s+', ' ', 'g'))) AS normal FROM documents""")
+def normalize_text(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.md5(X.normalize_text(F.col("text")).cast("binary")).alias("normal"))
+
+
+@query(f"SELECT work_id, lower(a1) AS key FROM ({_duck(WORKS)}) w")
+def author_key(spark, sf_dir):
+    name = "CASE WHEN work_id % 3 = 0 THEN concat(a1, ', A. B.') WHEN work_id % 3 = 1 THEN concat('B. ', a1) ELSE concat(a1, ' CD') END"
+    return _sql(spark, sf_dir, WORKS).select("work_id", X.normalize_author(F.expr(name)).alias("key"))
+
+
+@query(f"SELECT ref_id, round({_OVERLAP.format('x', 'y')}, 9) AS overlap FROM (SELECT ref_id, {_WORDS.format('r_title')} AS x, {_WORDS.format('title')} AS y FROM ({_duck(REFS)}) r) t")
+def token_overlap(spark, sf_dir):
+    pair = known_pairs(spark, sf_dir)
+    return pair.select("ref_id", F.round(S.token_overlap(X.normalize_text(F.col("r.title")), X.normalize_text(F.col("c.title"))), 9).alias("overlap"))
+
+
+@query(f"SELECT ref_id, CASE WHEN ref_id % 2 = 0 THEN 1.0 ELSE 0.5 END::DOUBLE AS overlap, 1.0::DOUBLE AS first_author FROM ({_duck(REFS)}) r")
+def author_overlap(spark, sf_dir):
+    mine = F.when(F.col("ref_id") % 2 == 0, F.col("r.authors")).otherwise(F.slice("r.authors", 1, 1))
+    return known_pairs(spark, sf_dir).select("ref_id", S.author_overlap(mine, F.col("c.authors")).alias("overlap"), S.first_author_match(mine, F.col("c.authors")).alias("first_author"))
+
+
+_YEAR = "CASE abs(r_year - year) WHEN 0 THEN 1.0 WHEN 1 THEN 0.7 WHEN 2 THEN 0.3 ELSE 0.0 END::DOUBLE"
+_VI = """CASE WHEN r_volume = '' AND r_issue = '' THEN 0.0 WHEN (r_volume <> '' AND r_volume <> volume) OR (r_issue <> '' AND r_issue <> issue) THEN 0.0
+ELSE round_even(CASE WHEN r_volume <> '' THEN 0.7 ELSE 0.2 END + CASE WHEN r_issue <> '' THEN 0.3 ELSE 0.1 END, 3) END::DOUBLE"""
+_PAGES = "CASE WHEN r_page = '' THEN 0.0 WHEN r_page = page THEN 1.0 WHEN contains(replace(r_page, '-', ''), page) OR contains(page, replace(r_page, '-', '')) THEN 0.8 ELSE 0.0 END::DOUBLE"
+
+
+@query(f"SELECT ref_id, {_YEAR} AS similarity FROM ({_duck(REFS)}) r")
+def year_similarity(spark, sf_dir):
+    return known_pairs(spark, sf_dir).select("ref_id", S.year_similarity(F.col("r.year"), F.col("c.year")).alias("similarity"))
+
+
+@query(f"SELECT ref_id, {_VI} AS similarity FROM ({_duck(REFS)}) r")
+def volume_issue_similarity(spark, sf_dir):
+    return known_pairs(spark, sf_dir).select("ref_id", S.volume_issue_similarity(F.col("r.volume"), F.col("r.issue"), F.col("c.volume"), F.col("c.issue")).alias("similarity"))
+
+
+@query(f"SELECT ref_id, {_PAGES} AS similarity FROM ({_duck(REFS)}) r")
+def page_similarity(spark, sf_dir):
+    return known_pairs(spark, sf_dir).select("ref_id", S.page_similarity(F.col("r.page"), F.col("r.article_number"), F.col("c.page"), F.col("c.article_number")).alias("similarity"))
+
+
+@query()
+def sequence_similarity(spark, sf_dir):
+    pair = known_pairs(spark, sf_dir).select("ref_id", X.normalize_text(F.col("r.title")).alias("a"), X.normalize_text(F.col("c.title")).alias("b"))
+    return pair.select("ref_id", S.sequence_similarity(F.col("a"), F.col("b")).alias("similarity"))
+
+
+@query(f"SELECT work_id, CAST(work_id % 2 = 0 AS BOOLEAN) AS abbreviates FROM ({_duck(WORKS)}) w")
+def venue_abbrev_match(spark, sf_dir):
+    short = F.expr("CASE WHEN work_id % 2 = 0 THEN concat('j ', lower(substr(kind, 1, 3)), ' stud') ELSE concat('stud ', lower(substr(kind, 1, 3))) END")
+    # a Python UDF can not stand inside a higher-order function: its result is a column first
+    named = _sql(spark, sf_dir, WORKS).select("work_id", short.alias("short"), X.normalize_venue(F.col("venue")).alias("long"))
+    return named.select("work_id", S.looks_like_abbreviation(F.col("short"), F.col("long")).alias("abbreviates"))
+
+
+@query(f"SELECT r.ref_id, w.work_id FROM ({_duck(LINES)}) r JOIN ({_duck(WORKS)}) w ON r.ref_id % 3 = 0 AND w.doi = r.work_doi")
+def doi_lookup_join(spark, sf_dir):
+    refs = references_table(spark, sf_dir).select("ref_id", parse.doi(F.col("input_text")).alias("doi"))
+    return retrieve.by_doi(refs, works_table(spark, sf_dir).select("work_id", "doi")).select("ref_id", "work_id")
+
+
+@query(f"SELECT agency, count(*) AS n FROM (SELECT CASE WHEN work_id % 3 = 0 THEN 'Crossref' WHEN work_id % 3 = 1 THEN 'JaLC' END AS agency FROM ({_duck(WORKS)}) w) t GROUP BY agency")
+def registration_agency_join(spark, sf_dir):
+    agencies = spark.createDataFrame([("10.5555", "Crossref"), ("10.1241", "JaLC")], "prefix string, agency string")
+    dois = _sql(spark, sf_dir, WORKS).select(F.expr("CASE WHEN work_id % 3 = 0 THEN doi WHEN work_id % 3 = 1 THEN replace(doi, '10.5555', '10.1241') ELSE replace(doi, '10.5555', '10.9999') END").alias("doi"))
+    return retrieve.agency_of(dois, agencies).groupBy("agency").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    f"""WITH w AS ({_duck(WORKS)}), n AS (SELECT count(*) AS n FROM w), ww AS (SELECT work_id, unnest({_WORDS.format('title')}) AS word FROM w),
+d AS (SELECT word, count(*) AS df FROM ww GROUP BY word), i AS (SELECT word, CAST(round(ln(n / df) * 1000) AS BIGINT) AS idf FROM d, n WHERE df <= greatest(5, n * {retrieve.HOT_SHARE})),
+rw AS (SELECT ref_id, unnest({_WORDS.format('r_title')}) AS word FROM ({_duck(REFS)}) r),
+p AS (SELECT rw.ref_id, ww.work_id, count(*) AS hits, CAST(sum(idf) AS BIGINT) AS weight FROM rw JOIN i USING (word) JOIN ww USING (word) GROUP BY ALL)
+SELECT ref_id, work_id, hits, weight, CAST(row_number() OVER (PARTITION BY ref_id ORDER BY weight DESC, work_id) AS INT) AS rank FROM p QUALIFY rank <= 5"""
+)
+def candidate_block_topk(spark, sf_dir):
+    refs = _sql(spark, sf_dir, REFS).select("ref_id", F.col("r_title").alias("title"))
+    return retrieve.block(refs, _sql(spark, sf_dir, WORKS).select("work_id", "title"))
+
+
+_TITLE = f"round_even({_OVERLAP.format(_WORDS.format('r_title'), _WORDS.format('title'))}, 3)"
+_SCORED = f"""SELECT *, round_even(0.0::DOUBLE + 0.3::DOUBLE * t + 0.2::DOUBLE + 0.1::DOUBLE + 0.1::DOUBLE * y + 0.1::DOUBLE + 0.08::DOUBLE * vi + 0.12::DOUBLE * pg, 3) AS total,
+CAST(t >= 0.45 AS INT) + 1 + 1 + CAST(y >= 0.7 AS INT) + 1 + CAST(pg >= 0.8 AS INT) + CAST(vi >= 0.7 AS INT) AS support
+FROM (SELECT *, {_TITLE} AS t, {_YEAR} AS y, {_VI} AS vi, {_PAGES} AS pg FROM ({_duck(REFS)}) r) s"""
+_DECISION = "CASE WHEN total >= 0.74 AND t >= 0.72 AND y > 0 THEN 'accept' WHEN total >= 0.45 AND support >= 2 THEN 'suggest' ELSE 'reject' END"
+
+
+@query(f"SELECT ref_id, work_id, total, support, {_DECISION} AS decision FROM ({_SCORED}) z")
+def score_candidates_token(spark, sf_dir):
+    return score.score(known_pairs(spark, sf_dir), sequence=False).select("ref_id", "work_id", "total", "support", "decision")
+
+
+@query()
+def score_candidates_full(spark, sf_dir):
+    return score.score(known_pairs(spark, sf_dir)).select("ref_id", "work_id", "total", "decision", "summary")
+
+
+@query(
+    f"""SELECT ref_id, CASE decision WHEN 'accept' THEN 'found' WHEN 'suggest' THEN 'likely_wrong' ELSE 'not_found' END AS status,
+CASE WHEN decision = 'accept' AND y = 0.7 THEN 'year_warning' WHEN decision = 'suggest' THEN 'candidate_mismatch' WHEN decision = 'reject' THEN 'no_match' END AS note
+FROM (SELECT *, {_DECISION} AS decision FROM ({_SCORED}) z) d"""
+)
+def decide_status_token(spark, sf_dir):
+    pairs = known_pairs(spark, sf_dir)
+    scored = score.score(pairs, sequence=False).withColumns({"ordinal": F.lit(1), "method": F.lit("bibliographic")})
+    refs = pairs.select("ref_id", F.lit(None).cast("string").alias("doi"), F.lit(False).alias("is_website"))
+    return decide.decide(refs, decide.rank(scored)).select("ref_id", "status", "note")
+
+
+@query(f"SELECT ref_id, CAST(min(o) AS INT) AS ordinal FROM (SELECT ref_id, CASE WHEN ref_id % 2 = 0 THEN title ELSE 'x' END AS k, 2 AS o FROM ({_duck(REFS)}) a UNION ALL SELECT ref_id, title, 1 FROM ({_duck(REFS)}) b) u GROUP BY ref_id, k")
+def candidate_dedup(spark, sf_dir):
+    pairs = known_pairs(spark, sf_dir)
+    other = pairs.withColumn("c", F.when(F.col("ref_id") % 2 == 0, F.col("c")).otherwise(F.col("c").withField("title", F.lit("x"))))
+    return decide.dedup_candidates(other.withColumn("ordinal", F.lit(2)).unionByName(pairs.withColumn("ordinal", F.lit(1)))).select("ref_id", "ordinal")
+
+
+_RANKED = "SELECT o_custkey AS ref_id, o_orderkey AS ordinal, CASE o_orderstatus WHEN 'F' THEN 'accept' WHEN 'O' THEN 'suggest' ELSE 'reject' END AS decision, o_totalprice AS total, o_orderpriority = '1-URGENT' AS preprint_like FROM {orders}"
+
+
+@query(
+    f"""SELECT ref_id, ordinal, CAST(row_number() OVER (PARTITION BY ref_id ORDER BY CASE decision WHEN 'accept' THEN 2 WHEN 'suggest' THEN 1 ELSE 0 END DESC, total DESC, CAST(preprint_like AS INT), ordinal) AS INT) AS rank
+FROM ({_duck(_RANKED)}) t"""
+)
+def rank_candidates(spark, sf_dir):
+    return decide.rank(_sql(spark, sf_dir, _RANKED)).select("ref_id", "ordinal", "rank")
+
+
+@query(f"SELECT work_id, CASE WHEN work_id % 2 = 0 THEN title ELSE 'Other' END AS title, CASE WHEN work_id % 3 = 0 THEN venue ELSE 'Second' END AS venue, CASE WHEN work_id % 5 = 0 THEN 1999 ELSE year END AS year, work_id % 7 = 0 AS is_preprint, concat(venue, '|', 'J ', kind) AS aliases FROM ({_duck(WORKS)}) w")
+def merge_records(spark, sf_dir):
+    works = works_table(spark, sf_dir)
+    a = works.withColumns({"title": F.expr("CASE WHEN work_id % 2 = 0 THEN title ELSE ' ' END"), "venue": F.expr("CASE WHEN work_id % 3 = 0 THEN venue END"), "year": F.expr("CASE WHEN work_id % 5 = 0 THEN 0 ELSE year END"), "venue_aliases": F.array("venue"), "is_preprint": F.lit(True)})
+    b = works.withColumns({"title": F.lit("Other"), "venue": F.lit("Second"), "year": F.lit(1999), "venue_aliases": F.expr("array(venue, concat('J ', kind))"), "is_preprint": F.expr("work_id % 7 = 0")})
+    fields = payloads.merged("a", "b")
+    joined = a.alias("a").join(b.alias("b"), F.col("a.work_id") == F.col("b.work_id"))
+    return joined.select(F.col("a.work_id").alias("work_id"), fields["title"].alias("title"), fields["venue"].alias("venue"), fields["year"].alias("year"), fields["is_preprint"].alias("is_preprint"), F.array_join(fields["venue_aliases"], "|").alias("aliases"))
+
+
+@query(f"SELECT target_doi, count(*) AS n, min(updated) AS first_update FROM ({_duck(NOTICES)}) t WHERE lower(update_type) IN ('retraction', 'withdrawal', 'removal', 'partial_retraction') GROUP BY target_doi")
+def retraction_join(spark, sf_dir):
+    found = decide.retractions(_sql(spark, sf_dir, NOTICES))
+    return found.select("target_doi", F.size("retraction_details").cast("long").alias("n"), F.array_min(F.transform("retraction_details", lambda d: d["updated"])).alias("first_update"))
+
+
+@query(
+    f"""SELECT work_id, CASE WHEN work_id % 3 <> 0 THEN coalesce(n, 0) > 0 ELSE false END AS retracted FROM ({_duck(WORKS)}) w
+LEFT JOIN (SELECT target_doi, count(*) AS n FROM ({_duck(NOTICES)}) t WHERE lower(update_type) IN ('retraction', 'withdrawal') GROUP BY target_doi) x ON x.target_doi = w.doi"""
+)
+def retraction_flag(spark, sf_dir):
+    results = _sql(spark, sf_dir, WORKS).select("work_id", F.col("doi").alias("matched_doi"), F.expr("CASE WHEN work_id % 3 = 0 THEN 'not_found' ELSE 'found' END").alias("status"))
+    return decide.with_retractions(results, _sql(spark, sf_dir, NOTICES)).select("work_id", "retracted")
+
+
+@query(f"SELECT work_id, CASE WHEN work_id % 4 <> 0 THEN concat('J ', kind, ' Stud') ELSE '' END AS aliases, work_id % 4 <> 0 AS aliases_resolved FROM ({_duck(WORKS)}) w")
+def alias_enrich(spark, sf_dir):
+    works = works_table(spark, sf_dir)
+    title = F.expr("lower(concat('Journal of ', kind, ' Studies'))")
+    aliases = works.select("kind").distinct().select(F.lit(None).cast("string").alias("issn"), title.alias("title_norm"), F.expr("array(concat('J ', kind, ' Stud'))").alias("aliases"))
+    found = retrieve.with_aliases(works.withColumn("gate", F.expr("work_id % 4 <> 0")), aliases)
+    return found.select("work_id", F.array_join("venue_aliases", "|").alias("aliases"), "aliases_resolved")
+
+
+@query(
+    f"""SELECT count(*) AS total, count(*) FILTER (status = 'found' AND NOT bad) AS ok, count(*) FILTER (bad) AS bad, count(*) FILTER (status = 'website') AS website
+FROM (SELECT *, status IN ('likely_wrong', 'not_found') OR retracted OR coalesce(note, '') = 'year_warning' OR verification_status = 'partial' AS bad FROM ({_duck(STATUSES)}) s) t"""
+)
+def status_counts(spark, sf_dir):
+    return report.counts(_sql(spark, sf_dir, STATUSES))
+
+
+_CLASS = """CASE WHEN status = 'website' THEN 'website' WHEN retracted THEN 'retracted' WHEN status = 'not_found' THEN CASE WHEN verification_status = 'partial' THEN 'partial' ELSE 'not_found' END
+WHEN coalesce(note, '') = 'year_warning' THEN 'year_warning' WHEN status = 'likely_wrong' THEN 'likely_wrong' WHEN verification_status = 'partial' THEN 'partial' ELSE 'ok' END"""
+
+
+@query(f"SELECT {_CLASS} AS kind, count(*) AS n FROM ({_duck(STATUSES)}) s GROUP BY 1")
+def class_counts(spark, sf_dir):
+    return _sql(spark, sf_dir, STATUSES).groupBy(report.browser_class().alias("kind")).agg(F.count(F.lit(1)).alias("n"))
+
+
+_SECTION = """CASE WHEN retracted THEN 'retracted' WHEN status = 'website' THEN 'website' WHEN verification_status = 'partial' AND found THEN 'partial' WHEN coalesce(note, '') = 'year_warning' AND found THEN 'year_warning'
+WHEN status = 'likely_wrong' THEN 'likely_wrong' WHEN status = 'found' THEN 'ok' ELSE 'not_found' END"""
+
+
+@query(f"SELECT ref_id, {_SECTION} AS section FROM ({_duck(STATUSES)}) s WHERE status IN ('likely_wrong', 'not_found') OR retracted OR coalesce(note, '') = 'year_warning' OR verification_status = 'partial'")
+def report_lines(spark, sf_dir):
+    rows = _sql(spark, sf_dir, STATUSES).filter(report.is_problem())
+    return rows.select("ref_id", report.section().alias("section"))
+
+
+_REQUEST = "SELECT c_custkey, CASE WHEN c_custkey % 5 = 0 THEN ' ' WHEN c_custkey % 5 = 1 THEN repeat('x', 2001) ELSE c_name END AS ref, CASE WHEN c_custkey % 7 = 0 THEN NULL WHEN c_custkey % 7 = 1 THEN 'no address' ELSE concat(c_name, '@example.org') END AS email FROM {customer}"
+
+
+@query(
+    f"""SELECT c_custkey, CASE WHEN c_custkey % 5 = 0 THEN 'reference text is required' WHEN c_custkey % 5 = 1 THEN 'reference text must be 2000 characters or fewer'
+WHEN c_custkey % 7 = 0 THEN 'email is required' WHEN c_custkey % 7 = 1 THEN 'email format is invalid' END AS error FROM ({_duck(_REQUEST)}) r"""
+)
+def validate_requests(spark, sf_dir):
+    return report.validate_requests(_sql(spark, sf_dir, _REQUEST)).select("c_custkey", "error")
+
+
+@query()
+def record_parse(spark, sf_dir):
+    return parse.parse(references_table(spark, sf_dir).select("ref_id", "input_text"))
+
+
+@query()
+def audit_references(spark, sf_dir):
+    return flagship(spark, sf_dir)
+
+
+@query()
+def report_markdown(spark, sf_dir):
+    results = audit(references_table(spark, sf_dir).select("ref_id", "input_text"), works_table(spark, sf_dir), _sql(spark, sf_dir, NOTICES), sequence=False)
+    return report.problem_report(results)
+
+
+@query()
+def json_payload(spark, sf_dir):
+    return report.as_json(audit(references_table(spark, sf_dir).select("ref_id", "input_text"), works_table(spark, sf_dir), sequence=False))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)

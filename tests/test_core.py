@@ -1,0 +1,198 @@
+"""Golden cases of parsing, scoring, deciding and reporting, and every query against its SQL."""
+
+import json
+import os
+
+import duckdb
+import pytest
+from pyspark.sql import functions as F
+
+from biblens.functions import similarity as S
+from biblens.functions import text as X
+from biblens.operators import decide, parse, report, retrieve, score
+from biblens.plans import queries as Q
+from biblens.plans.audit import audit
+from biblens.sources import payloads
+from biblens.sources import text as T
+
+SF = "/root/testdata/sf0.001"
+
+
+def one(spark, expr, value):
+    return spark.createDataFrame([(value,)], "x string").select(expr(F.col("x")).alias("y")).first()["y"]
+
+
+def test_split(spark):
+    rows = T.split_references(T.from_text(spark, "[1] First\nReferences\n\n2. Second\r\n3)\n"))
+    assert [r["input_text"] for r in rows.orderBy("line_no").collect()] == ["First", "Second", ""]
+
+
+@pytest.mark.parametrize(
+    ("text", "doi"), [("see 10.1000/abc.1).", "10.1000/abc.1"), ("none here", None), (None, None), ('"10.1000/x" more', "10.1000/x")]
+)
+def test_doi(spark, text, doi):
+    assert one(spark, parse.doi, text) == doi
+
+
+@pytest.mark.parametrize(
+    ("text", "found"),
+    [
+        ("arXiv:2307.06464. 2023.", "2307.06464"), ("arXiv:2307.06464v1.", "2307.06464v1"), ("https://arxiv.org/abs/2510.06708v1", "2510.06708v1"),
+        ("arXiv:hep-th/9901001", "hep-th/9901001"), ("arXiv:math.AG/0601001v1", "math.AG/0601001v1"), ("x arXiv 2510.06708.", "2510.06708"), ("J Anesth 2307.06464", None),
+    ],
+)
+def test_arxiv_id(spark, text, found):
+    assert one(spark, parse.arxiv_id, text) == found
+
+
+def test_year_is_the_last_one(spark):
+    assert one(spark, parse.year, "A. Title. 2017. 10.1136/bmjopen-2016-012545") == 2016
+    assert one(spark, parse.year, "no 12019 year") is None
+
+
+def test_website(spark):
+    assert one(spark, parse.is_website, "Covidence systematic review software, Melbourne")
+    assert one(spark, parse.is_website, "Rayyan. https://rayyan.ai")
+    assert not one(spark, parse.is_website, "Smith A. A trial of early caffeine therapy in preterm infants. BMJ Open 2020; 1(2): 3.")
+
+
+def test_record(spark):
+    line = "Barteit S, Kyaw BM. Augmented reality training of head mounted displays. JMIR Serious Games 2021; 9(3): e29080."
+    r = parse.parse(spark.createDataFrame([(1, line)], "ref_id long, input_text string")).first()
+    assert (r["year"], r["volume"], r["issue"], r["page"], r["article_number"], r["venue"]) == (2021, "9", "3", "e29080", "e29080", "JMIR Serious Games")
+    assert r["authors"] == ["barteit", "kyaw"]
+    assert parse.parse(spark.createDataFrame([(1, None)], "ref_id long, input_text string")).first()["doi"] is None
+
+
+def test_bibtex(spark):
+    text = "@comment{x}\n@ARTICLE{k, author = {Imai, E and Yuki Kataoka}, title = {{A} {Great} Title}, year = 2025, journal=\"J, A\", doi={10.1/x}}\n@misc{e, title={T}, eprint={2307.06464}, archiveprefix={arXiv}"
+    rows = [r["input_text"] for r in T.load_references(T.from_text(spark, text)).orderBy("line_no").collect()]
+    assert rows[0] == "Imai, Kataoka. 2025. A Great Title. J, A. DOI: 10.1/x"
+    assert "arXiv:2307.06464" in rows[1]
+    assert not one(spark, T.is_bibtex, None) and one(spark, T.is_bibtex, "@BOOK{key, title={T}}")
+
+
+def test_normalize(spark):
+    assert one(spark, X.normalize_text, "  Ｈéllo,  World_1! ") == "héllo world_1"
+    assert one(spark, X.normalize_venue, "Radiology [Internet]") == "radiology"
+    assert one(spark, X.normalize_author, "松村千佳子") == "松村"
+    assert one(spark, X.normalize_author, "O'Brien, J") == "obrien"
+    assert one(spark, X.normalize_arxiv, r"The $x^2$ \emph{case}, again") == "the case again"
+    assert one(spark, X.normalize_number, "361-76") == "36176"
+
+
+def test_abbreviation(spark):
+    df = spark.createDataFrame([("j anesth", "journal of anesthesia"), ("anesth j", "journal of anesthesia"), ("", "x")], "a string, b string")
+    assert [r[0] for r in df.select(S.looks_like_abbreviation(F.col("a"), F.col("b"))).collect()] == [True, False, False]
+    assert S._venue(["j anesth"], ["journal of anesthesia"]) == (0.95, "abbrev")
+    assert S._venue(["digit health"], ["digital health", "digit health"])[0] == 1.0
+    assert S.ratio("tide", "diet") == 0.25 and S.ratio("diet", "tide") == 0.5
+
+
+def pair(spark, mine, theirs):
+    base = dict(title=None, authors=[], year=None, venue=None, volume=None, issue=None, page=None, article_number=None)
+    kind = "title string, authors array<string>, year int, venue string, volume string, issue string, page string, article_number string"
+    more = ", venue_aliases array<string>, doi string, source string, source_id string, is_preprint boolean, aliases_resolved boolean"
+    extra = dict(venue_aliases=[], doi=None, source="crossref", source_id=None, is_preprint=False, aliases_resolved=False)
+    return spark.createDataFrame([(1, base | mine, base | extra | theirs)], f"ref_id long, r struct<{kind.replace(' ', ':').replace(',:', ',')}>, c struct<{(kind + more).replace(' ', ':').replace(',:', ',')}>")
+
+
+WHOLE = dict(title="A long title of a good study", authors=["imai", "kataoka"], year=2024, venue="J Anesth", volume="38", issue="2", page="1-9")
+
+
+def test_scores(spark):
+    exact = score.score(pair(spark, WHOLE, WHOLE)).first()
+    assert exact["total"] == 1.0 and exact["decision"] == "accept"
+    near = score.score(pair(spark, WHOLE | dict(volume=None, issue=None, page=None), WHOLE | dict(year=2025, venue="Journal of Anesthesia"))).first()
+    assert near["total"] == 0.765 and near["decision"] == "accept"
+    states = {d["field"]: d["state"] for d in near["field_diffs"]}
+    assert states == {"title": "ok", "authors": "ok", "year": "near", "venue": "ok", "pages": "missing_input"}
+    wrong = score.score(pair(spark, WHOLE | dict(title="Something else entirely here"), WHOLE)).first()
+    assert wrong["decision"] == "suggest" and wrong["note"] == "candidate_mismatch"
+    other = score.score(pair(spark, WHOLE, WHOLE | dict(venue="Radiology"))).first()
+    assert {d["field"]: d["state"] for d in other["field_diffs"]}["venue"] == "unverified"
+    nothing = score.score(pair(spark, {}, {})).first()
+    assert nothing["total"] == 0.0 and nothing["decision"] == "reject"
+
+
+def test_audit_end_to_end(spark):
+    works = Q.works_table(spark, SF)
+    lines = [
+        (1, "Abaason A, Mcaaer B. Notes on nothing at all here. J. 2001; 1(1): 2. DOI: 10.5555/p0."),
+        (2, "X Y. Some unknown words altogether zzz. 2001. DOI: 10.9999/none"),
+        (3, "Tool https://example.org"),
+        (4, ""),
+        (5, None),
+    ]
+    got = {r["ref_id"]: r for r in audit(spark.createDataFrame(lines, "ref_id long, input_text string"), works, Q._sql(spark, SF, Q.NOTICES)).collect()}
+    assert {k: r["status"] for k, r in got.items()} == {1: "likely_wrong", 2: "not_found", 3: "website", 4: "not_found", 5: "not_found"}
+    assert got[2]["note"] == "doi_not_resolved" and got[1]["matched_doi"] == "10.5555/p0" and got[1]["retraction_checked"]
+
+
+def test_audit_finds_and_does_not_depend_on_order(spark):
+    refs = Q.references_table(spark, SF).filter("ref_id % 3 = 0").select("ref_id", "input_text")
+    a = {r["ref_id"]: (r["status"], r["note"]) for r in audit(refs, Q.works_table(spark, SF)).collect()}
+    b = {r["ref_id"]: (r["status"], r["note"]) for r in audit(refs.orderBy(F.desc("ref_id")), Q.works_table(spark, SF)).collect()}
+    assert a == b and sum(s == "found" for s, _ in a.values()) > 300
+
+
+def test_json_payloads(spark):
+    work = {"DOI": "10.1/A", "title": ["T"], "author": [{"family": "Smith"}, {"name": "Group X"}], "issued": {"date-parts": [[None]]}, "published-online": {"date-parts": [[2020, 1]]}, "container-title": ["J"], "page": "e1"}
+    rows = spark.createDataFrame([(1, json.dumps(work)), (2, "not json")], "k long, json string")
+    got = {r["k"]: r for r in payloads.work_records(payloads.works_json(rows), ["k"]).collect()}
+    assert got[1]["doi"] == "10.1/a" and got[1]["year"] is None and got[1]["article_number"] == "e1" and got[2]["doi"] is None
+
+
+def test_arxiv_entry(spark):
+    xml = '<feed xmlns="http://www.w3.org/2005/Atom" xmlns:arxiv="http://arxiv.org/schemas/atom"><entry><id>http://arxiv.org/abs/2307.06464v1</id><title>A  T</title><author><name>Ann Bee</name></author><published>2023-07-12T00:00:00Z</published><arxiv:doi>10.1/X</arxiv:doi></entry></feed>'
+    rows = payloads.arxiv_entries(spark.createDataFrame([(xml,), ("<feed><entry><title>Error</title></entry></feed>",)], "xml string"))
+    r = payloads.arxiv_records(rows).collect()
+    assert len(r) == 1 and (r[0]["title"], r[0]["year"], r[0]["doi"], r[0]["is_preprint"]) == ("A T", 2023, "10.1/x", True)
+
+
+def test_report(spark):
+    rows = spark.createDataFrame([(1, "a", "likely_wrong", False, None, True, "complete"), (2, "b", "found", True, "year_warning", False, "complete")], "ref_id long, input_text string, status string, found boolean, note string, retracted boolean, verification_status string")
+    assert [r["s"] for r in rows.select(report.section().alias("s")).collect()] == ["retracted", "year_warning"]
+    bad = spark.createDataFrame([("x", "nope")], "ref string, email string")
+    assert report.validate_requests(bad).first()["error"] == "email format is invalid"
+
+
+def test_block_ties(spark):
+    works = spark.createDataFrame([(2, "rare words"), (1, "rare words"), (3, None)], "work_id long, title string")
+    refs = spark.createDataFrame([(9, "Rare, words!")], "ref_id long, title string")
+    assert [r["work_id"] for r in retrieve.block(refs, works, 1).collect()] == [1]
+
+
+def test_stream(spark, tmp_path):
+    from biblens.streaming.audit import audit_stream
+
+    spark.createDataFrame([(1, "Tool https://example.org")], "ref_id long, input_text string").write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("ref_id long, input_text string").parquet(str(tmp_path / "in"))
+    got = []
+    q = audit_stream(stream, Q.works_table(spark, SF), lambda df, n: got.extend(df.collect())).option("checkpointLocation", str(tmp_path / "ck")).start()
+    q.processAllAvailable()
+    q.stop()
+    assert [r["status"] for r in got] == ["website"]
+
+
+def test_retractions_are_counted_once(spark):
+    rows = [("n1", "10.1/a", "Retraction", "p", "l", "2020"), ("n1", "10.1/A", "Retraction", "p", "l", "2020"), ("n2", "10.1/a", "correction", "p", "l", "2020")]
+    found = decide.retractions(spark.createDataFrame(rows, "notice_doi string, target_doi string, update_type string, source string, label string, updated string")).collect()
+    assert len(found) == 1 and len(found[0]["retraction_details"]) == 1
+
+
+@pytest.fixture(scope="module")
+def duck():
+    con = duckdb.connect()
+    for f in os.listdir(SF):
+        con.execute(f"create view {f[:-8]} as select * from '{SF}/{f}'")
+    return con
+
+
+@pytest.mark.parametrize("name", sorted(Q.oracle_sql()))
+def test_query_matches_sql(spark, duck, name):
+    a, b = Q.queries()[name](spark, SF).toPandas(), duck.execute(Q.oracle_sql()[name]).df()
+    columns = sorted(a.columns)
+    assert columns == sorted(b.columns)
+    text = lambda d: sorted(map(str, d[columns].astype(object).where(d[columns].notna(), None).values.tolist()))
+    assert text(a) == text(b)
