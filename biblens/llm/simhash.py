@@ -77,14 +77,15 @@ def compare_edited(docs: DataFrame) -> DataFrame:
     document's, in descending order of ids; after the last comes the first.
     """
     rows = with_uid(pick(docs, doc_id="doc_id", text="text")).select("uid", "doc_id", text_or_empty().alias("text"))
-    sized = rows.select("uid", F.length("text").cast("long").alias("n"), "text")
-    table, _ = write_table(with_next(fingerprints(sized, "text", ["uid", "n"], "fp")), "fingerprints")
+    sized = rows.select("uid", "doc_id", F.length("text").cast("long").alias("n"), "text")
+    table, _ = write_table(with_next(fingerprints(sized, "text", ["uid", "doc_id", "n"], "fp")), "fingerprints")
+    texts = rows.select("uid", "text")  # the same columns in both joins below, which so share one exchange
     # each text goes once, cut to what is asked of it, to the document before it
     ask = table.select(F.col("next_uid").alias("uid"), F.col("uid").alias("to"), F.expr("cast(n div 2 as int)").alias("m"))
-    sent = rows.join(ask, "uid").select(F.col("to").alias("uid"), F.substring("text", F.lit(1), F.col("m")).alias("tail"))
-    known = table.select("uid", "n", "fp", "next_fp")
+    sent = texts.join(ask, "uid").select(F.col("to").alias("uid"), F.substring("text", F.lit(1), F.col("m")).alias("tail"))
+    known = table.select("uid", "doc_id", "n", "fp", "next_fp")
     edited = F.concat(F.substring("text", F.lit(1), F.expr("cast(n - n div 2 as int)")), "tail")
-    both = rows.join(known, "uid").join(sent, "uid").withColumn("edited", edited)
+    both = texts.join(known, "uid").join(sent, "uid").withColumn("edited", edited)
     keys = ["uid", "doc_id", "n", "fp", "next_fp", "sha"]
     out = fingerprints(both.withColumn("sha", F.sha2(F.col("edited").cast("binary"), 256)), "edited", keys, "efp")
     return out.select(
