@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from biblens.llm.common import pick
 
 K = 20
-LEAF = 64
+LEAF = 512
 FACTOR = 0.85
 #: Vectors in a shard and queries in a block: what one task holds.
 SHARD, QUERIES = 8192, 4096
