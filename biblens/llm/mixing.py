@@ -150,7 +150,8 @@ def plan(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, block: int = BLO
 def taken_pieces(slots: DataFrame, pieces: DataFrame) -> DataFrame:
     """pieces with ``times``, how often the mix takes their block; blocks that are not drawn are absent."""
     times = slots.groupBy("source_no", "block").agg(F.count(F.lit(1)).alias("times"))
-    return pieces.join(times, ["source_no", "block"])
+    # the planner takes the slots for as small as the table they are dealt from: keep it from broadcasting them
+    return pieces.join(times.hint("merge"), ["source_no", "block"])
 
 
 def mix_counts(docs: DataFrame, **options) -> DataFrame:
@@ -160,7 +161,7 @@ def mix_counts(docs: DataFrame, **options) -> DataFrame:
     known = F.broadcast(sources.select("source_no", "source_size", "target"))
     return (
         documents.join(known, "source_no")
-        .join(taken, "uid", "left")
+        .join(taken.hint("merge"), "uid", "left")
         .select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
     )
 
@@ -176,7 +177,7 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     rows = with_uid(docs)
     _, _, slots, pieces = plan(rows, **options)
     taken = taken_pieces(slots, pieces).groupBy("uid").agg(F.collect_list(F.struct("start", "words", "times")).alias("_taken"))
-    joined = rows.join(taken, "uid").drop("uid")
+    joined = rows.join(taken.hint("merge"), "uid").drop("uid")
     names = joined.columns
     text_at, taken_at = names.index("text"), names.index("_taken")
     kept = [c for c in names if c != "_taken"]
