@@ -16,6 +16,8 @@ from biblens.runtime import partitions, write_table
 CHUNK = 1 << 20
 #: Documents in a chunk: their number within it takes 16 bits of a sort key.
 CHUNK_DOCS = 60_000
+#: Keys that are broadcast by ``join_hot`` are fewer.
+HOT_KEYS = 1000
 
 M64 = (1 << 64) - 1
 
@@ -75,6 +77,19 @@ def prefix_sums(df: DataFrame, group: list[str], order: list[str], value: str, o
     return joined.select(*[F.col(f"a.{c}") for c in df.columns], (F.col("a._run") + F.col("b._base")).alias(out))
 
 
+def join_hot(rows: DataFrame, table: DataFrame, keys: list[str], count: str) -> DataFrame:
+    """Inner join of rows with a written table of one row for each key, in which ``count`` is its number of rows.
+
+    Keys with more than 1 / HOT_KEYS of the counted rows are fewer than HOT_KEYS, whatever the data:
+    they are broadcast, and their rows stay where they are. Only the rows of other keys are shuffled.
+    """
+    total = table.agg(F.sum(count).alias("n")).first()["n"] or 0
+    hot = F.col(count) * HOT_KEYS > total
+    few, rest = F.broadcast(table.filter(hot)), table.filter(~hot)
+    cold = rows.join(F.broadcast(table.filter(hot).select(*keys)), keys, "left_anti").join(rest, keys)
+    return rows.join(few, keys).unionByName(cold)
+
+
 def as_bytes(col: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """A string column's UTF-8 bytes and the offsets of its rows; null counts as empty."""
     if isinstance(col, pa.ChunkedArray):
