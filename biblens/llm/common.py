@@ -90,6 +90,17 @@ def join_hot(rows: DataFrame, table: DataFrame, keys: list[str], count: str) ->
     return rows.join(few, keys).unionByName(cold)
 
 
+def by_bytes(batches: Iterator[pa.RecordBatch], column: int, most: int = 4 * CHUNK) -> Iterator[pa.RecordBatch]:
+    """Batches cut, without copies, into slices: less than ``most`` bytes of a text column beside their first row."""
+    for b in batches:
+        total = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(b.column(column)), 0), np.int64))
+        cut = np.flatnonzero(np.diff(total // most)) + 1
+        ends = [*cut.tolist(), b.num_rows]
+        for i, j in zip([0, *ends], ends):
+            if j > i:
+                yield b.slice(i, j - i)
+
+
 def as_bytes(col: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """A string column's UTF-8 bytes and the offsets of its rows; null counts as empty."""
     if isinstance(col, pa.ChunkedArray):
