@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from biblens.llm import ann, bpe, html_extract, line_dedup, minhash, mixing, quality, secret_scan, simhash, suffix_dedup
+from biblens.llm import ann, bpe, common, html_extract, line_dedup, minhash, mixing, quality, secret_scan, simhash, suffix_dedup
 from biblens.llm.queries import vocabulary_path
 
 WORDS = "alpha beta gamma delta omega sigma kappa zeta theta iota lambda nu xi pi rho tau phi chi psi eta".split()
@@ -266,3 +266,37 @@ def test_chunks_of_large_buckets(spark, monkeypatch):
     got = minhash.near_duplicates(spark.createDataFrame(list(enumerate(some)), "doc_id long, text string")).collect()
     assert {r["class_id"] for r in got} == {0}
     assert pa is not None
+
+
+def test_classes_of_large_buckets(spark, monkeypatch):
+    """Variants around a text, some near it and some only near each other, against all pairs."""
+    monkeypatch.setattr(minhash, "CHUNK_ROWS", 6)
+    r, words = random.Random(5), prose(8, 200).split()
+
+    def changed(base: list[str], n: int, tag: str) -> list[str]:
+        at = set(r.sample(range(200), n))
+        return [w + tag if i in at else w for i, w in enumerate(base)]
+
+    some = [changed(words, 1 + i % 5, f"v{i}") for i in range(40)]
+    for i in range(8):
+        far = changed(words, 9, f"f{i}")
+        some += [far, changed(far, 1, f"g{i}")]
+    some = [" ".join(x) for x in some]
+    table = spark.createDataFrame(list(enumerate(some)), "doc_id long, text string")
+    weights = minhash.frequent_shingles(table)
+    sets = [minhash.weighted_set(t, weights) for t in some]
+    root = list(range(len(some)))
+    for a, b in itertools.combinations(range(len(some)), 2):
+        if minhash.weighted_jaccard(sets[a], sets[b]) >= minhash.SIMILARITY and root[a] != root[b]:
+            low, high = sorted((root[a], root[b]))
+            root = [low if x == high else x for x in root]
+    assert 1 < len(set(root)) < len(some)
+    assert {x["doc_id"]: x["class_id"] for x in minhash.near_duplicates(table).collect()} == dict(enumerate(root))
+
+
+def test_batches_by_bytes():
+    texts = ["a" * 30, None, "", "b" * 200, "c", "d" * 10, "e" * 99]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(7)), pa.array(texts)], names=["i", "t"])
+    got = list(common.by_bytes(iter([batch, batch.slice(0, 0)]), 1, 100))
+    assert [t for b in got for t in b.column(1).to_pylist()] == texts and len(got) > 2
+    assert all(sum(len(t or "") for t in b.column(1).to_pylist()[1:]) < 100 for b in got)
