@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from biblens.functions import similarity as S
 from biblens.functions import text as X
-from biblens.operators import decide, parse, report, retrieve, score
+from biblens.operators import collect, decide, parse, report, retrieve, score
 from biblens.plans.audit import audit
 from biblens.runtime import ship
 from biblens.sources import payloads
@@ -393,6 +393,28 @@ def validate_requests(spark, sf_dir):
     return report.validate_requests(_sql(spark, sf_dir, _REQUEST)).select("c_custkey", "error")
 
 
+_CITED = f"SELECT ref_id, concat(input_text, CASE WHEN ref_id % 2 = 0 THEN ' Early trial: a TRIAL of 12(3):45-67 in BMC  Medicine 4:5.' ELSE ' lancet & Review' END) AS input_text FROM ({LINES}) l"
+
+
+def _sql_plain(c: str) -> str:
+    return f"trim(regexp_replace(regexp_replace({c}, '[&;,.()\\[\\]]', ' ', 'g'), '\\s+', ' ', 'g'))"
+
+
+_SIMPLE = "regexp_replace(regexp_replace(regexp_replace(input_text, '\\b10\\.\\d{{4,9}}/\\S+', '', 'g'), '\\b\\d+\\(\\d+\\):\\d+-\\d+', '', 'g'), '\\b\\d+:\\d+', '', 'g')".replace("{{", "{").replace("}}", "}")
+_JOURNAL = "coalesce(" + ", ".join(f"nullif(regexp_extract(input_text, '(?i)\\b{j}'), '')" for j in collect.JOURNALS) + ")"
+
+
+@query(
+    f"""WITH q AS ({_duck(_CITED)}),
+w AS (SELECT *, regexp_extract_all(substr(input_text, strpos(input_text, '.') + 1), '(?i)\\b({"|".join(collect.TITLE_WORDS)})\\b') AS ws FROM q),
+d AS (SELECT *, list_filter(ws, lambda x, i: list_position(list_transform(ws, lambda y: lower(y)), lower(x)) = i)[1:8] AS kept FROM w)
+SELECT ref_id, {_sql_plain("input_text")} AS cleaned, {_sql_plain(_SIMPLE)} AS simplified,
+array_to_string(list_filter(list_concat([nullif(regexp_extract(input_text, '\\b(?:19|20)\\d{{2}}\\b'), '')], regexp_extract_all(split_part(input_text, '.', 1), '\\b[A-Z][a-z]+\\b')[1:3], [{_JOURNAL}], kept), lambda x: x IS NOT NULL), ' ') AS key_terms FROM d"""
+)
+def search_stages(spark, sf_dir):
+    return collect.search_stages(_sql(spark, sf_dir, _CITED)).select("ref_id", "cleaned", "simplified", "key_terms")
+
+
 @query()
 def record_parse(spark, sf_dir):
     return parse.parse(references_table(spark, sf_dir).select("ref_id", "input_text"))

@@ -9,11 +9,12 @@ from pyspark.sql import functions as F
 
 from biblens.functions import similarity as S
 from biblens.functions import text as X
-from biblens.operators import decide, parse, report, retrieve, score
+from biblens.operators import collect, decide, parse, report, retrieve, score
 from biblens.plans import queries as Q
 from biblens.plans.audit import audit
 from biblens.sources import payloads
 from biblens.sources import text as T
+from biblens.sources.payloads import RECORD_COLUMNS
 
 SF = "/root/testdata/sf0.001"
 
@@ -196,3 +197,45 @@ def test_query_matches_sql(spark, duck, name):
     assert columns == sorted(b.columns)
     text = lambda d: sorted(map(str, d[columns].astype(object).where(d[columns].notna(), None).values.tolist()))
     assert text(a) == text(b)
+
+
+def test_key_terms(spark):
+    text = "Smith J, Doe A, Roe B, Poe C. Early caffeine, EARLY use. Lancet 2013;12(3):45-67. doi 10.1000/x.y"
+    got = collect.search_stages(spark.createDataFrame([(1, text), (2, None), (3, "plain words")], "ref_id long, input_text string")).collect()
+    assert got[0]["key_terms"] == "2013 Smith Doe Roe Lancet Early caffeine use"
+    assert got[0]["simplified"] == "Smith J Doe A Roe B Poe C Early caffeine EARLY use Lancet 2013 doi"
+    assert [r["key_terms"] for r in got[1:]] == ["", ""] and got[1]["cleaned"] == ""
+
+
+def _works(spark, *rows):
+    """Records from dictionaries."""
+    types = {"year": "int", "is_preprint": "boolean", "aliases_resolved": "boolean"} | dict.fromkeys(("authors", "venue_aliases", "issns"), "array<string>")
+    schema = ", ".join(f"{c} {types.get(c, 'string')}" for c in RECORD_COLUMNS)
+    blank = dict.fromkeys(("authors", "venue_aliases", "issns"), []) | {"is_preprint": False, "aliases_resolved": False}
+    return spark.createDataFrame([tuple((blank | r).get(c) for c in RECORD_COLUMNS) for r in rows], schema)
+
+
+def test_staged_candidates(spark):
+    works = spark.createDataFrame([(i, t) for i, t in enumerate(["caffeine therapy early", "renal outcomes", "another thing"])], "work_id long, title string")
+    refs = spark.createDataFrame([(1, "renal outcomes"), (2, "nothing here")], "ref_id long, input_text string")
+    got = collect.staged_candidates(refs, works).collect()
+    assert [(r["ref_id"], r["work_id"], r["stage"]) for r in got] == [(1, 1, "raw")]
+
+
+def test_candidates_by_way_of_other_sources(spark):
+    works = _works(spark, {"title": "Published", "doi": "10.1/A", "volume": "7", "source": "crossref"})
+    entries = _works(spark, {"title": "Pre", "doi": "10.1/a", "source_id": "2001.00001v2", "is_preprint": True}, {"title": "Alone", "source_id": "2001.00002"})
+    refs = spark.createDataFrame([(1, "2001.00001"), (2, "2001.00002v9"), (3, None), (4, "2001.9")], "ref_id long, arxiv_id string")
+    got = collect.arxiv_candidates(refs, entries, works).orderBy("ref_id", "ordinal").collect()
+    assert [(r["ref_id"], r["c"]["title"], r["method"]) for r in got] == [(1, "Published", "doi-crossref"), (1, "Pre", "arxiv-id"), (2, "Alone", "arxiv-id")]
+
+    titles = spark.createDataFrame([(1, "\u6f22\u5b57\u306e\u984c"), (2, "latin")], "ref_id long, title string")
+    hits = spark.createDataFrame([(1, "a", "10.1/a", 1), (1, "b", "10.1/b", 2), (1, "c", None, 3), (2, "d", "10.1/a", 1)], "ref_id long, title string, doi string, rank int")
+    got = collect.japanese_candidates(titles, hits, works).orderBy("ordinal").collect()
+    assert [(r["c"]["title"], r["c"]["source"], r["method"]) for r in got] == [("Published", "jalc", "jalc-title+doi-crossref"), ("b", "jalc-search", "jalc-title")]
+
+    found = _works(spark, {"title": "Mine", "doi": "10.1/a", "source": "pubmed"}).select(F.struct("*").alias("c"))
+    pairs = found.select(F.lit(1).alias("ref_id"), "c", F.lit("pubmed-full").alias("method")).unionByName(found.select(F.lit(2).alias("ref_id"), "c", F.lit("bibliographic").alias("method")))
+    got = {r["ref_id"]: r for r in collect.enriched(pairs, works).collect()}
+    assert (got[1]["c"]["title"], got[1]["c"]["volume"], got[1]["c"]["source"], got[1]["method"]) == ("Mine", "7", "pubmed-doi", "pubmed-full+doi-crossref")
+    assert (got[2]["c"]["volume"], got[2]["method"]) == (None, "bibliographic")
