@@ -294,6 +294,29 @@ def test_classes_of_large_buckets(spark, monkeypatch):
     assert {x["doc_id"]: x["class_id"] for x in minhash.near_duplicates(table).collect()} == dict(enumerate(root))
 
 
+def test_links_inside_a_family_below_the_threshold(spark):
+    """Variants of a form text at about 0.75 to each other, some pairs of them at 0.816."""
+    r, words = random.Random(7), [f"{a}{b}" for a in WORDS for b in WORDS]
+    some = []
+    for i in range(80):
+        at = r.sample(range(6, 394, 6), 10)
+        for twin in range(2 if i < 30 else 1):
+            mine = {**dict.fromkeys(at[:2], f"v{i}"), **{k: f"v{i}x{twin}" for k in (at[6:] if twin else at[2:6])}}
+            some.append(" ".join(mine.get(k, w) for k, w in enumerate(words)))
+    n = len(some)
+    table = spark.createDataFrame([*enumerate(some), *((n + i, prose(1000 + i, 8)) for i in range(10 * n))], "doc_id long, text string")
+    weights = minhash.frequent_shingles(table)
+    sets = [minhash.weighted_set(t, weights) for t in some]
+    root = list(range(n))
+    for a, b in itertools.combinations(range(n), 2):
+        if minhash.weighted_jaccard(sets[a], sets[b]) >= minhash.SIMILARITY and root[a] != root[b]:
+            low, high = sorted((root[a], root[b]))
+            root = [low if v == high else v for v in root]
+    assert 30 < len(set(root)) < n
+    got = {v["doc_id"]: v["class_id"] for v in minhash.near_duplicates(table).collect()}
+    assert [got[i] for i in range(n)] == root
+
+
 def test_batches_by_bytes():
     texts = ["a" * 30, None, "", "b" * 200, "c", "d" * 10, "e" * 99]
     batch = pa.RecordBatch.from_arrays([pa.array(range(7)), pa.array(texts)], names=["i", "t"])
