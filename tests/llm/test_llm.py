@@ -317,6 +317,26 @@ def test_links_inside_a_family_below_the_threshold(spark):
     assert [got[i] for i in range(n)] == root
 
 
+def test_links_across_chunks_of_a_large_bucket(spark, monkeypatch):
+    """Texts apart from a large group but near each other meet in whichever chunks they are."""
+    monkeypatch.setattr(minhash, "CHUNK_ROWS", 4)
+    monkeypatch.setattr(minhash, "TURNS", 1)
+    n, least = 40, minhash.SIMILARITY - minhash.MARGIN
+    r = np.random.default_rng(2)
+    group = r.integers(0, 9, minhash.SAMPLES, dtype=np.uint16)
+    sigs = [r.integers(0, 1 << 16, minhash.SAMPLES, dtype=np.uint16) for _ in range(n)]
+    for i in range(30):
+        sigs[i] = group
+    for i in range(30, n, 2):
+        sigs[i + 1] = sigs[i]
+    rows = [(i, [5] * minhash.BANDS, sigs[i].tobytes()) for i in range(n)]
+    texts = spark.createDataFrame(rows, "uid long, bands array<long>, sig binary")
+    _, members = minhash.candidate_pairs(texts, minhash.SIMILARITY)
+    roots = spark.createDataFrame([(i, 0) for i in range(30)], "uid long, root long")
+    got = {(p["a"], p["b"]) for p in minhash._apart_pairs(members, texts, roots, least, 3).collect()}
+    assert got == {(i, i + 1) for i in range(30, n, 2)}
+
+
 def test_batches_by_bytes():
     texts = ["a" * 30, None, "", "b" * 200, "c", "d" * 10, "e" * 99]
     batch = pa.RecordBatch.from_arrays([pa.array(range(7)), pa.array(texts)], names=["i", "t"])
