@@ -1,11 +1,12 @@
 """Nearest neighbours by inner product, with vantage-point trees.
 
 Largest inner product is nearest distance once every vector x gets one more component,
-sqrt(M^2 - |x|^2) with M the largest norm, and queries get zero there. Rows are dealt to shards by a
+sqrt(M^2 - |x|^2) with M the largest norm of the shard, and queries get zero there. Rows are dealt to shards by a
 hash of their id; each shard builds a vantage-point tree over its different vectors (copies are one
 entry with their ids) and answers blocks of queries. A subtree is left out when the triangle
-inequality shows that it lies beyond the query's k-th distance times ``factor``: factor one is exact,
-smaller factors leave out more. Scores are inner products of the given vectors in double precision.
+inequality shows that it lies beyond the query's k-th distance times ``factor``: factor one, the
+default, is exact; smaller factors leave out true neighbours once norms differ, as all lifted distances are
+then near M. Scores are inner products of the given vectors in double precision.
 
 Vectors that are null, zero, or hold null or non-finite components take no part, nor do rows without
 id. Vectors of another length than a query's are no candidates of it. Rows that share an id are
@@ -26,7 +27,9 @@ from biblens.llm.common import pick
 
 K = 20
 LEAF = 512
-FACTOR = 0.85
+FACTOR = 1.0
+#: Rounding of squared distances, as a share of the largest, that the bounds allow for.
+SLACK = 1e-12
 #: Vectors in a shard and queries in a block: what one task holds.
 SHARD, QUERIES = 8192, 4096
 
@@ -58,6 +61,7 @@ class Tree:
         rows = np.full((n, k), -1, np.int64)
         square = (self.points**2).sum(1)
         q_square = (queries**2).sum(1)
+        slack = SLACK * (float(square.max(initial=0)) + float(q_square.max(initial=0)))
 
         def visit(node, at: np.ndarray) -> None:
             if not len(at):
@@ -79,7 +83,7 @@ class Tree:
             inside = d <= (in_hi + out_lo) / 2
             for first in (True, False):
                 for side, low, mine in ((inner, low_in, inside == first), (outer, low_out, inside != first)):
-                    reach = np.sqrt(best[at[mine]].max(1)) * factor
+                    reach = np.sqrt(best[at[mine]].max(1) + slack) * factor + math.sqrt(slack)
                     visit(side, at[mine][low[mine] <= reach])
 
         if len(self.points):
@@ -92,14 +96,15 @@ def _vectors(col: pa.Array) -> np.ndarray:
     return np.asarray(flat.flatten(), np.float64).reshape(len(flat), -1)
 
 
-def _answer(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.ndarray, norm: float, k: int, factor: float):
+def _answer(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.ndarray, k: int, factor: float):
     """(query, id, score) of the k nearest rows in one shard, for each query."""
     order = np.lexsort((ids, *x.T[::-1]))
     x, ids = x[order], ids[order]
     new = np.concatenate([[True], (x[1:] != x[:-1]).any(1)])
     first = np.append(np.flatnonzero(new), len(x))
     different = x[first[:-1]]
-    extra = np.sqrt(np.maximum(norm * norm - (different**2).sum(1), 0))
+    square = (different**2).sum(1)
+    extra = np.sqrt(np.maximum(square.max(initial=0) - square, 0))
     tree = Tree(np.concatenate([different, extra[:, None]], 1))
     # one more than asked for: the query's own vector may be among them; a few more for ties in rounding
     m = min(k + 9, len(different))
@@ -125,9 +130,8 @@ def search(vectors: DataFrame, every: int = 20, k: int = K, factor: float = FACT
     rows = pick(vectors, vec_id="vec_id", embedding="embedding").withColumn("embedding", F.col("embedding").cast("array<double>"))
     good = "embedding is not null and vec_id is not null and not exists(embedding, v -> v is null or isnan(v) or abs(v) = double('infinity'))"
     rows = rows.filter(good).filter("exists(embedding, v -> v <> 0)").withColumn("vec_id", F.col("vec_id").cast("long"))
-    norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, v: a + v * v))
-    stats = rows.agg(F.count(F.lit(1)).alias("n"), F.max(norm).alias("m"), F.count_if(F.expr(f"vec_id % {every} = 0")).alias("q")).first()
-    n, top, asked = int(stats["n"]), float(stats["m"] or 0.0), int(stats["q"])
+    stats = rows.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.expr(f"vec_id % {every} = 0")).alias("q")).first()
+    n, asked = int(stats["n"]), int(stats["q"])
     shards, blocks = max(1, math.ceil(n / shard)), max(1, math.ceil(asked / queries))
 
     def spread(column: str, parts: int):
@@ -142,7 +146,7 @@ def search(vectors: DataFrame, every: int = 20, k: int = K, factor: float = FACT
     def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
         got: tuple = ([], [], [])
         if left.num_rows and right.num_rows:
-            got = _answer(np.asarray(left["vec_id"]), _vectors(left["v"]), np.asarray(right["vec_id"]), _vectors(right["v"]), top, k, factor)
+            got = _answer(np.asarray(left["vec_id"]), _vectors(left["v"]), np.asarray(right["vec_id"]), _vectors(right["v"]), k, factor)
         return pa.table({"query_id": pa.array(got[0], pa.int64()), "vec_id": pa.array(got[1], pa.int64()), "score": pa.array(got[2], pa.float64())})
 
     group = ["shard", "block", "dim"]

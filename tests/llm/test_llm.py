@@ -199,6 +199,20 @@ def test_nearest_neighbours(spark):
     assert ann.search(table.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("long", [1, 10, 1000])
+def test_nearest_neighbours_beside_a_long_vector(long):
+    """With the operator's own factor; few dimensions, so that subtrees are left out, and spread norms."""
+    rng = np.random.default_rng(4)
+    for dim in (4, 32):
+        x = rng.normal(size=(3000, dim)) * rng.uniform(0.2, 2, (3000, 1))
+        x[5] *= long
+        q = np.arange(20, 3000, 100)
+        _, got, _ = ann._answer(np.arange(3000), x, q, x[q], 20, ann.FACTOR)
+        s = x[q] @ x.T
+        s[np.arange(len(q)), q] = -np.inf
+        assert got == np.argsort(-s, axis=1)[:, :20].ravel().tolist()
+
+
 def test_secrets():
     text = "é password = \"abcdef123\" token:ab AKIA" + "A1" * 8 + " secret:token:abcdefgh " + "0a" * 12 + " key q7Zx9Lm2Vt4Kp8Rw1Yc6Nb3Hj5Gd0 plain"
     base, spans = secret_scan.scan_text(text)
