@@ -1,11 +1,12 @@
 """Main text of web pages by line-block distribution.
 
-Markup is stripped into lines, one for each block of the page. Parts that are never content
+Markup is stripped into lines, one for each block of the page; block tags without text between them
+leave empty lines. Parts that are never content
 (menus, forms, scripts, notices, adverts, comments and the like, told by tag, role, class or id)
-leave an empty gap of lines. Text lengths are then summed over sliding windows of lines; a surge is
-where the sum leaves zero, a dive where it returns to it, and the text between the surge and the dive
-is a candidate. Pages that mark their article keep every candidate inside it; others keep the
-candidate with most text that is not link text, and those at least a tenth as long.
+leave an empty gap of lines. Pages that mark their article keep all other lines inside it. On other
+pages the lengths of text that is not link text are summed over sliding windows of lines; a surge is
+where the sum passes a threshold, a dive where it returns to zero, and every stretch between a surge and
+its dive is kept. Pages without a surge keep the stretch with most such text.
 
 Null, empty and text-less pages give an empty string. Unclosed or crossed tags end at the next
 structural tag, so a broken page gives what can be read of it.
@@ -24,8 +25,8 @@ from biblens.llm.common import pick
 
 #: Lines in a window of the distribution, and the empty lines that a removed part leaves.
 WINDOW = 3
-#: Besides the longest candidate, those with at least this share of its length stay.
-SHARE = 0.1
+#: Characters in a window, without link text, from which on a stretch is text of the page.
+SURGE = 86
 
 # Fixed values of HTML: elements without content of their own, and elements that break lines.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -90,13 +91,12 @@ def page_lines(page: str) -> list[tuple[str, int, bool]]:
     opened = 0
     at, size = 0, len(page)
 
-    def flush() -> None:
+    def flush(empty: bool = False) -> None:
         nonlocal linked
-        if parts:
-            text = SPACE.sub(" ", html.unescape("".join(parts))).strip()
-            if text:
-                lines.append((text, max(0, len(text) - linked), depth > 0))
-            parts.clear()
+        text = SPACE.sub(" ", html.unescape("".join(parts))).strip()
+        if text or empty:
+            lines.append((text, max(0, len(text) - linked), depth > 0))
+        parts.clear()
         linked = 0
 
     def gap() -> None:
@@ -146,7 +146,7 @@ def page_lines(page: str) -> list[tuple[str, int, bool]]:
         if tag == "a":
             link = not closing
         if tag in BLOCK:
-            flush()
+            flush(empty=True)
             link = False
             if tag in ("article", "main"):
                 depth = max(0, depth + (-1 if closing else 1))
@@ -155,39 +155,38 @@ def page_lines(page: str) -> list[tuple[str, int, bool]]:
     return lines
 
 
-def blocks(lengths: list[int], window: int = WINDOW) -> list[tuple[int, int]]:
+def blocks(lengths: list[int], window: int = WINDOW, surge: int = 0) -> list[tuple[int, int]]:
     """Stretches between surge and dive of the windowed sums of line lengths, as line ranges."""
     n = len(lengths)
     total, sums = sum(lengths[:window]), []
     for i in range(n):
         sums.append(total)
         total += (lengths[i + window] if i + window < n else 0) - lengths[i]
-    out, start = [], None
-    for i, s in enumerate(sums):
-        if start is None and lengths[i] > 0:
-            start = i  # surge
-        elif start is not None and s == 0:
-            out.append((start, i))  # dive
-            start = None
-    if start is not None:
-        out.append((start, n))
+    out, start, high = [], None, 0
+    for i, s in enumerate([*sums, 0]):
+        if start is None and s > 0 and lengths[i] > 0:
+            start, high = i, 0
+        if start is not None:
+            high = max(high, s)
+            if s == 0:
+                if high > surge:
+                    out.append((start, i))
+                start = None
     return out
 
 
-def main_text(page: str | None, window: int = WINDOW, share: float = SHARE) -> str:
+def main_text(page: str | None, window: int = WINDOW, surge: int = SURGE) -> str:
     """The main text of one page; empty if it has none."""
     if not page:
         return ""
     lines = page_lines(page)
-    marked = any(inside and text for text, _, inside in lines)
-    if marked:
-        lines = [line if line[2] else ("", 0, False) for line in lines]
-    found = blocks([len(t) for t, _, _ in lines], window)
-    if not found:
-        return ""
-    weight = [sum(n for _, n, _ in lines[a:b]) for a, b in found]
-    top = max(weight)
-    kept = found if marked else [f for f, w in zip(found, weight, strict=True) if w >= share * top and (w > 0 or top == 0)]
+    if any(inside and text for text, _, inside in lines):
+        return " ".join(t for t, _, inside in lines if inside and t)
+    plain = [n for _, n, _ in lines]
+    kept = blocks(plain, window, surge)
+    if not kept:
+        found = blocks(plain, window) or blocks([len(t) for t, _, _ in lines], window)
+        kept = [max(found, key=lambda f: sum(plain[f[0] : f[1]]))] if found else []
     return " ".join(t for a, b in kept for t, _, _ in lines[a:b] if t)
 
 

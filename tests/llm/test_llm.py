@@ -250,6 +250,14 @@ def test_html():
     assert html_extract.main_text(None) == html_extract.main_text("") == html_extract.main_text("<nav>x") == ""
 
 
+def test_html_without_article():
+    """Lengths of lines decide: a closing paragraph after an advert stays, a block of short lines and links goes."""
+    body, close = "long text of the page " * 240, "closing words of it " * 10
+    page = f"<div><p>{body}</p></div><div class=ad>Buy</div><div><p>{close}</p></div><div><div><ul><li><a href=x>{'more of this site ' * 9}</a><li>Imprint</ul></div></div>"
+    assert html_extract.main_text(page) == f"{body.strip()} {close.strip()}"
+    assert html_extract.main_text("<p>few words") == "few words" and html_extract.main_text("<a href=x>one link</a>") == "one link"
+
+
 def test_edge_tables(spark, odd, empty):
     tok = vocabulary_path()
     assert suffix_dedup.dedup(odd, digest=True).count() == line_dedup.dedup(odd, digest=True).count() == 5
