@@ -427,13 +427,13 @@ def audit_references(spark, sf_dir):
 
 @query()
 def report_markdown(spark, sf_dir):
-    results = audit(references_table(spark, sf_dir).select("ref_id", "input_text"), works_table(spark, sf_dir), _sql(spark, sf_dir, NOTICES), sequence=False)
+    results = audit(references_table(spark, sf_dir).select("ref_id", "input_text"), works_table(spark, sf_dir), _sql(spark, sf_dir, NOTICES))
     return report.problem_report(results)
 
 
 @query()
 def json_payload(spark, sf_dir):
-    return report.as_json(audit(references_table(spark, sf_dir).select("ref_id", "input_text"), works_table(spark, sf_dir), sequence=False))
+    return report.as_json(audit(references_table(spark, sf_dir).select("ref_id", "input_text"), works_table(spark, sf_dir), _sql(spark, sf_dir, NOTICES)))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -137,6 +137,16 @@ def test_audit_finds_and_does_not_depend_on_order(spark):
     assert a == b and sum(s == "found" for s, _ in a.values()) > 300
 
 
+def test_reports_run_the_whole_audit(spark, monkeypatch):
+    told, results = [], spark.range(0)
+    monkeypatch.setattr(Q, "audit", lambda refs, works, notices=None, **more: told.append((notices is not None, more)) or results)
+    monkeypatch.setattr(report, "problem_report", lambda r: r)
+    monkeypatch.setattr(report, "as_json", lambda r: r)
+    for name in ("report_markdown", "json_payload"):
+        Q.queries()[name](spark, SF)
+    assert told == [(True, {})] * 2
+
+
 def test_json_payloads(spark):
     work = {"DOI": "10.1/A", "title": ["T"], "author": [{"family": "Smith"}, {"name": "Group X"}], "issued": {"date-parts": [[None]]}, "published-online": {"date-parts": [[2020, 1]]}, "container-title": ["J"], "page": "e1"}
     rows = spark.createDataFrame([(1, json.dumps(work)), (2, "not json")], "k long, json string")
