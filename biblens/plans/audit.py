@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from biblens.operators import decide as D
 from biblens.operators import retrieve as R
 from biblens.operators import score as S
+from biblens.operators.collect import staged_candidates
 from biblens.operators.parse import parse
 from biblens.sources.payloads import RECORD_COLUMNS
 
@@ -19,7 +20,7 @@ def _record(prefix: str = ""):
 
 
 def candidates(parsed: DataFrame, works: DataFrame, top: int = 5) -> DataFrame:
-    """(ref_id, r, c, ordinal, method): works by DOI where a reference has one, else by title words."""
+    """(ref_id, r, c, ordinal, method): works by DOI where a reference has one, else by title words, else by those of the whole citation."""
     r = F.struct(*[F.col(f).alias(f) for f in REFERENCE_FIELDS]).alias("r")
     refs = parsed.filter(~F.col("is_website")).select("ref_id", r, "title", "doi")
     records = works.select("work_id", _record().alias("c"), F.lower("doi").alias("key"))
@@ -27,7 +28,10 @@ def candidates(parsed: DataFrame, works: DataFrame, top: int = 5) -> DataFrame:
     named = named.select("ref_id", "r", "c", F.lit(1).alias("ordinal"), F.lit("doi-crossref").alias("method"))
     rest = refs.filter("doi is null and title is not null").select("ref_id", "r", "title")
     blocked = R.block(rest.select("ref_id", "title"), works.select("work_id", "title"), top)
-    found = rest.drop("title").join(blocked, "ref_id").join(records.drop("key"), "work_id")
+    untitled = parsed.filter("not is_website and doi is null and title is null")
+    staged = staged_candidates(untitled.select("ref_id", "input_text"), works.select("work_id", "title"), top)
+    ranked = blocked.select("ref_id", "work_id", "rank").unionByName(staged.select("ref_id", "work_id", "rank"))
+    found = refs.filter("doi is null").select("ref_id", "r").join(ranked, "ref_id").join(records.drop("key"), "work_id")
     return named.unionByName(found.select("ref_id", "r", "c", F.col("rank").alias("ordinal"), F.lit("bibliographic").alias("method")))
 
 

@@ -11,7 +11,7 @@ from biblens.functions import similarity as S
 from biblens.functions import text as X
 from biblens.operators import collect, decide, parse, report, retrieve, score
 from biblens.plans import queries as Q
-from biblens.plans.audit import audit
+from biblens.plans.audit import audit, candidates
 from biblens.sources import payloads
 from biblens.sources import text as T
 from biblens.sources.payloads import RECORD_COLUMNS
@@ -137,6 +137,16 @@ def test_audit_finds_and_does_not_depend_on_order(spark):
     assert a == b and sum(s == "found" for s, _ in a.values()) > 300
 
 
+def test_citations_without_title_are_searched_whole(spark):
+    works = Q.works_table(spark, SF)
+    least = works.agg(F.min("work_id")).first()[0]
+    works = works.withColumn("title", F.when(F.col("work_id") == least, "Zymurgy of quokkas").otherwise(F.col("title")))
+    parsed = parse.parse(spark.createDataFrame([(1, "Smith J, Zymurgy of quokkas, 2001")], "ref_id long, input_text string"))
+    untitled = parsed.withColumns({"title": F.lit(None).cast("string"), "doi": F.lit(None).cast("string"), "is_website": F.lit(False)})
+    got = candidates(untitled, works).collect()
+    assert [(r["c"]["title"], r["method"]) for r in got] == [("Zymurgy of quokkas", "bibliographic")]
+
+
 def test_reports_run_the_whole_audit(spark, monkeypatch):
     told, results = [], spark.range(0)
     monkeypatch.setattr(Q, "audit", lambda refs, works, notices=None, **more: told.append((notices is not None, more)) or results)
