@@ -1,16 +1,26 @@
 """Nearest neighbours by inner product, with vantage-point trees.
 
-Largest inner product is nearest distance once every vector x gets one more component,
-sqrt(M^2 - |x|^2) with M the largest norm of the shard, and queries get zero there. Rows are dealt to shards by a
-hash of their id; each shard builds a vantage-point tree over its different vectors (copies are one
-entry with their ids) and answers blocks of queries. A subtree is left out when the triangle
-inequality shows that it lies beyond the query's k-th distance times ``factor``: factor one, the
-default, is exact; smaller factors leave out true neighbours once norms differ, as all lifted distances are
-then near M. Scores are inner products of the given vectors in double precision.
+Trees work on directions, whose angle is a metric, and on lengths: a subtree whose directions are at
+least the angle ``low`` away from the query's, by the triangle inequality, and whose vectors are at
+most ``high`` long, holds no inner product above |q| * high * cos(low). It is left out when that is
+below the query's k-th best inner product so far. ``factor`` relaxes the bound: angles count as low /
+factor, so factor one, the default, is exact, and smaller factors leave out more, whatever the lengths.
 
+Rows are dealt to the nearest of at most ``PIVOTS`` pivots (the vectors with the smallest id hash, one
+for about ``SHARD`` rows), and a pivot's rows by hash to shards of about ``SHARD`` rows, so a hot vector
+fills many shards. Each shard builds its tree once and the queries stream through it. A query first
+searches its own shard; its k-th best there goes along to those other shards whose pivot's bound
+reaches it, and the same triangle inequality leaves out the rest. Only a shard that more than
+``ASKED`` queries reach is copied, once for so many. Random directions in many dimensions are about
+equally far from each other: there an exact search leaves out little, by its nature.
+
+Scores are inner products of the given vectors in double precision; ties go to the smaller vec_id, and
+all ties with the k-th count. Lengths are taken after scaling, so they do not overflow; where an inner
+product is no number, the pair takes no part.
 Vectors that are null, zero, or hold null or non-finite components take no part, nor do rows without
 id. Vectors of another length than a query's are no candidates of it. Rows that share an id are
-candidates each, and one query (the smallest vector); none of them is its own neighbour.
+candidates each, and one query (the smallest vector); none of them is its own neighbour. An empty
+table gives no rows; further columns are not looked at.
 """
 
 from __future__ import annotations
@@ -24,133 +34,273 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from biblens.llm.common import pick
+from biblens.runtime import partitions, write_table
 
 K = 20
-LEAF = 512
+LEAF = 32
 FACTOR = 1.0
-#: Rounding of squared distances, as a share of the largest, that the bounds allow for.
-SLACK = 1e-12
-#: Vectors in a shard and queries in a block: what one task holds.
-SHARD, QUERIES = 8192, 4096
+#: Rounding that bounds allow for: of angles, and of inner products as a share of both lengths.
+ANGLE, SHARE = 1e-7, 1e-12
+#: Rows in a shard, pivots that are sent to all tasks at most, and queries that go through one copy of a shard.
+SHARD, PIVOTS, ASKED = 4096, 4096, 65_536
+#: Queries that a tree answers at a time.
+BLOCK = 2048
+NO_ID = np.iinfo(np.int64).max
+
+
+def directions(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Unit vectors and lengths; lengths beyond the range of doubles are infinite, directions still right."""
+    most = np.abs(x).max(1, initial=0)
+    most[most == 0] = 1
+    scaled = x / most[:, None]
+    size = np.sqrt((scaled**2).sum(1))
+    unit = scaled / np.where(size > 0, size, 1)[:, None]
+    with np.errstate(over="ignore"):
+        return unit, size * most
+
+
+def highest(low: np.ndarray, q_len: np.ndarray, least: float | np.ndarray, most: float | np.ndarray, factor: float) -> np.ndarray:
+    """Bound of the inner product with vectors of lengths least to most at an angle of ``low`` or more."""
+    cos = np.cos(np.clip(low / factor - ANGLE, 0, np.pi))
+    with np.errstate(over="ignore", invalid="ignore"):
+        bound = q_len * (np.where(cos > 0, most, least) * cos + SHARE * most)
+    return np.where(np.isnan(bound), np.inf, bound)
+
+
+def angles(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.arccos(np.clip(a @ b, -1, 1))
 
 
 class Tree:
-    """A vantage-point tree over the rows of ``points``, in arrays."""
+    """A vantage-point tree over the rows of ``points``."""
 
-    def __init__(self, points: np.ndarray, leaf: int = LEAF, seed: int = 11):
-        self.points = points
+    def __init__(self, ids: np.ndarray, points: np.ndarray, leaf: int = LEAF, seed: int = 11):
+        self.ids, self.points, self.leaf = ids, points, leaf
+        self.unit, self.length = directions(points)
         self.rng = np.random.Generator(np.random.PCG64(seed))
-        self.leaf = leaf
+        #: Pairs of a query and a point that were compared, for tests of the pruning.
+        self.compared = 0
         self.root = self._build(np.arange(len(points)))
 
     def _build(self, rows: np.ndarray):
         if len(rows) <= self.leaf:
             return rows
         vantage = int(rows[self.rng.integers(len(rows))])
-        d = np.sqrt(np.maximum(((self.points[rows] - self.points[vantage]) ** 2).sum(1), 0))
+        d = angles(self.unit[rows], self.unit[vantage])
         order = np.argsort(d, kind="stable")
         half = len(rows) // 2
-        inner, outer = rows[order[:half]], rows[order[half:]]
-        # (vantage, least and largest distance of each side, sides)
-        return (vantage, d[order[0]], d[order[half - 1]], d[order[half]], d[order[-1]], self._build(inner), self._build(outer))
+        sides = []
+        for part in (order[:half], order[half:]):
+            own = rows[part]
+            sides.append((d[part[0]], d[part[-1]], float(self.length[own].min()), float(self.length[own].max()), self._build(own)))
+        return vantage, sides
+
+    def search(self, q_ids: np.ndarray, queries: np.ndarray, k: int = K, factor: float = FACTOR, floor: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, scores), a row of k for each query, best first; NO_ID fills up.
 
-    def search(self, queries: np.ndarray, k: int, factor: float = FACTOR) -> np.ndarray:
-        """Rows of the k nearest points of each query (-1 where there are fewer), in no order."""
+        ``floor`` holds scores that k vectors elsewhere reach: what is below them is not looked for.
+        """
         n = len(queries)
-        best = np.full((n, k), np.inf)
-        rows = np.full((n, k), -1, np.int64)
-        square = (self.points**2).sum(1)
-        q_square = (queries**2).sum(1)
-        slack = SLACK * (float(square.max(initial=0)) + float(q_square.max(initial=0)))
+        ids, scores = np.full((n, k), NO_ID), np.full((n, k), -np.inf)
+        unit, length = directions(queries)
+        floor = np.full(n, -np.inf) if floor is None else floor
 
-        def visit(node, at: np.ndarray) -> None:
-            if not len(at):
+        def reached(at: np.ndarray) -> np.ndarray:
+            return np.maximum(scores[at, -1], floor[at])
+
+        def leaf(rows: np.ndarray, at: np.ndarray) -> None:
+            self.compared += len(at) * len(rows)
+            points = self.points[rows]
+            with np.errstate(over="ignore", invalid="ignore"):
+                about = queries[at] @ points.T
+                slack = SHARE * length[at] * self.length[rows].max()
+                far = about < (reached(at) - np.where(np.isfinite(slack), slack, np.inf))[:, None]
+            near = ~far & (q_ids[at][:, None] != self.ids[rows][None, :])
+            some = near.any(1)
+            if not some.any():
                 return
+            at, near = at[some], near[some]
+            i, j = np.nonzero(near)
+            with np.errstate(over="ignore", invalid="ignore"):
+                exact = (points[j] * queries[at[i]]).sum(1)
+            good = ~np.isnan(exact)
+            new_s, new_i = np.full(near.shape, -np.inf), np.full(near.shape, NO_ID)
+            new_s[i[good], j[good]], new_i[i[good], j[good]] = exact[good], self.ids[rows][j[good]]
+            s, v = np.concatenate([scores[at], new_s], 1), np.concatenate([ids[at], new_i], 1)
+            order = np.lexsort((v, -s), axis=-1)[:, :k]
+            scores[at], ids[at] = np.take_along_axis(s, order, 1), np.take_along_axis(v, order, 1)
+
+        def visit(node, at: np.ndarray) -> None:
             if isinstance(node, np.ndarray):
-                d = np.maximum(q_square[at][:, None] + square[node][None, :] - 2 * queries[at] @ self.points[node].T, 0)
-                some = (d < best[at].max(1)[:, None]).any(1)
-                at, d = at[some], d[some]
-                both = np.concatenate([best[at], d], 1)
-                names = np.concatenate([rows[at], np.broadcast_to(node, (len(at), len(node)))], 1)
-                part = np.argpartition(both, k - 1, 1)[:, :k]
-                best[at] = np.take_along_axis(both, part, 1)
-                rows[at] = np.take_along_axis(names, part, 1)
+                leaf(node, at)
                 return
-            vantage, in_lo, in_hi, out_lo, out_hi, inner, outer = node
-            d = np.sqrt(np.maximum(q_square[at] + square[vantage] - 2 * queries[at] @ self.points[vantage], 0))
-            # how far the nearest point of a side must be at least, by the triangle inequality
-            low_in, low_out = np.maximum(np.maximum(in_lo - d, d - in_hi), 0), np.maximum(np.maximum(out_lo - d, d - out_hi), 0)
-            inside = d <= (in_hi + out_lo) / 2
-            for first in (True, False):
-                for side, low, mine in ((inner, low_in, inside == first), (outer, low_out, inside != first)):
-                    reach = np.sqrt(best[at[mine]].max(1) + slack) * factor + math.sqrt(slack)
-                    visit(side, at[mine][low[mine] <= reach])
-
-        if len(self.points):
+            vantage, sides = node
+            d = angles(unit[at], self.unit[vantage])
+            # the side that is nearer to most queries first: whole blocks go down, not a part for each order of sides
+            nearer = np.count_nonzero(d <= (sides[0][1] + sides[1][0]) / 2) * 2 >= len(at)
+            for i in (0, 1) if nearer else (1, 0):
+                lo, hi, least, most, below = sides[i]
+                low = np.maximum(np.maximum(lo - d, d - hi), 0)
+                kept = at[highest(low, length[at], least, most, factor) >= reached(at)]
+                if len(kept):
+                    visit(below, kept)
+
+        if n and len(self.points):
             visit(self.root, np.arange(n))
-        return rows
+        return ids, scores
 
 
-def _vectors(col: pa.Array) -> np.ndarray:
+def _vectors(col: pa.Array | pa.ChunkedArray) -> np.ndarray:
     flat = col.combine_chunks() if isinstance(col, pa.ChunkedArray) else col
     return np.asarray(flat.flatten(), np.float64).reshape(len(flat), -1)
 
 
-def _answer(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.ndarray, k: int, factor: float):
-    """(query, id, score) of the k nearest rows in one shard, for each query."""
-    order = np.lexsort((ids, *x.T[::-1]))
-    x, ids = x[order], ids[order]
-    new = np.concatenate([[True], (x[1:] != x[:-1]).any(1)])
-    first = np.append(np.flatnonzero(new), len(x))
-    different = x[first[:-1]]
-    square = (different**2).sum(1)
-    extra = np.sqrt(np.maximum(square.max(initial=0) - square, 0))
-    tree = Tree(np.concatenate([different, extra[:, None]], 1))
-    # one more than asked for: the query's own vector may be among them; a few more for ties in rounding
-    m = min(k + 9, len(different))
-    found = tree.search(np.concatenate([q, np.zeros((len(q), 1))], 1), m, factor)
-    out_q, out_id, out_s = [], [], []
-    for i in range(len(q)):
-        near = found[i][found[i] >= 0]
-        scores = (different[near] * q[i]).sum(1)
-        pairs = []
-        for g, s in zip(near, scores, strict=True):
-            own = ids[first[g] : min(first[g + 1], first[g] + k + 1)]  # copies tie: smaller ids first
-            pairs += [(-s, int(v)) for v in own if v != query_ids[i]]
-        pairs.sort()
-        for s, v in pairs[:k]:
-            out_q.append(int(query_ids[i]))
-            out_id.append(v)
-            out_s.append(-s)
-    return out_q, out_id, out_s
-
-
-def search(vectors: DataFrame, every: int = 20, k: int = K, factor: float = FACTOR, shard: int = SHARD, queries: int = QUERIES) -> DataFrame:
+SHARD_KEY = ["dim", "pivot", "piece", "copy"]
+
+
+def _answers(rows: DataFrame, k: int, factor: float) -> DataFrame:
+    """(query_id, vec_id, score) of the k nearest in each shard, from rows (dim, pivot, piece, copy, asks, vec_id, v, floor).
+
+    Rows of a shard come first, its queries after them: the tree is built once and queries go through it
+    a block at a time, so a task holds one shard and one block.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now: tuple | None = None
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        tree: Tree | None = None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            key = np.stack([np.asarray(b.column(i), np.int64) for i in range(5)], 1)
+            first = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]).any(1)])).tolist()
+            for i, j in zip(first, [*first[1:], len(key)], strict=True):
+                shard, asks = tuple(key[i, :4]), bool(key[i, 4])
+                if shard != now:
+                    now, held, tree = shard, [], None
+                ids, x = np.asarray(b.column(5).slice(i, j - i), np.int64), _vectors(b.column(6).slice(i, j - i))
+                if not asks:
+                    held.append((ids, x))
+                    continue
+                if tree is None:
+                    if not held:
+                        continue
+                    tree = Tree(np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held]))
+                    held = []
+                floor = np.asarray(b.column(7).slice(i, j - i), np.float64)
+                for a in range(0, j - i, BLOCK):
+                    z = slice(a, a + BLOCK)
+                    got, scores = tree.search(ids[z], x[z], k, factor, floor[z])
+                    at, col = np.nonzero(got != NO_ID)
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[z][at]), pa.array(got[at, col]), pa.array(scores[at, col])], names=["query_id", "vec_id", "score"])
+
+    dealt = rows.repartition(partitions(rows.sparkSession), *SHARD_KEY).sortWithinPartitions(*SHARD_KEY, "asks", "vec_id")
+    return dealt.select(*SHARD_KEY, F.col("asks").cast("int"), "vec_id", "v", "floor").mapInArrow(run, "query_id long, vec_id long, score double")
+
+
+def _near_pivots(rows: DataFrame, pivots: dict[int, np.ndarray]) -> DataFrame:
+    """rows (vec_id, v, dim) with their pivot (-1 if there is none of their length), the angle to it, and their length."""
+    sent = rows.sparkSession.sparkContext.broadcast(pivots)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            dims = np.asarray(b.column(2), np.int64)
+            pivot, angle, size = np.full(len(dims), -1, np.int32), np.zeros(len(dims)), np.zeros(len(dims))
+            for dim in np.unique(dims):
+                at = np.flatnonzero(dims == dim)
+                unit, size[at] = directions(_vectors(b.column(1).take(pa.array(at))))
+                if int(dim) in sent.value:
+                    for a in range(0, len(at), 1024):
+                        cos = unit[a : a + 1024] @ sent.value[int(dim)].T
+                        pivot[at[a : a + 1024]] = cos.argmax(1)
+                        angle[at[a : a + 1024]] = np.arccos(np.clip(cos.max(1), -1, 1))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(pivot), pa.array(angle), pa.array(size)], names=["vec_id", "v", "dim", "pivot", "angle", "size"])
+
+    return rows.mapInArrow(run, "vec_id long, v array<double>, dim int, pivot int, angle double, size double")
+
+
+def _elsewhere(asks: DataFrame, pivots: dict[int, np.ndarray], cells: list, factor: float) -> DataFrame:
+    """asks (vec_id, v, dim, pivot, piece, floor) dealt to every other shard that may hold something at their floor or above."""
+    by_dim: dict[int, list] = {}
+    for c in cells:
+        by_dim.setdefault(c["dim"], []).append((c["pivot"], c["lo"], c["hi"], c["least"], c["most"], c["pieces"]))
+    table = {d: np.array(rows, np.float64).reshape(-1, 6) for d, rows in by_dim.items()}
+    sent = asks.sparkSession.sparkContext.broadcast((pivots, table))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pivots_, cells_ = sent.value
+        for b in batches:
+            dims, own_pivot, own_piece = (np.asarray(b.column(i), np.int64) for i in (2, 3, 4))
+            floor = np.asarray(b.column(5), np.float64)
+            for dim in np.unique(dims):
+                at = np.flatnonzero(dims == dim)
+                unit, length = directions(_vectors(b.column(1).take(pa.array(at))))
+                c = cells_[int(dim)]
+                low = np.zeros((len(at), len(c)))
+                if int(dim) in pivots_:
+                    real = c[:, 0] >= 0
+                    d = angles(unit, pivots_[int(dim)][c[real, 0].astype(int)].T)
+                    low[:, real] = np.maximum(np.maximum(c[real, 1] - d, d - c[real, 2]), 0)
+                i, j = np.nonzero(highest(low, length[:, None], c[:, 3], c[:, 4], factor) >= floor[at][:, None])
+                pieces = c[j, 5].astype(int)
+                i, j = np.repeat(i, pieces), np.repeat(j, pieces)
+                piece = np.arange(len(i)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+                pivot = c[j, 0].astype(np.int64)
+                new = (pivot != own_pivot[at[i]]) | (piece != own_piece[at[i]])
+                take, pivot, piece = at[i[new]], pivot[new], piece[new]
+                for a in range(0, len(take), 8192):
+                    t = pa.array(take[a : a + 8192])
+                    yield pa.RecordBatch.from_arrays(
+                        [b.column(0).take(t), b.column(1).take(t), b.column(2).take(t), pa.array(pivot[a : a + 8192].astype(np.int32)), pa.array(piece[a : a + 8192].astype(np.int32)), b.column(5).take(t)],
+                        names=["vec_id", "v", "dim", "pivot", "piece", "floor"],
+                    )
+
+    return asks.mapInArrow(run, "vec_id long, v array<double>, dim int, pivot int, piece int, floor double")
+
+
+def search(vectors: DataFrame, every: int = 20, k: int = K, factor: float = FACTOR, shard: int = SHARD) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest of every row whose id is divisible by ``every``."""
-    rows = pick(vectors, vec_id="vec_id", embedding="embedding").withColumn("embedding", F.col("embedding").cast("array<double>"))
-    good = "embedding is not null and vec_id is not null and not exists(embedding, v -> v is null or isnan(v) or abs(v) = double('infinity'))"
-    rows = rows.filter(good).filter("exists(embedding, v -> v <> 0)").withColumn("vec_id", F.col("vec_id").cast("long"))
-    stats = rows.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.expr(f"vec_id % {every} = 0")).alias("q")).first()
-    n, asked = int(stats["n"]), int(stats["q"])
-    shards, blocks = max(1, math.ceil(n / shard)), max(1, math.ceil(asked / queries))
-
-    def spread(column: str, parts: int):
-        return F.pmod(F.xxhash64("vec_id"), F.lit(parts)).cast("int").alias(column)
-
-    every_block = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block")
-    every_shard = F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard")
-    index = rows.select("vec_id", F.col("embedding").alias("v"), spread("shard", shards), F.size("embedding").alias("dim"), every_block)
-    chosen = rows.filter(F.expr(f"vec_id % {every} = 0")).groupBy("vec_id").agg(F.min("embedding").alias("v"))
-    asks = chosen.select("vec_id", "v", F.pmod(F.xxhash64("vec_id", F.lit(7)), F.lit(blocks)).cast("int").alias("block"), F.size("v").alias("dim"), every_shard)
-
-    def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
-        got: tuple = ([], [], [])
-        if left.num_rows and right.num_rows:
-            got = _answer(np.asarray(left["vec_id"]), _vectors(left["v"]), np.asarray(right["vec_id"]), _vectors(right["v"]), k, factor)
-        return pa.table({"query_id": pa.array(got[0], pa.int64()), "vec_id": pa.array(got[1], pa.int64()), "score": pa.array(got[2], pa.float64())})
-
-    group = ["shard", "block", "dim"]
-    found = index.groupBy(*group).cogroup(asks.groupBy(*group)).applyInArrow(run, "query_id long, vec_id long, score double")
+    rows = pick(vectors, vec_id="vec_id", embedding="embedding").withColumn("v", F.col("embedding").cast("array<double>"))
+    good = "v is not null and vec_id is not null and not exists(v, x -> x is null or isnan(x) or abs(x) = double('infinity')) and exists(v, x -> x <> 0)"
+    rows = rows.filter(good).select(F.col("vec_id").cast("long").alias("vec_id"), "v", F.size("v").alias("dim"))
+    n = rows.count()
+    # at most PIVOTS vectors: what is sent to all tasks has a fixed bound
+    some = rows.orderBy(F.xxhash64("vec_id", F.lit(13)), "vec_id", "v").limit(min(PIVOTS, math.ceil(n / shard))).collect()
+    pivots: dict[int, np.ndarray] = {}
+    for dim in {r["dim"] for r in some}:
+        pivots[dim] = directions(np.unique(np.array([r["v"] for r in some if r["dim"] == dim], np.float64), axis=0))[0]
+    placed, _ = write_table(_near_pivots(rows, pivots), "vectors")
+    cells = placed.groupBy("dim", "pivot").agg(
+        F.count(F.lit(1)).alias("n"), F.min("angle").alias("lo"), F.max("angle").alias("hi"), F.min("size").alias("least"), F.max("size").alias("most")
+    )
+    cells, _ = write_table(cells.withColumn("pieces", F.ceil(F.col("n") / shard).cast("int")), "cells")
+    known = cells.collect()  # a row for each pivot, and for each vector length without one
+    if not known:
+        return placed.selectExpr("vec_id as query_id", "0 as rank", "vec_id", "size as score")
+    sizes = cells.select("dim", "pivot", "pieces")
+    named = placed.join(sizes, ["dim", "pivot"]).withColumn("piece", F.pmod(F.xxhash64("vec_id"), F.col("pieces")).cast("int"))
+    index = named.select("dim", "pivot", "piece", "vec_id", "v")
+    chosen = named.filter(F.expr(f"vec_id % {every} = 0"))
+    asks = chosen.groupBy("vec_id").agg(F.min(F.struct("v", "dim", "pivot", "piece")).alias("a")).select("vec_id", "a.*")
+
+    def met(asked: DataFrame, copies: DataFrame) -> DataFrame:
+        """The shards' rows, once for ``ASKED`` queries, and the queries dealt to the copies."""
+        on = ["dim", "pivot", "piece"]
+        of = F.pmod(F.xxhash64("vec_id", F.lit(7)), F.col("copies")).cast("int")
+        own = index.join(copies, on).withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
+        theirs = asked.join(copies, on).withColumn("copy", of)
+        columns = ["dim", "pivot", "piece", "copy", "vec_id", "v"]
+        return own.select(*columns, F.lit(False).alias("asks"), F.lit(None).cast("double").alias("floor")).unionByName(theirs.select(*columns, F.lit(True).alias("asks"), "floor"))
+
+    def copies_for(asked: DataFrame) -> DataFrame:
+        return asked.groupBy("dim", "pivot", "piece").agg(F.ceil(F.count(F.lit(1)) / ASKED).cast("int").alias("copies"))
+
+    asks, _ = write_table(asks.withColumn("floor", F.lit(float("-inf"))), "asks")
+    home, _ = write_table(_answers(met(asks, copies_for(asks)), k, factor), "home")
+    floors = home.groupBy("query_id").agg(F.when(F.count(F.lit(1)) >= k, F.min("score")).alias("f"))
+    floored = asks.drop("floor").join(floors.withColumnRenamed("query_id", "vec_id"), "vec_id", "left").withColumn("floor", F.coalesce("f", F.lit(float("-inf"))))
+    sent, _ = write_table(_elsewhere(floored.select("vec_id", "v", "dim", "pivot", "piece", "floor"), pivots, known, factor), "sent")
+    found = home.unionByName(_answers(met(sent, copies_for(sent)), k, factor))
     nearest = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(nearest)).filter(F.col("rank") <= k)
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

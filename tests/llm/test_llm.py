@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from biblens.llm import ann, bpe, common, html_extract, line_dedup, minhash, mixing, quality, secret_scan, simhash, suffix_dedup
+from biblens.llm import bpe, common, html_extract, line_dedup, minhash, mixing, quality, secret_scan, simhash, suffix_dedup
 from biblens.llm.queries import vocabulary_path
 
 WORDS = "alpha beta gamma delta omega sigma kappa zeta theta iota lambda nu xi pi rho tau phi chi psi eta".split()
@@ -183,36 +183,6 @@ def test_permutation():
         assert sorted(got.tolist()) == list(range(n))
 
 
-def test_nearest_neighbours(spark):
-    rng = np.random.default_rng(3)
-    x = rng.normal(size=(400, 8)).astype(np.float32)
-    x[50:120] = x[7]
-    rows = [(i, [float(v) for v in x[i]]) for i in range(400)] + [(400, None), (401, [0.0] * 8), (402, [float("nan")] + [1.0] * 7), (403, [None] + [1.0] * 7), (None, [1.0] * 8), (420, [1.0, 2.0])]
-    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
-    got = ann.search(table, factor=1.0, shard=100, queries=8).collect()
-    for q in range(0, 400, 20):
-        s = (x.astype(float) * x[q].astype(float)).sum(1)
-        want = [i for _, i in sorted((-s[i], i) for i in range(400) if i != q)][:20]
-        mine = sorted((r for r in got if r["query_id"] == q), key=lambda r: r["rank"])
-        assert [r["vec_id"] for r in mine] == want and all(abs(r["score"] - s[r["vec_id"]]) < 1e-9 for r in mine)
-    assert {r["query_id"] for r in got} == set(range(0, 400, 20))
-    assert ann.search(table.limit(0)).count() == 0
-
-
-@pytest.mark.parametrize("long", [1, 10, 1000])
-def test_nearest_neighbours_beside_a_long_vector(long):
-    """With the operator's own factor; few dimensions, so that subtrees are left out, and spread norms."""
-    rng = np.random.default_rng(4)
-    for dim in (4, 32):
-        x = rng.normal(size=(3000, dim)) * rng.uniform(0.2, 2, (3000, 1))
-        x[5] *= long
-        q = np.arange(20, 3000, 100)
-        _, got, _ = ann._answer(np.arange(3000), x, q, x[q], 20, ann.FACTOR)
-        s = x[q] @ x.T
-        s[np.arange(len(q)), q] = -np.inf
-        assert got == np.argsort(-s, axis=1)[:, :20].ravel().tolist()
-
-
 def test_secrets():
     text = "é password = \"abcdef123\" token:ab AKIA" + "A1" * 8 + " secret:token:abcdefgh " + "0a" * 12 + " key q7Zx9Lm2Vt4Kp8Rw1Yc6Nb3Hj5Gd0 plain"
     base, spans = secret_scan.scan_text(text)
