@@ -1,22 +1,34 @@
 """Encoding and decoding with a given BPE vocabulary, as bounded-lookahead streaming transducers.
 
-The encoder reads a word's symbols through a buffer. Whether a merge happens depends on what lies to
-its right only through chains of merges of ever higher priority that take away its right part; the
-longest such chain, in symbols, is the merge list's sufficient lookahead. A token that ends at least
-that far before the buffer's end can not change any more and is emitted, so the buffer holds at most
-one lookahead and one longest token, whatever a word's length. Most words are shorter and are merged
-at once; their tokens are remembered in a table of bounded size.
+The encoder reads a word symbol by symbol. For each end of what it has read it keeps the last token of
+the best tokenization up to there: the one token that ends there and forms a valid pair with the last
+token where it begins (a pair is valid if the two tokens' symbols, merged alone, give the two tokens;
+a sequence of tokens is a merge result exactly if all neighbours in it are valid). The tokenization of
+a longer word goes through one of the ends from which a token may still reach beyond what was read.
+Tokens on which the ways back from all of those agree are stable: they are emitted and forgotten. The
+merge list's sufficient lookahead bounds what is not stable yet, so the encoder holds at most one
+lookahead, one longest token and ``EVERY`` symbols, whatever a word's length. A transition from word
+start to word end that was made once is remembered, in tables of bounded size.
+
+A text is read in pieces of at most ``PIECE`` bytes, normalised piece by piece (cut only before
+characters that do not combine with what is before them), and digests are fed as tokens become stable.
 
 The decoder is a state machine over bytes: it holds the at most three bytes of a character that is
 not complete yet and emits text as soon as it is.
 
 The format: a JSON file of the ``tokenizers`` library with a BPE model, an end-of-word suffix, a
-byte-level alphabet, NFC, white space and lower-case normalisers and no decoder, in which case tokens
+byte-level alphabet, NFC, white space and lower-case normalisers, a splitting pattern of contractions,
+runs of letters, single numbers and runs of other characters, and no decoder, in which case tokens
 are joined by single spaces.
+
+Null and empty texts have no tokens and the digests of nothing. Equal texts, repeated rows included,
+have equal results; an empty table gives no rows; further columns are not looked at. There are no ties:
+the merge list orders everything.
 """
 
 from __future__ import annotations
 
+import codecs
 import hashlib
 import json
 import struct
@@ -28,10 +40,16 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from biblens.llm.common import pick
+from biblens.llm.common import as_bytes, pick
 
 #: Chunks of text, and words, whose tokens are remembered; a table is emptied when it is full.
 REMEMBERED = 500_000
+#: Pairs of tokens whose validity is remembered.
+PAIRS = 1_000_000
+#: Bytes of a text that are decoded and normalised at a time.
+PIECE = 1 << 16
+#: Symbols after which the encoder looks for tokens that have become stable.
+EVERY = 16
 
 _loaded: dict[str, Tokenizer] = {}
 
@@ -44,14 +62,38 @@ def byte_alphabet() -> list[str]:
 
 
 class Merges:
-    """A merge list over token ids, with its sufficient lookahead."""
+    """A merge list over token ids, as a transducer's tables: a trie of tokens, valid pairs, and its sufficient lookahead."""
 
-    def __init__(self, pairs: list[tuple[int, int, int]], lengths: dict[int, int]):
-        """pairs: (left, right, merged) by priority; lengths: symbols in each token."""
+    def __init__(self, pairs: list[tuple[int, int, int]], lengths: dict[int, int], symbols: Iterable[int]):
+        """pairs: (left, right, merged) by priority; lengths: symbols in each token; symbols: what words are made of."""
         self.rank = {(a, b): r for r, (a, b, _) in reversed([*enumerate(pairs)])}
         self.made = [m for _, _, m in pairs]
+        self.parts = {m: (a, b) for a, b, m in reversed(pairs)}
         self.longest = max(lengths.values(), default=1)
         self.lookahead = self._lookahead(pairs, lengths)
+        self.valid: dict[tuple[int | None, int], bool] = {}
+        # the trie of all tokens: node * width + symbol -> node, and node -> the token that ends there
+        symbols = [*symbols]
+        self.width = max(symbols, default=0) + 1
+        self.below: dict[int, int] = {}
+        self.ends: dict[int, int] = {}
+        for t in [*symbols, *self.parts]:
+            node = 0
+            for x in self.spell(t):
+                node = self.below.setdefault(node * self.width + x, len(self.below) + 1)
+            self.ends[node] = t
+
+    def spell(self, token: int) -> list[int]:
+        """The symbols that a token is made of."""
+        out, todo = [], [token]
+        while todo:
+            t = todo.pop()
+            if t in self.parts:
+                a, b = self.parts[t]
+                todo += [b, a]
+            else:
+                out.append(t)
+        return out
 
     @staticmethod
     def _lookahead(pairs: list[tuple[int, int, int]], lengths: dict[int, int]) -> int:
@@ -70,22 +112,9 @@ class Merges:
         return max([*best.values(), *inner.values(), 0])
 
     def merge(self, ids: list[int]) -> list[int]:
-        """All merges of ids, the highest priority first, from the left."""
+        """All merges of a few ids, the highest priority first, from the left."""
         rank, made, none = self.rank.get, self.made, len(self.made)
         ids = list(ids)
-        while len(ids) > 64:  # all places of a merge at once; below, one place at a time is faster
-            best = min([rank(p, none) for p in zip(ids, ids[1:])])  # noqa: B905
-            if best == none:
-                return ids
-            out, i, n = [], 0, len(ids)
-            while i < n:
-                if i + 1 < n and rank((ids[i], ids[i + 1]), none) == best:
-                    out.append(made[best])
-                    i += 2
-                else:
-                    out.append(ids[i])
-                    i += 1
-            ids = out
         while len(ids) > 1:
             found = [rank(p, none) for p in zip(ids, ids[1:])]  # noqa: B905
             best = min(found)
@@ -95,22 +124,89 @@ class Merges:
             ids[i : i + 2] = [made[best]]
         return ids
 
-    def stream(self, symbols: Iterable[int], size_of: dict[int, int]) -> Iterator[int]:
-        """Tokens of a sequence of symbols of any length, in constant memory."""
-        keep = self.lookahead
-        width = 2 * (keep + self.longest)
-        buffer: list[int] = []
+    def is_valid(self, a: int | None, b: int) -> bool:
+        """Whether a and b stay two tokens when their symbols are merged: no merge on the way crosses their
+        border. Without a: whether b's symbols give b, as the first token of a word must."""
+        got = self.valid.get((a, b))
+        if got is None:
+            if len(self.valid) >= PAIRS:
+                self.valid.clear()
+            got = self.valid[a, b] = self.merge(self.spell(b) if a is None else self.spell(a) + self.spell(b)) == ([b] if a is None else [a, b])
+        return got
+
+
+class Encoder:
+    """The transducer over one word's symbols: ``push`` returns tokens that have become stable, ``close`` the rest."""
+
+    def __init__(self, merges: Merges):
+        self.m = merges
+        self.most = 0  # the most ends that were held at a time
+        self.start()
+
+    def start(self) -> None:
+        self.read = self.base = 0  # symbols read; the end up to which tokens were emitted
+        self.told: int | None = None  # the last token that was emitted
+        self.last: list[tuple[int, int]] = []  # for each end after base: the last token, and where it begins
+        self.open: list[tuple[int, int]] = []  # ends from which a token may reach further, with their place in the trie
+
+    def _step(self, symbol: int) -> None:
+        m, base, last, at = self.m, self.base, self.last, self.read
+        below, ends, width, still, found = m.below, m.ends, m.width, [], None
+        self.open.append((at, 0))
+        for begin, node in self.open:
+            node = below.get(node * width + symbol)
+            if node is not None:
+                still.append((begin, node))
+                if found is None and (token := ends.get(node)) is not None:
+                    if m.is_valid(last[begin - base - 1][0] if begin > base else self.told, token):
+                        found = (token, begin)
+        last.append(found)
+        self.open = still
+        self.read = at + 1
+
+    def push(self, symbols: Iterable[int]) -> list[int]:
+        out: list[int] = []
         for s in symbols:
-            buffer.append(s)
-            if len(buffer) >= width:
-                used = 0
-                for t in self.merge(buffer):
-                    if used + size_of[t] > len(buffer) - keep:
-                        break
-                    used += size_of[t]
-                    yield t
-                del buffer[:used]
-        yield from self.merge(buffer)
+            self._step(s)
+            if len(self.last) % EVERY == 0:
+                out += self._settle()
+        return out
+
+    def _way(self, end: int, down_to: int) -> list[int]:
+        """Tokens of the way back from an end, first to last."""
+        out = []
+        while end > down_to:
+            token, end = self.last[end - self.base - 1]
+            out.append(token)
+        return out[::-1]
+
+    def _settle(self) -> list[int]:
+        """Tokens before the last end through which the ways back from all live ends go."""
+        self.most = max(self.most, len(self.last))
+        live = {begin for begin, _ in self.open if begin > self.base}
+        live.add(self.read)
+        if any(begin == self.base for begin, _ in self.open):
+            return []
+        while len(live) > 1:
+            top = max(live)
+            live.remove(top)
+            begin = self.last[top - self.base - 1][1]
+            if begin <= self.base:
+                return []
+            live.add(begin)
+        end = live.pop()
+        out = self._way(end, self.base)
+        if out:
+            del self.last[: end - self.base]
+            self.base, self.told = end, out[-1]
+        return out
+
+    def close(self) -> list[int]:
+        """The tokens that are left; the encoder is ready for another word."""
+        self.most = max(self.most, len(self.last))
+        out = self._way(self.read, self.base)
+        self.start()
+        return out
 
 
 class Decoder:
@@ -136,11 +232,29 @@ class Decoder:
         return data[:cut].decode("utf-8", "replace")
 
 
+#: Characters that combine with one before them though they are starters: second parts of compositions, Hangul vowels and finals.
+_SECOND = {chr(c) for c in (*range(0x1161, 0x1176), *range(0x11A8, 0x11C3))}
+for _c in map(chr, range(0xC0, 0x30000)):
+    _d = unicodedata.decomposition(_c)
+    if _d and _d[0] != "<" and " " in _d:
+        _SECOND.add(chr(int(_d.split()[1], 16)))
+
+
+def is_steady(c: str) -> bool:
+    """Whether NFC never joins a character with what is before it."""
+    first = unicodedata.normalize("NFD", c)[0]
+    return unicodedata.combining(first) == 0 and first not in _SECOND
+
+
 class Tokenizer:
     """Encoder and decoder of one vocabulary file."""
 
     _ODD = regex.compile("[\x1c-\x1f]")
-    _SPACE = regex.compile("[\t-\r \x85\xa0  -     　]+")
+    _SPACE = regex.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
+    #: Runs that may go on in the next piece, by kind.
+    _RUNS = {"letters": regex.compile(r"\p{L}+", regex.V0), "others": regex.compile(r"[^\s\p{L}\p{N}]+", regex.V0)}
+    #: Characters that decide whether a word is a contraction.
+    _SHORT = 3
 
     def __init__(self, spec: dict):
         model = spec["model"]
@@ -156,12 +270,13 @@ class Tokenizer:
         alphabet = byte_alphabet()
         self.inner = [vocab[c] for c in alphabet]
         self.last = [vocab[c + suffix] for c in alphabet]
-        self.size = {i: max(1, len(t.removesuffix(suffix))) for t, i in vocab.items()}
+        size = {i: max(1, len(t.removesuffix(suffix))) for t, i in vocab.items()}
         pairs = []
         for m in model["merges"]:
             a, b = m if isinstance(m, list) else m.split(" ")
             pairs.append((vocab[a], vocab[b], vocab[a + b]))
-        self.merges = Merges(pairs, self.size)
+        self.merges = Merges(pairs, size, {*self.inner, *self.last})
+        self.encoder = Encoder(self.merges)
         self.bytes_of = {i: t.encode() for i, t in self.tokens.items()}
         self.known: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
@@ -174,17 +289,36 @@ class Tokenizer:
             _loaded[text] = cls(json.loads(text))
         return _loaded[text]
 
-    def word_ids(self, word: str) -> list[int]:
-        raw = word.encode("utf-8")
-        symbols = [self.inner[b] for b in raw[:-1]] + [self.last[raw[-1]]]
-        if len(symbols) <= 2 * (self.merges.lookahead + self.merges.longest):
-            return self.merges.merge(symbols)
-        return list(self.merges.stream(symbols, self.size))
-
     @staticmethod
     def normal(text: str) -> str:
         """NFC, then lower case of each character by itself. White space only divides words here."""
-        return text.lower() if text.isascii() else unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
+        return text.lower() if text.isascii() else unicodedata.normalize("NFC", text).replace("\u03a3", "\u03c3").lower()
+
+    def _through(self, word: str) -> bytes:
+        """A word's tokens, symbol by symbol through the encoder."""
+        raw = word.encode("utf-8", "replace")
+        ids = self.encoder.push(map(self.inner.__getitem__, raw[:-1])) + self.encoder.push((self.last[raw[-1]],)) + self.encoder.close()
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def _of_word(self, w: str) -> bytes:
+        got = self.words.get(w)
+        if got is None:
+            got = self._through(w)
+            if len(w) <= 64:
+                if len(self.words) >= REMEMBERED:
+                    self.words.clear()
+                self.words[w] = got
+        return got
+
+    def _learn(self, chunk: str) -> bytes:
+        """Ids of a chunk without white space; remembered if it is not long."""
+        parts = [self._of_word(w) for w in self.word.findall(chunk)]
+        out = parts[0] if len(parts) == 1 else b"".join(parts)
+        if len(chunk) <= 64:
+            if len(self.known) >= REMEMBERED:
+                self.known.clear()
+            self.known[chunk] = out
+        return out
 
     def _stretches(self, text: str) -> Iterator[str | int]:
         """Normalised text between special tokens, and the ids of those."""
@@ -197,37 +331,82 @@ class Tokenizer:
             elif part:
                 yield self.normal(part)
 
-    def _learn(self, chunk: str) -> bytes:
-        """Ids of a chunk without white space; remembered if it is not long."""
-        parts = []
-        for w in self.word.findall(chunk):
-            got = self.words.get(w)
-            if got is None:
-                ids = self.word_ids(w)
-                got = struct.pack(f"<{len(ids)}I", *ids)
-                if len(w) <= 64:
-                    if len(self.words) >= REMEMBERED:
-                        self.words.clear()
-                    self.words[w] = got
-            parts.append(got)
-        out = parts[0] if len(parts) == 1 else b"".join(parts)
-        if len(chunk) <= 64:
-            if len(self.known) >= REMEMBERED:
-                self.known.clear()
-            self.known[chunk] = out
-        return out
+    def _pieces(self, raw: memoryview) -> Iterator[tuple[str, bool]]:
+        """A text's UTF-8 bytes in pieces, and whether a word may go on from a piece into the next.
 
-    def packed(self, text: str) -> Iterator[bytes]:
-        """Ids as little-endian unsigned 32-bit integers, in pieces of up to a few thousand chunks."""
+        Pieces end before white space or, where there is none in a piece, before any character that
+        does not combine with the one before it and outside special tokens.
+        """
+        if len(raw) <= PIECE:
+            yield str(raw, "utf-8", "replace"), False
+            return
+        decode, held = codecs.getincrementaldecoder("utf-8")("replace").decode, ""
+        hold = max(map(len, self.special), default=1)
+        for at in range(0, len(raw), PIECE):
+            held += decode(raw[at : at + PIECE], at + PIECE >= len(raw))
+            cut = max(held.rfind(" "), held.rfind("\n"))
+            open_ = cut <= 0
+            if open_:
+                cut = len(held) - hold
+                while cut > 0 and not (is_steady(held[cut]) and "<" not in held[max(0, cut - hold) : cut]):
+                    cut -= 1
+            if cut > 0:
+                yield held[:cut], open_
+                held = held[cut:]
+        yield held, False
+
+    def _run(self, text: str, kind: str | None, more: bool) -> tuple[bytes, str, str | None]:
+        """Ids of a piece whose words may go on: (ids, text not used yet, the kind of the word that is open).
+
+        An open word's symbols have gone through the encoder, but for its last character.
+        """
+        out, at, size = [], 0, len(text)
+        if kind:
+            end = self._RUNS[kind].match(text).end()  # the character kept back is of that kind
+            if end == size and more:
+                out.append(self._ids(self.encoder.push(map(self.inner.__getitem__, text[:-1].encode("utf-8", "replace")))))
+                return b"".join(out), text[-1], kind
+            out.append(self._through(text[:end]))
+            at = end
+        for m in self.word.finditer(text, at):
+            if more and m.start() > size - self._SHORT:
+                return b"".join(out), text[m.start() :], None
+            w = m[0]
+            if more and m.end() == size and len(w) > 1 and not (w[0] == "'" and w[1].isalpha()):
+                kind = "letters" if self._RUNS["letters"].match(w) else "others"
+                out.append(self._ids(self.encoder.push(map(self.inner.__getitem__, w[:-1].encode("utf-8", "replace")))))
+                return b"".join(out), w[-1], kind
+            out.append(self._of_word(w))
+        return b"".join(out), "", None
+
+    @staticmethod
+    def _ids(ids: list[int]) -> bytes:
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def packed(self, text: str | bytes | memoryview) -> Iterator[bytes]:
+        """Ids as little-endian unsigned 32-bit integers, as they become stable, in parts of bounded size."""
+        raw = memoryview(text.encode("utf-8", "replace") if isinstance(text, str) else text)
         known, learn = self.known.get, self._learn
-        for part in self._stretches(text):
-            if isinstance(part, int):
-                yield part.to_bytes(4, "little")
-                continue
-            # Python's split also divides at the separators U+001C to U+001F, which are no white space here
-            chunks = part.split() if self._ODD.search(part) is None else self._SPACE.split(part)
-            for at in range(0, len(chunks), 8192):
-                yield b"".join([known(w) or learn(w) for w in chunks[at : at + 8192]])
+        held, kind = "", None  # of a word that goes on from piece to piece
+        for piece, open_ in self._pieces(raw):
+            parts = [*self._stretches(piece)]
+            for i, part in enumerate(parts):
+                goes_on = open_ and i == len(parts) - 1
+                if not (goes_on or held):
+                    if isinstance(part, int):
+                        yield part.to_bytes(4, "little")
+                        continue
+                    # Python's split also divides at the separators U+001C to U+001F, which are no white space here
+                    chunks = part.split() if self._ODD.search(part) is None else self._SPACE.split(part)
+                    yield b"".join([known(w) or learn(w) for w in chunks])
+                elif isinstance(part, int):
+                    out, held, kind = self._run(held, kind, False)
+                    yield out + part.to_bytes(4, "little")
+                else:
+                    out, held, kind = self._run(held + part, kind, goes_on)
+                    yield out
+        if held:
+            yield self._run(held, kind, False)[0]
 
     def encode(self, text: str) -> list[int]:
         raw = b"".join(self.packed(text))
@@ -250,9 +429,25 @@ class Tokenizer:
         out.append(machine.feed(b"", last=True))
         return "".join(out)
 
+    def digests(self, raw: memoryview) -> tuple[int, str, str]:
+        """Number of tokens, and digests of ids and of the decoded text, fed as tokens become stable."""
+        ids, text, machine, size = hashlib.sha256(), hashlib.sha256(), Decoder(), 0
+
+        def told() -> Iterator[bytes]:
+            nonlocal size
+            for part in self.packed(raw):
+                ids.update(part)
+                size += len(part)
+                yield part
+
+        for part in self.decode_bytes(told()):
+            text.update(machine.feed(part).encode())
+        text.update(machine.feed(b"", last=True).encode())
+        return size // 4, ids.hexdigest(), text.hexdigest()
+
 
 def encode_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
-    """Per row doc_id, n_tokens, ids_sha256 and decoded_sha256; with_ids adds the packed ids.
+    """Per row doc_id, n_tokens, ids_sha256 and decoded_sha256; with_ids adds the packed ids (as long as the text).
 
     Null counts as empty: no tokens, and the digests of nothing. One narrow pass; the vocabulary file
     is read on the driver and sent along, as its size (under 2 MB) does not depend on the data.
@@ -264,24 +459,13 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id
         tokenizer = None
         for b in batches:
             tokenizer = tokenizer or Tokenizer.load(spec.value)
-            counts, ids_sha, text_sha, raw = [], [], [], []
-            for value in b.column(1):
-                packed = list(tokenizer.packed(value.as_py() or ""))
-                ids, text, machine = hashlib.sha256(), hashlib.sha256(), Decoder()
-                for piece in packed:
-                    ids.update(piece)
-                for piece in tokenizer.decode_bytes(packed):
-                    text.update(machine.feed(piece).encode())
-                text.update(machine.feed(b"", last=True).encode())
-                counts.append(sum(map(len, packed)) // 4)
-                ids_sha.append(ids.hexdigest())
-                text_sha.append(text.hexdigest())
-                if with_ids:
-                    raw.append(b"".join(packed))
-            columns = [b.column(0), pa.array(counts, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())]
+            data, offsets = as_bytes(b.column(1))
+            texts = [memoryview(data[i:j]) for i, j in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+            counts, ids, decoded = zip(*map(tokenizer.digests, texts), strict=True) if texts else ((), (), ())
+            columns = [b.column(0), pa.array(counts, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())]
             names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
             if with_ids:
-                columns.append(pa.array(raw, pa.binary()))
+                columns.append(pa.array([b"".join(tokenizer.packed(t)) for t in texts], pa.binary()))
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
