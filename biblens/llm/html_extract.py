@@ -1,15 +1,23 @@
 """Main text of web pages by line-block distribution.
 
 Markup is stripped into lines, one for each block of the page; block tags without text between them
-leave empty lines. Parts that are never content
-(menus, forms, scripts, notices, adverts, comments and the like, told by tag, role, class or id)
-leave an empty gap of lines. Pages that mark their article keep all other lines inside it. On other
-pages the lengths of text that is not link text are summed over sliding windows of lines; a surge is
-where the sum passes a threshold, a dive where it returns to zero, and every stretch between a surge and
-its dive is kept. Pages without a surge keep the stretch with most such text.
+leave empty lines. A line weighs its characters outside links. Weights are summed over sliding windows
+of ``WINDOW`` lines; a surge is where the sum passes ``SURGE``, a dive where it returns to zero, and the
+text of every stretch that surges before it dives is kept. That decides on every page. A stretch of
+headings alone goes with the stretch that follows it, and a short stretch between two kept ones stays.
+
+Structure only shapes the weights. Elements that HTML or the page itself declares to be no content
+(menus, forms, scripts, asides, footers, hidden parts) and those whose class or id names adverts,
+comments, sidebars and the like weigh nothing and leave a gap of empty lines; where the name is a
+weaker hint (notice, share, tags, ...), a quarter, so long prose survives it. If an article or main
+element holds at least ``TRUST`` of a page's weight, its lines that are not mostly links weigh ``SURGE`` more, and lines
+outside weigh nothing; otherwise, as with teasers in article elements, it counts for nothing.
+If nothing surges, the stretch with most weight (without any, most characters) is the text.
 
 Null, empty and text-less pages give an empty string. Unclosed or crossed tags end at the next
-structural tag, so a broken page gives what can be read of it.
+structural tag, so a broken page gives what can be read of it. Time and memory are linear in a page's length,
+however long it is. Stretches of equal weight: the first. Repeated rows give repeated rows, an empty table
+none, and further columns are not looked at.
 """
 
 from __future__ import annotations
@@ -25,8 +33,12 @@ from biblens.llm.common import pick
 
 #: Lines in a window of the distribution, and the empty lines that a removed part leaves.
 WINDOW = 3
-#: Characters in a window, without link text, from which on a stretch is text of the page.
+#: Characters in a window, without link text, above which a stretch is text of the page.
 SURGE = 86
+#: Share of a page's weight from which on its article or main elements are trusted.
+TRUST = 1 / 3
+#: Weight of text under a weak hint.
+WEAK = 0.25
 
 # Fixed values of HTML: elements without content of their own, and elements that break lines.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -40,12 +52,17 @@ BLOCK = frozenset(
 DROP = frozenset("head nav aside footer form button select menu dialog fieldset svg object audio video canvas".split())
 DROP_ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog form menu menubar toolbar tablist".split())
 DROP_WORDS = frozenset(
-    "ad ads adv advert adverts advertisement advertisements advertising adbox adslot banner sponsor sponsored promo promotion "
-    "nav navbar navigation menu menus submenu breadcrumb breadcrumbs topbar toolbar header masthead footer "
-    "sidebar aside rail cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe "
-    "subscription signup login share sharing social comment comments respond replies reply disqus related recommended "
-    "pagination pager widget search skip hidden tags".split()
+    "ad ads adv advert adverts advertisement advertisements advertising adbox adslot sponsor sponsored promo "
+    "nav navbar navigation menu menus submenu breadcrumb breadcrumbs topbar toolbar masthead footer "
+    "sidebar cookie cookies consent gdpr popup modal newsletter signup login comment comments respond replies disqus "
+    "pagination pager".split()
+)
+#: Words of class and id that only hint at it.
+WEAK_WORDS = frozenset(
+    "banner promotion header aside rail notice notices notification alert overlay subscribe subscription share sharing social reply "
+    "related recommended widget search skip hidden tags".split()
 )
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 KEEP_TAGS = frozenset("html body main article".split())
 
 TOKEN = re.compile(
@@ -53,63 +70,81 @@ TOKEN = re.compile(
     r"|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)([^>]*)>",
     re.S,
 )
+OPEN = re.compile(r"<[A-Za-z/!?]")
 ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+")
 SPACE = re.compile(r"\s+")
 
 
-def _is_noise(tag: str, attributes: str, inside: bool) -> bool:
-    """Whether an element is not content. A header inside the article is its heading."""
+def noise(tag: str, attributes: str, inside: bool) -> float:
+    """Weight of an element's text: 0 if it is no content, ``WEAK`` if that is only hinted at, else 1. A header inside the article is its heading."""
     if tag in KEEP_TAGS:
-        return False
+        return 1
     if tag in DROP or (tag == "header" and not inside):
-        return True
-    if not attributes or tag in ("h1", "h2", "h3", "h4", "h5", "h6"):
-        return False
+        return 0
+    out = 1.0
+    if not attributes or tag in HEADINGS:
+        return out
     for m in ATTRIBUTE.finditer(attributes):
         name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if name == "hidden" or (name == "aria-hidden" and value.lower() == "true"):
-            return True
+            return 0
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-            return True
+            return 0
         if name == "role" and value.lower() in DROP_ROLES:
-            return True
+            return 0
         if name in ("class", "id"):
             words = {w.lower() for w in WORDS.findall(value)}
-            if words & DROP_WORDS and not (words & {"article", "content", "main", "body", "post", "entry"} and not words & {"comment", "comments", "sidebar", "nav", "footer", "ad", "ads"}):
-                return True
-    return False
+            named = words & {"article", "content", "main", "body", "post", "entry"}
+            if words & DROP_WORDS and not (named and not words & {"comment", "comments", "sidebar", "nav", "footer", "ad", "ads"}):
+                return 0
+            if words & WEAK_WORDS and not named:
+                out = WEAK
+    return out
+
+
+class Line:
+    """A line of a page: its text, characters outside links, where it stands, and whether something was removed there."""
+
+    __slots__ = ("text", "plain", "inside", "share", "heading", "gap")
 
+    def __init__(self, text: str, plain: int, inside: bool, share: float, heading: bool, gap: bool = False):
+        self.text, self.plain, self.inside, self.share, self.heading, self.gap = text, plain, inside, share, heading, gap
 
-def page_lines(page: str) -> list[tuple[str, int, bool]]:
-    """Lines of a page: (text, characters that are not link text, inside a marked article)."""
-    lines: list[tuple[str, int, bool]] = []
+
+def page_lines(page: str) -> list[Line]:
+    """The lines of a page."""
+    lines: list[Line] = []
     parts: list[str] = []
     linked = depth = 0  # characters of link text in the line; open article or main elements
-    link = False
+    link = heading = False
     skip: str | None = None  # the element being dropped, and how many of its name are open
     opened = 0
-    at, size = 0, len(page)
+    weak: list[str] = []  # open elements under a weak hint, and those of the same names inside them
+    unclosed: set[str] = set()  # raw elements that no end tag follows any more
+    at, size, last = 0, len(page), page.rfind(">")
 
     def flush(empty: bool = False) -> None:
-        nonlocal linked
+        nonlocal linked, heading
         text = SPACE.sub(" ", html.unescape("".join(parts))).strip()
         if text or empty:
-            lines.append((text, max(0, len(text) - linked), depth > 0))
+            lines.append(Line(text, max(0, len(text) - linked), depth > 0, WEAK if weak else 1.0, heading))
         parts.clear()
-        linked = 0
+        linked, heading = 0, False
 
     def gap() -> None:
         flush()
-        lines.extend([("", 0, False)] * WINDOW)
+        lines.extend(Line("", 0, False, 1.0, False, True) for _ in range(WINDOW))
 
     while at < size:
-        m = TOKEN.search(page, at)
+        m = TOKEN.search(page, at) if at <= last else None
         end = m.start() if m else size
         if skip is None and end > at:
-            parts.append(page[at:end])
+            broken = None if m else OPEN.search(page, at)  # a tag that never ends takes the rest
+            text = page[at : broken.start() if broken else end]
+            parts.append(text)
             if link:
-                linked += len(page[at:end].strip())
+                linked += len(text.strip())
         if m is None:
             break
         at = m.end()
@@ -118,8 +153,13 @@ def page_lines(page: str) -> list[tuple[str, int, bool]]:
             continue
         closing, attributes = bool(m[1] or m[4]), m[3] or m[6] or ""
         if tag in RAW and not closing:
-            stop = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
-            at = stop.end() if stop else (page.find("<", at) if page.find("<", at) >= 0 else size)
+            stop = None if tag in unclosed else re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
+            if stop:
+                at = stop.end()
+            else:
+                unclosed.add(tag)
+                after = page.find("<", at)
+                at = after if after >= 0 else size
             continue
         if skip is not None:
             if tag in ("article", "main") and not closing and skip not in ("article", "main"):
@@ -138,7 +178,8 @@ def page_lines(page: str) -> list[tuple[str, int, bool]]:
                 skip = None
             else:
                 continue
-        if not closing and tag not in VOID and _is_noise(tag, attributes, depth > 0):
+        share = 1.0 if closing or tag in VOID else noise(tag, attributes, depth > 0)
+        if share == 0:
             gap()
             if not attributes.rstrip().endswith("/"):
                 skip, opened = tag, 1
@@ -148,46 +189,84 @@ def page_lines(page: str) -> list[tuple[str, int, bool]]:
         if tag in BLOCK:
             flush(empty=True)
             link = False
+            heading = tag in HEADINGS and not closing
             if tag in ("article", "main"):
                 depth = max(0, depth + (-1 if closing else 1))
-                lines.extend([("", 0, False)] * WINDOW)
+                weak.clear()
+                gap()
+        if closing and weak and tag == weak[-1]:
+            weak.pop()
+            if not weak:
+                gap()
+        elif not closing and tag not in VOID and (share < 1 or (weak and tag == weak[-1] and tag != "p" and tag != "li")):
+            if not weak:
+                gap()
+            weak.append(tag)
     flush()
     return lines
 
 
-def blocks(lengths: list[int], window: int = WINDOW, surge: int = 0) -> list[tuple[int, int]]:
-    """Stretches between surge and dive of the windowed sums of line lengths, as line ranges."""
-    n = len(lengths)
-    total, sums = sum(lengths[:window]), []
+def weights(lines: list[Line]) -> list[float]:
+    """What each line counts in the distribution."""
+    own = [n.plain * n.share for n in lines]
+    marked = sum(w for n, w in zip(lines, own, strict=True) if n.inside)
+    if not marked or marked < TRUST * sum(own):
+        return own
+    # a line of which half or more is link text takes its characters only
+    return [(w + SURGE * (n.share == 1 and 2 * n.plain > len(n.text))) if n.inside else 0.0 for n, w in zip(lines, own, strict=True)]
+
+
+def stretches(weight: list[float], window: int = WINDOW) -> list[tuple[int, int, float]]:
+    """Ranges of lines from where the windowed sum of weights rises to where it dives to zero, and its maximum there."""
+    n, out = len(weight), []
+    last = -window  # the last line with weight
     for i in range(n):
+        if weight[i] > 0:
+            if i - last > window or not out:
+                out.append([i, i + 1, 0.0])
+            out[-1][1] = i + 1
+            last = i
+    total = 0.0
+    sums = []
+    for i in range(n):  # of the lines i - window + 1 to i
+        total = sum(weight[max(0, i - window + 1) : i + 1])
         sums.append(total)
-        total += (lengths[i + window] if i + window < n else 0) - lengths[i]
-    out, start, high = [], None, 0
-    for i, s in enumerate([*sums, 0]):
-        if start is None and s > 0 and lengths[i] > 0:
-            start, high = i, 0
-        if start is not None:
-            high = max(high, s)
-            if s == 0:
-                if high > surge:
-                    out.append((start, i))
-                start = None
+    return [(a, b, max(sums[a:b])) for a, b, _ in out]
+
+
+def kept_lines(lines: list[Line], window: int = WINDOW, surge: float = SURGE) -> list[bool]:
+    """Which lines the distribution keeps."""
+    weight = weights(lines)
+    found = stretches(weight, window)
+    if not found:
+        found = stretches([float(len(n.text)) for n in lines], window)
+        weight = [float(len(n.text)) for n in lines]
+    keep = [high > surge for _, _, high in found]
+    if found and not any(keep):
+        totals = [sum(weight[a:b]) for a, b, _ in found]
+        keep[totals.index(max(totals))] = True
+    touching = [all(not n.text and not n.gap for n in lines[x[1] : y[0]]) for x, y in zip(found, found[1:], strict=False)]
+    titles = [all(n.heading or not n.text for n in lines[a:b]) for a, b, _ in found]
+    for i in reversed(range(len(found) - 1)):  # headings go with what follows
+        keep[i] = keep[i] or (titles[i] and touching[i] and keep[i + 1])
+    for i in range(1, len(found) - 1):  # short ones between two kept ones
+        if not keep[i] and keep[i - 1] and touching[i - 1] and touching[i]:
+            j = i + 1
+            while j < len(found) - 1 and not keep[j] and touching[j]:
+                j += 1
+            if keep[j]:
+                keep[i] = True
+    out = [False] * len(lines)
+    for (a, b, _), k in zip(found, keep, strict=True):
+        if k:
+            out[a:b] = [True] * (b - a)
     return out
 
 
-def main_text(page: str | None, window: int = WINDOW, surge: int = SURGE) -> str:
+def main_text(page: str | None, window: int = WINDOW, surge: float = SURGE) -> str:
     """The main text of one page; empty if it has none."""
-    if not page:
-        return ""
-    lines = page_lines(page)
-    if any(inside and text for text, _, inside in lines):
-        return " ".join(t for t, _, inside in lines if inside and t)
-    plain = [n for _, n, _ in lines]
-    kept = blocks(plain, window, surge)
-    if not kept:
-        found = blocks(plain, window) or blocks([len(t) for t, _, _ in lines], window)
-        kept = [max(found, key=lambda f: sum(plain[f[0] : f[1]]))] if found else []
-    return " ".join(t for a, b in kept for t, _, _ in lines[a:b] if t)
+    lines = page_lines(page) if page else []
+    return " ".join(n.text for n, k in zip(lines, kept_lines(lines, window, surge), strict=True) if k and n.text)
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

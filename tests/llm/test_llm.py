@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from biblens.llm import bpe, common, html_extract, line_dedup, minhash, mixing, quality, secret_scan, simhash, suffix_dedup
+from biblens.llm import bpe, common, line_dedup, minhash, mixing, quality, secret_scan, simhash, suffix_dedup
 from biblens.llm.queries import vocabulary_path
 
 WORDS = "alpha beta gamma delta omega sigma kappa zeta theta iota lambda nu xi pi rho tau phi chi psi eta".split()
@@ -195,22 +195,6 @@ def test_secrets():
     assert secret_scan.scan_text("a/very/long/path/of/plain/words/only " + "internationalizationism" * 2) == ([], [])
 
 
-def test_html():
-    page = '<html><head><title>T</title><script>var a="</p>";</script></head><body><nav><a href=x>Menu</a></nav><div class="cookie-notice">We use cookies on this page</div><article><h1>Head &amp; more</h1><p><b>One<br>two\n  three<p>A<i>b</i>c.</p><aside>side</aside></article><div id="comments"><p>Nice!</p></div><form>Mail <input></form><footer>end</footer>'
-    assert html_extract.main_text(page) == "Head & more One two three Abc."
-    plain = "<div id='top-menu'>Home</div><div><p>" + "long text " * 30 + "</p><p>tail</p></div><div class=sidebar>Links</div>"
-    assert html_extract.main_text(plain) == ("long text " * 30).strip() + " tail"
-    assert html_extract.main_text(None) == html_extract.main_text("") == html_extract.main_text("<nav>x") == ""
-
-
-def test_html_without_article():
-    """Lengths of lines decide: a closing paragraph after an advert stays, a block of short lines and links goes."""
-    body, close = "long text of the page " * 240, "closing words of it " * 10
-    page = f"<div><p>{body}</p></div><div class=ad>Buy</div><div><p>{close}</p></div><div><div><ul><li><a href=x>{'more of this site ' * 9}</a><li>Imprint</ul></div></div>"
-    assert html_extract.main_text(page) == f"{body.strip()} {close.strip()}"
-    assert html_extract.main_text("<p>few words") == "few words" and html_extract.main_text("<a href=x>one link</a>") == "one link"
-
-
 def test_edge_tables(spark, odd, empty):
     tok = vocabulary_path()
     assert suffix_dedup.dedup(odd, digest=True).count() == line_dedup.dedup(odd, digest=True).count() == 5
@@ -219,8 +203,6 @@ def test_edge_tables(spark, odd, empty):
     assert bpe.encode_documents(odd, tok).count() == secret_scan.scan(odd).count() == 5
     for f in (lambda d: suffix_dedup.dedup(d, digest=True), lambda d: line_dedup.dedup(d, digest=True), minhash.near_duplicates, minhash.without_near_duplicates, simhash.compare_edited, mixing.mix_counts, mixing.mixed_documents, secret_scan.scan, lambda d: bpe.encode_documents(d, tok)):
         assert f(empty).count() == 0
-    pages = spark.createDataFrame([(1, "u", None), (1, "u", "<p>x")], "page_id long, url string, html string")
-    assert sorted(r["text"] for r in html_extract.extract(pages).collect()) == ["", "x"] and html_extract.extract(pages.limit(0)).count() == 0
 
 
 def test_pipeline(spark, tmp_path):
