@@ -5,7 +5,14 @@ weight is its length in characters, and each occurrence votes. The 64 bits of a
 plus or minus the weight; a fingerprint bit is 1 where the sum is above zero. Sums are gathered two
 bits to a long: bit j and bit j + 32 of the hash, masked out together, add up in separate halves, so
 32 sums count all 64 bits and no row needs an array. Null counts as empty; a text without words has
-fingerprint 0. Rows with repeated or null ids are documents of their own.
+fingerprint 0. Rows with repeated or null ids are documents of their own. An empty table gives no rows.
+A text of any length counts whole: its words are one array, its sums are gathered as it is read. Ties in
+a vote give 0; rows tie in the order of ids only where ids repeat, and then follow their texts.
+
+Near fingerprints are found by permuted block tables: the 64 bits are cut into ``RADIUS`` + ``SAME``
+blocks, and each table is keyed by another choice of ``SAME`` blocks. Fingerprints within the radius
+differ in at most ``RADIUS`` blocks, so they agree in a key of one table at least. A pair counts in the
+first table in which it meets. Equal fingerprints are one entry with a count.
 """
 
 from __future__ import annotations
@@ -15,9 +22,13 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from biblens.llm.common import pick, text_or_empty, with_uid
+from biblens.llm.common import join_hot, pick, text_or_empty, with_uid
 from biblens.runtime import partitions, write_table
 
+#: Hamming radius of the search, and blocks in the key of a table: keys have 64 * SAME / (RADIUS + SAME) bits.
+RADIUS, SAME = 3, 3
+#: Documents whose id is divisible by this ask for their neighbours.
+EVERY = 50
 HALVES = 0x0000000100000001
 LOW = 0xFFFFFFFF
 
@@ -70,23 +81,73 @@ def with_next(table: DataFrame) -> DataFrame:
     return joined.select(*table.columns, F.col("near.uid").alias("next_uid"), F.col("near.n").alias("next_n"), F.col("near.fp").alias("next_fp"))
 
 
-def compare_edited(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next) of every row.
+def tables(radius: int = RADIUS, same: int = SAME) -> list[int]:
+    """The mask of each table: the bits of its choice of blocks."""
+    parts = radius + same
+    cuts = [64 * i // parts for i in range(parts + 1)]
+    masks = [sum(((1 << (cuts[b + 1] - cuts[b])) - 1) << cuts[b] for b in chosen) for chosen in combinations(range(parts), same)]
+    return [m - (1 << 64) if m >> 63 else m for m in masks]
+
+
+def block_keys(fp: Column, masks: list[int]) -> Column:
+    """The keys of a fingerprint in every permuted block table, as an array of struct(table, key)."""
+    return F.array(*[F.struct(F.lit(t).alias("table"), fp.bitwiseAND(F.lit(m)).alias("key")) for t, m in enumerate(masks)])
+
+
+def meetings(values: DataFrame, asks: DataFrame, radius: int = RADIUS, same: int = SAME) -> DataFrame:
+    """(v, w, distance, and further columns of values as they are): each v of ``asks`` with each w of ``values`` within the radius, once."""
+    masks = tables(radius, same)
+    more = [c for c in values.columns if c != "w"]
+    left = asks.select("v", F.explode(block_keys(F.col("v"), masks)).alias("k")).select("v", "k.table", "k.key")
+    right = values.select("w", *more, F.explode(block_keys(F.col("w"), masks)).alias("k")).select("w", *more, "k.table", "k.key")
+    differ = F.col("v").bitwiseXOR(F.col("w"))
+    first = F.coalesce(*[F.when(differ.bitwiseAND(F.lit(m)) == 0, F.lit(t)) for t, m in enumerate(masks)])
+    met = left.join(right, ["table", "key"]).filter((F.bit_count(differ) <= radius) & (first == F.col("table")))
+    return met.select("v", "w", F.bit_count(differ).alias("distance"), *more)
+
+
+def near_fingerprints(table: DataFrame, radius: int = RADIUS, same: int = SAME, fp: str = "fp") -> DataFrame:
+    """(a, b, distance): all pairs a < b of different fingerprints within the Hamming radius.
+
+    Equal fingerprints are one, so copies are not expanded; they are joined to it by value.
+    """
+    distinct = table.select(F.col(fp).alias("v")).filter("v is not null").distinct()
+    met = meetings(distinct.withColumnRenamed("v", "w"), distinct, radius, same)
+    return met.filter("v < w").select(F.col("v").alias("a"), F.col("w").alias("b"), "distance")
+
+
+def count_neighbours(table: DataFrame, radius: int = RADIUS, same: int = SAME) -> DataFrame:
+    """(uid, n_near) of the rows (uid, fp, asks) that ask: how many other rows' fingerprints are within the radius."""
+    values = table.groupBy("fp").agg(F.count(F.lit(1)).alias("rows"), F.count_if("asks").alias("asking"))
+    values, _ = write_table(values, "values")
+    asked = values.filter("asking > 0")
+    near = meetings(values.select(F.col("fp").alias("w"), "rows"), asked.select(F.col("fp").alias("v")), radius, same)
+    near = near.groupBy("v").agg(F.sum("rows").alias("near")).withColumnRenamed("v", "fp")
+    near, _ = write_table(near.join(asked.select("fp", "asking"), "fp"), "near")
+    rows = table.filter("asks").select("uid", "fp")
+    return join_hot(rows, near, ["fp"], "asking").select("uid", (F.col("near") - 1).alias("n_near"))
+
+
+def compare_edited(docs: DataFrame, every: int = EVERY) -> DataFrame:
+    """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, n_near) of every row.
 
     The edited text has its last n div 2 code points replaced by the first as many (or all) of the next
-    document's, in descending order of ids; after the last comes the first.
+    document's, in descending order of ids; after the last comes the first. n_near is the number of other
+    documents whose fingerprint is within the radius, for ids divisible by ``every``, else null.
     """
     rows = with_uid(pick(docs, doc_id="doc_id", text="text")).select("uid", "doc_id", text_or_empty().alias("text"))
     sized = rows.select("uid", "doc_id", F.length("text").cast("long").alias("n"), "text")
     table, _ = write_table(with_next(fingerprints(sized, "text", ["uid", "doc_id", "n"], "fp")), "fingerprints")
+    asks = F.coalesce(F.col("doc_id").cast("long") % every == 0, F.lit(False)).alias("asks")
+    near = count_neighbours(table.select("uid", "fp", asks))
     texts = rows.select("uid", "text")  # the same columns in both joins below, which so share one exchange
     # each text goes once, cut to what is asked of it, to the document before it
     ask = table.select(F.col("next_uid").alias("uid"), F.col("uid").alias("to"), F.expr("cast(n div 2 as int)").alias("m"))
     sent = texts.join(ask, "uid").select(F.col("to").alias("uid"), F.substring("text", F.lit(1), F.col("m")).alias("tail"))
-    known = table.select("uid", "doc_id", "n", "fp", "next_fp")
+    known = table.select("uid", "doc_id", "n", "fp", "next_fp").join(near, "uid", "left")
     edited = F.concat(F.substring("text", F.lit(1), F.expr("cast(n - n div 2 as int)")), "tail")
     both = texts.join(known, "uid").join(sent, "uid").withColumn("edited", edited)
-    keys = ["uid", "doc_id", "n", "fp", "next_fp", "sha"]
+    keys = ["uid", "doc_id", "n", "fp", "next_fp", "n_near", "sha"]
     out = fingerprints(both.withColumn("sha", F.sha2(F.col("edited").cast("binary"), 256)), "edited", keys, "efp")
     return out.select(
         "doc_id",
@@ -96,34 +157,5 @@ def compare_edited(docs: DataFrame) -> DataFrame:
         as_hex(F.col("efp")).alias("edited_fingerprint"),
         likeness(F.col("fp"), F.col("efp")).alias("near_edited"),
         likeness(F.col("fp"), F.col("next_fp")).alias("near_next"),
+        "n_near",
     )
-
-
-def block_keys(fp: Column, radius: int, same: int) -> Column:
-    """The keys of a fingerprint in every permuted block table, as an array of struct(table, key).
-
-    The 64 bits are cut into radius + same blocks. Two fingerprints within the radius differ in at most
-    ``radius`` blocks, so they agree in ``same`` of them: they meet in one of the tables, each of which
-    moves one choice of ``same`` blocks to the front and is keyed by it.
-    """
-    parts = radius + same
-    cuts = [64 * i // parts for i in range(parts + 1)]
-    out = []
-    for t, chosen in enumerate(combinations(range(parts), same)):
-        mask = sum(((1 << (cuts[b + 1] - cuts[b])) - 1) << cuts[b] for b in chosen)
-        out.append(F.struct(F.lit(t).alias("table"), fp.bitwiseAND(F.lit(mask - (1 << 64) if mask >> 63 else mask)).alias("key")))
-    return F.array(*out)
-
-
-def near_fingerprints(table: DataFrame, radius: int = 3, same: int = 3, fp: str = "fp") -> DataFrame:
-    """(a, b, distance): all pairs a < b of different fingerprints within the Hamming radius.
-
-    Equal fingerprints are one, so copies are not expanded; they are joined to it by value. Keys of
-    ``same`` blocks are 64 * same / (radius + same) bits long, which keeps buckets of a table small.
-    """
-    distinct = table.select(F.col(fp).alias("v")).filter("v is not null").distinct()
-    keyed = distinct.select("v", F.explode(block_keys(F.col("v"), radius, same)).alias("k")).select("v", "k.table", "k.key")
-    a, b = keyed.alias("x"), keyed.alias("y")
-    met = a.join(b, (F.col("x.table") == F.col("y.table")) & (F.col("x.key") == F.col("y.key")) & (F.col("x.v") < F.col("y.v")))
-    distance = F.bit_count(F.col("x.v").bitwiseXOR(F.col("y.v")))
-    return met.filter(distance <= radius).select(F.col("x.v").alias("a"), F.col("y.v").alias("b"), distance.alias("distance")).distinct()

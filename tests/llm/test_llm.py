@@ -144,24 +144,6 @@ def test_quality_learns(spark):
     assert quality.keep_good(docs, model).columns == docs.columns
 
 
-def test_simhash(docs):
-    got = {r["doc_id"]: r for r in simhash.compare_edited(docs).collect()}
-    t = [x or "" for x in texts()]
-    for i, x in enumerate(t):
-        h = len(x) // 2
-        assert got[i]["edited_sha256"] == hashlib.sha256((x[: len(x) - h] + t[i - 1][:h]).encode()).hexdigest()
-    assert got[0]["fingerprint"] == got[1]["fingerprint"] and got[1]["near_next"] == 1.0 and len(got[3]["fingerprint"]) == 16
-
-
-def test_block_tables_find_all(spark):
-    r = random.Random(1)
-    base = [r.getrandbits(63) for _ in range(60)]
-    values = sorted({*base, *(b ^ sum(1 << k for k in r.sample(range(63), r.randint(1, 5))) for b in base for _ in range(3))})
-    want = {(a, b) for a, b in itertools.combinations(values, 2) if (a ^ b).bit_count() <= 3}
-    got = {(x["a"], x["b"]) for x in simhash.near_fingerprints(spark.createDataFrame([(v,) for v in values], "fp long")).collect()}
-    assert got == want
-
-
 def test_mixing(docs):
     rows = mixing.mix_counts(docs, block=8).collect()
     assert [tuple(r) for r in sorted(rows)] == [tuple(r) for r in sorted(mixing.mix_counts(docs, block=8).collect())]
