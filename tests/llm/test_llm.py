@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from biblens.llm import bpe, common, line_dedup, minhash, mixing, quality, secret_scan, simhash, suffix_dedup
+from biblens.llm import bpe, common, line_dedup, minhash, mixing, secret_scan, simhash, suffix_dedup
 from biblens.llm.queries import vocabulary_path
 
 WORDS = "alpha beta gamma delta omega sigma kappa zeta theta iota lambda nu xi pi rho tau phi chi psi eta".split()
@@ -132,18 +132,6 @@ def test_components_of_a_path(spark):
     assert {r["uid"]: r["root"] for r in minhash.components(links).collect()} == {**dict.fromkeys(range(2, 13), 1), 21: 20}
 
 
-def test_quality_learns(spark):
-    good = [(i, prose(i, 120)) for i in range(60)]
-    bad = [(100 + i, " ".join(w.upper() + "!!" for w in prose(i, 120).split())) for i in range(60)]
-    docs = spark.createDataFrame([*good, *bad, (300, None), (301, "")], "doc_id long, text string")
-    labels = spark.createDataFrame([(i, int(i < 100), 0) for i, _ in good + bad] + [(None, 1, 0), (1, None, None)], "doc_id long, quality int, toxic int")
-    model = quality.train(docs, labels)
-    got = {r["doc_id"]: r["score"] for r in quality.score(docs, model).collect()}
-    assert all(got[i] > 0.5 for i, _ in good) and all(got[i] < 0.3 for i, _ in bad) and 0 <= got[300] == got[301] <= 1
-    assert quality.train(docs, labels.limit(0)).score(np.zeros((1, quality.FEATURES), np.float32), np.array([0, 1]))[0] == 0.5
-    assert quality.keep_good(docs, model).columns == docs.columns
-
-
 def test_mixing(docs):
     rows = mixing.mix_counts(docs, block=8).collect()
     assert [tuple(r) for r in sorted(rows)] == [tuple(r) for r in sorted(mixing.mix_counts(docs, block=8).collect())]
@@ -165,18 +153,6 @@ def test_permutation():
         assert sorted(got.tolist()) == list(range(n))
 
 
-def test_secrets():
-    text = "é password = \"abcdef123\" token:ab AKIA" + "A1" * 8 + " secret:token:abcdefgh " + "0a" * 12 + " key q7Zx9Lm2Vt4Kp8Rw1Yc6Nb3Hj5Gd0 plain"
-    base, spans = secret_scan.scan_text(text)
-    assert [k for _, _, k in base] == ["assign", "access", "hex"]
-    assert any(k == "entropy-base64" and "q7Zx9" in text[a:b] for a, b, k in spans) and set(base) <= set(spans)
-    s = "abcabcddd" * 5
-    for got, i in zip(secret_scan.window_entropy(s, 7), range(len(s)), strict=False):
-        w = s[i : i + 7]
-        assert abs(got + sum(w.count(c) / 7 * np.log2(w.count(c) / 7) for c in set(w))) < 1e-9
-    assert secret_scan.scan_text("a/very/long/path/of/plain/words/only " + "internationalizationism" * 2) == ([], [])
-
-
 def test_edge_tables(spark, odd, empty):
     tok = vocabulary_path()
     assert suffix_dedup.dedup(odd, digest=True).count() == line_dedup.dedup(odd, digest=True).count() == 5
