@@ -6,9 +6,11 @@ learned vector, weighs the passages; the weighted sum of the encodings gives the
 Only document labels are used: the weights of passages are learned from them. Every passage of every
 text counts, none is cut off.
 
-Training takes at most ``MOST`` labelled documents, those with the smallest hash of their id, so that
-what the driver holds is bounded. Without documents of both labels the score is the share of label 1
-(0.5 if there is no label at all). Null counts as empty; an empty text is one passage of zeros.
+Training takes at most ``MOST`` labelled documents, those with the smallest hash of their id, and at most
+``MOST_BYTES`` of their texts, so that what the driver holds is bounded. Without documents of both labels the score is the share of label 1
+(0.5 if there is no label at all). Null counts as empty; an empty text is one passage of zeros. Equal
+texts have equal scores, so repeated rows and ties do; an empty table gives no rows. Texts of any length are scored
+whole. Ids may be of any type; further columns are not looked at.
 """
 
 from __future__ import annotations
@@ -17,13 +19,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from biblens.llm.common import as_bytes, pick, row_chunks, word_spans
 
 PASSAGE = 48
-MOST = 6000
+#: Documents, and bytes of their texts, that are learned from at most.
+MOST, MOST_BYTES = 6000, 48 << 20
 HIDDEN, GATE, EPOCHS, BATCH = 24, 12, 24, 128
 THRESHOLD = 0.3
 
@@ -169,30 +172,33 @@ def held_out(column: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(column).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", most: int = MOST) -> Model:
-    """Fit on at most ``most`` labelled documents outside the held-out fold. Null labels are left out."""
+def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", most: int = MOST, most_bytes: int = MOST_BYTES) -> Model:
+    """Fit on a bounded sample of labelled documents outside the held-out fold. Null labels are left out.
+
+    The sample: the ``most`` documents with the smallest hash of their id, and of those, in that order, as
+    many whole texts as ``most_bytes`` hold (a text that alone is longer than a quarter of that is passed over).
+    An id with several labels has the highest, one with several texts the smallest text.
+    """
     lab = labels.select(F.col("doc_id"), F.col(label_col).cast("double").alias("y")).filter("doc_id is not null and y is not null")
     lab = lab.filter(~held_out()).groupBy("doc_id").agg(F.max("y").alias("y"))
     chosen = lab.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    ids = {r["doc_id"]: float(r["y"] >= 0.5) for r in chosen.collect()}  # at most ``most`` rows
-    if not ids:
-        return Model(0.5)
-    spark = docs.sparkSession
-    wanted = spark.createDataFrame([(k,) for k in sorted(ids)], "doc_id long")
-    rows = pick(docs, doc_id="doc_id", text="text").join(F.broadcast(wanted), "doc_id", "left_semi")
+    texts = pick(docs, doc_id="doc_id", text="text").join(F.broadcast(chosen), "doc_id")  # at most ``most`` rows
+    size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
+    short = texts.filter(size <= most_bytes // 4).groupBy("doc_id", "y").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
+    order = Window.partitionBy(F.lit(0)).orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, 0)
+    sample = short.withColumn("at", F.sum(size).over(order)).filter(F.col("at") <= most_bytes).select("y", "text", "at")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = []
-            for i, j, x, first in passage_features(b.column(b.schema.get_field_index("text"))):
-                got += [x[first[k] : first[k + 1]].astype(np.float16).tobytes() for k in range(j - i)]
-            yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index("doc_id")), pa.array(got, pa.binary())], names=["doc_id", "x"])
-
-    bags: dict[int, np.ndarray] = {}
-    for r in rows.mapInArrow(run, "doc_id long, x binary").toLocalIterator(prefetchPartitions=True):
-        bags.setdefault(r["doc_id"], np.frombuffer(r["x"], np.float16).reshape(-1, FEATURES).astype(np.float32))
-    keys = sorted(bags)
-    return fit([bags[k] for k in keys], np.array([ids[k] for k in keys]))
+            for i, j, x, first in passage_features(b.column(1)):
+                got = [x[first[k] : first[k + 1]].astype(np.float16).tobytes() for k in range(j - i)]
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(got, pa.binary()), b.column(2).slice(i, j - i)], names=["y", "x", "at"])
+
+    bags = sample.mapInArrow(run, "y double, x binary, at long").collect()  # bounded: most_bytes of text
+    bags.sort(key=lambda r: (r["at"], r["y"], bytes(r["x"])))
+    if not bags:
+        return Model(0.5)
+    return fit([np.frombuffer(r["x"], np.float16).reshape(-1, FEATURES).astype(np.float32) for r in bags], np.array([float(r["y"] >= 0.5) for r in bags]))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
