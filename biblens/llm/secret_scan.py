@@ -5,7 +5,9 @@ class a window slides over the candidate; Shannon entropy is kept by adding the
 away the leaving character's share, so a step costs the same for any window. Stretches of windows
 over the class's threshold are spans, unless an allow-list pattern covers the candidate or a pattern
 has found the same place already. Positions are code points; null counts as empty; empty texts and
-texts without findings give zero counts and empty strings.
+texts without findings give zero counts and empty strings. Equal texts have equal results, repeated rows
+included; an empty table gives no rows; texts of any length are scanned whole, in time that grows with
+their length; spans that start together are listed in the order of kinds; further columns are not looked at.
 """
 
 from __future__ import annotations
@@ -13,6 +15,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,8 +35,8 @@ CANDIDATE = re.compile(r"[A-Za-z0-9+/=_-]{20,}")
 
 #: Character classes: name, members, window, threshold in bits.
 CLASSES = (
-    ("base64", re.compile(r"[A-Za-z0-9+/=]{24,}"), 24, 3.9),
-    ("urlsafe", re.compile(r"[A-Za-z0-9_-]{24,}"), 24, 3.9),
+    ("base64", re.compile(r"[A-Za-z0-9+/=]{20,}"), 20, 3.75),
+    ("urlsafe", re.compile(r"[A-Za-z0-9_-]{20,}"), 20, 3.75),
     ("hex", re.compile(r"[0-9a-fA-F]{20,}"), 20, 3.0),
 )
 #: Candidates that a pattern here matches whole are not secrets.
@@ -81,13 +84,34 @@ def window_entropy(text: str, window: int) -> Iterator[float]:
             yield h
 
 
+class Cover:
+    """Spans, of which those that lie in another are left out: starts and ends both rise, so a search is a bisection."""
+
+    def __init__(self) -> None:
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+
+    def holds(self, a: int, b: int) -> bool:
+        """Whether one span holds all of a to b."""
+        i = bisect_right(self.starts, a) - 1
+        return i >= 0 and self.ends[i] >= b
+
+    def add(self, a: int, b: int) -> None:
+        if self.holds(a, b):
+            return
+        i = j = bisect_left(self.starts, a)
+        while j < len(self.ends) and self.ends[j] <= b:
+            j += 1
+        self.starts[i:j], self.ends[i:j] = [a], [b]
+
+
 def entropy_spans(text: str) -> list[tuple[int, int, str]]:
     """Stretches of high entropy in candidate strings that the allow-list does not cover."""
     out = []
     for m in CANDIDATE.finditer(text):
         if any(a.fullmatch(m[0]) for a in ALLOW):
             continue
-        taken: list[tuple[int, int]] = []
+        taken = Cover()
         for name, members, window, least in CLASSES:
             for run in members.finditer(m[0]):
                 s = run[0]
@@ -100,8 +124,8 @@ def entropy_spans(text: str) -> list[tuple[int, int, str]]:
                     elif h < least and start is not None:
                         a, b = m.start() + run.start() + start, m.start() + run.start() + i - 1 + window
                         start = None
-                        if not any(x <= a and b <= y for x, y in taken):
-                            taken.append((a, b))
+                        if not taken.holds(a, b):
+                            taken.add(a, b)
                             out.append((a, b, f"entropy-{name}"))
     return out
 
@@ -109,7 +133,10 @@ def entropy_spans(text: str) -> list[tuple[int, int, str]]:
 def scan_text(text: str) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]]]:
     """Base spans, and all spans: base ones and entropy spans that no base span holds, by start."""
     base = base_spans(text)
-    more = [s for s in entropy_spans(text) if not any(a <= s[0] and s[1] <= b for a, b, _ in base)]
+    taken = Cover()
+    for a, b, _ in base:
+        taken.add(a, b)
+    more = [s for s in entropy_spans(text) if not taken.holds(s[0], s[1])]
     order = {k: i for i, k in enumerate((*KINDS, *(f"entropy-{c[0]}" for c in CLASSES)))}
     return base, sorted(base + more, key=lambda s: (s[0], order[s[2]], s[1]))
 
