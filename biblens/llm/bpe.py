@@ -48,6 +48,8 @@ REMEMBERED = 500_000
 PAIRS = 1_000_000
 #: Bytes of a text that are decoded and normalised at a time.
 PIECE = 1 << 16
+#: States of the encoder that are remembered.
+STATES = 250_000
 #: Symbols after which the encoder looks for tokens that have become stable.
 EVERY = 16
 
@@ -77,10 +79,13 @@ class Merges:
         self.width = max(symbols, default=0) + 1
         self.below: dict[int, int] = {}
         self.ends: dict[int, int] = {}
+        self.depth = [0]
         for t in [*symbols, *self.parts]:
             node = 0
-            for x in self.spell(t):
+            for k, x in enumerate(self.spell(t), 1):
                 node = self.below.setdefault(node * self.width + x, len(self.below) + 1)
+                if node == len(self.depth):
+                    self.depth.append(k)
             self.ends[node] = t
 
     def spell(self, token: int) -> list[int]:
@@ -136,75 +141,88 @@ class Merges:
 
 
 class Encoder:
-    """The transducer over one word's symbols: ``push`` returns tokens that have become stable, ``close`` the rest."""
+    """The transducer over one word's symbols: ``push`` returns tokens that have become stable, ``close`` the rest.
+
+    A state is what the next step depends on: the places in the trie of the tokens that may still go on,
+    each with the last token before it, and the last token of all. Steps from a state are made once and
+    remembered, in tables that are emptied between words when there are ``STATES`` of them.
+    """
 
     def __init__(self, merges: Merges):
         self.m = merges
         self.most = 0  # the most ends that were held at a time
+        self.clear()
         self.start()
 
+    def clear(self) -> None:
+        self.states: list[tuple] = [((), None)]  # ((place in the trie, token before), ...), last token
+        self.number: dict[tuple, int] = {self.states[0]: 0}
+        self.steps: dict[int, tuple[int, int, int]] = {}  # state * width + symbol -> state, last token, its length
+
     def start(self) -> None:
+        if len(self.states) >= STATES or len(self.steps) >= 4 * STATES:
+            self.clear()
+        self.state = 0
         self.read = self.base = 0  # symbols read; the end up to which tokens were emitted
-        self.told: int | None = None  # the last token that was emitted
-        self.last: list[tuple[int, int]] = []  # for each end after base: the last token, and where it begins
-        self.open: list[tuple[int, int]] = []  # ends from which a token may reach further, with their place in the trie
-
-    def _step(self, symbol: int) -> None:
-        m, base, last, at = self.m, self.base, self.last, self.read
-        below, ends, width, still, found = m.below, m.ends, m.width, [], None
-        self.open.append((at, 0))
-        for begin, node in self.open:
-            node = below.get(node * width + symbol)
+        self.last: list[tuple[int, int]] = []  # for each end after base: the last token, and its length
+
+    def _step(self, state: int, symbol: int) -> tuple[int, int, int]:
+        m, (open_, before) = self.m, self.states[state]
+        still, found = [], None
+        for node, left in (*open_, (0, before)):
+            node = m.below.get(node * m.width + symbol)
             if node is not None:
-                still.append((begin, node))
-                if found is None and (token := ends.get(node)) is not None:
-                    if m.is_valid(last[begin - base - 1][0] if begin > base else self.told, token):
-                        found = (token, begin)
-        last.append(found)
-        self.open = still
-        self.read = at + 1
+                still.append((node, left))
+                if found is None and (token := m.ends.get(node)) is not None and m.is_valid(left, token):
+                    found = (token, m.depth[node])
+        new = (tuple(still), found[0])
+        n = self.number.get(new)
+        if n is None:
+            n = self.number[new] = len(self.states)
+            self.states.append(new)
+        got = self.steps[state * m.width + symbol] = (n, *found)
+        return got
 
     def push(self, symbols: Iterable[int]) -> list[int]:
-        out: list[int] = []
-        for s in symbols:
-            self._step(s)
-            if len(self.last) % EVERY == 0:
+        steps, width, out, last, state = self.steps, self.m.width, [], self.last, self.state
+        for symbol in symbols:
+            got = steps.get(state * width + symbol) or self._step(state, symbol)
+            state = got[0]
+            last.append(got)
+            if len(last) % EVERY == 0:
+                self.state, self.read = state, self.base + len(last)
                 out += self._settle()
+        self.state, self.read = state, self.base + len(last)
         return out
 
-    def _way(self, end: int, down_to: int) -> list[int]:
-        """Tokens of the way back from an end, first to last."""
-        out = []
-        while end > down_to:
-            token, end = self.last[end - self.base - 1]
+    def _way(self, end: int) -> list[int]:
+        """Tokens of the way back from an end to the base, first to last."""
+        out, at = [], end - self.base
+        while at > 0:
+            _, token, size = self.last[at - 1]
             out.append(token)
+            at -= size
         return out[::-1]
 
     def _settle(self) -> list[int]:
         """Tokens before the last end through which the ways back from all live ends go."""
         self.most = max(self.most, len(self.last))
-        live = {begin for begin, _ in self.open if begin > self.base}
-        live.add(self.read)
-        if any(begin == self.base for begin, _ in self.open):
-            return []
-        while len(live) > 1:
+        depth = self.m.depth
+        live = {self.read - depth[node] for node, _ in self.states[self.state][0]} | {self.read}
+        while len(live) > 1 and min(live) > self.base:
             top = max(live)
             live.remove(top)
-            begin = self.last[top - self.base - 1][1]
-            if begin <= self.base:
-                return []
-            live.add(begin)
-        end = live.pop()
-        out = self._way(end, self.base)
-        if out:
-            del self.last[: end - self.base]
-            self.base, self.told = end, out[-1]
+            live.add(top - self.last[top - self.base - 1][2])
+        end = min(live)
+        out = self._way(end)
+        del self.last[: end - self.base]
+        self.base = end
         return out
 
     def close(self) -> list[int]:
         """The tokens that are left; the encoder is ready for another word."""
         self.most = max(self.most, len(self.last))
-        out = self._way(self.read, self.base)
+        out = self._way(self.read)
         self.start()
         return out
 
