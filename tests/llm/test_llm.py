@@ -232,24 +232,31 @@ def test_links_inside_a_family_below_the_threshold(spark):
     assert [got[i] for i in range(n)] == root
 
 
-def test_links_across_chunks_of_a_large_bucket(spark, monkeypatch):
+def test_links_across_chunks_of_a_group(spark, monkeypatch):
     """Texts apart from a large group but near each other meet in whichever chunks they are."""
     monkeypatch.setattr(minhash, "CHUNK_ROWS", 4)
     monkeypatch.setattr(minhash, "TURNS", 1)
-    n, least = 40, minhash.SIMILARITY - minhash.MARGIN
-    r = np.random.default_rng(2)
-    group = r.integers(0, 9, minhash.SAMPLES, dtype=np.uint16)
-    sigs = [r.integers(0, 1 << 16, minhash.SAMPLES, dtype=np.uint16) for _ in range(n)]
-    for i in range(30):
-        sigs[i] = group
-    for i in range(30, n, 2):
-        sigs[i + 1] = sigs[i]
-    rows = [(i, [5] * minhash.BANDS, sigs[i].tobytes()) for i in range(n)]
-    texts = spark.createDataFrame(rows, "uid long, bands array<long>, sig binary")
-    _, members = minhash.candidate_pairs(texts, minhash.SIMILARITY)
-    roots = spark.createDataFrame([(i, 0) for i in range(30)], "uid long, root long")
-    got = {(p["a"], p["b"]) for p in minhash._apart_pairs(members, texts, roots, least, 3).collect()}
-    assert got == {(i, i + 1) for i in range(30, n, 2)}
+    base = prose(8, 200).split()
+    group = [[f"g{i}" if k == 7 * i else w for k, w in enumerate(base)] for i in range(25)]
+    pairs = []
+    for i in range(8):
+        far = [f"f{i}x{k}" if k % 25 == i else w for k, w in enumerate(base)]
+        pairs += [far, [*far[:-1], f"twin{i}"]]
+    some = [" ".join(x) for x in group + pairs]
+    monkeypatch.setattr(minhash, "verified", lambda pairs, rows, weights, similarity: pairs.limit(0).selectExpr("a", "b", "1.0D as similarity"))
+    table = spark.createDataFrame([*enumerate(some), *((1000 + i, prose(1000 + i, 8)) for i in range(400))], "doc_id long, text string")
+    got = {r["doc_id"]: r["class_id"] for r in minhash.near_duplicates(table).collect()}
+    weights = minhash.frequent_shingles(table)
+    sets = minhash.Sets(some, weights)
+    root = list(range(len(some)))
+    for a in range(len(some)):
+        exact = sets.like_all(a)
+        for b in range(len(some)):
+            assert abs(exact[b] - sets.like(a, b)) < 1e-12
+            if exact[b] >= minhash.SIMILARITY and root[a] != root[b]:
+                low, high = sorted((root[a], root[b]))
+                root = [low if v == high else v for v in root]
+    assert len(set(root)) == 9 and [got[i] for i in range(len(some))] == root
 
 
 def test_batches_by_bytes():
