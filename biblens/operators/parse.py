@@ -5,27 +5,28 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from biblens.functions.text import JAPANESE, normalize_author, nullif_blank, reference_line
+from biblens.functions.text import JAPANESE, nullif_blank, reference_line
 
 # Phrases that mark a software or website reference.
 WEBSITE_PHRASES = (
     "systematic review software", "ai-powered tool", "ai research assistant", "evidence partners", "installation documentation",
 )
 YEAR = r"(?<!\d)((?:19|20)\d{2})(?!\d)"
-ARXIV = r"(\d{4}\.\d{4,5}(?:v\d+)?|[a-z-]+(?:\.[A-Z]{2})?/\d{7}(?:v\d+)?)"
+ARXIV = r"(\d{4}\.\d{4,5}(?:v\d+)?|[a-z][a-z.-]+/\d{7}(?:v\d+)?)"
 EDGE = " .,:;"
 
 
 def doi(c: Column) -> Column:
     """The first DOI without trailing punctuation, or null."""
-    found = F.regexp_extract(F.coalesce(c, F.lit("")), r"""(10\.\d{4,9}/[^\s"'<>]+)""", 1)
+    found = F.regexp_extract(F.coalesce(c, F.lit("")), r"""(10\.\d{4,9}/[^\s"<>]+)""", 1)
     return nullif_blank(F.regexp_replace(found, r"[).,;]+$", ""))
 
 
 def arxiv_id(c: Column) -> Column:
-    """An arXiv id with its prefix or address, or a bare new one in a text that says arXiv."""
-    named = nullif_blank(F.regexp_extract(c, rf"(?i:arxiv:\s*|arxiv\.org/abs/){ARXIV}", 1))
-    bare = F.when(c.rlike("(?i)arxiv"), nullif_blank(F.regexp_extract(c, r"(?<!\d)(\d{4}\.\d{4,5}(?:v\d+)?)", 1)))
+    """An arXiv id of either style and any case with its prefix or address, or a bare new one, standing
+    alone, in a text that says arXiv."""
+    named = nullif_blank(F.regexp_extract(c, rf"(?i)(?:arxiv:\s*|arxiv\.org/abs/){ARXIV}", 1))
+    bare = F.when(c.rlike("(?i)arxiv"), nullif_blank(F.regexp_extract(c, r"(?U)\b(\d{4}\.\d{4,5}(?:v\d+)?)\b", 1)))
     return F.coalesce(named, bare)
 
 
@@ -35,8 +36,8 @@ def year(c: Column) -> Column:
 
 
 def is_website(c: Column) -> Column:
-    """An address with at most eight words beside it, or a phrase of software references."""
-    rest = F.regexp_replace(c, r"^(.*?)https?://\S+", "$1 ")
+    """An address with at most eight words beside it, or a phrase of software references. Points, commas and colons part words."""
+    rest = F.regexp_replace(F.regexp_replace(c, r"(?sU)^(.*?)https?://\S+", "$1"), r"(?U)[\s.,;:]+", " ")
     words = F.size(F.filter(F.split(F.trim(rest), r"\s+"), lambda w: F.length(w) > 1))
     phrase = F.lit(False)
     for p in WEBSITE_PHRASES:
@@ -90,28 +91,25 @@ def authors(segment: Column) -> Column:
 
 
 def numbers(c: Column) -> Column:
-    """struct(volume, issue, page): v(i):p or v(i),p first, else v:p or v,p."""
+    """struct(volume, issue, page): v(i):p or v(i),p first, whatever the issue says, else v:p or v,p."""
     page = r"([A-Za-z]?\d[\w–-]*)"
-    full, short = rf"(\d+)\s*\((\d+[\w-]*)\)\s*[:,]\s*{page}", rf"(?<![\w.])(\d+)\s*[:,]\s*{page}"
-    one = lambda p, g: nullif_blank(F.regexp_extract(c, p, g))
+    full, short = rf"(?U)(\d+)\s*\(([^)]+)\)\s*[:,]\s*{page}", rf"(?U)(\d+)\s*[:,]\s*{page}"
+    one = lambda p, g: nullif_blank(F.trim(F.regexp_extract(c, p, g)))
     has = c.rlike(full)
     pick = lambda a, b: F.when(has, a).otherwise(b)
-    return F.struct(
-        pick(one(full, 1), one(short, 1)).alias("volume"),
-        F.when(has, one(full, 2)).alias("issue"),
-        F.regexp_replace(pick(one(full, 3), one(short, 2)), r"\.$", "").alias("page"),
-    )
+    return F.struct(pick(one(full, 1), one(short, 1)).alias("volume"), F.when(has, one(full, 2)).alias("issue"), pick(one(full, 3), one(short, 2)).alias("page"))
 
 
 def article_number(page: Column) -> Column:
-    return F.when(~F.contains(page, F.lit("-")) & page.rlike(r"^[A-Za-z]?\d+$"), page)
+    return F.when(page.rlike(r"(?U)^[A-Za-z]?\d\w*$"), page)
 
 
 def venue(c: Column, title_: Column) -> Column:
-    at = F.coalesce(F.position(title_, c), F.lit(0))
-    after = F.when(at > 0, F.substring(c, at + F.length(title_), F.length(c))).otherwise(F.lit(""))
-    found = nullif_blank(_edges(_until_year(F.regexp_replace(after, r"(?i)DOI:\s*10\.\S+", ""))))
-    return F.when(F.contains(found, F.lit("Available from")) & c.rlike("(?i)arxiv"), F.lit("arXiv")).otherwise(found)
+    """What follows the title up to a year, without DOI; the whole line is looked at where it holds no title."""
+    at = F.coalesce(F.when(title_ != "", F.position(title_, c)), F.lit(0))
+    after = F.when(at > 0, F.substring(c, at + F.length(title_), F.length(c))).otherwise(c)
+    found = nullif_blank(_edges(_until_year(F.regexp_replace(after, r"(?iU)\bDOI:\s*10\.\S+", ""))))
+    return F.when((found == "Available from") & c.rlike("(?i)arxiv"), F.lit("arXiv")).otherwise(found)
 
 
 def parse(refs: DataFrame, text_col: str = "input_text") -> DataFrame:
@@ -121,8 +119,8 @@ def parse(refs: DataFrame, text_col: str = "input_text") -> DataFrame:
     step = refs.withColumn("_line", reference_line(raw))
     step = step.withColumns({"doi": doi(raw), "arxiv_id": arxiv_id(raw), "is_website": is_website(raw), "_title": title(F.col("_line"))})
     line, t = F.col("_line"), F.col("_title")
-    step = step.withColumns({"_names": authors(author_segment(line, t)), "_n": numbers(line), "year": year(line), "venue": venue(line, t), "title": trim_title(t)})
-
+    step = step.withColumns({"_names": authors(author_segment(line, t)), "_n": numbers(line), "year": year(line), "title": trim_title(t)})
+    step = step.withColumn("venue", venue(line, F.col("title")))
     step = step.withColumns({"volume": F.col("_n.volume"), "issue": F.col("_n.issue"), "page": F.col("_n.page")})
     step = step.withColumn("article_number", article_number(F.col("page")))
     return step.withColumn("authors", author_keys(F.col("_names"))).drop("_line", "_title", "_names", "_n")
@@ -139,6 +137,3 @@ def author_keys(names: Column) -> Column:
 
     return F.array_distinct(F.filter(F.transform(names, key), lambda k: k != ""))
 
-
-def key_of(c: Column) -> Column:
-    return normalize_author(c)

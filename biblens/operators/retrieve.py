@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from biblens.functions.text import normalize_text, strip_version, tokens
+from biblens.runtime import write_table
 
-#: Title words in more than this share of works do not block: they would pair everything.
-HOT_SHARE = 0.05
+#: Postings that the first round of a search reads for a title, beside those of its rarest word.
+FIRST = 200
 #: The order in which sources are collected.
 SOURCES = ("crossref", "pubmed", "arxiv", "jalc")
 
@@ -29,25 +30,57 @@ def agency_of(refs: DataFrame, agencies: DataFrame) -> DataFrame:
     return refs.withColumn("prefix", F.substring_index("doi", "/", 1)).join(agencies, "prefix", "left")
 
 
-def title_words(rows: DataFrame, key: str, title: str = "title") -> DataFrame:
-    return rows.select(key, F.explode(tokens(normalize_text(F.col(title)))).alias("word"))
+def word_sets(rows: DataFrame, key: str, title: str = "title") -> DataFrame:
+    """(key, words): the distinct words of each row's title, sorted; rows without any are left out."""
+    return rows.select(key, F.array_sort(tokens(normalize_text(F.col(title)))).alias("words")).filter(F.size("words") > 0)
 
 
-def block(refs: DataFrame, works: DataFrame, top: int = 5, hot_share: float = HOT_SHARE) -> DataFrame:
+def block(refs: DataFrame, works: DataFrame, top: int = 5) -> DataFrame:
     """(ref_id, work_id, hits, weight, rank): the top works of each reference by shared title words.
 
-    Words weigh ln(N / df), in whole thousandths so that sums do not depend on order; ties go to the
-    smaller work_id. Only words below the hot share pair rows, so a join key holds a bounded share of
-    the works, and the counts of pairs are partial sums before the shuffle.
+    Words weigh ln(1 + N / df), in whole thousandths so that sums do not depend on order; ties go to the
+    smaller work_id. The result is that of a join on every word, without one. References with equal
+    words are one, and works with equal words are one with their ``top`` smallest ids. A first round
+    joins on a title's rarest words, up to ``FIRST`` postings beside the rarest's, and weighs the pairs found in
+    full. A work that shares none of a title's rarest words weighs at most the sum of the others, so a second
+    round joins only on those further words, rarest first, down to which that sum reaches the weight of
+    the ``top``-th work found.
     """
-    n = works.agg(F.count(F.lit(1)).alias("n"))
-    words = title_words(works, "work_id")
-    df = words.groupBy("word").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(n))  # n is one row
-    rare = df.filter(F.col("df") <= F.greatest(F.lit(5), F.col("n") * hot_share))
-    weighed = words.join(rare.select("word", F.round(F.ln(F.col("n") / F.col("df")) * 1000).cast("long").alias("idf")), "word")
-    pairs = title_words(refs, "ref_id").join(weighed, "word").groupBy("ref_id", "work_id").agg(F.count(F.lit(1)).alias("hits"), F.sum("idf").alias("weight"))
-    order = Window.partitionBy("ref_id").orderBy(F.desc("weight"), "work_id")
-    return pairs.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top)
+    asked = word_sets(refs, "ref_id").withColumn("rset", F.array_join("words", " "))
+    named = word_sets(works, "work_id")
+    first_ids = Window.partitionBy("words").orderBy("work_id")
+    n_same = named.groupBy("words").agg(F.count(F.lit(1)).alias("n"))
+    few = named.withColumn("_k", F.row_number().over(first_ids)).filter(F.col("_k") <= top).groupBy("words").agg(F.array_sort(F.collect_list("work_id")).alias("ids"))
+    wsets, _ = write_table(few.join(n_same, "words").withColumn("wset", F.col("ids")[0]), "work-sets")
+    total = int(wsets.agg(F.sum("n").alias("n")).first()["n"] or 0)
+    posts = wsets.select("wset", F.explode("words").alias("word"), "n")
+    df = posts.groupBy("word").agg(F.sum("n").alias("df"), F.count(F.lit(1)).alias("sets"))
+    idf = df.select("word", "sets", F.round(F.ln(1 + F.lit(total) / F.col("df")) * 1000).cast("long").alias("idf"))
+    rsets = asked.groupBy("rset").agg(F.first("words").alias("words"))
+    rarest = Window.partitionBy("rset").orderBy(F.desc("idf"), "word")
+    upto, after = rarest.rowsBetween(Window.unboundedPreceding, 0), rarest.rowsBetween(0, Window.unboundedFollowing)
+    words = rsets.select("rset", F.explode("words").alias("word")).join(idf, "word")
+    words = words.withColumns({"place": F.row_number().over(rarest), "read": F.sum("sets").over(upto), "rest": F.sum("idf").over(after)})
+    words, _ = write_table(words, "title-words")
+    own = words.groupBy("rset").agg(F.collect_list(F.struct("word", "idf")).alias("own"))
+
+    def weighed(pairs: DataFrame) -> DataFrame:
+        shared = F.filter("own", lambda x: F.array_contains("words", x["word"]))
+        both = pairs.join(own, "rset").join(wsets.select("wset", "words"), "wset").withColumn("shared", shared)
+        return both.select("rset", "wset", F.size("shared").cast("long").alias("hits"), F.aggregate("shared", F.lit(0).cast("long"), lambda s, x: s + x["idf"]).alias("weight"))
+
+    early = (F.col("place") == 1) | (F.col("read") <= FIRST)
+    pairs = words.filter(early).join(posts.select("word", "wset"), "word").select("rset", "wset").distinct()
+    found, _ = write_table(weighed(pairs), "found")
+    best = Window.partitionBy("rset").orderBy(F.desc("weight"), "wset")
+    least = found.withColumn("_k", F.row_number().over(best)).filter(F.col("_k") == top).select("rset", F.col("weight").alias("least"))
+    more = words.filter(~early).join(least, "rset", "left").filter(F.col("rest") >= F.coalesce("least", F.lit(0)))
+    further = more.join(posts.select("word", "wset"), "word").select("rset", "wset").distinct().join(found.select("rset", "wset"), ["rset", "wset"], "left_anti")
+    every = found.unionByName(weighed(further)).withColumn("_k", F.row_number().over(best)).filter(F.col("_k") <= top)
+    listed = every.join(wsets.select("wset", "ids"), "wset").select("rset", F.explode("ids").alias("work_id"), "hits", "weight")
+    order = Window.partitionBy("rset").orderBy(F.desc("weight"), "work_id")
+    ranked = listed.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top)
+    return asked.select("ref_id", "rset").join(ranked, "rset").select("ref_id", "work_id", "hits", "weight", "rank")
 
 
 def union_sources(parts: dict[str, DataFrame]) -> DataFrame:
@@ -60,12 +93,6 @@ def union_sources(parts: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
-def first_of_each(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
-    """The first row of each key; null keys count as equal."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    return rows.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
-
-
 def first_stage(rows: DataFrame, key: str, stage: str = "stage") -> DataFrame:
     """Candidates of each key's first non-empty stage of a fallback chain."""
     w = Window.partitionBy(key)
@@ -73,14 +100,18 @@ def first_stage(rows: DataFrame, key: str, stage: str = "stage") -> DataFrame:
 
 
 def with_aliases(candidates: DataFrame, aliases: DataFrame) -> DataFrame:
-    """Alias names of the venue, by ISSN first and by normalised title second, where the gate is open.
+    """Alias names of the venue, where the gate is open: by the first two ISSNs in sorted order, then by normalised title.
 
-    ``aliases`` is (issn, title_norm, aliases); ``gate`` a boolean column of ``candidates``. Joins are
-    left joins that Spark broadcasts if the alias table is small.
+    ``aliases`` is (issn, title_norm, aliases); ``gate`` a boolean column of ``candidates``. The first of
+    these with names decides; rows of one key are taken together, in sorted order. Joins are left joins
+    that Spark broadcasts if the alias table is small.
     """
-    by_issn = aliases.filter("issn is not null").groupBy("issn").agg(F.first("aliases").alias("_a"))
-    by_title = aliases.filter("title_norm is not null").groupBy("title_norm").agg(F.first("aliases").alias("_b"))
-    keyed = candidates.withColumns({"issn": F.when(F.col("gate"), F.try_element_at("issns", F.lit(1))), "title_norm": F.when(F.col("gate"), normalize_text(F.col("venue")))})
-    found = keyed.join(by_issn, "issn", "left").join(by_title, "title_norm", "left").withColumn("_f", F.coalesce("_a", "_b"))
-    more = F.array_union(F.coalesce("venue_aliases", F.array().cast("array<string>")), F.coalesce("_f", F.array().cast("array<string>")))
-    return found.withColumns({"venue_aliases": more, "aliases_resolved": F.col("gate") | F.coalesce("aliases_resolved", F.lit(False))}).drop("issn", "title_norm", "_a", "_b", "_f")
+    names = lambda key, out: aliases.filter(f"{key} is not null and size(aliases) > 0").groupBy(key).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("aliases")))).alias(out))
+    issns = F.array_sort(F.coalesce("issns", F.array().cast("array<string>")))
+    keyed = candidates.withColumns({f"_issn{i}": F.when(F.col("gate"), F.try_element_at(issns, F.lit(i))) for i in (1, 2)} | {"_title": F.when(F.col("gate"), normalize_text(F.col("venue")))})
+    for i in (1, 2):
+        keyed = keyed.join(names("issn", f"_a{i}").withColumnRenamed("issn", f"_issn{i}"), f"_issn{i}", "left")
+    keyed = keyed.join(names("title_norm", "_a3").withColumnRenamed("title_norm", "_title"), "_title", "left")
+    none = F.array().cast("array<string>")
+    more = F.array_union(F.coalesce("venue_aliases", none), F.coalesce("_a1", "_a2", "_a3", none))
+    return keyed.withColumns({"venue_aliases": more, "aliases_resolved": F.col("gate") | F.coalesce("aliases_resolved", F.lit(False))}).drop("_issn1", "_issn2", "_title", "_a1", "_a2", "_a3")

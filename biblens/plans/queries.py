@@ -127,7 +127,7 @@ def split_reference_lines(spark, sf_dir):
     return T.split_references(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id", "text")
 
 
-@query(f"""SELECT ref_id, nullif(rtrim(regexp_extract(input_text, '10\\.\\d{{4,9}}/[^\\s"''<>]+'), ').,;'), '') AS doi FROM ({_duck(LINES)}) t""")
+@query(f"""SELECT ref_id, nullif(rtrim(regexp_extract(input_text, '10\\.\\d{{4,9}}/[^\\s"<>]+'), ').,;'), '') AS doi FROM ({_duck(LINES)}) t""")
 def extract_doi(spark, sf_dir):
     return references_table(spark, sf_dir).select("ref_id", parse.doi(F.col("input_text")).alias("doi"))
 
@@ -264,10 +264,11 @@ def registration_agency_join(spark, sf_dir):
 
 @query(
     f"""WITH w AS ({_duck(WORKS)}), n AS (SELECT count(*) AS n FROM w), ww AS (SELECT work_id, unnest({_WORDS.format('title')}) AS word FROM w),
-d AS (SELECT word, count(*) AS df FROM ww GROUP BY word), i AS (SELECT word, CAST(round(ln(n / df) * 1000) AS BIGINT) AS idf FROM d, n WHERE df <= greatest(5, n * {retrieve.HOT_SHARE})),
-rw AS (SELECT ref_id, unnest({_WORDS.format('r_title')}) AS word FROM ({_duck(REFS)}) r),
-p AS (SELECT rw.ref_id, ww.work_id, count(*) AS hits, CAST(sum(idf) AS BIGINT) AS weight FROM rw JOIN i USING (word) JOIN ww USING (word) GROUP BY ALL)
-SELECT ref_id, work_id, hits, weight, CAST(row_number() OVER (PARTITION BY ref_id ORDER BY weight DESC, work_id) AS INT) AS rank FROM p QUALIFY rank <= 5"""
+d AS (SELECT word, count(*) AS df FROM ww GROUP BY word), i AS (SELECT word, CAST(round(ln(1 + n / df) * 1000) AS BIGINT) AS idf FROM d, n),
+r AS ({_duck(REFS)}), t AS (SELECT DISTINCT r_title FROM r), tw AS (SELECT r_title, unnest({_WORDS.format('r_title')}) AS word FROM t),
+p AS (SELECT r_title, ww.work_id, count(*) AS hits, CAST(sum(idf) AS BIGINT) AS weight FROM tw JOIN i USING (word) JOIN ww USING (word) GROUP BY ALL),
+k AS (SELECT *, CAST(row_number() OVER (PARTITION BY r_title ORDER BY weight DESC, work_id) AS INT) AS rank FROM p QUALIFY rank <= 5)
+SELECT r.ref_id, k.work_id, hits, weight, rank FROM r JOIN k USING (r_title)"""
 )
 def candidate_block_topk(spark, sf_dir):
     refs = _sql(spark, sf_dir, REFS).select("ref_id", F.col("r_title").alias("title"))

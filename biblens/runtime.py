@@ -42,10 +42,16 @@ def partitions(spark: SparkSession) -> int:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``, or one set here where unset."""
+    """The folder that all executors share: ``spark.checkpoint.dir``.
+
+    Where it is unset, a folder is made on this machine if all executors are threads of this process;
+    on a cluster their disks would not meet, so that is an error.
+    """
     sc = spark.sparkContext
     told = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not told:
+        if not (sc.master or "").startswith("local") or (sc.master or "").startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         told = tempfile.mkdtemp(prefix="biblens-checkpoint-")
         sc.setCheckpointDir(told)
     return told
@@ -54,16 +60,15 @@ def shared_dir(spark: SparkSession) -> str:
 def write_table(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """Write ``df`` under the shared folder and read it again: cuts lineage, survives lost executors.
 
-    The shuffle files behind it are not needed once it is written and are deleted then.
+    The shuffle files behind it are not needed once it is written and are deleted then. The setting that
+    does so is made once for a session, not around each write, so that queries at the same time do not
+    undo each other's; frames that run again compute their shuffles again.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    before = spark.conf.get(SHUFFLE_CLEANUP, "false")
-    spark.conf.set(SHUFFLE_CLEANUP, "true")
-    try:
-        df.write.option("compression", "zstd").parquet(path)
-    finally:
-        spark.conf.set(SHUFFLE_CLEANUP, before)
+    if spark.conf.get(SHUFFLE_CLEANUP, "false") != "true":
+        spark.conf.set(SHUFFLE_CLEANUP, "true")
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 

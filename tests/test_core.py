@@ -40,6 +40,7 @@ def test_doi(spark, text, doi):
     [
         ("arXiv:2307.06464. 2023.", "2307.06464"), ("arXiv:2307.06464v1.", "2307.06464v1"), ("https://arxiv.org/abs/2510.06708v1", "2510.06708v1"),
         ("arXiv:hep-th/9901001", "hep-th/9901001"), ("arXiv:math.AG/0601001v1", "math.AG/0601001v1"), ("x arXiv 2510.06708.", "2510.06708"), ("J Anesth 2307.06464", None),
+        ("ARXIV: HEP-TH/9901001", "HEP-TH/9901001"), ("arXiv:cond-mat.mes-hall/0601001", "cond-mat.mes-hall/0601001"), ("arXiv, 2307.064645678", None), ("arXiv x2307.06464", None),
     ],
 )
 def test_arxiv_id(spark, text, found):
@@ -51,6 +52,37 @@ def test_year_is_the_last_one(spark):
     assert one(spark, parse.year, "no 12019 year") is None
 
 
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ("J X 2020; 39(Suppl 2):S45-S50.", ("39", "Suppl 2", "S45-S50")), ("Y 2001;10(3 Pt 1):100-110", ("10", "3 Pt 1", "100-110")), ("Z 7: e12", ("7", None, "e12")),
+        ("Z v7.12, 5", ("12", None, "5")), ("no numbers", (None, None, None)), ("3( 4 ), 5–9", ("3", "4", "5–9")),
+    ],
+)
+def test_numbers(spark, text, want):
+    assert tuple(one(spark, parse.numbers, text)) == want
+
+
+def test_article_number(spark):
+    got = {t: one(spark, parse.article_number, t) for t in ("e29080", "12a4", "S45_1", "1-9", "5–9", "x", None)}
+    assert got == {"e29080": "e29080", "12a4": "12a4", "S45_1": "S45_1", "1-9": None, "5–9": None, "x": None, None: None}
+
+
+def test_venue(spark):
+    def venue(line, title):
+        return spark.createDataFrame([(line, title)], "x string, t string").select(parse.venue(F.col("x"), F.col("t")).alias("y")).first()["y"]
+
+    assert venue("A B. Some title. J Med. 2019; 3: 4.", "Some title") == "J Med"
+    assert venue("J Med, DOI: 10.1/x 2019", None) == "J Med"
+    assert venue("Some title. Available from arXiv 2019", "Some title") == "Available from arXiv"
+    assert venue("Some title. Available from 2019 arXiv", "Some title") == "arXiv"
+
+
+def test_websites_by_words_beside_the_address(spark):
+    assert one(spark, parse.is_website, "one.two,three;four:five six seven eight https://x.org/a nine") is False
+    assert one(spark, parse.is_website, "one.two a.b,c;d:e three four five six seven eight https://x.org/a") is True
+
+
 def test_website(spark):
     assert one(spark, parse.is_website, "Covidence systematic review software, Melbourne")
     assert one(spark, parse.is_website, "Rayyan. https://rayyan.ai")
@@ -144,7 +176,8 @@ def test_citations_without_title_are_searched_whole(spark):
     parsed = parse.parse(spark.createDataFrame([(1, "Smith J, Zymurgy of quokkas, 2001")], "ref_id long, input_text string"))
     untitled = parsed.withColumns({"title": F.lit(None).cast("string"), "doi": F.lit(None).cast("string"), "is_website": F.lit(False)})
     got = candidates(untitled, works).collect()
-    assert [(r["c"]["title"], r["method"]) for r in got] == [("Zymurgy of quokkas", "bibliographic")]
+    first = min(got, key=lambda r: r["ordinal"])
+    assert (len(got), first["c"]["title"], first["method"]) == (5, "Zymurgy of quokkas", "bibliographic")
 
 
 def test_reports_run_the_whole_audit(spark, monkeypatch):
@@ -178,6 +211,34 @@ def test_report(spark):
     assert report.validate_requests(bad).first()["error"] == "email format is invalid"
 
 
+def test_block_is_the_join_on_every_word(spark, monkeypatch):
+    """Titles of frequent words only included; both rounds of the search."""
+    import random
+
+    r = random.Random(3)
+    vocabulary = ["of", "the", "and", *(f"w{i}" for i in range(12))]
+    title = lambda: " ".join(r.choices(vocabulary, [30, 20, 10, *range(12, 0, -1)], k=r.randint(1, 7)))
+    works = [(i, title()) for i in range(300)] + [(900, None), (901, "!")]
+    refs = [(i, title()) for i in range(80)] + [(80, "of the"), (81, None), (82, "unknown"), (83, "the")]
+    words = {i: set(t.split()) for i, t in works if t and t != "!"}
+    df = {}
+    for w in words.values():
+        for x in w:
+            df[x] = df.get(x, 0) + 1
+    import math
+
+    idf = {x: round(math.log(1 + len(words) / n) * 1000) for x, n in df.items()}
+    want = set()
+    for i, t in refs:
+        mine = set((t or "").split())
+        scored = sorted((-sum(idf[x] for x in mine & w), k, len(mine & w)) for k, w in words.items() if mine & w)[:5]
+        want |= {(i, k, hits, -s, n + 1) for n, (s, k, hits) in enumerate(scored)}
+    for first in (200, 1):
+        monkeypatch.setattr(retrieve, "FIRST", first)
+        got = retrieve.block(spark.createDataFrame(refs, "ref_id long, title string"), spark.createDataFrame(works, "work_id long, title string"))
+        assert {tuple(x) for x in got.collect()} == want
+
+
 def test_block_ties(spark):
     works = spark.createDataFrame([(2, "rare words"), (1, "rare words"), (3, None)], "work_id long, title string")
     refs = spark.createDataFrame([(9, "Rare, words!")], "ref_id long, title string")
