@@ -32,14 +32,30 @@ def squeeze(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, r"(?U)\s+", " "))
 
 
+def plain_text(c: Column) -> Column:
+    """normalize_text of text that is folded already."""
+    return squeeze(F.regexp_replace(F.lower(c), r"(?U)[^\w\s]", " "))
+
+
 def normalize_text(c: Column) -> Column:
     """NFKC, lower case, punctuation to blanks, blanks squeezed; word characters are Unicode ones."""
-    return squeeze(F.regexp_replace(F.lower(nfkc(F.coalesce(c, F.lit("")))), r"(?U)[^\w\s]", " "))
+    return plain_text(nfkc(F.coalesce(c, F.lit(""))))
+
+
+def folded(*columns: Column) -> list[Column]:
+    """NFKC forms of several columns by one call, null as empty: they are folded as one joined text."""
+    joined = nfkc(F.concat_ws("\x1f", *[F.coalesce(c, F.lit("")) for c in columns]))
+    return [F.split(joined, "\x1f")[i] for i in range(len(columns))]
 
 
 def normalize_venue(c: Column) -> Column:
     """normalize_text without the words of electronic editions; a bare "print" stays."""
-    bare = F.regexp_replace(F.lower(nfkc(F.coalesce(c, F.lit("")))), r"\[\s*(internet|online|electronic resource|print)\s*\]", " ")
+    return plain_venue(nfkc(F.coalesce(c, F.lit(""))))
+
+
+def plain_venue(c: Column) -> Column:
+    """normalize_venue of text that is folded already."""
+    bare = F.regexp_replace(F.lower(c), r"\[\s*(internet|online|electronic resource|print)\s*\]", " ")
     words = squeeze(F.regexp_replace(bare, r"(?U)[^\w\s]", " "))
     return squeeze(F.regexp_replace(words, r"(?U)\b(internet|online|electronic resource)\b", " "))
 
@@ -62,9 +78,33 @@ def normalize_author(c: Column) -> Column:
     )
 
 
+def plain_number(c: Column) -> Column:
+    """normalize_number of text that is folded already."""
+    return F.regexp_replace(plain_text(c), r"(?U)\W", "")
+
+
 def normalize_number(c: Column) -> Column:
     """Letters and digits only: 361-76 is 36176."""
-    return F.regexp_replace(normalize_text(c), r"(?U)\W", "")
+    return plain_number(nfkc(F.coalesce(c, F.lit(""))))
+
+
+def path_quote(c: Column) -> Column:
+    """Percent-encoding for a path: a blank is %20, slashes and tildes stay."""
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(F.url_encode(c), r"\+", "%20"), "%2F", "/"), "%7E", "~"), r"\*", "%2A")
+
+
+def query_quote(c: Column) -> Column:
+    """Percent-encoding for a query: a blank is a plus."""
+    return F.regexp_replace(F.regexp_replace(F.url_encode(c), "%7E", "~"), r"\*", "%2A")
+
+
+def escape_ticks(c: Column) -> Column:
+    """Back ticks with a back slash before them, for inline code; null is empty."""
+    return F.replace(F.coalesce(c, F.lit("")), F.lit("`"), F.lit("\\`"))
+
+
+def lower_squeezed(c: Column) -> Column:
+    return squeeze(F.lower(F.coalesce(c, F.lit(""))))
 
 
 def normalize_arxiv(c: Column) -> Column:

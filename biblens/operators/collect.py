@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from biblens.functions.text import contains_japanese, nullif_blank, squeeze, strip_version
-from biblens.operators.retrieve import block, first_stage
+from biblens.functions.text import contains_japanese, normalize_arxiv, normalize_japanese_query, normalize_text, nullif_blank, squeeze, strip_version
+from biblens.operators.retrieve import agency_of, block, first_stage
 from biblens.sources.payloads import RECORD_COLUMNS, merged
 
 # Journals looked for first to last, and the words of a title that a search keeps.
@@ -71,19 +71,92 @@ def _by_doi(rows: DataFrame, works: DataFrame, doi: str = "c.doi") -> DataFrame:
     return rows.withColumn("_key", F.lower(doi)).join(named, "_key", "left").drop("_key")
 
 
+#: Works that a search by an arXiv title adds where its entry names no DOI.
+ARXIV_ROWS = 3
+
+
+def arxiv_hits(refs: DataFrame, entries: DataFrame, top: int = 5) -> DataFrame:
+    """(ref_id, source_id, method): the entry that a reference names by id, or the accepted one of a title search.
+
+    ``refs`` is (ref_id, arxiv_id, title, authors). A title search looks at entries with the reference's first author
+    where there are any, else at all found, in their order, and accepts the first whose title contains
+    the reference's or is contained in it, or shares eight of ten words with it.
+    """
+    ids = entries.select("source_id", strip_version(F.col("source_id")).alias("_id"))
+    named = refs.filter("arxiv_id is not null").select("ref_id", strip_version(F.col("arxiv_id")).alias("_id")).join(ids, "_id")
+    named = named.select("ref_id", "source_id", F.lit("arxiv-id").alias("method"))
+    asked = refs.filter("arxiv_id is null and title <> ''")
+    found = block(asked.select("ref_id", "title"), entries.select(F.col("source_id").alias("work_id"), "title"), top).select("ref_id", F.col("work_id").alias("source_id"), "rank")
+    mine = asked.select("ref_id", normalize_arxiv(F.col("title")).alias("_t"), F.try_element_at("authors", F.lit(1)).alias("_first"))
+    theirs = entries.select("source_id", normalize_arxiv(F.col("title")).alias("_e"), F.col("authors").alias("_names"))
+    both = found.join(mine, "ref_id").join(theirs, "source_id")
+    both = both.withColumn("_by", F.coalesce(F.array_contains("_names", F.col("_first")), F.lit(False)))
+    any_by = Window.partitionBy("ref_id")
+    both = both.withColumn("_some", F.max("_by").over(any_by)).filter("_by or not _some")
+    words = lambda c: F.array_distinct(F.split(c, " "))
+    near = F.contains("_e", "_t") | F.contains("_t", "_e") | (F.size(F.array_intersect(words("_t"), words("_e"))) / F.greatest(F.size(words("_t")), F.size(words("_e"))) >= 0.8)
+    accepted = both.filter((F.col("_t") != "") & (F.col("_e") != "") & near).groupBy("ref_id").agg(F.min_by("source_id", "rank").alias("source_id"))
+    return named.unionByName(accepted.withColumn("method", F.lit("arxiv-title-search")))
+
+
 def arxiv_candidates(refs: DataFrame, entries: DataFrame, works: DataFrame) -> DataFrame:
-    """(ref_id, c, ordinal, method): the published version, where the entry's DOI names one, before the preprint.
+    """(ref_id, c, ordinal, method): the published version, where the entry's DOI names one, before the preprint; works
+    with its title and the reference's first two authors after it, where it names none.
 
-    ``refs`` is (ref_id, arxiv_id), ``entries`` records whose source_id is the arXiv id; versions do not count.
+    ``refs`` is (ref_id, arxiv_id) and may have title and authors, by which those without id are searched;
+    ``entries`` are records whose source_id is the arXiv id; versions do not count.
     """
-    keyed = entries.select(strip_version(F.col("source_id")).alias("_id"), F.struct(*RECORD_COLUMNS).alias("c"))
-    hits = refs.filter("arxiv_id is not null").select("ref_id", strip_version(F.col("arxiv_id")).alias("_id")).join(keyed, "_id")
-    both = _by_doi(hits, works)
-    method = F.lit("arxiv-id")
-    published = F.struct(F.col("w").withField("source", F.lit("arxiv-published")).alias("c"), F.lit(0).alias("ordinal"), F.concat(F.lit("doi-"), F.col("agency")).alias("method"))
-    own = F.struct(F.col("c"), F.lit(1).alias("ordinal"), method.alias("method"))
+    none = F.lit(None)
+    asked = refs.select("ref_id", "arxiv_id", *[(F.col(c) if c in refs.columns else none.cast(t)).alias(c) for c, t in (("title", "string"), ("authors", "array<string>"))])
+    records = entries.select("source_id", F.struct(*RECORD_COLUMNS).alias("c"))
+    hits = arxiv_hits(asked, entries).join(records, "source_id")
+    both = _by_doi(hits.select("ref_id", "c", "method"), works)
+    published = F.struct(F.col("w").withField("source", F.lit("arxiv-published")).alias("c"), F.lit(0).alias("ordinal"), F.concat(F.lit("doi-"), F.lower("agency")).alias("method"))
+    own = F.struct(F.col("c"), F.lit(1).alias("ordinal"), F.col("method"))
     listed = F.when(F.col("w").isNotNull(), F.array(published, own)).otherwise(F.array(own))
-    return both.select("ref_id", F.explode(listed).alias("x")).select("ref_id", "x.*")
+    out = both.select("ref_id", F.explode(listed).alias("x")).select("ref_id", "x.*")
+    if "work_id" not in works.columns:
+        return out
+    loose = hits.filter("c.doi is null and c.title is not null").join(asked.select("ref_id", F.array_join(F.slice("authors", 1, 2), " ").alias("_a")), "ref_id")
+    query = loose.select("ref_id", F.concat_ws(" ", "c.title", "_a").alias("title"))
+    more = block(query, works.select("work_id", "title"), ARXIV_ROWS).join(works.select("work_id", F.struct(*RECORD_COLUMNS).alias("c")), "work_id")
+    return out.unionByName(more.select("ref_id", F.col("c").withField("source", F.lit("arxiv-crossref")).alias("c"), (1 + F.col("rank")).alias("ordinal"), F.lit("arxiv-crossref").alias("method")))
+
+
+def pubmed_candidates(refs: DataFrame, hits: DataFrame) -> DataFrame:
+    """(ref_id, c, ordinal, method): works of the first stage that finds any for the whole citation, then those
+    whose title contains the reference's; each (doi, title) of a reference once, in that order.
+
+    ``refs`` is (ref_id, input_text, title), ``hits`` records whose source_id is their id.
+    """
+    records = hits.select(F.col("source_id").alias("work_id"), "title", F.struct(*RECORD_COLUMNS).alias("c"))
+    staged = staged_candidates(refs, records.select("work_id", "title")).select("ref_id", "work_id", F.col("rank").alias("ordinal"), F.lit("pubmed-full-citation").alias("method"))
+    phrase = title_phrase(refs, records).select("ref_id", "work_id", (100 + F.col("rank")).alias("ordinal"), F.lit("pubmed-title").alias("method"))
+    found = staged.unionByName(phrase).join(records.select("work_id", "c"), "work_id")
+    once = Window.partitionBy("ref_id", "c.doi", "c.title").orderBy("ordinal")
+    return found.withColumn("_n", F.row_number().over(once)).filter("_n = 1").select("ref_id", "c", "ordinal", "method")
+
+
+def title_phrase(refs: DataFrame, records: DataFrame, top: int = 5) -> DataFrame:
+    """(ref_id, work_id, rank): works whose normalised title holds the reference's as a phrase, of those that the search finds."""
+    asked = refs.filter("title <> ''")
+    found = block(asked.select("ref_id", "title"), records.select("work_id", "title"), top)
+    padded = lambda c: F.concat(F.lit(" "), normalize_text(c), F.lit(" "))
+    mine, theirs = asked.select("ref_id", padded(F.col("title")).alias("_t")), records.select("work_id", padded(F.col("title")).alias("_w"))
+    return found.join(mine, "ref_id").join(theirs, "work_id").filter(F.contains("_w", "_t") & (F.trim("_t") != "")).select("ref_id", "work_id", "rank")
+
+
+def japanese_hits(refs: DataFrame, titles: DataFrame, top: int = 5) -> DataFrame:
+    """(ref_id, title, doi, rank) of a search of (title, doi) for Japanese titles: with blanks between Japanese
+    characters left out first, as it stands where that finds nothing; each DOI once."""
+    asked = refs.filter(contains_japanese(F.col("title")) & (F.col("title") != ""))
+    forms = asked.select("ref_id", F.posexplode(F.array(normalize_japanese_query(F.col("title")), squeeze(F.col("title")))).alias("stage", "title"))
+    own = titles.filter("doi is not null").withColumn("_title", normalize_japanese_query(F.col("title")))
+    found = block(forms.select(F.struct("ref_id", "stage").alias("ref_id"), "title"), own.select(F.col("doi").alias("work_id"), F.col("_title").alias("title")), top)
+    first = first_stage(found.select("ref_id.ref_id", "ref_id.stage", F.col("work_id").alias("doi"), "rank"), "ref_id")
+    names = own.groupBy("doi").agg(F.min("title").alias("title"))
+    once = first.groupBy("ref_id", "doi").agg(F.min("rank").alias("rank"))
+    return once.join(names, "doi").select("ref_id", "title", "doi", "rank")
 
 
 def japanese_candidates(refs: DataFrame, hits: DataFrame, works: DataFrame) -> DataFrame:
@@ -97,10 +170,30 @@ def japanese_candidates(refs: DataFrame, hits: DataFrame, works: DataFrame) -> D
     types = {f.name: f.dataType for f in works.select(*RECORD_COLUMNS).schema}
     bare = F.struct(*[own.get(c, F.lit(None)).cast(types[c]).alias(c) for c in RECORD_COLUMNS])
     named = F.col("w").withField("source", F.lit("jalc")).withField("source_id", F.col("doi"))
-    method = F.when(F.col("w").isNull(), "jalc-title").otherwise(F.concat(F.lit("jalc-title+doi-"), F.col("agency")))
+    method = F.when(F.col("w").isNull(), "jalc-title").otherwise(F.concat(F.lit("jalc-title+doi-"), F.lower("agency")))
     return found.select("ref_id", F.when(F.col("w").isNull(), bare).otherwise(named).alias("c"), F.col("rank").alias("ordinal"), method.alias("method"))
 
 
+def resolve(dois: DataFrame, agencies: DataFrame, crossref: DataFrame, datacite: DataFrame, negotiated: DataFrame, strict: bool = True) -> DataFrame:
+    """dois with the record ``w`` and the ``doi_method`` of the chain: the registration agency's own table, or content negotiation.
+
+    Crossref and DataCite answer for their own DOIs; all other agencies by negotiation; a DOI of an unknown
+    agency by Crossref, else by negotiation. Without ``strict`` negotiation also stands in where the agency's
+    own table has nothing. ``agencies`` is (prefix, agency), the tables are records.
+    """
+    rows = agency_of(dois, agencies).withColumn("_key", F.lower("doi"))
+    for name, table in (("_x", crossref), ("_d", datacite), ("_n", negotiated)):
+        own = table.filter("doi is not null").select(F.lower("doi").alias("_key"), F.struct(*RECORD_COLUMNS).alias(name))
+        rows = rows.join(own.groupBy("_key").agg(F.min_by(name, F.coalesce(F.col(f"{name}.title"), F.lit(""))).alias(name)), "_key", "left")
+    a = F.lower("agency")
+    own = F.when(a == "crossref", F.col("_x")).when(a == "datacite", F.col("_d")).when(a.isNull(), F.col("_x"))
+    may = a.isNull() | ~a.isin("crossref", "datacite") | F.lit(not strict)
+    work = F.coalesce(own, F.when(may, F.col("_n")))
+    by_agency = F.concat(F.lit("doi-"), F.coalesce(a, F.lit("crossref")))
+    method = F.when(own.isNull() & may & (a.isNull() | a.isin("crossref", "datacite")), "doi-content-negotiation").otherwise(by_agency)
+    return rows.withColumns({"w": work, "doi_method": method}).drop("_key", "_x", "_d", "_n", "prefix")
+
+
 def enriched(pairs: DataFrame, works: DataFrame) -> DataFrame:
     """Candidates found by a PubMed method whose DOI names a work, merged with it; all others as they are.
 

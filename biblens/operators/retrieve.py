@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from biblens.functions.text import normalize_text, strip_version, tokens
+from biblens.functions.text import normalize_text, tokens
 from biblens.runtime import write_table
 
 #: Postings that the first round of a search reads for a title, beside those of its rarest word.
@@ -20,11 +20,6 @@ def by_doi(refs: DataFrame, works: DataFrame) -> DataFrame:
     return refs.filter("doi is not null").withColumn("_key", F.lower("doi")).join(w.drop("doi"), "_key", "left").drop("_key")
 
 
-def by_arxiv(refs: DataFrame, entries: DataFrame) -> DataFrame:
-    r = refs.filter("arxiv_id is not null").withColumn("_key", strip_version(F.col("arxiv_id"))).drop("arxiv_id")
-    return r.join(entries.withColumn("_key", strip_version(F.col("arxiv_id"))), "_key").drop("_key")
-
-
 def agency_of(refs: DataFrame, agencies: DataFrame) -> DataFrame:
     """Registration agency by DOI prefix (prefix, agency); a left join that Spark broadcasts if it is small."""
     return refs.withColumn("prefix", F.substring_index("doi", "/", 1)).join(agencies, "prefix", "left")
@@ -83,13 +78,17 @@ def block(refs: DataFrame, works: DataFrame, top: int = 5) -> DataFrame:
     return asked.select("ref_id", "rset").join(ranked, "rset").select("ref_id", "work_id", "hits", "weight", "rank")
 
 
+#: More than any source's candidates of a reference.
+PLACES = 1000
+
+
 def union_sources(parts: dict[str, DataFrame]) -> DataFrame:
-    """Candidates of all sources with their place in the fixed order."""
+    """Candidates (ref_id, c, ordinal, method) of all sources, numbered on in the fixed order of sources."""
     out = None
-    for name in SOURCES:
+    for place, name in enumerate(SOURCES):
         if name in parts:
-            df = parts[name].withColumn("source_ordinal", F.lit(SOURCES.index(name)))
-            out = df if out is None else out.unionByName(df, allowMissingColumns=True)
+            df = parts[name].withColumn("ordinal", (F.lit(place * PLACES) + F.col("ordinal")).cast("int"))
+            out = df if out is None else out.unionByName(df)
     return out
 
 

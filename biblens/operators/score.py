@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from biblens.functions import similarity as S
-from biblens.functions.text import normalize_text, normalize_venue, nullif_blank, tokens
+from biblens.functions.text import folded, nullif_blank, plain_number, plain_text, plain_venue
 
 # Weights of the signals, thresholds and marks of preprints.
 WEIGHTS = {"title": 0.30, "authors": 0.20, "first_author": 0.10, "year": 0.10, "venue": 0.10, "volume_issue": 0.08, "pages": 0.12}
@@ -33,58 +33,84 @@ def short_state(score: Column) -> Column:
     return F.when(score >= 0.7, "ok").when(score >= 0.35, "~").otherwise("x")
 
 
+#: Fields whose normal forms pairs are compared by.
+NORMAL = ("title", "venue", "volume", "issue", "page", "article_number")
+SIGNALS = tuple(WEIGHTS)
+
+
+def with_normal(rows: DataFrame, side: str) -> DataFrame:
+    """The record in column ``side`` with a field ``n``: normal forms of its texts, folded by one call.
+
+    Done on references and works before they are paired, it is done once for each of them.
+    """
+    if "n" in rows.schema[side].dataType.names:
+        return rows
+    title, venue, *numbers = folded(*[F.col(f"{side}.{f}") for f in NORMAL])
+    forms = [plain_text(title), plain_venue(venue), *[plain_number(x) for x in numbers]]
+    return rows.withColumn("_n", F.struct(*[v.alias(f) for f, v in zip(NORMAL, forms, strict=True)])).withColumn(side, F.col(side).withField("n", F.col("_n"))).drop("_n")
+
+
 def signals(pairs: DataFrame, sequence: bool = True) -> DataFrame:
-    """The seven signals. Without ``sequence`` the Ratcliff-Obershelp ratio is left out of title and venue."""
+    """The seven signals as columns s_<name>, and venue_kind. Without ``sequence`` the Ratcliff-Obershelp
+    ratio is left out of title and venue.
+
+    They are columns of their own, not a struct: the planner writes the fields of a struct out again
+    wherever they are used.
+    """
+    step = with_normal(with_normal(pairs, "r"), "c")
     r, c = (lambda f: F.col(f"r.{f}")), (lambda f: F.col(f"c.{f}"))
-    step = pairs.withColumns({"_rt": normalize_text(r("title")), "_ct": normalize_text(c("title")), "_rv": normalize_venue(r("venue")), "_cv": normalize_venue(c("venue"))})
-    words = S.token_overlap(F.col("_rt"), F.col("_ct"))
+    mine, theirs = (lambda f: F.col(f"r.n.{f}")), (lambda f: F.col(f"c.n.{f}"))
+    words = S.token_overlap(mine("title"), theirs("title"))
     if sequence:
-        title = S.round3(F.greatest(words, S.sequence_similarity(F.col("_rt"), F.col("_ct"))))
-        names = F.transform(F.coalesce("c.venue_aliases", F.array().cast("array<string>")), lambda v: F.trim(F.regexp_replace(F.lower(v), r"(?U)[^\w\s]+", " ")))
-        venue = S.venue_analysis(F.array("_rv"), F.concat(F.array("_cv"), names))
+        title = S.round3(F.greatest(words, S.sequence_similarity(mine("title"), theirs("title"))))
+        venue = S.venue_analysis(F.array(r("venue")), F.concat(F.array(c("venue")), F.coalesce("c.venue_aliases", F.array().cast("array<string>"))))
     else:
         title = S.round3(words)
-        same = (F.col("_rv") != "") & (F.col("_rv") == F.col("_cv"))
-        short = S.looks_like_abbreviation(F.col("_rv"), F.col("_cv")) | S.looks_like_abbreviation(F.col("_cv"), F.col("_rv"))
-        value = F.when(same, 1.0).when(short, F.greatest(F.lit(0.95), S.token_overlap(F.col("_rv"), F.col("_cv")))).otherwise(S.round3(S.token_overlap(F.col("_rv"), F.col("_cv"))))
+        a, b = mine("venue"), theirs("venue")
+        same = (a != "") & (a == b)
+        short = S.looks_like_abbreviation(a, b) | S.looks_like_abbreviation(b, a)
+        value = F.when(same, 1.0).when(short, S.ABBREVIATED).otherwise(S.round3(S.token_overlap(a, b)))
         venue = F.struct(value.alias("score"), F.when(same, "exact").when(short, "abbrev").otherwise("similar").alias("kind"))
-    step = step.withColumns({"_title": F.when((F.col("_rt") != "") & (F.col("_ct") != ""), title).otherwise(F.lit(0.0)), "_venue": venue})
-    return step.withColumn(
-        "signals",
-        F.struct(
-            F.col("_title").alias("title"),
-            S.author_overlap(r("authors"), c("authors")).alias("authors"),
-            S.first_author_match(r("authors"), c("authors")).alias("first_author"),
-            S.year_similarity(r("year"), c("year")).alias("year"),
-            F.col("_venue.score").alias("venue"),
-            S.volume_issue_similarity(r("volume"), r("issue"), c("volume"), c("issue")).alias("volume_issue"),
-            S.page_similarity(r("page"), r("article_number"), c("page"), c("article_number")).alias("pages"),
-        ),
-    ).withColumn("venue_kind", F.col("_venue.kind"))
+    step = step.withColumns(
+        {
+            "s_title": F.when((mine("title") != "") & (theirs("title") != ""), title).otherwise(F.lit(0.0)),
+            "_venue": venue,
+            "s_authors": S.author_overlap(r("authors"), c("authors")),
+            "s_first_author": S.first_author_match(r("authors"), c("authors")),
+            "s_year": S.year_similarity(r("year"), c("year")),
+            "s_volume_issue": S.volume_issue_similarity(mine("volume"), mine("issue"), theirs("volume"), theirs("issue")),
+            "s_pages": S.page_similarity(mine("page"), mine("article_number"), theirs("page"), theirs("article_number")),
+        }
+    )
+    return step.withColumns({"s_venue": F.col("_venue.score"), "venue_kind": F.col("_venue.kind")}).drop("_venue")
 
 
-def score(pairs: DataFrame, sequence: bool = True, strict: bool = True) -> DataFrame:
-    """pairs with signals, total, decision, note, field_diffs and summary."""
-    s = lambda f: F.col(f"signals.{f}")
+def decide_pairs(pairs: DataFrame, sequence: bool = True, strict: bool = True) -> DataFrame:
+    """pairs with signals, total, support, decision and note: all that ranks them and decides."""
+    s = lambda f: F.col(f"s_{f}")
     step = signals(pairs, sequence)
     raw = sum((F.lit(w) * s(f) for f, w in WEIGHTS.items()), F.lit(0.0))
     step = step.withColumn("preprint_like", preprint_like())
     total = S.round3(F.greatest(raw - F.when(F.col("preprint_like"), PREPRINT_PENALTY).otherwise(0.0), F.lit(0.0)))
-    step = step.withColumn("total", total)
+    thresholds = (("title", TITLE_SUGGEST), ("authors", AUTHOR_SUGGEST), ("first_author", 1.0), ("year", 0.7), ("venue", 0.6), ("pages", 0.8), ("volume_issue", 0.7))
+    support = sum(((s(f) >= t).cast("int") for f, t in thresholds), F.lit(0))
+    step = step.withColumns({"total": total, "support": support})
     accept, title, author = (ACCEPT, TITLE_ACCEPT, AUTHOR_ACCEPT) if strict else (LOOSE_ACCEPT, TITLE_SUGGEST, AUTHOR_SUGGEST)
     years = F.col("r.year").isNotNull() & F.col("c.year").isNotNull() & (s("year") == 0)
     accepted = (F.col("total") >= accept) & (s("title") >= title) & ((s("first_author") == 1) | (s("authors") >= author)) & ~years & ~F.col("preprint_like")
-    thresholds = (("title", TITLE_SUGGEST), ("authors", AUTHOR_SUGGEST), ("first_author", 1.0), ("year", 0.7), ("venue", 0.6), ("pages", 0.8), ("volume_issue", 0.7))
-    support = sum(((s(f) >= t).cast("int") for f, t in thresholds), F.lit(0))
-    step = step.withColumn("support", support)
     suggested = (F.col("total") >= SUGGEST) & (F.col("support") >= 2)
     step = step.withColumn("decision", F.when(accepted, "accept").when(suggested, "suggest").otherwise("reject"))
     note = F.when(F.col("preprint_like"), "preprint_only").when(F.col("decision") == "suggest", "candidate_mismatch")
-    return with_diffs(step.withColumn("note", note)).drop("_rt", "_ct", "_rv", "_cv", "_title", "_venue")
+    return step.withColumn("note", note)
+
+
+def score(pairs: DataFrame, sequence: bool = True, strict: bool = True) -> DataFrame:
+    """pairs with signals, total, decision, note, field_diffs and summary."""
+    return with_diffs(decide_pairs(pairs, sequence, strict))
 
 
 def strong_identity() -> Column:
-    s = lambda f: F.col(f"signals.{f}")
+    s = lambda f: F.col(f"s_{f}")
     unknown = F.col("r.year").isNull() | F.col("c.year").isNull()
     return (s("title") >= TITLE_ACCEPT) & (s("authors") >= AUTHOR_ACCEPT) & (unknown | (s("year") >= 0.7))
 
@@ -92,7 +118,7 @@ def strong_identity() -> Column:
 def alias_gate() -> Column:
     """Whether a candidate's venue aliases are worth looking up."""
     has = lambda c: F.coalesce(F.trim(c) != "", F.lit(False))
-    return has(F.col("r.venue")) & has(F.col("c.venue")) & ~F.coalesce("c.aliases_resolved", F.lit(False)) & (F.col("total") >= 0.35) & (F.col("signals.venue") < 1)
+    return has(F.col("r.venue")) & has(F.col("c.venue")) & ~F.coalesce("c.aliases_resolved", F.lit(False)) & (F.col("total") >= 0.35) & (F.col("s_venue") < 1)
 
 
 def display_authors(a: Column) -> Column:
@@ -114,7 +140,7 @@ def _diff(name: str, mine: Column, theirs: Column, value: Column) -> Column:
         reason = F.coalesce(reason, F.when(both & (value >= 0.7) & (mine != theirs), "1年差"))
     elif name == "venue":
         short, strong = F.col("venue_kind") == "abbrev", strong_identity()
-        unlike = normalize_venue(F.col("r.venue")) != normalize_venue(F.col("c.venue"))
+        unlike = F.col("r.n.venue") != F.col("c.n.venue")
         alias = F.col("venue_kind").isin("alias", "exact")
         state = F.when((value >= 0.7) & short, "ok").when((value >= 0.7) & strong & unlike & ~alias, "unverified").when(value >= 0.7, "ok").when(short, "abbrev").when(strong, "unverified")
         reason = F.coalesce(reason, F.when(both & short, "略称"))
@@ -124,9 +150,16 @@ def _diff(name: str, mine: Column, theirs: Column, value: Column) -> Column:
     return F.struct(F.lit(name).alias("field"), state.alias("state"), mine.alias("input_value"), theirs.alias("candidate_value"), reason.alias("reason"), value.alias("score"))
 
 
+def summary() -> Column:
+    """ "title s / authors s / ..." in short states."""
+    s = lambda f: F.col(f"s_{f}")
+    values = (("title", s("title")), ("authors", F.greatest(s("authors"), s("first_author"))), ("year", s("year")), ("venue", s("venue")), ("pages", F.greatest(s("volume_issue"), s("pages"))))
+    return F.concat_ws(" / ", *[F.concat(F.lit(f"{n} "), short_state(v)) for n, v in values])
+
+
 def with_diffs(scored: DataFrame) -> DataFrame:
-    """field_diffs (array of struct, fixed order) and the summary "title s / authors s / ..."."""
-    s = lambda f: F.col(f"signals.{f}")
+    """field_diffs (array of struct, fixed order), the summary, and the signals as a struct."""
+    s = lambda f: F.col(f"s_{f}")
     author, pages = F.greatest(s("authors"), s("first_author")), F.greatest(s("volume_issue"), s("pages"))
     diffs = F.array(
         _diff("title", nullif_blank(F.col("r.title")), nullif_blank(F.col("c.title")), s("title")),
@@ -135,10 +168,4 @@ def with_diffs(scored: DataFrame) -> DataFrame:
         _diff("venue", nullif_blank(F.col("r.venue")), nullif_blank(F.col("c.venue")), s("venue")),
         _diff("pages", display_pages("r"), display_pages("c"), pages),
     )
-    values = (("title", s("title")), ("authors", author), ("year", s("year")), ("venue", s("venue")), ("pages", pages))
-    summary = F.concat_ws(" / ", *[F.concat(F.lit(f"{n} "), short_state(v)) for n, v in values])
-    return scored.withColumns({"field_diffs": diffs, "summary": summary})
-
-
-def shared_words(a: Column, b: Column) -> Column:
-    return F.size(F.array_intersect(tokens(a), tokens(b)))
+    return scored.withColumns({"field_diffs": diffs, "summary": summary(), "signals": F.struct(*[s(f).alias(f) for f in SIGNALS])})

@@ -5,59 +5,94 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from biblens.operators import collect as C
 from biblens.operators import decide as D
 from biblens.operators import retrieve as R
 from biblens.operators import score as S
-from biblens.operators.collect import staged_candidates
 from biblens.operators.parse import parse
+from biblens.runtime import write_table
 from biblens.sources.payloads import RECORD_COLUMNS
 
 REFERENCE_FIELDS = ("title", "authors", "year", "venue", "volume", "issue", "page", "article_number", "doi")
+NO_DETAILS = "array<struct<notice_doi:string,update_type:string,source:string,updated:string,label:string>>"
 
 
 def _record(prefix: str = ""):
     return F.struct(*[F.col(f"{prefix}{c}").alias(c) for c in RECORD_COLUMNS])
 
 
-def candidates(parsed: DataFrame, works: DataFrame, top: int = 5) -> DataFrame:
-    """(ref_id, r, c, ordinal, method): works by DOI where a reference has one, else by title words, else by those of the whole citation."""
+def candidates(parsed: DataFrame, works: DataFrame, top: int = 5, sources: dict[str, DataFrame] | None = None) -> DataFrame:
+    """(ref_id, r, c, ordinal, method): the work that a DOI names, else works by title words or by those of the whole
+    citation, then those of the other sources in their fixed order.
+
+    ``sources`` may hold records of ``pubmed`` and ``arxiv`` (source_id is their id) and (title, doi) of ``jalc``.
+    References and works are brought to normal form here, once for each, not for each pair.
+    """
     r = F.struct(*[F.col(f).alias(f) for f in REFERENCE_FIELDS]).alias("r")
-    refs = parsed.filter(~F.col("is_website")).select("ref_id", r, "title", "doi")
-    records = works.select("work_id", _record().alias("c"), F.lower("doi").alias("key"))
+    refs = S.with_normal(parsed.filter(~F.col("is_website")).select("ref_id", r, "title", "doi"), "r")
+    agency = F.col("agency") if "agency" in works.columns else F.lit("crossref")
+    records = S.with_normal(works.select("work_id", _record().alias("c"), F.lower("doi").alias("key"), F.lower(agency).alias("agency")), "c")
     named = refs.filter("doi is not null").withColumn("key", F.lower("doi")).join(records, "key")
-    named = named.select("ref_id", "r", "c", F.lit(1).alias("ordinal"), F.lit("doi-crossref").alias("method"))
-    rest = refs.filter("doi is null and title is not null").select("ref_id", "r", "title")
-    blocked = R.block(rest.select("ref_id", "title"), works.select("work_id", "title"), top)
-    untitled = parsed.filter("not is_website and doi is null and title is null")
-    staged = staged_candidates(untitled.select("ref_id", "input_text"), works.select("work_id", "title"), top)
+    named = named.select("ref_id", "r", "c", F.lit(1).alias("ordinal"), F.concat(F.lit("doi-"), "agency").alias("method"))
+    open_ = parsed.filter("not is_website and doi is null")
+    blocked = R.block(open_.filter("title is not null").select("ref_id", "title"), works.select("work_id", "title"), top)
+    staged = C.staged_candidates(open_.filter("title is null").select("ref_id", "input_text"), works.select("work_id", "title"), top)
     ranked = blocked.select("ref_id", "work_id", "rank").unionByName(staged.select("ref_id", "work_id", "rank"))
-    found = refs.filter("doi is null").select("ref_id", "r").join(ranked, "ref_id").join(records.drop("key"), "work_id")
-    return named.unionByName(found.select("ref_id", "r", "c", F.col("rank").alias("ordinal"), F.lit("bibliographic").alias("method")))
+    mine = ranked.join(records, "work_id").select("ref_id", "c", F.col("rank").alias("ordinal"), F.lit("bibliographic").alias("method"))
+    parts, sources = {"crossref": mine}, sources or {}
+    if "pubmed" in sources:
+        parts["pubmed"] = C.pubmed_candidates(open_.select("ref_id", "input_text", "title"), sources["pubmed"])
+    if "arxiv" in sources:
+        parts["arxiv"] = C.arxiv_candidates(open_.select("ref_id", "arxiv_id", "title", "authors"), sources["arxiv"], works)
+    if "jalc" in sources:
+        parts["jalc"] = C.japanese_candidates(open_.select("ref_id", "title"), C.japanese_hits(open_.select("ref_id", "title"), sources["jalc"]), works)
+    parts = {k: S.with_normal(v, "c").select("ref_id", "c", "ordinal", "method") for k, v in parts.items()}
+    found = R.union_sources(parts).join(refs.filter("doi is null").select("ref_id", "r"), "ref_id")
+    return named.unionByName(found.select("ref_id", "r", "c", "ordinal", "method"))
 
 
-def audit(refs: DataFrame, works: DataFrame, notices: DataFrame | None = None, aliases: DataFrame | None = None, sequence: bool = True, top: int = 5) -> DataFrame:
-    """One result a reference (ref_id, input_text). ``works`` holds work_id and a record's columns.
+def audit(
+    refs: DataFrame, works: DataFrame, notices: DataFrame | None = None, aliases: DataFrame | None = None, sequence: bool = True, top: int = 5,
+    sources: dict[str, DataFrame] | None = None, gaps: DataFrame | None = None, details: bool = True, debug: bool = False,
+) -> DataFrame:
+    """One result a reference (ref_id, input_text). ``works`` holds work_id, a record's columns and maybe the agency.
 
-    A pure function of frames, so a stream can call it on each micro-batch.
+    ``sources`` are the tables of further sources (see ``candidates``), ``gaps`` the sources that were skipped or
+    failed, as (ref_id, source, error). Without ``details`` only what decides is computed. A pure function
+    of frames, so a stream can call it on each micro-batch.
     """
-    parsed = parse(refs)
-    pairs = D.dedup_candidates(candidates(parsed, works, top))
-    scored = S.score(pairs, sequence)
+    parsed, _ = write_table(parse(refs), "parsed")
+    pairs, _ = write_table(D.dedup_candidates(candidates(parsed, works, top, sources)), "pairs")
+    scored = S.decide_pairs(pairs, sequence)
+    columns = ["ref_id", "r", "c", "ordinal", "method"]
     if aliases is not None:
-        flat = scored.withColumn("gate", S.alias_gate()).select("ref_id", "r", "ordinal", "method", "gate", "c.*")
-        enriched = R.with_aliases(flat, aliases)
-        scored = S.score(enriched.select("ref_id", "r", _record().alias("c"), "ordinal", "method"), sequence)
-    results = D.decide(parsed, D.rank(scored))
-    known = F.col("status").isin("found", "likely_wrong")
-    results = results.withColumns(
-        {
-            "matched_doi": F.when(known, F.col("best.c.doi")),
-            "matched_title": F.when(known, F.col("best.c.title")),
-            "field_diffs": F.col("best.field_diffs"),
-            "comparison_summary": F.col("best.summary"),
-            "verification_status": F.lit("complete"),
-        }
-    )
+        gated = scored.withColumn("gate", S.alias_gate()).select("ref_id", "r", "ordinal", "method", "gate", "c.*")
+        named = R.with_aliases(gated, aliases)
+        scored = S.decide_pairs(named.select("ref_id", "r", F.struct(*RECORD_COLUMNS, "n").alias("c"), "ordinal", "method"), sequence)
+    if sources and "pubmed" in sources:
+        # accepted PubMed hits are completed by the work that their DOI names, and scored again
+        split, _ = write_table(scored.select(*columns, "decision"), "decided")
+        taken = split.filter((F.col("decision") == "accept") & F.startswith("method", F.lit("pubmed")) & F.col("c.doi").isNotNull()).select(*columns)
+        rest = split.join(taken.select("ref_id", "ordinal"), ["ref_id", "ordinal"], "left_anti").select(*columns)
+        again = S.with_normal(C.enriched(taken, works), "c").select(*columns)
+        scored = S.decide_pairs(rest.unionByName(again), sequence)
+    ranked, _ = write_table(D.rank(scored), "ranked")
+    results = D.decide(parsed if gaps is None else D.source_gaps(parsed, gaps), ranked)
+    if not details:
+        return results
+    if gaps is None:
+        results = results.withColumns({"unchecked_sources": F.lit(None).cast("array<string>"), "source_errors": F.lit(None).cast("map<string,string>")})
+    results = D.with_details(results, S.with_diffs(ranked.filter("rank <= 3")), debug=debug)
+    if sources and "arxiv" in sources:
+        results = with_arxiv(results, sources["arxiv"])
     if notices is None:
-        return results.withColumns({"retracted": F.lit(False), "retraction_details": F.lit(None).cast("array<struct<notice_doi:string,update_type:string,source:string,updated:string,label:string>>"), "retraction_checked": F.lit(False)})
+        return results.withColumns({"retracted": F.lit(False), "retraction_details": F.lit(None).cast(NO_DETAILS), "retraction_checked": F.lit(False)})
     return D.with_retractions(results, notices)
+
+
+def with_arxiv(results: DataFrame, entries: DataFrame) -> DataFrame:
+    """results with the entry's DOI and journal reference beside the arXiv id that was named or found, for references without DOI."""
+    asked = results.filter("doi is null and not is_website").select("ref_id", "arxiv_id", "title", "authors")
+    own = entries.select("source_id", F.col("doi").alias("arxiv_doi"), F.when(F.col("venue") != "arXiv", F.col("venue")).alias("journal_ref"))
+    hits = C.arxiv_hits(asked, entries).select("ref_id", "source_id").join(own, "source_id")
+    return results.join(hits, "ref_id", "left").withColumn("arxiv_id", F.coalesce("source_id", "arxiv_id")).drop("source_id")

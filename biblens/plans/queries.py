@@ -137,19 +137,30 @@ def extract_year(spark, sf_dir):
     return references_table(spark, sf_dir).select("ref_id", parse.year(F.col("input_text")).alias("year"))
 
 
-_VIP = "'(\\d+)\\s*\\((\\d+[\\w-]*)\\)\\s*[:,]\\s*([A-Za-z]?\\d[\\w-]*)'"
+_VIP = "'(\\d+)\\s*\\(([^)]+)\\)\\s*[:,]\\s*([A-Za-z]?\\d[\\w–-]*)'"
+_ISSUES = f"SELECT ref_id, CASE ref_id % 4 WHEN 0 THEN replace(input_text, concat('(', issue, ')'), concat('(Suppl ', issue, ')')) WHEN 1 THEN replace(input_text, concat('(', issue, '): '), concat('( ', issue, ' Pt 1 ) , S')) ELSE input_text END AS input_text FROM ({LINES}) l"
 
 
-@query(f"""SELECT ref_id, regexp_extract(input_text, {_VIP}, 1) AS volume, regexp_extract(input_text, {_VIP}, 2) AS issue, regexp_extract(input_text, {_VIP}, 3) AS page FROM ({_duck(LINES)}) t""")
+@query(
+    f"""SELECT ref_id, regexp_extract(input_text, {_VIP}, 1) AS volume, trim(regexp_extract(input_text, {_VIP}, 2)) AS issue, regexp_extract(input_text, {_VIP}, 3) AS page,
+CASE WHEN regexp_full_match(regexp_extract(input_text, {_VIP}, 3), '[A-Za-z]?\\d\\w*') THEN regexp_extract(input_text, {_VIP}, 3) END AS article_number
+FROM ({_duck(_ISSUES)}) t WHERE regexp_matches(input_text, {_VIP})"""
+)
 def extract_volume_issue_page(spark, sf_dir):
-    return references_table(spark, sf_dir).select("ref_id", parse.numbers(F.col("input_text")).alias("n")).select("ref_id", "n.*")
+    found = _sql(spark, sf_dir, _ISSUES).select("ref_id", parse.numbers(F.col("input_text")).alias("n")).select("ref_id", "n.*").filter("issue is not null")
+    return found.withColumn("article_number", parse.article_number(F.col("page")))
 
 
 _ARXIV = "concat(CAST(1000 + work_id % 9000 AS STRING), '.', CAST(10000 + work_id % 90000 AS STRING), 'v', CAST(1 + work_id % 3 AS STRING))"
-_ARXIV_TEXT = f"CASE WHEN work_id % 4 = 0 THEN title WHEN work_id % 4 = 1 THEN concat(title, '. https://arxiv.org/abs/', {_ARXIV}) ELSE concat(title, '. arXiv: ', {_ARXIV}, '.') END"
+_ARXIV_TEXT = f"""CASE work_id % 7 WHEN 0 THEN title WHEN 1 THEN concat(title, '. https://arxiv.org/abs/', {_ARXIV}) WHEN 2 THEN concat(title, '. ARXIV:Cond-Mat.Mes-Hall/', CAST(1000000 + work_id AS STRING))
+WHEN 3 THEN concat(title, ', arXiv preprint ', {_ARXIV}, '.') WHEN 4 THEN concat(title, ', arXiv ', CAST(1000 + work_id % 9000 AS STRING), '.123456') WHEN 5 THEN concat(title, '. ', {_ARXIV}) ELSE concat(title, '. arXiv: ', {_ARXIV}, '.') END"""
+_NAMED, _BARE = "'(?i)(?:arxiv:\\s*|arxiv\\.org/abs/)(\\d{4}\\.\\d{4,5}(?:v\\d+)?|[a-z][a-z.-]+/\\d{7}(?:v\\d+)?)'", "'\\b(\\d{4}\\.\\d{4,5}(?:v\\d+)?)\\b'"
 
 
-@query(f"SELECT work_id, CASE WHEN work_id % 4 <> 0 THEN {_ARXIV} END AS arxiv_id, CASE WHEN work_id % 4 <> 0 THEN regexp_replace({_ARXIV}, 'v\\d+$', '') END AS base_id FROM ({_duck(WORKS)}) w")
+@query(
+    f"""SELECT work_id, arxiv_id, regexp_replace(arxiv_id, 'v\\d+$', '') AS base_id FROM (SELECT work_id,
+coalesce(nullif(regexp_extract(t, {_NAMED}, 1), ''), CASE WHEN contains(lower(t), 'arxiv') THEN nullif(regexp_extract(t, {_BARE}, 1), '') END) AS arxiv_id FROM (SELECT work_id, {_ARXIV_TEXT} AS t FROM ({_duck(WORKS)}) w) x) y"""
+)
 def extract_arxiv_id(spark, sf_dir):
     found = _sql(spark, sf_dir, WORKS).withColumn("t", F.expr(_ARXIV_TEXT)).select("work_id", parse.arxiv_id(F.col("t")).alias("arxiv_id"))
     return found.withColumn("base_id", X.strip_version(F.col("arxiv_id")))
@@ -183,10 +194,13 @@ def title_candidate(spark, sf_dir):
     return references_table(spark, sf_dir).select("ref_id", parse.title(F.col("input_text")).alias("title"))
 
 
-_SITE = "CASE WHEN page_id % 3 = 0 THEN concat('Tool page at ', url, ' seen today') WHEN page_id % 3 = 1 THEN concat('One two three four five six seven eight nine words before ', url) ELSE 'An AI-powered tool without an address' END"
+_SITE = "CASE page_id % 4 WHEN 0 THEN concat('Tool page at ', url, ' seen today') WHEN 1 THEN concat('One two three.four,five six:seven eight nine ', url, CASE WHEN page_id % 8 = 1 THEN ' x' ELSE ' more' END) WHEN 2 THEN concat('One two three four five six seven a.b. ', url) ELSE 'An AI-powered tool without an address' END"
 
 
-@query(f"SELECT page_id, page_id % 3 <> 1 AS is_website FROM (SELECT page_id, {_SITE} AS t FROM pages) p")
+@query(
+    f"""SELECT page_id, (regexp_matches(t, 'https?://\\S+') AND len(list_filter(regexp_split_to_array(trim(regexp_replace(regexp_replace(t, 'https?://\\S+', ''), '[\\s.,;:]+', ' ', 'g')), '\\s+'), lambda w: length(w) > 1)) <= 8)
+OR len(list_filter([{", ".join(f"'{p}'" for p in parse.WEBSITE_PHRASES)}], lambda p: contains(lower(t), p))) > 0 AS is_website FROM (SELECT page_id, {_SITE} AS t FROM pages) p"""
+)
 def website_filter(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", parse.is_website(F.expr(_SITE)).alias("is_website"))
 
@@ -208,9 +222,13 @@ def token_overlap(spark, sf_dir):
     return pair.select("ref_id", F.round(S.token_overlap(X.normalize_text(F.col("r.title")), X.normalize_text(F.col("c.title"))), 9).alias("overlap"))
 
 
-@query(f"SELECT ref_id, CASE WHEN ref_id % 2 = 0 THEN 1.0 ELSE 0.5 END::DOUBLE AS overlap, 1.0::DOUBLE AS first_author FROM ({_duck(REFS)}) r")
+@query(
+    f"""SELECT ref_id, round_even(len(list_intersect(m, c)) / greatest(len(m), len(c)), 3)::DOUBLE AS overlap, CASE WHEN m[1] = c[1] THEN 1.0 ELSE 0.0 END::DOUBLE AS first_author
+FROM (SELECT ref_id, [lower(a1), lower(a2)] AS c, CASE ref_id % 3 WHEN 0 THEN [lower(a1), lower(a2)] WHEN 1 THEN [lower(a2)] ELSE [lower(a2), 'other', lower(a1)] END AS m FROM ({_duck(REFS)}) r) t"""
+)
 def author_overlap(spark, sf_dir):
-    mine = F.when(F.col("ref_id") % 2 == 0, F.col("r.authors")).otherwise(F.slice("r.authors", 1, 1))
+    a, b = F.col("r.authors")[0], F.col("r.authors")[1]
+    mine = F.when(F.col("ref_id") % 3 == 0, F.array(a, b)).when(F.col("ref_id") % 3 == 1, F.array(b)).otherwise(F.array(b, F.lit("other"), a))
     return known_pairs(spark, sf_dir).select("ref_id", S.author_overlap(mine, F.col("c.authors")).alias("overlap"), S.first_author_match(mine, F.col("c.authors")).alias("first_author"))
 
 
@@ -227,12 +245,14 @@ def year_similarity(spark, sf_dir):
 
 @query(f"SELECT ref_id, {_VI} AS similarity FROM ({_duck(REFS)}) r")
 def volume_issue_similarity(spark, sf_dir):
-    return known_pairs(spark, sf_dir).select("ref_id", S.volume_issue_similarity(F.col("r.volume"), F.col("r.issue"), F.col("c.volume"), F.col("c.issue")).alias("similarity"))
+    mine, theirs = ([X.normalize_number(F.col(f"{side}.{f}")) for f in ("volume", "issue")] for side in "rc")
+    return known_pairs(spark, sf_dir).select("ref_id", S.volume_issue_similarity(*mine, *theirs).alias("similarity"))
 
 
 @query(f"SELECT ref_id, {_PAGES} AS similarity FROM ({_duck(REFS)}) r")
 def page_similarity(spark, sf_dir):
-    return known_pairs(spark, sf_dir).select("ref_id", S.page_similarity(F.col("r.page"), F.col("r.article_number"), F.col("c.page"), F.col("c.article_number")).alias("similarity"))
+    mine, theirs = ([X.normalize_number(F.col(f"{side}.{f}")) for f in ("page", "article_number")] for side in "rc")
+    return known_pairs(spark, sf_dir).select("ref_id", S.page_similarity(*mine, *theirs).alias("similarity"))
 
 
 @query()
@@ -284,7 +304,7 @@ _DECISION = "CASE WHEN total >= 0.74 AND t >= 0.72 AND y > 0 THEN 'accept' WHEN
 
 @query(f"SELECT ref_id, work_id, total, support, {_DECISION} AS decision FROM ({_SCORED}) z")
 def score_candidates_token(spark, sf_dir):
-    return score.score(known_pairs(spark, sf_dir), sequence=False).select("ref_id", "work_id", "total", "support", "decision")
+    return score.decide_pairs(known_pairs(spark, sf_dir), sequence=False).select("ref_id", "work_id", "total", "support", "decision")
 
 
 @query()
@@ -299,7 +319,7 @@ FROM (SELECT *, {_DECISION} AS decision FROM ({_SCORED}) z) d"""
 )
 def decide_status_token(spark, sf_dir):
     pairs = known_pairs(spark, sf_dir)
-    scored = score.score(pairs, sequence=False).withColumns({"ordinal": F.lit(1), "method": F.lit("bibliographic")})
+    scored = score.decide_pairs(pairs.withColumns({"ordinal": F.lit(1), "method": F.lit("bibliographic")}), sequence=False)
     refs = pairs.select("ref_id", F.lit(None).cast("string").alias("doi"), F.lit(False).alias("is_website"))
     return decide.decide(refs, decide.rank(scored)).select("ref_id", "status", "note")
 
@@ -364,8 +384,8 @@ def status_counts(spark, sf_dir):
     return report.counts(_sql(spark, sf_dir, STATUSES))
 
 
-_CLASS = """CASE WHEN status = 'website' THEN 'website' WHEN retracted THEN 'retracted' WHEN status = 'not_found' THEN CASE WHEN verification_status = 'partial' THEN 'partial' ELSE 'not_found' END
-WHEN coalesce(note, '') = 'year_warning' THEN 'year_warning' WHEN status = 'likely_wrong' THEN 'likely_wrong' WHEN verification_status = 'partial' THEN 'partial' ELSE 'ok' END"""
+_CLASS = """CASE WHEN retracted THEN 'retracted' WHEN status = 'likely_wrong' THEN 'likely_wrong' WHEN status = 'website' THEN 'website' WHEN status = 'not_found' THEN 'not_found'
+WHEN status = 'found' AND coalesce(note, '') = 'year_warning' THEN 'year_warning' WHEN verification_status = 'partial' THEN 'partial' ELSE 'ok' END"""
 
 
 @query(f"SELECT {_CLASS} AS kind, count(*) AS n FROM ({_duck(STATUSES)}) s GROUP BY 1")
@@ -416,6 +436,94 @@ def search_stages(spark, sf_dir):
     return collect.search_stages(_sql(spark, sf_dir, _CITED)).select("ref_id", "cleaned", "simplified", "key_terms")
 
 
+def _entries(spark, sf_dir):
+    """Preprints of every third work, without a DOI for half of them."""
+    works = works_table(spark, sf_dir).filter("work_id % 3 = 0")
+    return works.withColumns({"source": F.lit("arxiv"), "source_id": F.expr(f"replace({_ARXIV}, 'v', concat('.', CAST(work_id AS STRING), 'v'))"), "is_preprint": F.lit(True), "venue": F.lit("arXiv"), "doi": F.expr("CASE WHEN work_id % 2 = 0 THEN doi END")})
+
+
+_ENTRY = f"replace({_ARXIV}, 'v', concat('.', CAST(work_id AS STRING), 'v'))"
+
+
+@query(
+    f"""WITH w AS ({_duck(WORKS)}), e AS (SELECT {_ENTRY} AS id, CASE WHEN work_id % 2 = 0 THEN doi END AS doi FROM w WHERE work_id % 3 = 0),
+r AS (SELECT ref_id, {_ENTRY} AS id FROM ({_duck(REFS)}) x WHERE ref_id % 2 = 0),
+h AS (SELECT ref_id, e.doi FROM r JOIN e ON regexp_replace(r.id, 'v\\d+$', '') = regexp_replace(e.id, 'v\\d+$', ''))
+SELECT ref_id, 1 AS ordinal, 'arxiv-id' AS method, doi FROM h UNION ALL SELECT ref_id, 0, 'doi-crossref', doi FROM h WHERE doi IS NOT NULL"""
+)
+def arxiv_candidates(spark, sf_dir):
+    works = works_table(spark, sf_dir)
+    refs = _sql(spark, sf_dir, REFS).filter("ref_id % 2 = 0").select("ref_id", F.expr(_ENTRY).alias("arxiv_id"))
+    found = collect.arxiv_candidates(refs, _entries(spark, sf_dir), works.drop("work_id"))
+    return found.select("ref_id", "ordinal", "method", F.col("c.doi").alias("doi"))
+
+
+@query(
+    f"""WITH w AS ({_duck(WORKS)}), r AS (SELECT ref_id, work_doi AS doi, CASE WHEN ref_id % 4 = 0 THEN NULL ELSE work_doi END AS asked, ref_id % 3 AS k FROM ({_duck(REFS)}) x)
+SELECT ref_id, CASE WHEN k = 0 AND asked IS NOT NULL THEN concat('pubmed-title', '+doi-crossref') WHEN k = 0 THEN 'pubmed-title' ELSE 'bibliographic' END AS method,
+CASE WHEN k = 0 AND asked IS NOT NULL THEN w.venue END AS venue, asked AS doi FROM r JOIN w ON w.doi = r.doi"""
+)
+def enriched(spark, sf_dir):
+    pairs = known_pairs(spark, sf_dir)
+    types = {f.name: f.dataType for f in works_table(spark, sf_dir).select(*payloads.RECORD_COLUMNS).schema}
+    own = {"title": F.col("c.title"), "doi": F.expr("CASE WHEN ref_id % 4 <> 0 THEN c.doi END"), "aliases_resolved": F.lit(False), "is_preprint": F.lit(False), "venue_aliases": F.array(), "authors": F.array(), "issns": F.array()}
+    c = F.struct(*[own.get(f, F.lit(None)).cast(types[f]).alias(f) for f in payloads.RECORD_COLUMNS])
+    rows = pairs.select("ref_id", c.alias("c"), F.expr("CASE WHEN ref_id % 3 = 0 THEN 'pubmed-title' ELSE 'bibliographic' END").alias("method"))
+    return collect.enriched(rows, works_table(spark, sf_dir)).select("ref_id", "method", F.col("c.venue").alias("venue"), F.col("c.doi").alias("doi"))
+
+
+_STAGED = f"SELECT ref_id, r_title AS input_text FROM ({REFS}) r WHERE ref_id % 3 = 0"
+
+
+@query(
+    f"""WITH w AS ({_duck(WORKS)}), n AS (SELECT count(*) AS n FROM w), ww AS (SELECT work_id, unnest({_WORDS.format('title')}) AS word FROM w),
+i AS (SELECT word, CAST(round(ln(1 + any_value(n) / count(*)) * 1000) AS BIGINT) AS idf FROM ww, n GROUP BY word),
+r AS ({_duck(_STAGED)}), t AS (SELECT DISTINCT input_text FROM r), tw AS (SELECT input_text, unnest({_WORDS.format('input_text')}) AS word FROM t),
+p AS (SELECT input_text, ww.work_id, CAST(sum(idf) AS BIGINT) AS weight FROM tw JOIN i USING (word) JOIN ww USING (word) GROUP BY ALL),
+k AS (SELECT *, CAST(row_number() OVER (PARTITION BY input_text ORDER BY weight DESC, work_id) AS INT) AS rank FROM p QUALIFY rank <= 5)
+SELECT r.ref_id, k.work_id, rank, 'raw' AS stage FROM r JOIN k USING (input_text)"""
+)
+def staged_candidates(spark, sf_dir):
+    return collect.staged_candidates(_sql(spark, sf_dir, _STAGED), _sql(spark, sf_dir, WORKS).select("work_id", "title"))
+
+
+@query(
+    f"""WITH w AS ({_duck(WORKS)}), a AS (SELECT *, work_id % 5 AS k, CASE work_id % 5 WHEN 0 THEN 'crossref' WHEN 1 THEN 'datacite' WHEN 2 THEN 'jalc' WHEN 3 THEN 'medra' END AS agency FROM w)
+SELECT work_id, CASE WHEN k = 0 AND work_id % 2 = 0 THEN 'x' WHEN k = 1 AND work_id % 2 = 0 THEN 'd' WHEN k IN (2, 3) THEN 'n' WHEN k = 4 AND work_id % 2 = 0 THEN 'x' WHEN k = 4 THEN 'n' END AS answered,
+CASE WHEN k = 4 AND work_id % 2 = 1 THEN 'doi-content-negotiation' ELSE concat('doi-', coalesce(agency, 'crossref')) END AS doi_method FROM a"""
+)
+def resolver_chain(spark, sf_dir):
+    agencies = spark.createDataFrame([("10.0", "Crossref"), ("10.1", "DataCite"), ("10.2", "JaLC"), ("10.3", "mEDRA")], "prefix string, agency string")
+    works = works_table(spark, sf_dir).withColumn("doi", F.expr("concat('10.', CAST(work_id % 5 AS STRING), '/', CAST(work_id AS STRING))"))
+    half = works.filter("work_id % 2 = 0")
+    named = lambda rows, name: rows.withColumn("source", F.lit(name))
+    found = collect.resolve(works.select("work_id", "doi"), agencies, named(half, "x"), named(half, "d"), named(works, "n"))
+    return found.select("work_id", F.col("w.source").alias("answered"), "doi_method")
+
+
+_GAPS = "SELECT o_orderkey % 1000 AS ref_id, CASE o_orderkey % 4 WHEN 0 THEN 'jalc' WHEN 1 THEN 'pubmed' WHEN 2 THEN 'crossref' ELSE 'arxiv' END AS source, CASE WHEN o_orderkey % 3 = 0 THEN 'TimeoutError' END AS error FROM {orders}"
+
+
+@query(
+    f"""WITH g AS (SELECT ref_id, source, max(error) AS error FROM ({_duck(_GAPS)}) t GROUP BY ALL)
+SELECT ref_id, coalesce(string_agg(source, ',' ORDER BY list_position(['crossref', 'pubmed', 'arxiv', 'jalc'], source)) FILTER (error IS NULL), '') AS unchecked, count(error) AS failed FROM g GROUP BY ref_id"""
+)
+def source_gaps(spark, sf_dir):
+    gaps = _sql(spark, sf_dir, _GAPS)
+    found = decide.source_gaps(gaps.select("ref_id").distinct(), gaps)
+    return found.select("ref_id", F.array_join("unchecked_sources", ",").alias("unchecked"), F.size(F.map_keys("source_errors")).cast("long").alias("failed"))
+
+
+@query()
+def browser_report(spark, sf_dir):
+    return report.browser_lines(audit(references_table(spark, sf_dir).select("ref_id", "input_text"), works_table(spark, sf_dir), _sql(spark, sf_dir, NOTICES)))
+
+
+@query()
+def report_full(spark, sf_dir):
+    return report.report_rows(audit(references_table(spark, sf_dir).select("ref_id", "input_text"), works_table(spark, sf_dir), _sql(spark, sf_dir, NOTICES)), full=True)
+
+
 @query()
 def record_parse(spark, sf_dir):
     return parse.parse(references_table(spark, sf_dir).select("ref_id", "input_text"))
@@ -429,7 +537,7 @@ def audit_references(spark, sf_dir):
 @query()
 def report_markdown(spark, sf_dir):
     results = audit(references_table(spark, sf_dir).select("ref_id", "input_text"), works_table(spark, sf_dir), _sql(spark, sf_dir, NOTICES))
-    return report.problem_report(results)
+    return report.report_rows(results)
 
 
 @query()
