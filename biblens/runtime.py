@@ -9,6 +9,7 @@ import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 _shipped: set[str] = set()
@@ -21,6 +22,8 @@ def ship(spark: SparkSession) -> None:
     cluster whose executors do not see the driver's files, and also where the repository is only on
     the driver's ``sys.path``.
     """
+    if spark.conf.get(BATCH_ROWS) == "10000":  # the default; texts are long, and a batch is held on both sides
+        spark.conf.set(BATCH_ROWS, "2000")
     sc = spark.sparkContext
     if sc.applicationId in _shipped:
         return
