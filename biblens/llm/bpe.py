@@ -42,14 +42,14 @@ from pyspark.sql import functions as F
 
 from biblens.llm.common import as_bytes, pick
 
-#: Chunks of text, and words, whose tokens are remembered; a table is emptied when it is full.
-REMEMBERED = 500_000
+#: Words, and chunks of several, whose tokens are remembered; the table is emptied when it is full.
+REMEMBERED = 400_000
 #: Pairs of tokens whose validity is remembered.
-PAIRS = 1_000_000
+PAIRS = 300_000
 #: Bytes of a text that are decoded and normalised at a time.
 PIECE = 1 << 16
 #: States of the encoder that are remembered.
-STATES = 250_000
+STATES = 200_000
 #: Symbols after which the encoder looks for tokens that have become stable.
 EVERY = 16
 
@@ -155,8 +155,9 @@ class Encoder:
         self.start()
 
     def clear(self) -> None:
-        self.states: list[tuple] = [((), None)]  # ((place in the trie, token before), ...), last token
-        self.number: dict[tuple, int] = {self.states[0]: 0}
+        # packed integers: the last token, then place in the trie and token before of each that is open; -1 for no token
+        self.states: list[bytes] = [struct.pack("<i", -1)]
+        self.number: dict[bytes, int] = {self.states[0]: 0}
         self.steps: dict[int, tuple[int, int, int]] = {}  # state * width + symbol -> state, last token, its length
 
     def start(self) -> None:
@@ -167,15 +168,16 @@ class Encoder:
         self.last: list[tuple[int, int]] = []  # for each end after base: the last token, and its length
 
     def _step(self, state: int, symbol: int) -> tuple[int, int, int]:
-        m, (open_, before) = self.m, self.states[state]
+        m, raw = self.m, self.states[state]
+        before, *open_ = struct.unpack(f"<{len(raw) // 4}i", raw)
         still, found = [], None
-        for node, left in (*open_, (0, before)):
+        for node, left in zip([*open_[::2], 0], [*open_[1::2], before], strict=True):
             node = m.below.get(node * m.width + symbol)
             if node is not None:
-                still.append((node, left))
-                if found is None and (token := m.ends.get(node)) is not None and m.is_valid(left, token):
+                still += (node, left)
+                if found is None and (token := m.ends.get(node)) is not None and m.is_valid(None if left < 0 else left, token):
                     found = (token, m.depth[node])
-        new = (tuple(still), found[0])
+        new = struct.pack(f"<{len(still) + 1}i", found[0], *still)
         n = self.number.get(new)
         if n is None:
             n = self.number[new] = len(self.states)
@@ -208,7 +210,8 @@ class Encoder:
         """Tokens before the last end through which the ways back from all live ends go."""
         self.most = max(self.most, len(self.last))
         depth = self.m.depth
-        live = {self.read - depth[node] for node, _ in self.states[self.state][0]} | {self.read}
+        raw = self.states[self.state]
+        live = {self.read - depth[node] for node in struct.unpack(f"<{len(raw) // 4}i", raw)[1::2]} | {self.read}
         while len(live) > 1 and min(live) > self.base:
             top = max(live)
             live.remove(top)
@@ -297,7 +300,6 @@ class Tokenizer:
         self.encoder = Encoder(self.merges)
         self.bytes_of = {i: t.encode() for i, t in self.tokens.items()}
         self.known: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
 
     @classmethod
     def load(cls, text: str) -> Tokenizer:
@@ -318,24 +320,26 @@ class Tokenizer:
         ids = self.encoder.push(map(self.inner.__getitem__, raw[:-1])) + self.encoder.push((self.last[raw[-1]],)) + self.encoder.close()
         return struct.pack(f"<{len(ids)}I", *ids)
 
+    def _remember(self, text: str, ids: bytes) -> None:
+        if len(text) <= 64:
+            if len(self.known) >= REMEMBERED:
+                self.known.clear()
+            self.known[text] = ids
+
     def _of_word(self, w: str) -> bytes:
-        got = self.words.get(w)
+        got = self.known.get(w)
         if got is None:
             got = self._through(w)
-            if len(w) <= 64:
-                if len(self.words) >= REMEMBERED:
-                    self.words.clear()
-                self.words[w] = got
+            self._remember(w, got)
         return got
 
     def _learn(self, chunk: str) -> bytes:
-        """Ids of a chunk without white space; remembered if it is not long."""
+        """Ids of a chunk without white space; remembered, as its words are, if it is not long."""
         parts = [self._of_word(w) for w in self.word.findall(chunk)]
-        out = parts[0] if len(parts) == 1 else b"".join(parts)
-        if len(chunk) <= 64:
-            if len(self.known) >= REMEMBERED:
-                self.known.clear()
-            self.known[chunk] = out
+        if len(parts) == 1:
+            return parts[0]
+        out = b"".join(parts)
+        self._remember(chunk, out)
         return out
 
     def _stretches(self, text: str) -> Iterator[str | int]:
@@ -486,6 +490,8 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id
                 columns.append(pa.array([b"".join(tokenizer.packed(t)) for t in texts], pa.binary()))
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(columns, names=names)
+        if tokenizer:  # a worker lives on for other stages: what it remembers of words goes, the encoder's steps stay
+            tokenizer.known.clear()
 
     rows = pick(docs, doc_id=id_col, text=text_col).withColumn("text", F.col("text").cast("string"))
     kind = dict(rows.dtypes)["doc_id"]

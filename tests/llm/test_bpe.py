@@ -61,7 +61,6 @@ def test_cuts_before_steady_characters():
 
 def test_every_word_goes_through_the_encoder(mine, monkeypatch):
     mine.known.clear()
-    mine.words.clear()
     seen = []
     push = bpe.Encoder.push
     monkeypatch.setattr(bpe.Encoder, "push", lambda self, symbols: push(self, (seen.append(s) or s for s in symbols)))
