@@ -127,7 +127,9 @@ def test_sampling_estimates_weighted_jaccard():
     assert abs(estimate - minhash.weighted_jaccard(rows[0][1], rows[1][1])) < 0.15
 
 
-def test_components_of_a_path(spark):
+@pytest.mark.parametrize("few", [0, 20_000])
+def test_components_of_a_path(spark, monkeypatch, few):
+    monkeypatch.setattr(minhash, "FEW_EDGES", few)
     links = spark.createDataFrame([(i, i + 1) for i in range(1, 12)] + [(20, 21)], "a long, b long")
     assert {r["uid"]: r["root"] for r in minhash.components(links).collect()} == {**dict.fromkeys(range(2, 13), 1), 21: 20}
 
