@@ -490,10 +490,8 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id
                 columns.append(pa.array([b"".join(tokenizer.packed(t)) for t in texts], pa.binary()))
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(columns, names=names)
-        if tokenizer:  # a worker lives on for other stages: what it remembers of words goes, the vocabulary and its valid pairs stay
-            tokenizer.known.clear()
-            tokenizer.encoder.clear()
-            tokenizer.encoder.start()
+        tokenizer = None
+        _loaded.clear()  # a worker lives on for other stages, whose memory this would be
 
     rows = pick(docs, doc_id=id_col, text=text_col).withColumn("text", F.col("text").cast("string"))
     kind = dict(rows.dtypes)["doc_id"]
