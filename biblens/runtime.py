@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
+#: Part files of a table for each core of the cluster at most.
+FILES_A_CORE = 4
 #: Where the shared folder is a mounted one: no checksum file, and no processes that set its mode, beside each part file.
 NO_CHECKSUMS = {"fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true"}
 
@@ -74,6 +76,8 @@ def write_table(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     if spark.conf.get(SHUFFLE_CLEANUP, "false") != "true":
         spark.conf.set(SHUFFLE_CLEANUP, "true")
+    # each task writes a file: partitions beyond some for each core follow one another in a task
+    df = df.coalesce(FILES_A_CORE * spark.sparkContext.defaultParallelism)
     df.write.options(**NO_CHECKSUMS).option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
