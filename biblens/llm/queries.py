@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from biblens.llm import ann, bpe, html_extract, line_dedup, minhash, mixing, quality, secret_scan, simhash, suffix_dedup
+from biblens.llm import ann, bpe, html_extract, line_dedup, minhash, mixing, quality, row_patterns, secret_scan, simhash, suffix_dedup
 from biblens.runtime import ship
 
 #: The vocabulary file of op10 and the pipeline.
@@ -82,8 +82,14 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"), vocabulary_path())
 
 
+def op11_row_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    found = row_patterns.find(table(spark, sf_dir, "clicks"))
+    return found.withColumn("labels_sha256", F.sha2(F.col("labels").cast("binary"), 256)).drop("labels")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_html_extract, op2_suffix_dedup, op3_minhash, op4_quality, op5_simhash, op6_mixing, op7_vp_tree, op8_secrets, op9_line_dedup, op10_bpe]
+    own = [op1_html_extract, op2_suffix_dedup, op3_minhash, op4_quality, op5_simhash, op6_mixing, op7_vp_tree, op8_secrets, op9_line_dedup, op10_bpe, op11_row_patterns]
     return {f.__name__: f for f in own}
 
 
