@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from biblens.functions.text import contains_japanese, normalize_arxiv, normalize_japanese_query, normalize_text, nullif_blank, squeeze, strip_version
+from biblens.operators.index import PhraseIndex, WordIndex, authored_words, citation_words, phrase_words, title_words
 from biblens.operators.retrieve import agency_of, block, first_stage
+from biblens.runtime import write_table
 from biblens.sources.payloads import RECORD_COLUMNS, merged
 
 # Journals looked for first to last, and the words of a title that a search keeps.
@@ -64,42 +68,83 @@ def _record(prefix: str) -> Column:
     return F.struct(*[F.col(f"{prefix}.{c}").alias(c) for c in RECORD_COLUMNS])
 
 
-def _by_doi(rows: DataFrame, works: DataFrame, doi: str = "c.doi") -> DataFrame:
-    """rows with the record ``w`` and the ``agency`` that their DOI names, null where it names none."""
-    have_agency = F.col("agency") if "agency" in works.columns else F.lit("crossref")
-    named = works.select(F.lower("doi").alias("_key"), F.struct(*RECORD_COLUMNS).alias("w"), have_agency.alias("agency"))
-    return rows.withColumn("_key", F.lower(doi)).join(named, "_key", "left").drop("_key")
+@dataclass
+class DoiTables:
+    """Where DOIs are looked up: records of Crossref and, by way of ``agencies`` (prefix, agency), those of DataCite and
+    those that content negotiation gives. Without ``agencies`` all works of Crossref's table are found, under the agency
+    that its column ``agency`` names, if it has one."""
+
+    crossref: DataFrame
+    agencies: DataFrame | None = None
+    datacite: DataFrame | None = None
+    negotiated: DataFrame | None = None
+    strict: bool = True
+
+    def lookup(self, rows: DataFrame, doi: str = "doi") -> DataFrame:
+        """rows with the record ``w`` that their DOI names, null where it names none, and ``doi_method``. Each DOI is looked up once."""
+        keyed = rows.withColumn("_doi", F.lower(doi))
+        keys = keyed.filter("_doi is not null").select("_doi").distinct()
+        if self.agencies is None:
+            agency = F.lower("agency") if "agency" in self.crossref.columns else F.lit("crossref")
+            named = _one_record(self.crossref.withColumn("_agency", agency), "_doi", "_agency")
+            found = keys.join(named, "_doi", "left").select("_doi", F.col("w"), F.concat(F.lit("doi-"), F.coalesce("_agency", F.lit("crossref"))).alias("doi_method"))
+        else:
+            datacite, negotiated = (self.crossref.filter("false") if t is None else t for t in (self.datacite, self.negotiated))
+            chain = resolve(keys.select(F.col("_doi").alias("doi")), self.agencies, self.crossref, datacite, negotiated, self.strict)
+            found = chain.select(F.col("doi").alias("_doi"), "w", "doi_method")
+        return keyed.join(found, "_doi", "left").drop("_doi")
+
+
+def _one_record(table: DataFrame, key: str, *more: str) -> DataFrame:
+    """(key, w, more): one record a DOI, the one with the smallest title if a table has several."""
+    own = table.filter("doi is not null").select(F.lower("doi").alias(key), F.struct(*RECORD_COLUMNS).alias("w"), *more)
+    least = F.coalesce("w.title", F.lit(""))
+    return own.groupBy(key).agg(*[F.min_by(c, least).alias(c) for c in ("w", *more)])
+
+
+def _tables(works: DataFrame | DoiTables) -> DoiTables:
+    return works if isinstance(works, DoiTables) else DoiTables(works)
 
 
 #: Works that a search by an arXiv title adds where its entry names no DOI.
 ARXIV_ROWS = 3
 
 
+def authored_titles(refs: DataFrame, entries: DataFrame, top: int = 5) -> DataFrame:
+    """(ref_id, work_id, hits, weight, rank): entries that share title words with a reference and have its first author, or, for
+    references without any such, entries that share title words. The author counts in the search, before places are cut:
+    what is looked for are pairs of an author and a word. ``entries`` have source_id, title and authors."""
+    first, none = F.try_element_at("authors", F.lit(1)), F.array().cast("array<string>")
+    plain = lambda rows: rows.withColumn("plain", title_words(F.col("title")))
+    asked = plain(refs.filter("title <> ''")).select("ref_id", "plain", F.when(first != "", authored_words(F.array(first), F.col("plain"))).alias("words"))
+    told = plain(entries).select(F.col("source_id").alias("work_id"), "plain", authored_words(F.coalesce("authors", none), F.col("plain")).alias("words"))
+    both, _ = write_table(WordIndex.build(told.select("work_id", "words")).search(asked.select("ref_id", "words").filter("words is not null"), top), "authored")
+    rest = asked.join(both.select("ref_id").distinct(), "ref_id", "left_anti").select("ref_id", F.col("plain").alias("words"))
+    return both.unionByName(WordIndex.build(told.select("work_id", F.col("plain").alias("words"))).search(rest, top))
+
+
 def arxiv_hits(refs: DataFrame, entries: DataFrame, top: int = 5) -> DataFrame:
     """(ref_id, source_id, method): the entry that a reference names by id, or the accepted one of a title search.
 
-    ``refs`` is (ref_id, arxiv_id, title, authors). A title search looks at entries with the reference's first author
-    where there are any, else at all found, in their order, and accepts the first whose title contains
-    the reference's or is contained in it, or shares eight of ten words with it.
+    ``refs`` is (ref_id, arxiv_id, title, authors). A title search looks at the first ``top`` entries of the reference's
+    first author (see ``authored_titles``) and accepts the first whose title contains the reference's or is contained in
+    it, or shares eight of ten words with it.
     """
     ids = entries.select("source_id", strip_version(F.col("source_id")).alias("_id"))
     named = refs.filter("arxiv_id is not null").select("ref_id", strip_version(F.col("arxiv_id")).alias("_id")).join(ids, "_id")
     named = named.select("ref_id", "source_id", F.lit("arxiv-id").alias("method"))
     asked = refs.filter("arxiv_id is null and title <> ''")
-    found = block(asked.select("ref_id", "title"), entries.select(F.col("source_id").alias("work_id"), "title"), top).select("ref_id", F.col("work_id").alias("source_id"), "rank")
-    mine = asked.select("ref_id", normalize_arxiv(F.col("title")).alias("_t"), F.try_element_at("authors", F.lit(1)).alias("_first"))
-    theirs = entries.select("source_id", normalize_arxiv(F.col("title")).alias("_e"), F.col("authors").alias("_names"))
+    found = authored_titles(asked, entries, top).withColumnRenamed("work_id", "source_id")
+    mine = asked.select("ref_id", normalize_arxiv(F.col("title")).alias("_t"))
+    theirs = entries.select("source_id", normalize_arxiv(F.col("title")).alias("_e"))
     both = found.join(mine, "ref_id").join(theirs, "source_id")
-    both = both.withColumn("_by", F.coalesce(F.array_contains("_names", F.col("_first")), F.lit(False)))
-    any_by = Window.partitionBy("ref_id")
-    both = both.withColumn("_some", F.max("_by").over(any_by)).filter("_by or not _some")
     words = lambda c: F.array_distinct(F.split(c, " "))
     near = F.contains("_e", "_t") | F.contains("_t", "_e") | (F.size(F.array_intersect(words("_t"), words("_e"))) / F.greatest(F.size(words("_t")), F.size(words("_e"))) >= 0.8)
     accepted = both.filter((F.col("_t") != "") & (F.col("_e") != "") & near).groupBy("ref_id").agg(F.min_by("source_id", "rank").alias("source_id"))
     return named.unionByName(accepted.withColumn("method", F.lit("arxiv-title-search")))
 
 
-def arxiv_candidates(refs: DataFrame, entries: DataFrame, works: DataFrame) -> DataFrame:
+def arxiv_candidates(refs: DataFrame, entries: DataFrame, works: DataFrame | DoiTables, cited: WordIndex | None = None) -> DataFrame:
     """(ref_id, c, ordinal, method): the published version, where the entry's DOI names one, before the preprint; works
     with its title and the reference's first two authors after it, where it names none.
 
@@ -110,16 +155,19 @@ def arxiv_candidates(refs: DataFrame, entries: DataFrame, works: DataFrame) -> D
     asked = refs.select("ref_id", "arxiv_id", *[(F.col(c) if c in refs.columns else none.cast(t)).alias(c) for c, t in (("title", "string"), ("authors", "array<string>"))])
     records = entries.select("source_id", F.struct(*RECORD_COLUMNS).alias("c"))
     hits = arxiv_hits(asked, entries).join(records, "source_id")
-    both = _by_doi(hits.select("ref_id", "c", "method"), works)
-    published = F.struct(F.col("w").withField("source", F.lit("arxiv-published")).alias("c"), F.lit(0).alias("ordinal"), F.concat(F.lit("doi-"), F.lower("agency")).alias("method"))
+    tables = _tables(works)
+    works = tables.crossref
+    both = tables.lookup(hits.select("ref_id", "c", "method"), "c.doi")
+    published = F.struct(F.col("w").withField("source", F.lit("arxiv-published")).alias("c"), F.lit(0).alias("ordinal"), F.col("doi_method").alias("method"))
     own = F.struct(F.col("c"), F.lit(1).alias("ordinal"), F.col("method"))
     listed = F.when(F.col("w").isNotNull(), F.array(published, own)).otherwise(F.array(own))
     out = both.select("ref_id", F.explode(listed).alias("x")).select("ref_id", "x.*")
     if "work_id" not in works.columns:
         return out
     loose = hits.filter("c.doi is null and c.title is not null").join(asked.select("ref_id", F.array_join(F.slice("authors", 1, 2), " ").alias("_a")), "ref_id")
-    query = loose.select("ref_id", F.concat_ws(" ", "c.title", "_a").alias("title"))
-    more = block(query, works.select("work_id", "title"), ARXIV_ROWS).join(works.select("work_id", F.struct(*RECORD_COLUMNS).alias("c")), "work_id")
+    query = loose.select("ref_id", title_words(F.concat_ws(" ", "c.title", "_a")).alias("words"))
+    cited = cited or WordIndex.build(works.select("work_id", citation_words(works).alias("words")))
+    more = cited.search(query, ARXIV_ROWS).join(works.select("work_id", F.struct(*RECORD_COLUMNS).alias("c")), "work_id")
     return out.unionByName(more.select("ref_id", F.col("c").withField("source", F.lit("arxiv-crossref")).alias("c"), (1 + F.col("rank")).alias("ordinal"), F.lit("arxiv-crossref").alias("method")))
 
 
@@ -137,13 +185,10 @@ def pubmed_candidates(refs: DataFrame, hits: DataFrame) -> DataFrame:
     return found.withColumn("_n", F.row_number().over(once)).filter("_n = 1").select("ref_id", "c", "ordinal", "method")
 
 
-def title_phrase(refs: DataFrame, records: DataFrame, top: int = 5) -> DataFrame:
-    """(ref_id, work_id, rank): works whose normalised title holds the reference's as a phrase, of those that the search finds."""
-    asked = refs.filter("title <> ''")
-    found = block(asked.select("ref_id", "title"), records.select("work_id", "title"), top)
-    padded = lambda c: F.concat(F.lit(" "), normalize_text(c), F.lit(" "))
-    mine, theirs = asked.select("ref_id", padded(F.col("title")).alias("_t")), records.select("work_id", padded(F.col("title")).alias("_w"))
-    return found.join(mine, "ref_id").join(theirs, "work_id").filter(F.contains("_w", "_t") & (F.trim("_t") != "")).select("ref_id", "work_id", "rank")
+def title_phrase(refs: DataFrame, records: DataFrame, top: int = 5, index: PhraseIndex | None = None) -> DataFrame:
+    """(ref_id, work_id, rank): the ``top`` works, by work_id, whose normalised title holds the reference's as a phrase."""
+    index = index or PhraseIndex.build(records.select("work_id", phrase_words(F.col("title")).alias("words")))
+    return index.search(refs.select("ref_id", phrase_words(F.col("title")).alias("words")), top)
 
 
 def japanese_hits(refs: DataFrame, titles: DataFrame, top: int = 5) -> DataFrame:
@@ -159,18 +204,20 @@ def japanese_hits(refs: DataFrame, titles: DataFrame, top: int = 5) -> DataFrame
     return once.join(names, "doi").select("ref_id", "title", "doi", "rank")
 
 
-def japanese_candidates(refs: DataFrame, hits: DataFrame, works: DataFrame) -> DataFrame:
+def japanese_candidates(refs: DataFrame, hits: DataFrame, works: DataFrame | DoiTables) -> DataFrame:
     """(ref_id, c, ordinal, method) from hits (ref_id, title, doi, rank) for references with a Japanese title.
 
     A hit without DOI is dropped, one whose DOI names no work becomes a record of its title and DOI.
     """
     asked = hits.filter("doi is not null").join(refs.filter(contains_japanese(F.col("title"))).select("ref_id"), "ref_id", "left_semi")
-    found = _by_doi(asked, works, "doi")
+    tables = _tables(works)
+    works = tables.crossref
+    found = tables.lookup(asked)
     own = {"title": F.col("title"), "doi": F.col("doi"), "source": F.lit("jalc-search"), "source_id": F.col("doi"), "aliases_resolved": F.lit(True), "is_preprint": F.lit(False)}
     types = {f.name: f.dataType for f in works.select(*RECORD_COLUMNS).schema}
     bare = F.struct(*[own.get(c, F.lit(None)).cast(types[c]).alias(c) for c in RECORD_COLUMNS])
     named = F.col("w").withField("source", F.lit("jalc")).withField("source_id", F.col("doi"))
-    method = F.when(F.col("w").isNull(), "jalc-title").otherwise(F.concat(F.lit("jalc-title+doi-"), F.lower("agency")))
+    method = F.when(F.col("w").isNull(), "jalc-title").otherwise(F.concat(F.lit("jalc-title+"), F.col("doi_method")))
     return found.select("ref_id", F.when(F.col("w").isNull(), bare).otherwise(named).alias("c"), F.col("rank").alias("ordinal"), method.alias("method"))
 
 
@@ -179,30 +226,36 @@ def resolve(dois: DataFrame, agencies: DataFrame, crossref: DataFrame, datacite:
 
     Crossref and DataCite answer for their own DOIs; all other agencies by negotiation; a DOI of an unknown
     agency by Crossref, else by negotiation. Without ``strict`` negotiation also stands in where the agency's
-    own table has nothing. ``agencies`` is (prefix, agency), the tables are records.
+    own table has nothing. ``agencies`` is (prefix, agency), the tables are records. Each distinct DOI goes to
+    the tables that may answer for it only, and to the last one only if it is still open.
     """
-    rows = agency_of(dois, agencies).withColumn("_key", F.lower("doi"))
-    for name, table in (("_x", crossref), ("_d", datacite), ("_n", negotiated)):
-        own = table.filter("doi is not null").select(F.lower("doi").alias("_key"), F.struct(*RECORD_COLUMNS).alias(name))
-        rows = rows.join(own.groupBy("_key").agg(F.min_by(name, F.coalesce(F.col(f"{name}.title"), F.lit(""))).alias(name)), "_key", "left")
-    a = F.lower("agency")
-    own = F.when(a == "crossref", F.col("_x")).when(a == "datacite", F.col("_d")).when(a.isNull(), F.col("_x"))
-    may = a.isNull() | ~a.isin("crossref", "datacite") | F.lit(not strict)
-    work = F.coalesce(own, F.when(may, F.col("_n")))
-    by_agency = F.concat(F.lit("doi-"), F.coalesce(a, F.lit("crossref")))
-    method = F.when(own.isNull() & may & (a.isNull() | a.isin("crossref", "datacite")), "doi-content-negotiation").otherwise(by_agency)
-    return rows.withColumns({"w": work, "doi_method": method}).drop("_key", "_x", "_d", "_n", "prefix")
-
-
-def enriched(pairs: DataFrame, works: DataFrame) -> DataFrame:
+    routed = agency_of(dois.select(F.lower("doi").alias("doi")).filter("doi is not null").distinct(), agencies)
+    routed, _ = write_table(routed.select(F.col("doi").alias("_key"), F.lower("agency").alias("_a")), "routed")
+    own, by_agency = F.col("_a").isin("crossref", "datacite"), F.concat(F.lit("doi-"), F.coalesce("_a", F.lit("crossref")))
+    first = routed.filter("_a is null or _a = 'crossref'").join(_one_record(crossref, "_key"), "_key")
+    second = routed.filter("_a = 'datacite'").join(_one_record(datacite, "_key"), "_key")
+    answered, _ = write_table(first.unionByName(second).select("_key", "w", by_agency.alias("doi_method")), "answered")
+    open_ = routed.join(answered.select("_key"), "_key", "left_anti")
+    may = F.col("_a").isNull() | ~own | F.lit(not strict)
+    other = F.when(F.coalesce(~own, F.lit(False)), by_agency).otherwise("doi-content-negotiation")
+    last = open_.filter(may).join(_one_record(negotiated, "_key"), "_key").select("_key", "w", other.alias("doi_method"))
+    told = answered.unionByName(last)
+    lost = F.when(may & F.coalesce(own, F.lit(True)), "doi-content-negotiation").otherwise(by_agency)
+    every = routed.join(told, "_key", "left").select("_key", "w", F.coalesce("doi_method", lost).alias("doi_method"))
+    return dois.withColumn("_key", F.lower("doi")).join(every, "_key", "left").drop("_key")
+
+
+def enriched(pairs: DataFrame, works: DataFrame | DoiTables) -> DataFrame:
     """Candidates found by a PubMed method whose DOI names a work, merged with it; all others as they are.
 
     The fields of the candidate win; the method tells both sources. Scores are computed afterwards.
     """
-    found = _by_doi(pairs, works)
+    tables = _tables(works)
+    works = tables.crossref
+    found = tables.lookup(pairs, "c.doi")
     gate = F.startswith(F.col("method"), F.lit("pubmed")) & F.col("w").isNotNull()
     fields = merged("c", "w") | {"source": F.lit("pubmed-doi")}
     types = {f.name: f.dataType for f in works.select(*RECORD_COLUMNS).schema}
     both = F.struct(*[F.coalesce(fields[c], F.col(f"c.{c}")).cast(types[c]).alias(c) for c in RECORD_COLUMNS])
-    told = F.when(gate, F.concat("method", F.lit("+doi-"), "agency")).otherwise(F.col("method"))
-    return found.withColumns({"c": F.when(gate, both).otherwise(_record("c")), "method": told}).drop("w", "agency")
+    told = F.when(gate, F.concat("method", F.lit("+"), "doi_method")).otherwise(F.col("method"))
+    return found.withColumns({"c": F.when(gate, both).otherwise(_record("c")), "method": told}).drop("w", "doi_method")

@@ -13,9 +13,9 @@ def decision_rank(c: str = "decision") -> Column:
     return F.when(F.col(c) == "accept", 2).when(F.col(c) == "suggest", 1).otherwise(0)
 
 
-def rank(scored: DataFrame, key: str = "ref_id", ordinal: str = "ordinal") -> DataFrame:
-    """Rank in each reference: decision, total, published before preprint, then collection order."""
-    order = Window.partitionBy(key).orderBy(F.desc(decision_rank()), F.desc("total"), F.col("preprint_like").cast("int"), ordinal)
+def rank(scored: DataFrame, key: str = "ref_id", ordinal: str = "ordinal", preprint: str = "c.is_preprint") -> DataFrame:
+    """Rank in each reference: decision, total, published before what its record calls a preprint, then collection order."""
+    order = Window.partitionBy(key).orderBy(F.desc(decision_rank()), F.desc("total"), F.coalesce(preprint, F.lit(False)).cast("int"), ordinal)
     return scored.withColumn("rank", F.row_number().over(order))
 
 
@@ -66,10 +66,9 @@ PAYLOAD = ("title", "doi", "source", "method", "score", "decision", "field_summa
 
 
 def payload() -> Column:
-    states = F.map_from_entries(F.transform("field_diffs", lambda d: F.struct(d["field"], d["state"])))
-    own = {"method": "method", "score": "total", "decision": "decision", "field_summary": "summary", "field_diffs": "field_diffs", "signals": "signals"}
+    own = {"field_states": "field_states", "method": "method", "score": "total", "decision": "decision", "field_summary": "summary", "field_diffs": "field_diffs", "signals": "signals"}
     own |= {f: f"c.{f}" for f in ("title", "doi", "source", "year", "page", "volume", "issue")} | {"container": "c.venue"}
-    return F.struct(*[(states if f == "field_states" else F.col(own[f])).alias(f) for f in PAYLOAD])
+    return F.struct(*[F.col(own[f]).alias(f) for f in PAYLOAD])
 
 
 def with_details(results: DataFrame, scored: DataFrame, key: str = "ref_id", keep: int = 3, debug: bool = False) -> DataFrame:
@@ -126,9 +125,9 @@ def source_gaps(refs: DataFrame, sources: DataFrame, key: str = "ref_id") -> Dat
 
 
 def retractions(notices: DataFrame) -> DataFrame:
-    """(target_doi, details): notices that retract, each (notice, type) once, in order."""
+    """(target_doi, details): notices that retract, each (notice, type in any case) once, in order of time."""
     kept = notices.filter(F.lower("update_type").isin(*RETRACTING)).withColumn("target_doi", F.lower("target_doi"))
-    once = Window.partitionBy("target_doi", "notice_doi", "update_type").orderBy("updated")
+    once = Window.partitionBy("target_doi", "notice_doi", F.lower("update_type")).orderBy("updated", "update_type", "label")
     kept = kept.withColumn("_n", F.row_number().over(once)).filter("_n = 1")
     return kept.groupBy("target_doi").agg(F.array_sort(F.collect_list(F.struct("notice_doi", "update_type", "source", "updated", "label"))).alias("retraction_details"))
 

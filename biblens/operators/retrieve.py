@@ -99,15 +99,16 @@ def first_stage(rows: DataFrame, key: str, stage: str = "stage") -> DataFrame:
 
 
 def with_aliases(candidates: DataFrame, aliases: DataFrame) -> DataFrame:
-    """Alias names of the venue, where the gate is open: by the first two ISSNs in sorted order, then by normalised title.
+    """Alias names of the venue, where the gate is open: by the first two ISSNs in sorted order (trimmed, distinct, not
+    empty), or by the normalised title where there is none.
 
     ``aliases`` is (issn, title_norm, aliases); ``gate`` a boolean column of ``candidates``. The first of
     these with names decides; rows of one key are taken together, in sorted order. Joins are left joins
     that Spark broadcasts if the alias table is small.
     """
     names = lambda key, out: aliases.filter(f"{key} is not null and size(aliases) > 0").groupBy(key).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("aliases")))).alias(out))
-    issns = F.array_sort(F.coalesce("issns", F.array().cast("array<string>")))
-    keyed = candidates.withColumns({f"_issn{i}": F.when(F.col("gate"), F.try_element_at(issns, F.lit(i))) for i in (1, 2)} | {"_title": F.when(F.col("gate"), normalize_text(F.col("venue")))})
+    issns = F.array_sort(F.array_distinct(F.filter(F.transform(F.coalesce("issns", F.array().cast("array<string>")), lambda x: F.trim(x)), lambda x: x != "")))
+    keyed = candidates.withColumns({f"_issn{i}": F.when(F.col("gate"), F.try_element_at(issns, F.lit(i))) for i in (1, 2)} | {"_title": F.when(F.col("gate") & (F.size(issns) == 0), normalize_text(F.col("venue")))})
     for i in (1, 2):
         keyed = keyed.join(names("issn", f"_a{i}").withColumnRenamed("issn", f"_issn{i}"), f"_issn{i}", "left")
     keyed = keyed.join(names("title_norm", "_a3").withColumnRenamed("title_norm", "_title"), "_title", "left")

@@ -5,6 +5,9 @@ Pairs carry a record in each of the struct columns ``r`` and ``c``.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,7 +20,10 @@ ACCEPT, SUGGEST, LOOSE_ACCEPT = 0.74, 0.45, 0.68
 AUTHOR_ACCEPT, AUTHOR_SUGGEST, TITLE_ACCEPT, TITLE_SUGGEST = 0.5, 0.25, 0.72, 0.45
 PREPRINT_PENALTY = 0.1
 PREPRINT_MARKS = ("arxiv", "preprints", "biorxiv", "medrxiv")
+# What field diffs give as reasons.
 MISSING_IN_REFERENCE, MISSING_IN_CANDIDATE = "入力に記載なし", "Crossref から取得できず"
+YEAR_APART = "1年ずれ（オンライン公開／印刷年の差の可能性）"
+VENUE_SHORT, VENUE_OTHER, VENUE_MAYBE_SHORT = "正式誌名・略誌名の差として許容", "論文自体は一致。掲載誌名だけ別表記の可能性", "略記の可能性。許容するか確認"
 
 
 def preprint_like(c: str = "c") -> Column:
@@ -28,9 +34,9 @@ def preprint_like(c: str = "c") -> Column:
     return out
 
 
-def short_state(score: Column) -> Column:
-    """ok, ~ or x by the thresholds .7 and .35."""
-    return F.when(score >= 0.7, "ok").when(score >= 0.35, "~").otherwise("x")
+def short_state(score: Column, known: Column) -> Column:
+    """ok, ~ or x by the thresholds .7 and .35, or ? where a side says nothing."""
+    return F.when(~known, "?").when(score >= 0.7, "ok").when(score >= 0.35, "~").otherwise("x")
 
 
 #: Fields whose normal forms pairs are compared by.
@@ -122,7 +128,7 @@ def alias_gate() -> Column:
 
 
 def display_authors(a: Column) -> Column:
-    return nullif_blank(F.concat(F.array_join(F.slice(a, 1, 3), ", "), F.when(F.size(a) > 3, " et al.").otherwise("")))
+    return nullif_blank(F.concat(F.array_join(F.slice(a, 1, 3), ", "), F.when(F.size(a) > 3, ", et al.").otherwise("")))
 
 
 def display_pages(rec: str) -> Column:
@@ -134,31 +140,46 @@ def display_pages(rec: str) -> Column:
 def _diff(name: str, mine: Column, theirs: Column, value: Column) -> Column:
     missing = F.when(mine.isNull() & theirs.isNull(), "missing_both").when(mine.isNull(), "missing_input").when(theirs.isNull(), "missing_candidate")
     reason = F.when(mine.isNull() & theirs.isNotNull(), MISSING_IN_REFERENCE).when(mine.isNotNull() & theirs.isNull(), MISSING_IN_CANDIDATE)
-    both = mine.isNotNull() & theirs.isNotNull()
+    high, both = value >= 0.7, mine.isNotNull() & theirs.isNotNull()
+    state = F.when(high, "ok")
     if name == "year":
-        state = F.when((value >= 0.7) & (mine != theirs), "near").when(value >= 0.7, "ok")
-        reason = F.coalesce(reason, F.when(both & (value >= 0.7) & (mine != theirs), "1年差"))
+        state = F.when(high & (mine != theirs), "near").when(high, "ok")
+        reason = reason.when(both & high & (mine != theirs), YEAR_APART)
     elif name == "venue":
-        short, strong = F.col("venue_kind") == "abbrev", strong_identity()
-        unlike = F.col("r.n.venue") != F.col("c.n.venue")
-        alias = F.col("venue_kind").isin("alias", "exact")
-        state = F.when((value >= 0.7) & short, "ok").when((value >= 0.7) & strong & unlike & ~alias, "unverified").when(value >= 0.7, "ok").when(short, "abbrev").when(strong, "unverified")
-        reason = F.coalesce(reason, F.when(both & short, "略称"))
-    else:
-        state = F.when(value >= 0.7, "ok")
+        # below the threshold the shown names may abbreviate each other, though some variants are nearer
+        told, strong = F.col("venue_kind") == "abbrev", strong_identity()
+        a, b = F.col("r.n.venue"), F.col("c.n.venue")
+        short = told | S.looks_like_abbreviation(a, b) | S.looks_like_abbreviation(b, a)
+        other = strong & (a != b) & ~F.col("venue_kind").isin("alias", "exact")
+        state = F.when(high & told, "ok").when(high & other, "unverified").when(high, "ok").when(short, "abbrev").when(strong, "unverified")
+        why = F.when(high & told, VENUE_SHORT).when(high & other, VENUE_OTHER).when(high, None).when(short, VENUE_MAYBE_SHORT).when(strong, VENUE_OTHER)
+        reason = reason.when(both, why)
     state = F.coalesce(missing, state, F.when(value >= 0.35, "near"), F.lit("mismatch"))
     return F.struct(F.lit(name).alias("field"), state.alias("state"), mine.alias("input_value"), theirs.alias("candidate_value"), reason.alias("reason"), value.alias("score"))
 
 
+#: The fields of a summary, in order.
+FIELDS = ("title", "authors", "year", "venue", "pages")
+
+
+def field_states() -> dict[str, Column]:
+    """The short state of each field: ? unless both sides say something."""
+    s = lambda f: F.col(f"s_{f}")
+    said = lambda *names: reduce(or_, [F.coalesce(F.col(n).cast("string") != "", F.lit(False)) for n in names])
+    some = lambda n: F.coalesce(F.size(n) > 0, F.lit(False))
+    place = lambda side: said(*[f"{side}.{f}" for f in ("volume", "issue", "page", "article_number")])
+    values = {"title": s("title"), "authors": F.greatest(s("authors"), s("first_author")), "year": s("year"), "venue": s("venue"), "pages": F.greatest(s("volume_issue"), s("pages"))}
+    known = {f: said(f"r.{f}") & said(f"c.{f}") for f in ("title", "year", "venue")} | {"authors": some("r.authors") & some("c.authors"), "pages": place("r") & place("c")}
+    return {f: short_state(values[f], known[f]) for f in FIELDS}
+
+
 def summary() -> Column:
     """ "title s / authors s / ..." in short states."""
-    s = lambda f: F.col(f"s_{f}")
-    values = (("title", s("title")), ("authors", F.greatest(s("authors"), s("first_author"))), ("year", s("year")), ("venue", s("venue")), ("pages", F.greatest(s("volume_issue"), s("pages"))))
-    return F.concat_ws(" / ", *[F.concat(F.lit(f"{n} "), short_state(v)) for n, v in values])
+    return F.concat_ws(" / ", *[F.concat(F.lit(f"{f} "), state) for f, state in field_states().items()])
 
 
 def with_diffs(scored: DataFrame) -> DataFrame:
-    """field_diffs (array of struct, fixed order), the summary, and the signals as a struct."""
+    """field_diffs (array of struct, fixed order), field_states, the summary, and the signals as a struct."""
     s = lambda f: F.col(f"s_{f}")
     author, pages = F.greatest(s("authors"), s("first_author")), F.greatest(s("volume_issue"), s("pages"))
     diffs = F.array(
@@ -168,4 +189,5 @@ def with_diffs(scored: DataFrame) -> DataFrame:
         _diff("venue", nullif_blank(F.col("r.venue")), nullif_blank(F.col("c.venue")), s("venue")),
         _diff("pages", display_pages("r"), display_pages("c"), pages),
     )
-    return scored.withColumns({"field_diffs": diffs, "summary": summary(), "signals": F.struct(*[s(f).alias(f) for f in SIGNALS])})
+    states = F.create_map(*[x for f, state in field_states().items() for x in (F.lit(f), state)])
+    return scored.withColumns({"field_diffs": diffs, "field_states": states, "summary": summary(), "signals": F.struct(*[s(f).alias(f) for f in SIGNALS])})

@@ -9,8 +9,9 @@ from biblens.operators import collect as C
 from biblens.operators import decide as D
 from biblens.operators import retrieve as R
 from biblens.operators import score as S
+from biblens.operators.index import WordIndex, citation_words, title_words
 from biblens.operators.parse import parse
-from biblens.runtime import write_table
+from biblens.runtime import scratch, ship, write_table
 from biblens.sources.payloads import RECORD_COLUMNS
 
 REFERENCE_FIELDS = ("title", "authors", "year", "venue", "volume", "issue", "page", "article_number", "doi")
@@ -21,63 +22,78 @@ def _record(prefix: str = ""):
     return F.struct(*[F.col(f"{prefix}{c}").alias(c) for c in RECORD_COLUMNS])
 
 
-def candidates(parsed: DataFrame, works: DataFrame, top: int = 5, sources: dict[str, DataFrame] | None = None) -> DataFrame:
-    """(ref_id, r, c, ordinal, method): the work that a DOI names, else works by title words or by those of the whole
-    citation, then those of the other sources in their fixed order.
+def citation_index(works: DataFrame, path: str | None = None) -> WordIndex:
+    """The index in which whole citations are looked for; with ``path`` it stays there, for audits to come."""
+    return WordIndex.build(works.select("work_id", citation_words(works).alias("words")), path=path)
+
+
+def candidates(parsed: DataFrame, works: DataFrame, top: int = 5, sources: dict[str, DataFrame] | None = None, dois: C.DoiTables | None = None, index: WordIndex | None = None) -> DataFrame:
+    """(ref_id, r, c, ordinal, method): the work that a DOI names, else works by the words of the whole citation, then those
+    of the other sources in their fixed order. A DOI that names nothing has a row without c, which tells its method.
 
     ``sources`` may hold records of ``pubmed`` and ``arxiv`` (source_id is their id) and (title, doi) of ``jalc``.
     References and works are brought to normal form here, once for each, not for each pair.
     """
+    dois = dois or C.DoiTables(works)
     r = F.struct(*[F.col(f).alias(f) for f in REFERENCE_FIELDS]).alias("r")
     refs = S.with_normal(parsed.filter(~F.col("is_website")).select("ref_id", r, "title", "doi"), "r")
-    agency = F.col("agency") if "agency" in works.columns else F.lit("crossref")
-    records = S.with_normal(works.select("work_id", _record().alias("c"), F.lower("doi").alias("key"), F.lower(agency).alias("agency")), "c")
-    named = refs.filter("doi is not null").withColumn("key", F.lower("doi")).join(records, "key")
-    named = named.select("ref_id", "r", "c", F.lit(1).alias("ordinal"), F.concat(F.lit("doi-"), "agency").alias("method"))
+    named = dois.lookup(parsed.filter("not is_website and doi is not null").select("ref_id", "doi"))
+    named = named.select("ref_id", F.col("w").withField("source", F.lit("doi")).withField("source_id", F.col("doi")).alias("c"), F.lit(1).alias("ordinal"), F.col("doi_method").alias("method"))
     open_ = parsed.filter("not is_website and doi is null")
-    blocked = R.block(open_.filter("title is not null").select("ref_id", "title"), works.select("work_id", "title"), top)
-    staged = C.staged_candidates(open_.filter("title is null").select("ref_id", "input_text"), works.select("work_id", "title"), top)
-    ranked = blocked.select("ref_id", "work_id", "rank").unionByName(staged.select("ref_id", "work_id", "rank"))
-    mine = ranked.join(records, "work_id").select("ref_id", "c", F.col("rank").alias("ordinal"), F.lit("bibliographic").alias("method"))
+    index = index or citation_index(works)
+    ranked = index.search(open_.select("ref_id", title_words(F.col("input_text")).alias("words")), top)
+    mine = ranked.join(works.select("work_id", _record().alias("c")), "work_id").select("ref_id", "c", F.col("rank").alias("ordinal"), F.lit("bibliographic").alias("method"))
     parts, sources = {"crossref": mine}, sources or {}
     if "pubmed" in sources:
         parts["pubmed"] = C.pubmed_candidates(open_.select("ref_id", "input_text", "title"), sources["pubmed"])
     if "arxiv" in sources:
-        parts["arxiv"] = C.arxiv_candidates(open_.select("ref_id", "arxiv_id", "title", "authors"), sources["arxiv"], works)
+        parts["arxiv"] = C.arxiv_candidates(open_.select("ref_id", "arxiv_id", "title", "authors"), sources["arxiv"], dois, index)
     if "jalc" in sources:
-        parts["jalc"] = C.japanese_candidates(open_.select("ref_id", "title"), C.japanese_hits(open_.select("ref_id", "title"), sources["jalc"]), works)
-    parts = {k: S.with_normal(v, "c").select("ref_id", "c", "ordinal", "method") for k, v in parts.items()}
-    found = R.union_sources(parts).join(refs.filter("doi is null").select("ref_id", "r"), "ref_id")
-    return named.unionByName(found.select("ref_id", "r", "c", "ordinal", "method"))
+        parts["jalc"] = C.japanese_candidates(open_.select("ref_id", "title"), C.japanese_hits(open_.select("ref_id", "title"), sources["jalc"]), dois)
+    found = named.unionByName(R.union_sources({k: v.select("ref_id", "c", "ordinal", "method") for k, v in parts.items()}))
+    return S.with_normal(found, "c").join(refs.select("ref_id", "r"), "ref_id").select("ref_id", "r", "c", "ordinal", "method")
 
 
 def audit(
     refs: DataFrame, works: DataFrame, notices: DataFrame | None = None, aliases: DataFrame | None = None, sequence: bool = True, top: int = 5,
     sources: dict[str, DataFrame] | None = None, gaps: DataFrame | None = None, details: bool = True, debug: bool = False,
+    dois: C.DoiTables | None = None, index: WordIndex | None = None,
 ) -> DataFrame:
     """One result a reference (ref_id, input_text). ``works`` holds work_id, a record's columns and maybe the agency.
 
     ``sources`` are the tables of further sources (see ``candidates``), ``gaps`` the sources that were skipped or
-    failed, as (ref_id, source, error). Without ``details`` only what decides is computed. A pure function
-    of frames, so a stream can call it on each micro-batch.
+    failed, as (ref_id, source, error). ``dois`` tells where DOIs are looked up, if not in ``works``; ``index`` is a kept
+    ``citation_index`` of the works. Without ``details`` only what decides is computed. A function of frames, so a
+    stream can call it on each micro-batch; its result is one written table, and what it wrote before is deleted.
     """
+    ship(refs.sparkSession)
+    with scratch(refs.sparkSession) as keep:
+        return keep(_audit(refs, works, notices, aliases, sequence, top, sources, gaps, details, debug, dois or C.DoiTables(works), index), "results")
+
+
+def _audit(refs, works, notices, aliases, sequence, top, sources, gaps, details, debug, dois, index) -> DataFrame:
     parsed, _ = write_table(parse(refs), "parsed")
-    pairs, _ = write_table(D.dedup_candidates(candidates(parsed, works, top, sources)), "pairs")
-    scored = S.decide_pairs(pairs, sequence)
+    every, _ = write_table(D.dedup_candidates(candidates(parsed, works, top, sources, dois, index)), "pairs")
+    pairs = every.filter("c is not null")
     columns = ["ref_id", "r", "c", "ordinal", "method"]
+    scored = S.decide_pairs(pairs, sequence)
     if aliases is not None:
-        gated = scored.withColumn("gate", S.alias_gate()).select("ref_id", "r", "ordinal", "method", "gate", "c.*")
-        named = R.with_aliases(gated, aliases)
-        scored = S.decide_pairs(named.select("ref_id", "r", F.struct(*RECORD_COLUMNS, "n").alias("c"), "ordinal", "method"), sequence)
+        # only pairs whose candidate got new names are scored again
+        first, _ = write_table(scored.withColumn("gate", S.alias_gate()), "scored")
+        named = R.with_aliases(first.filter("gate").select("ref_id", "r", "ordinal", "method", "gate", "c.*"), aliases)
+        again = S.decide_pairs(named.select("ref_id", "r", F.struct(*RECORD_COLUMNS, "n").alias("c"), "ordinal", "method"), sequence)
+        kept = first.filter("not gate")
+        scored = kept.drop("gate").unionByName(again.select(*[c for c in kept.columns if c != "gate"]))
     if sources and "pubmed" in sources:
         # accepted PubMed hits are completed by the work that their DOI names, and scored again
-        split, _ = write_table(scored.select(*columns, "decision"), "decided")
-        taken = split.filter((F.col("decision") == "accept") & F.startswith("method", F.lit("pubmed")) & F.col("c.doi").isNotNull()).select(*columns)
-        rest = split.join(taken.select("ref_id", "ordinal"), ["ref_id", "ordinal"], "left_anti").select(*columns)
-        again = S.with_normal(C.enriched(taken, works), "c").select(*columns)
-        scored = S.decide_pairs(rest.unionByName(again), sequence)
+        split, _ = write_table(scored, "decided")
+        hit = F.coalesce((F.col("decision") == "accept") & F.startswith("method", F.lit("pubmed")) & F.col("c.doi").isNotNull(), F.lit(False))
+        again = S.decide_pairs(S.with_normal(C.enriched(split.filter(hit).select(*columns), dois), "c").select(*columns), sequence)
+        scored = split.filter(~hit).unionByName(again.select(*split.columns))
     ranked, _ = write_table(D.rank(scored), "ranked")
-    results = D.decide(parsed if gaps is None else D.source_gaps(parsed, gaps), ranked)
+    lost = every.filter("c is null").select("ref_id", F.col("method").alias("doi_method"))
+    asked = parsed.join(lost, "ref_id", "left")
+    results = D.decide(asked if gaps is None else D.source_gaps(asked, gaps), ranked)
     if not details:
         return results
     if gaps is None:

@@ -331,15 +331,15 @@ def candidate_dedup(spark, sf_dir):
     return decide.dedup_candidates(other.withColumn("ordinal", F.lit(2)).unionByName(pairs.withColumn("ordinal", F.lit(1)))).select("ref_id", "ordinal")
 
 
-_RANKED = "SELECT o_custkey AS ref_id, o_orderkey AS ordinal, CASE o_orderstatus WHEN 'F' THEN 'accept' WHEN 'O' THEN 'suggest' ELSE 'reject' END AS decision, o_totalprice AS total, o_orderpriority = '1-URGENT' AS preprint_like FROM {orders}"
+_RANKED = "SELECT o_custkey AS ref_id, o_orderkey AS ordinal, CASE o_orderstatus WHEN 'F' THEN 'accept' WHEN 'O' THEN 'suggest' ELSE 'reject' END AS decision, o_totalprice AS total, o_orderpriority = '1-URGENT' AS is_preprint FROM {orders}"
 
 
 @query(
-    f"""SELECT ref_id, ordinal, CAST(row_number() OVER (PARTITION BY ref_id ORDER BY CASE decision WHEN 'accept' THEN 2 WHEN 'suggest' THEN 1 ELSE 0 END DESC, total DESC, CAST(preprint_like AS INT), ordinal) AS INT) AS rank
+    f"""SELECT ref_id, ordinal, CAST(row_number() OVER (PARTITION BY ref_id ORDER BY CASE decision WHEN 'accept' THEN 2 WHEN 'suggest' THEN 1 ELSE 0 END DESC, total DESC, CAST(is_preprint AS INT), ordinal) AS INT) AS rank
 FROM ({_duck(_RANKED)}) t"""
 )
 def rank_candidates(spark, sf_dir):
-    return decide.rank(_sql(spark, sf_dir, _RANKED)).select("ref_id", "ordinal", "rank")
+    return decide.rank(_sql(spark, sf_dir, _RANKED), preprint="is_preprint").select("ref_id", "ordinal", "rank")
 
 
 @query(f"SELECT work_id, CASE WHEN work_id % 2 = 0 THEN title ELSE 'Other' END AS title, CASE WHEN work_id % 3 = 0 THEN venue ELSE 'Second' END AS venue, CASE WHEN work_id % 5 = 0 THEN 1999 ELSE year END AS year, work_id % 7 = 0 AS is_preprint, concat(venue, '|', 'J ', kind) AS aliases FROM ({_duck(WORKS)}) w")

@@ -4,20 +4,27 @@ from __future__ import annotations
 
 import os
 import tempfile
+import threading
 import uuid
 import zipfile
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
-#: Part files of a table for each core of the cluster at most.
-FILES_A_CORE = 4
-#: Where the shared folder is a mounted one: no checksum file, and no processes that set its mode, beside each part file.
-NO_CHECKSUMS = {"fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true"}
-
 _shipped: set[str] = set()
+#: Of each thread, the tables that the open scopes of ``scratch`` have written, innermost last.
+_local = threading.local()
+
+
+def _scopes() -> list[list[str]]:
+    if not hasattr(_local, "scopes"):
+        _local.scopes = []
+    return _local.scopes
+
 
 
 def ship(spark: SparkSession) -> None:
@@ -76,12 +83,37 @@ def write_table(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     if spark.conf.get(SHUFFLE_CLEANUP, "false") != "true":
         spark.conf.set(SHUFFLE_CLEANUP, "true")
-    # each task writes a file: partitions beyond some for each core follow one another in a task
-    df = df.coalesce(FILES_A_CORE * spark.sparkContext.defaultParallelism)
-    df.write.options(**NO_CHECKSUMS).option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
+    if open_ := _scopes():
+        open_[-1].append(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+    """Tables written inside are deleted at the end, but for what is written by the function that this yields.
+
+    Frames that read the deleted ones can not be run any more, so results are written with that function; they
+    belong to the scope around this one, if any.
+    """
+    scopes, mine = _scopes(), []
+    scopes.append(mine)
+
+    def keep(df: DataFrame, name: str) -> DataFrame:
+        out, path = write_table(df, name)
+        mine.remove(path)
+        if len(scopes) > 1:
+            scopes[-2].append(path)
+        return out
+
+    try:
+        yield keep
+    finally:
+        scopes.pop()
+        for path in mine:
+            drop_table(spark, path)
+
+
 def drop_table(spark: SparkSession, path: str) -> None:
     """Delete a table of ``write_table`` that no frame still reads."""
     jvm = spark.sparkContext._jvm

@@ -69,7 +69,7 @@ def work_records(works: DataFrame, keep: list[str] | None = None, source: str =
         works, keep or [],
         title=F.try_element_at(F.col("title"), F.lit(1)), authors=F.coalesce(_keys(names), F.array().cast("array<string>")),
         year=published_year(F.col("published-print"), F.col("issued"), F.col("published-online")).cast("int"), venue=venue,
-        venue_aliases=F.coalesce(F.slice("container-title", 2, 20), F.array().cast("array<string>")), issns=F.coalesce("ISSN", F.array().cast("array<string>")),
+        issns=F.filter(F.coalesce("ISSN", F.array().cast("array<string>")), lambda x: F.coalesce(x != "", F.lit(False))),
         volume=F.col("volume"), issue=F.col("issue"), page=F.col("page"), article_number=page_article_number(F.col("page")),
         doi=F.lower("DOI"), source=F.lit(source), is_preprint=F.coalesce(marked, F.lit(False)),
     )
@@ -79,7 +79,7 @@ def pubmed_records(hits: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """PubMed hits to records; both forms of the journal are aliases."""
     return _record(
         hits, keep or [],
-        title=F.col("title"), authors=_keys(F.col("authors")), year=F.col("year").cast("int"), venue=F.coalesce(nullif_blank(F.col("journal")), "journal_full"),
+        title=F.col("title"), authors=_keys(F.col("authors")), year=F.col("year").cast("int"), venue=nullif_blank(F.col("journal")), aliases_resolved=F.lit(True),
         venue_aliases=F.array_distinct(F.array_compact(F.array(nullif_blank(F.col("journal")), nullif_blank(F.col("journal_full"))))),
         volume=F.col("volume"), issue=F.col("issue"), page=F.col("pages"), article_number=page_article_number(F.col("pages")),
         doi=F.lower("doi"), source=F.lit("pubmed"), source_id=F.col("pmid"),

@@ -91,7 +91,7 @@ def test_sections(results):
     assert lost[3:9] == ["- 理由: no_match", "", "- 検証状態: 一部ソースを検証できませんでした。", "- 未検証ソース: `pubmed`", "- ソースエラー: `jalc`=TimeoutError", ""]
     assert lost[9:12] == ["### 次のチェック候補", "", '- タイトル候補でウェブ検索: "Grammar of unseen lamps and kettles"']
     late = section(results, 3)
-    assert late[0] == "## △ 出版年注意" and "    （1年差）" in late
+    assert late[0] == "## △ 出版年注意" and "    （1年ずれ（オンライン公開／印刷年の差の可能性））" in late
     assert section(results, 4) == ["### 🌐 ウェブサイト参照", "- 入力: `Rayyan. https://rayyan.ai`", "- 説明: ソフトウェア/ウェブサイト参照のため学術DB検索はスキップしました。", ""]
     gone = section(results, 5)
     assert gone[3] == "- マッチ: **Ovens of the north**" and gone[8] == "- 種別: **retraction**, 通知DOI: `10.5555/n`, source: `publisher`, date: `2020-01-01`"
@@ -194,11 +194,11 @@ def test_quoting(spark):
 def test_alias_lookup_takes_issns_before_titles(spark):
     from biblens.operators.retrieve import with_aliases
 
-    rows = [(1, ["9", "1", "5"], "J A", [], True), (2, ["7"], "J A", [], True), (3, ["1"], "J A", [], False)]
+    rows = [(1, ["9", "1", " 1", "", "5"], "J A", [], True), (2, ["7"], "J A", [], True), (3, ["1"], "J A", [], False), (4, [" "], "J A.", [], True), (5, None, "J A", ["X"], True)]
     pairs = spark.createDataFrame([(*r, False) for r in rows], "ref_id long, issns array<string>, venue string, venue_aliases array<string>, gate boolean, aliases_resolved boolean")
     names = spark.createDataFrame([("1", None, []), ("5", None, ["Five"]), ("5", None, ["Cinq"]), ("9", None, ["Nine"]), (None, "j a", ["Title"])], "issn string, title_norm string, aliases array<string>")
     got = {r["ref_id"]: (r["venue_aliases"], r["aliases_resolved"]) for r in with_aliases(pairs, names).collect()}
-    assert got == {1: (["Cinq", "Five"], True), 2: (["Title"], True), 3: ([], False)}
+    assert got == {1: (["Cinq", "Five"], True), 2: ([], True), 3: ([], False), 4: (["Title"], True), 5: (["X", "Title"], True)}
 
 
 def test_record_columns_are_kept():
