@@ -7,8 +7,10 @@ work that has it. It reads less:
 * Hot words, which one work in ``HOT`` has, have no postings. There are at most ``HOT`` times as many as a work has words on
   average. Works that share only hot words with a query weigh what their hot words weigh, so of all works with the same hot
   words (a profile) only those with the smallest ids can be among the first; the profiles stand for all the others.
-* The other words are read rarest first. A work that shares none of those read weighs at most the sum of the unread and
-  of the hot ones: reading stops, exactly, where that sum is below the weight of the last place.
+* The other words are read rarest first, and what they weigh is summed for each work. A first round reads few and weighs the
+  most hopeful works in full, so that the last place weighs so much at least. A second round reads on until the unread
+  and the hot words together weigh less than a part of that: works that share none of the words read can not be among the
+  first, exactly, and of the others only those are weighed in full that come up to the last place with all the rest.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from biblens.functions.text import normalize_text, tokens
-from biblens.runtime import write_table
+from biblens.runtime import numbered, write_table
 
 #: Ids kept of works with equal words or titles: a search can give so many places at most.
 KEEP = 10
@@ -27,6 +29,8 @@ KEEP = 10
 HOT = 8
 #: Postings that the first round of a search reads for a query, beside those of its rarest word.
 FIRST = 100
+#: The second round reads words until the rest weighs less than one part in so many of the last place.
+READ_ON = 3
 
 
 def _keep(df: DataFrame, name: str, path: str | None) -> DataFrame:
@@ -58,10 +62,18 @@ def citation_words(works: DataFrame) -> Column:
     return title_words(F.concat_ws(" ", *said, F.array_join(F.coalesce("authors", F.array().cast("array<string>")), " "), F.col("year").cast("string")))
 
 
+#: A word's code: its weight above so many bits, its number below.
+BITS = 43
+
+
+def _weight(code: Column | str) -> Column:
+    return F.shiftright(code, BITS)
+
+
 @dataclass
 class WordIndex:
-    """``sets``: wset (its smallest id), ids, words. ``words``: word, df, sets, weight, hot. ``postings``: word, wset of
-    words that are not hot, sorted by word. ``profiles``: hot words and the sets that have just these among the hot ones."""
+    """``sets``: wset (its smallest id), ids, codes of its words. ``words``: word, df, sets, code, hot. ``postings``: code, wset of
+    words that are not hot, sorted by code. ``profiles``: pid, codes of hot words, and the sets that have just these among the hot ones."""
 
     sets: DataFrame
     words: DataFrame
@@ -74,18 +86,20 @@ class WordIndex:
         depend on order. With ``path`` its tables are kept there, for ``open``; without, in the shared folder."""
         named = works.filter(F.size("words") > 0)
         count = named.groupBy("words").agg(F.count(F.lit(1)).alias("n"))
-        sets = _keep(_smallest(named, "words", "work_id").join(count, "words").withColumn("wset", F.col("ids")[0]), "sets", path)
-        total = F.lit(int(sets.agg(F.sum("n").alias("n")).first()["n"] or 0))
-        posts = sets.select("wset", F.explode("words").alias("word"), "n")
+        equal, _ = write_table(_smallest(named, "words", "work_id").join(count, "words").withColumn("wset", F.col("ids")[0]), "equal-works")
+        total = F.lit(int(equal.agg(F.sum("n").alias("n")).first()["n"] or 0))
+        posts = equal.select("wset", F.explode("words").alias("word"), "n")
         df = posts.groupBy("word").agg(F.sum("n").alias("df"), F.count(F.lit(1)).alias("sets"))
         idf = F.ln(1 + total / F.col("df"))
         weight = F.round((idf if power == 1 else F.pow(idf, F.lit(power))) * 1000).cast("long")
-        # the hot words are at most HOT times the words that a work has on average
-        words = _keep(df.select("word", "df", "sets", weight.alias("weight"), (F.col("df") * HOT >= total).alias("hot")), "words", path)
-        hot = F.broadcast(words.filter("hot").select("word"))
-        postings = _keep(posts.select("word", "wset").join(hot, "word", "left_anti").repartitionByRange("word", "wset").sortWithinPartitions("word", "wset"), "postings", path)
-        mine = posts.join(hot, "word").groupBy("wset").agg(F.array_sort(F.collect_list("word")).alias("profile"))
-        return WordIndex(sets, words, postings, _keep(_smallest(mine, "profile", "wset").withColumnRenamed("ids", "wsets"), "profiles", path))
+        code = F.shiftleft(weight, BITS) + F.col("number")
+        words = _keep(numbered(df, [F.col("word")]).select("word", "df", "sets", code.alias("code"), (F.col("df") * HOT >= total).alias("hot")), "words", path)
+        coded, _ = write_table(posts.select("word", "wset").join(words.select("word", "code", "hot"), "word").drop("word"), "coded")
+        sets = equal.select("wset", "ids").join(coded.groupBy("wset").agg(F.array_sort(F.collect_list("code")).alias("codes")), "wset")
+        postings = coded.filter("not hot").select("code", "wset").repartitionByRange("code", "wset").sortWithinPartitions("code", "wset")
+        mine = coded.filter("hot").groupBy("wset").agg(F.array_sort(F.collect_list("code")).alias("codes"))
+        profiles = _smallest(mine, "codes", "wset").select(F.monotonically_increasing_id().alias("pid"), "codes", F.col("ids").alias("wsets"))
+        return WordIndex(_keep(sets, "sets", path), words, _keep(postings, "postings", path), _keep(profiles, "profiles", path))
 
     @staticmethod
     def open(spark: SparkSession, path: str) -> WordIndex:
@@ -97,42 +111,57 @@ class WordIndex:
             raise ValueError(f"an index keeps {KEEP} ids of equal works")
         asked = asked.filter(F.size("words") > 0)
         queries, _ = write_table(asked.select("words").distinct().withColumn("qid", F.monotonically_increasing_id()), "queries")
-        known = queries.select("qid", F.explode("words").alias("word")).join(self.words, "word")
-        rarest = Window.partitionBy("qid").orderBy("hot", F.desc("weight"), "word")
+        known = queries.select("qid", F.explode("words").alias("word")).join(self.words.select("word", "sets", "code", "hot"), "word")
+        rarest = Window.partitionBy("qid").orderBy("hot", F.desc("code"))
         upto, after = rarest.rowsBetween(Window.unboundedPreceding, 0), rarest.rowsBetween(0, Window.unboundedFollowing)
-        known = known.withColumns({"place": F.row_number().over(rarest), "read": F.sum("sets").over(upto), "rest": F.sum("weight").over(after)})
-        known, _ = write_table(known.select("qid", "word", "weight", "hot", "place", "read", "rest"), "query-words")
-        own = known.groupBy("qid").agg(F.collect_list(F.struct("word", "weight")).alias("own"))
+        known = known.withColumns({"place": F.row_number().over(rarest), "read": F.sum("sets").over(upto), "rest": F.sum(_weight("code")).over(after)})
+        known, _ = write_table(known.select("qid", "code", "hot", "place", "read", "rest"), "query-words")
+        own = known.groupBy("qid").agg(F.collect_list("code").alias("own"))
 
         def weighed(pairs: DataFrame) -> DataFrame:
-            shared = F.filter("own", lambda x: F.array_contains("words", x["word"]))
-            both = pairs.join(own, "qid").join(self.sets.select("wset", "words"), "wset").withColumn("shared", shared)
-            return both.select("qid", "wset", F.size("shared").cast("long").alias("hits"), F.aggregate("shared", F.lit(0).cast("long"), lambda s, x: s + x["weight"]).alias("weight"))
+            both = pairs.join(self.sets.select("wset", "codes"), "wset").join(own, "qid").withColumn("shared", F.array_intersect("own", "codes"))
+            return both.select("qid", "wset", F.size("shared").cast("long").alias("hits"), F.aggregate("shared", F.lit(0).cast("long"), lambda s, x: s + _weight(x)).alias("weight"))
+
+        def read(words: DataFrame) -> DataFrame:
+            """(qid, wset, part): what the read words weigh together, for each set that has any."""
+            return words.join(self.postings, "code").groupBy("qid", "wset").agg(F.sum(_weight("code")).alias("part"))
+
+        def last(rows: DataFrame) -> DataFrame:
+            """(qid, least): what the last place weighs, of queries with so many works."""
+            return rows.withColumn("_k", F.row_number().over(best)).filter(F.col("_k") == top).select("qid", F.col("weight").alias("least"))
 
-        early = ~F.col("hot") & ((F.col("place") == 1) | (F.col("read") <= first))
-        pairs = known.filter(early).join(self.postings, "word").select("qid", "wset").unionByName(self._by_profile(known, top)).distinct()
-        found, _ = write_table(weighed(pairs), "found")
+        none = F.lit(0).cast("long")
         best = Window.partitionBy("qid").orderBy(F.desc("weight"), "wset")
-        least = found.withColumn("_k", F.row_number().over(best)).filter(F.col("_k") == top).select("qid", F.col("weight").alias("least"))
-        more = known.filter(~F.col("hot") & ~early).join(least, "qid", "left").filter(F.col("rest") >= F.coalesce("least", F.lit(0)))
-        further = more.join(self.postings, "word").select("qid", "wset").distinct().join(found.select("qid", "wset"), ["qid", "wset"], "left_anti")
-        firsts = found.unionByName(weighed(further)).withColumn("_k", F.row_number().over(best)).filter(F.col("_k") <= top)
+        hopeful = Window.partitionBy("qid").orderBy(F.desc("part"), "wset")
+        begun = read(known.filter(~F.col("hot") & ((F.col("place") == 1) | (F.col("read") <= first))).select("qid", "code"))
+        some, _ = write_table(weighed(begun.withColumn("_k", F.row_number().over(hopeful)).filter(F.col("_k") <= top).select("qid", "wset")), "begun")
+        # works by hot words alone matter only where these weigh as much as the last place
+        hot = known.filter("hot").join(last(some), "qid", "left").withColumn("all_hot", F.sum(_weight("code")).over(Window.partitionBy("qid")))
+        by_hot, _ = write_table(weighed(self._by_profile(hot.filter(F.col("all_hot") >= F.coalesce("least", none)).select("qid", "code"), top)), "by-profile")
+        least = last(some.unionByName(by_hot).distinct())
+        bound = known.join(least, "qid", "left").withColumn("least", F.coalesce("least", none))
+        bound, _ = write_table(bound.withColumn("reads", ~F.col("hot") & (F.col("rest") * READ_ON >= F.col("least"))), "bound-words")
+        unread = bound.groupBy("qid").agg(F.first("least").alias("least"), F.coalesce(F.sum(F.when(~F.col("reads"), _weight("code"))), none).alias("unread"))
+        near = read(bound.filter("reads").select("qid", "code")).join(unread, "qid").filter(F.col("part") + F.col("unread") >= F.col("least"))
+        found = weighed(near.select("qid", "wset")).unionByName(by_hot).distinct()
+        firsts = found.withColumn("_k", F.row_number().over(best)).filter(F.col("_k") <= top)
         listed = firsts.join(self.sets.select("wset", "ids"), "wset").select("qid", F.explode("ids").alias("work_id"), "hits", "weight")
         order = Window.partitionBy("qid").orderBy(F.desc("weight"), "work_id")
         ranked = listed.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top)
         return asked.select("ref_id", "words").join(queries, "words").join(ranked, "qid").select("ref_id", "work_id", "hits", "weight", "rank")
 
-    def _by_profile(self, known: DataFrame, top: int) -> DataFrame:
-        """(qid, wset): of each query, the first works by hot words alone. Queries with the same hot words are looked up once."""
-        hot = known.filter("hot").groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("word", "weight"))).alias("hot_words"))
-        kinds = hot.select("hot_words").distinct()
-        one = kinds.select("hot_words", F.explode("hot_words").alias("w")).select("hot_words", "w.word")
-        met = one.join(self.profiles.select("profile", F.explode("profile").alias("word")), "word").select("hot_words", "profile").distinct()
-        weight = F.aggregate(F.filter("hot_words", lambda x: F.array_contains("profile", x["word"])), F.lit(0).cast("long"), lambda s, x: s + x["weight"])
-        rows = met.join(self.profiles, "profile").select("hot_words", weight.alias("weight"), F.explode("wsets").alias("wset"))
-        place = F.row_number().over(Window.partitionBy("hot_words").orderBy(F.desc("weight"), "wset"))
-        firsts = rows.withColumn("_k", place).filter(F.col("_k") <= top).groupBy("hot_words").agg(F.collect_list("wset").alias("wsets"))
-        return hot.join(firsts, "hot_words").select("qid", F.explode("wsets").alias("wset"))
+    def _by_profile(self, hot: DataFrame, top: int) -> DataFrame:
+        """(qid, wset): the first works by hot words alone, for rows (qid, code). Queries with the same hot words are looked up once."""
+        each = hot.groupBy("qid").agg(F.array_sort(F.collect_list("code")).alias("codes"))
+        kinds, _ = write_table(each.select("codes").distinct().withColumn("hid", F.monotonically_increasing_id()), "hot-kinds")
+        one, other = kinds.select("hid", F.explode("codes").alias("code")), self.profiles.select("pid", F.explode("codes").alias("code"))
+        met = one.join(other, "code").groupBy("hid", "pid").agg(F.sum(_weight("code")).alias("weight"))
+        # the best profiles hold the best works: each has one that comes before all of the next
+        placed = met.join(self.profiles.select("pid", "wsets"), "pid").withColumn("_k", F.row_number().over(Window.partitionBy("hid").orderBy(F.desc("weight"), F.col("wsets")[0])))
+        rows = placed.filter(F.col("_k") <= top).select("hid", "weight", F.explode("wsets").alias("wset"))
+        firsts = rows.withColumn("_k", F.row_number().over(Window.partitionBy("hid").orderBy(F.desc("weight"), "wset"))).filter(F.col("_k") <= top)
+        wsets = firsts.groupBy("hid").agg(F.collect_list("wset").alias("wsets")).join(kinds, "hid")
+        return each.join(wsets, "codes").select("qid", F.explode("wsets").alias("wset"))
 
 
 def phrase_words(title: Column) -> Column:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from biblens.functions.text import escape_ticks, nullif_blank
+from biblens.runtime import numbered
 
 # Titles, headings and labels.
 TITLE, TITLE_FULL = "Reference Audit Report", "Reference Audit Report (Full)"
@@ -103,19 +106,19 @@ def _doi() -> tuple[Column, Column]:
     return _has("matched_doi"), F.concat(F.lit("- DOI: "), _code("matched_doi"))
 
 
-def diff_lines(diffs: Column) -> Column:
-    """The fields to look at with both values and the reason, then those that agree in one line."""
+def diff_lines(diffs: Column, item: str = "  - ", why: str = "    ") -> Column:
+    """The fields to look at with both values and the reason, then those that agree in one line. ``item`` and ``why`` begin their lines."""
     label = F.create_map(*[x for k, v in FIELD_LABELS.items() for x in (F.lit(k), F.lit(v))])
     bad = F.filter(diffs, lambda d: d["state"].isin("mismatch", "abbrev", "near", "missing_input", "missing_candidate"))
     good = F.transform(F.filter(diffs, lambda d: d["state"] == "ok"), lambda d: label[d["field"]])
 
     def told(d: Column) -> Column:
         mine, theirs = F.coalesce(d["input_value"], F.lit("(なし)")), F.coalesce(d["candidate_value"], F.lit("(取得不可)"))
-        head = F.concat(F.lit("  - "), label[d["field"]], F.lit(": "))
+        head = F.concat(F.lit(item), label[d["field"]], F.lit(": "))
         one = F.concat(head, F.lit("入力="), mine, F.lit(" / Crossref="), theirs)
         two = F.concat(head, F.lit('"'), mine, F.lit('" → Crossref では "'), theirs, F.lit('"'))
         line = F.when(d["state"].isin("missing_input", "missing_candidate"), one).otherwise(two)
-        return F.when(d["reason"].isNotNull(), F.array(line, F.concat(F.lit("    （"), d["reason"], F.lit("）")))).otherwise(F.array(line))
+        return F.when(d["reason"].isNotNull(), F.array(line, F.concat(F.lit(f"{why}（"), d["reason"], F.lit("）")))).otherwise(F.array(line))
 
     return _lines(
         (F.size(bad) > 0, F.concat(F.lit("- ⚠ 要確認 ("), F.size(bad).cast("string"), F.lit("件):"))),
@@ -233,8 +236,8 @@ def write_markdown(report: DataFrame, path: str) -> None:
     ordered.select(F.col("markdown").alias("value")).write.mode("overwrite").text(path)
 
 
-def browser_lines(results: DataFrame) -> DataFrame:
-    """(ref_id, kind, verdict, markdown) of the interactive view: a verdict for each result, and its section if it needs attention."""
+def browser_lines(results: DataFrame, *more: str) -> DataFrame:
+    """(ref_id, more, kind, verdict, markdown) of the interactive view: a verdict for each result, and its section if it needs attention."""
     kind = browser_class()
     label = F.create_map(*[x for k, v in BROWSER_LABELS.items() for x in (F.lit(k), F.lit(f"🚩 {v}" if k == "retracted" else v))])
     code = F.concat(F.lit("`"), escape_ticks(F.col("input_text")), F.lit("`"))
@@ -243,7 +246,7 @@ def browser_lines(results: DataFrame) -> DataFrame:
     titled = lambda name: (_has("matched_title"), F.concat(F.lit(f"- {name}: "), _strong("matched_title")))
     summary = F.concat(F.lit("- 比較: "), F.col("comparison_summary"))
     errors = F.transform(F.map_entries("source_errors"), lambda e: F.concat(F.lit("- ソースエラー: "), e["key"], F.lit(" / "), e["value"]))
-    diffs = F.coalesce(diff_lines(F.col("field_diffs")), none)
+    diffs = F.coalesce(diff_lines(F.col("field_diffs"), "-   • ", "-       "), none)
     listed = F.flatten(F.transform("candidates", lambda p: _lines(F.array(F.concat(F.lit("- "), _strong(F.coalesce(nullif_blank(p["title"]), F.lit("候補"))))), (_has(p["doi"]), F.concat(F.lit("- DOI: "), _code(p["doi"]))), (_has(p["field_summary"]), F.concat(F.lit("- 比較: "), p["field_summary"])), "")))
     na = lambda c: F.coalesce(nullif_blank(c), F.lit("N/A"))
     notices = F.transform("retraction_details", lambda d: F.concat(F.lit("- 種別: "), _strong(na(d["update_type"])), F.lit(", 通知DOI: "), _code(na(d["notice_doi"])), F.lit(", source: "), _code(na(d["source"])), F.lit(", date: "), _code(na(d["updated"]))))
@@ -254,11 +257,61 @@ def browser_lines(results: DataFrame) -> DataFrame:
         "not_found": _lines(_heading("not_found", "###"), "", entry, F.array(F.concat(F.lit("- 理由: "), F.coalesce(nullif_blank(F.col("note")), F.lit("候補なし")))), ""),
         "retracted": _lines(_heading("retracted", "###"), "", entry, F.array(F.concat(F.lit("- マッチ: "), _strong(F.coalesce(nullif_blank(F.col("matched_title")), F.lit("(no title)"))))), F.array(F.concat(F.lit("- DOI: "), _code(na(F.col("matched_doi"))))), "", "#### 参照された更新（通知）", "", notices, ""),
     }
-    sections["error"] = sections["not_found"]
+    failed = F.col("message") if "message" in results.columns else F.lit(None).cast("string")
+    sections["error"] = _lines(_heading("not_found", "###"), "", entry, F.array(F.concat(F.lit("- 理由: "), F.coalesce(nullif_blank(failed), F.lit(API_ERROR)))), "")
     text = F.lit(None).cast("string")
     for k, lines in sections.items():
         text = F.when(kind == k, F.array_join(lines, "\n")).otherwise(text)
-    return results.select("ref_id", kind.alias("kind"), verdict.alias("verdict"), text.alias("markdown"))
+    return results.select("ref_id", *more, kind.alias("kind"), verdict.alias("verdict"), text.alias("markdown"))
+
+
+PAGE_PARTS = ("## 入力", "## チェック結果", "## 注意すべき候補", "## Diagnostics")
+PAGE_COUNTS = ("ok", "partial", "likely_wrong", "not_found", "retracted", "year_warning", "website", "error")
+API_ERROR = "APIエラー"
+ERRORS_REMARK = "> **エラーが発生しています。** 問題が解消しない場合、このレポートファイルを開発者にお送りください。"
+DIAGNOSTICS_HEAD = ("| # | elapsed (s) | budget (s) | skipped | error |", "|---|---|---|---|---|")
+FENCE = "```"
+
+
+def page_report(results: DataFrame, entered: DataFrame | None = None, checks: DataFrame | None = None) -> DataFrame:
+    """(part, number, markdown): the interactive view's whole report, to be read in order of part and number.
+
+    What was entered (rows ``number``, ``line``; the references themselves, if left out) is echoed, then come the
+    eight counts, a numbered verdict for each result in order of ref_id, the sections of those that need attention, and, if any
+    does, the table of diagnostics: ``checks`` is (ref_id, elapsed_sec, budget_sec, skipped, source_errors, error), a row
+    for each result; a result without one has dashes. Numbers are given by slices; nothing goes through one task.
+    """
+    results = numbered(results, [F.col("ref_id")])
+    lines = browser_lines(results, "number")
+    kinds = results.agg(*[F.count_if(browser_class() == k).alias(k) for k in PAGE_COUNTS])
+    bad = reduce(lambda a, b: a + b, [F.col(k) for k in PAGE_COUNTS if k not in ("ok", "website")])
+    nothing = F.lit(None).cast("long")
+    head = lambda part, *text, of=kinds: of.select(F.lit(part).alias("part"), nothing.alias("number"), F.array_join(_lines(*text), "\n").alias("markdown"))
+    rows = lambda part, df, text: df.select(F.lit(part).alias("part"), F.col("number").cast("long"), text.alias("markdown"))
+    echo = F.replace(F.coalesce("line", F.lit("")), F.lit(FENCE), F.lit("``\u200b`"))
+    counted = [F.array(F.concat(F.lit(f"- {BROWSER_LABELS[k]}: "), F.col(k).cast("string"))) for k in PAGE_COUNTS]
+    entered = results.select("number", F.col("input_text").alias("line")) if entered is None else entered
+    out = [
+        head("0", f"# {TITLE}", "", PAGE_PARTS[0], "", FENCE),
+        rows("1", entered, echo),
+        head("2", FENCE, "", PAGE_PARTS[1], "", *counted, ""),
+        rows("3", lines, F.concat(F.col("number").cast("string"), F.lit(". "), F.col("verdict"))),
+        head("4", "", PAGE_PARTS[2], "", (bad == 0, F.lit(NO_PROBLEM))),
+        rows("5", lines.filter(~F.col("kind").isin("ok", "website")), F.col("markdown")),
+    ]
+    if checks is not None:
+        table = results.select("ref_id", "number").join(checks, "ref_id", "left")
+        short = lambda c: F.coalesce(F.regexp_replace(F.col(c).cast("string"), r"\.0$", ""), F.lit("-"))
+        failed = F.array_join(F.transform(F.map_entries("source_errors"), lambda e: F.concat(e["key"], F.lit(":"), e["value"])), ", ")
+        cells = [short("elapsed_sec"), short("budget_sec"), F.coalesce(nullif_blank(F.array_join("skipped", ", ")), F.lit("-")), F.coalesce(nullif_blank(failed), F.lit("-"))]
+        told = F.when(F.col("error").isNotNull(), F.array(F.lit("-"), F.lit("-"), F.lit("-"), F.col("error"))).otherwise(F.array(*cells))
+        line = F.concat(F.lit("| "), F.array_join(F.array_insert(told, 1, F.col("number").cast("string")), " | "), F.lit(" |"))
+        shown = kinds.filter(bad > 0)
+        remark = F.when(F.col("error") > 0, F.array(F.lit(ERRORS_REMARK), F.lit("")))
+        out.append(head("6", "---", "", PAGE_PARTS[3], "", remark, *DIAGNOSTICS_HEAD, of=shown))
+        out.append(rows("7", table.filter(kinds.select(bad > 0).scalar()), line))
+        out.append(head("8", "", of=shown))
+    return reduce(DataFrame.unionByName, out)
 
 
 def diagnostics(results: DataFrame, elapsed: Column | None = None, budget: float = 55.0) -> Column:
@@ -269,12 +322,20 @@ def diagnostics(results: DataFrame, elapsed: Column | None = None, budget: float
     return F.struct((F.lit(None).cast("double") if elapsed is None else F.round(elapsed, 2)).alias("elapsed_sec"), F.lit(budget).alias("budget_sec"), skipped.alias("skipped"), errors.alias("source_errors"))
 
 
-def as_json(results: DataFrame) -> DataFrame:
-    """(ref_id, json): ok, result and diagnostics."""
-    body = F.struct(F.lit(True).alias("ok"), F.struct(*results.columns).alias("result"), diagnostics(results).alias("diagnostics"))
+def as_json(results: DataFrame, elapsed: Column | None = None) -> DataFrame:
+    """(ref_id, json): ok, result and diagnostics, with the seconds that a check took if they are told."""
+    body = F.struct(F.lit(True).alias("ok"), F.struct(*results.columns).alias("result"), diagnostics(results, elapsed).alias("diagnostics"))
     return results.select("ref_id", F.to_json(body).alias("json"))
 
 
+def answers(asked: DataFrame, results: DataFrame, elapsed: Column | None = None) -> DataFrame:
+    """(ref_id, code, answer) of requests (ref_id) that were let through: 200 with the result, or 500 where the check gave none."""
+    found = as_json(results, elapsed)
+    lost = F.to_json(F.struct(F.lit(False).alias("ok"), F.lit(INTERNAL).alias("error")))
+    both = asked.select("ref_id").join(found, "ref_id", "left")
+    return both.select("ref_id", F.when(F.col("json").isNull(), 500).otherwise(200).alias("code"), F.coalesce("json", lost).alias("answer"))
+
+
 #: Answers to requests that can not be read, are not allowed, or fail.
 INVALID_JSON, NOT_ALLOWED, INTERNAL = "invalid_json", "method_not_allowed", "internal_error"
 

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from biblens.functions.text import normalize_text, tokens
-from biblens.runtime import write_table
+from biblens.functions.text import normalize_text
+from biblens.operators.index import WordIndex, title_words
 
-#: Postings that the first round of a search reads for a title, beside those of its rarest word.
+#: Postings that the first round of a search by title reads, beside those of the rarest word.
 FIRST = 200
 #: The order in which sources are collected.
 SOURCES = ("crossref", "pubmed", "arxiv", "jalc")
@@ -27,55 +27,16 @@ def agency_of(refs: DataFrame, agencies: DataFrame) -> DataFrame:
 
 def word_sets(rows: DataFrame, key: str, title: str = "title") -> DataFrame:
     """(key, words): the distinct words of each row's title, sorted; rows without any are left out."""
-    return rows.select(key, F.array_sort(tokens(normalize_text(F.col(title)))).alias("words")).filter(F.size("words") > 0)
+    return rows.select(key, title_words(F.col(title)).alias("words")).filter(F.size("words") > 0)
 
 
 def block(refs: DataFrame, works: DataFrame, top: int = 5) -> DataFrame:
     """(ref_id, work_id, hits, weight, rank): the top works of each reference by shared title words.
 
-    Words weigh ln(1 + N / df), in whole thousandths so that sums do not depend on order; ties go to the
-    smaller work_id. The result is that of a join on every word, without one. References with equal
-    words are one, and works with equal words are one with their ``top`` smallest ids. A first round
-    joins on a title's rarest words, up to ``FIRST`` postings beside the rarest's, and weighs the pairs found in
-    full. A work that shares none of a title's rarest words weighs at most the sum of the others, so a second
-    round joins only on those further words, rarest first, down to which that sum reaches the weight of
-    the ``top``-th work found.
+    Words weigh ln(1 + N / df), in whole thousandths; ties go to the smaller work_id. The result is that of a
+    join on every word; how it does without one, ``WordIndex`` tells.
     """
-    asked = word_sets(refs, "ref_id").withColumn("rset", F.array_join("words", " "))
-    named = word_sets(works, "work_id")
-    first_ids = Window.partitionBy("words").orderBy("work_id")
-    n_same = named.groupBy("words").agg(F.count(F.lit(1)).alias("n"))
-    few = named.withColumn("_k", F.row_number().over(first_ids)).filter(F.col("_k") <= top).groupBy("words").agg(F.array_sort(F.collect_list("work_id")).alias("ids"))
-    wsets, _ = write_table(few.join(n_same, "words").withColumn("wset", F.col("ids")[0]), "work-sets")
-    total = int(wsets.agg(F.sum("n").alias("n")).first()["n"] or 0)
-    posts = wsets.select("wset", F.explode("words").alias("word"), "n")
-    df = posts.groupBy("word").agg(F.sum("n").alias("df"), F.count(F.lit(1)).alias("sets"))
-    idf = df.select("word", "sets", F.round(F.ln(1 + F.lit(total) / F.col("df")) * 1000).cast("long").alias("idf"))
-    rsets = asked.groupBy("rset").agg(F.first("words").alias("words"))
-    rarest = Window.partitionBy("rset").orderBy(F.desc("idf"), "word")
-    upto, after = rarest.rowsBetween(Window.unboundedPreceding, 0), rarest.rowsBetween(0, Window.unboundedFollowing)
-    words = rsets.select("rset", F.explode("words").alias("word")).join(idf, "word")
-    words = words.withColumns({"place": F.row_number().over(rarest), "read": F.sum("sets").over(upto), "rest": F.sum("idf").over(after)})
-    words, _ = write_table(words, "title-words")
-    own = words.groupBy("rset").agg(F.collect_list(F.struct("word", "idf")).alias("own"))
-
-    def weighed(pairs: DataFrame) -> DataFrame:
-        shared = F.filter("own", lambda x: F.array_contains("words", x["word"]))
-        both = pairs.join(own, "rset").join(wsets.select("wset", "words"), "wset").withColumn("shared", shared)
-        return both.select("rset", "wset", F.size("shared").cast("long").alias("hits"), F.aggregate("shared", F.lit(0).cast("long"), lambda s, x: s + x["idf"]).alias("weight"))
-
-    early = (F.col("place") == 1) | (F.col("read") <= FIRST)
-    pairs = words.filter(early).join(posts.select("word", "wset"), "word").select("rset", "wset").distinct()
-    found, _ = write_table(weighed(pairs), "found")
-    best = Window.partitionBy("rset").orderBy(F.desc("weight"), "wset")
-    least = found.withColumn("_k", F.row_number().over(best)).filter(F.col("_k") == top).select("rset", F.col("weight").alias("least"))
-    more = words.filter(~early).join(least, "rset", "left").filter(F.col("rest") >= F.coalesce("least", F.lit(0)))
-    further = more.join(posts.select("word", "wset"), "word").select("rset", "wset").distinct().join(found.select("rset", "wset"), ["rset", "wset"], "left_anti")
-    every = found.unionByName(weighed(further)).withColumn("_k", F.row_number().over(best)).filter(F.col("_k") <= top)
-    listed = every.join(wsets.select("wset", "ids"), "wset").select("rset", F.explode("ids").alias("work_id"), "hits", "weight")
-    order = Window.partitionBy("rset").orderBy(F.desc("weight"), "work_id")
-    ranked = listed.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top)
-    return asked.select("ref_id", "rset").join(ranked, "rset").select("ref_id", "work_id", "hits", "weight", "rank")
+    return WordIndex.build(word_sets(works, "work_id"), power=1).search(word_sets(refs, "ref_id"), top, FIRST)
 
 
 #: More than any source's candidates of a reference.

@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from biblens.functions import similarity as S
 from biblens.functions import text as X
-from biblens.operators import collect, decide, parse, report, retrieve, score
-from biblens.plans.audit import audit
+from biblens.operators import collect, decide, index, parse, report, retrieve, score
+from biblens.plans.audit import audit, citation_index
 from biblens.runtime import ship
 from biblens.sources import payloads
 from biblens.sources import text as T
@@ -514,6 +514,155 @@ def source_gaps(spark, sf_dir):
     return found.select("ref_id", F.array_join("unchecked_sources", ",").alias("unchecked"), F.size(F.map_keys("source_errors")).cast("long").alias("failed"))
 
 
+# -- searches of kept indexes, and the audit as a whole: SQL joins everything, or takes the fields from which lines were made --------
+
+_NAMES = "concat(lower(a1), ' ', lower(a2))"
+_WORK_WORDS = "concat_ws(' ', title, venue, volume, issue, page, page, lower(a1), lower(a2), CAST(year AS VARCHAR))"
+
+
+def _full_join(asked: str, named: str, top: int = 5) -> str:
+    """SQL over (id, words) tables ``asked`` and ``named``: every word joined, weighed by its squared idf, the first places."""
+    return f"""q AS (SELECT words, row_number() OVER (ORDER BY words) AS qid FROM (SELECT DISTINCT list_sort(words) AS words FROM {asked} WHERE len(words) > 0) d), n AS (SELECT count(*) AS n FROM {named} WHERE len(words) > 0),
+ww AS (SELECT id AS work_id, unnest(words) AS word FROM {named}), i AS (SELECT word, row_number() OVER (ORDER BY word) AS wid, CAST(round(pow(ln(1 + any_value(n) / count(*)), 2) * 1000) AS BIGINT) AS idf FROM ww, n GROUP BY word),
+qw AS (SELECT qid, wid, idf FROM (SELECT qid, unnest(words) AS word FROM q) x JOIN i USING (word)), wi AS (SELECT work_id, wid FROM ww JOIN i USING (word)),
+p AS (SELECT qid, wi.work_id, count(*) AS hits, CAST(sum(idf) AS BIGINT) AS weight FROM qw JOIN wi USING (wid) GROUP BY ALL),
+k AS (SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER BY weight DESC, work_id) AS INT) AS rank FROM p QUALIFY rank <= {top})
+SELECT a.id AS ref_id, k.work_id, hits, weight, rank FROM {asked} a JOIN q ON list_sort(a.words) = q.words JOIN k USING (qid)"""
+
+
+@query(f"WITH a AS (SELECT ref_id AS id, {_WORDS.format('input_text')} AS words FROM ({_duck(LINES)}) l), w AS (SELECT work_id AS id, {_WORDS.format(_WORK_WORDS)} AS words FROM ({_duck(WORKS)}) w), {_full_join('a', 'w')}")
+def citation_search(spark, sf_dir):
+    works = works_table(spark, sf_dir)
+    asked = references_table(spark, sf_dir).select("ref_id", index.title_words(F.col("input_text")).alias("words"))
+    return citation_index(works).search(asked)
+
+
+_PHRASES = f"SELECT ref_id, CASE WHEN ref_id % 9 = 0 THEN 'Assembly, by' WHEN ref_id % 9 = 1 THEN split_part(lower(r_title), ' ', 4) ELSE concat_ws(' ', split_part(r_title, ' ', 2), split_part(r_title, ' ', 3), split_part(r_title, ' ', 4)) END AS title FROM ({REFS}) r"
+_NORMAL = "trim(regexp_replace(regexp_replace(lower({0}), '[^\\p{{L}}\\p{{N}}_\\s]', ' ', 'g'), '\\s+', ' ', 'g'))"
+
+
+@query(
+    f"""WITH r AS ({_duck(_PHRASES)}), q AS (SELECT DISTINCT {_NORMAL.format('title')} AS phrase FROM r), w AS (SELECT work_id, concat(' ', {_NORMAL.format('title')}, ' ') AS t FROM ({_duck(WORKS)}) x),
+k AS (SELECT phrase, work_id, CAST(row_number() OVER (PARTITION BY phrase ORDER BY work_id) AS INT) AS rank FROM q JOIN w ON contains(t, concat(' ', phrase, ' ')) QUALIFY rank <= 5)
+SELECT ref_id, work_id, rank FROM r JOIN k ON {_NORMAL.format('title')} = phrase"""
+)
+def title_phrase(spark, sf_dir):
+    works = _sql(spark, sf_dir, WORKS).select("work_id", "title")
+    return collect.title_phrase(_sql(spark, sf_dir, _PHRASES), works)
+
+
+_AUTHORED = f"SELECT ref_id, r_title AS title, CASE ref_id % 3 WHEN 0 THEN lower(a1) WHEN 1 THEN lower(a2) ELSE 'nobody' END AS first_author FROM ({REFS}) r"
+_PAIRS = "list_transform({1}, lambda x: concat({0}, '|', x))"
+
+
+@query(
+    f"""WITH r AS (SELECT *, {_WORDS.format('title')} AS plain FROM ({_duck(_AUTHORED)}) x), e AS (SELECT work_id, {_WORDS.format('title')} AS plain, lower(a1) AS one, lower(a2) AS two FROM ({_duck(WORKS)}) w),
+ra AS (SELECT ref_id AS id, {_PAIRS.format('first_author', 'plain')} AS words FROM r), ea AS (SELECT work_id AS id, list_concat({_PAIRS.format('one', 'plain')}, {_PAIRS.format('two', 'plain')}) AS words FROM e),
+both_ AS (WITH {_full_join('ra', 'ea')}), rt AS (SELECT ref_id AS id, plain AS words FROM r WHERE ref_id NOT IN (SELECT ref_id FROM both_)), et AS (SELECT work_id AS id, plain AS words FROM e)
+SELECT * FROM both_ UNION ALL (WITH {_full_join('rt', 'et')})"""
+)
+def authored_titles(spark, sf_dir):
+    refs = _sql(spark, sf_dir, _AUTHORED).select("ref_id", "title", F.array("first_author").alias("authors"))
+    entries = works_table(spark, sf_dir).select(F.col("work_id").alias("source_id"), "title", "authors")
+    return collect.authored_titles(refs, entries)
+
+
+_GAPPY = f"""SELECT *, CASE WHEN ref_id % 10 = 1 THEN NULL ELSE r_title END AS g_title, CASE WHEN ref_id % 12 = 5 THEN NULL ELSE r_year END AS g_year, CASE WHEN ref_id % 8 = 3 THEN NULL ELSE venue END AS g_venue, CASE WHEN ref_id % 7 = 2 THEN NULL ELSE venue END AS h_venue,
+CASE WHEN ref_id % 6 = 4 THEN '' ELSE r_volume END AS g_volume, CASE WHEN ref_id % 6 = 4 THEN '' ELSE r_issue END AS g_issue, CASE WHEN ref_id % 6 = 4 THEN '' ELSE r_page END AS g_page, ref_id % 9 = 8 AS anonymous FROM ({REFS}) r"""
+_SHORT = "CASE WHEN {0} >= 0.7 THEN 'ok' WHEN {0} >= 0.35 THEN '~' ELSE 'x' END"
+_GVI, _GPG = (x.replace("r_volume", "g_volume").replace("r_issue", "g_issue").replace("r_page", "g_page") for x in (_VI, _PAGES))
+
+
+@query(
+    f"""WITH g AS (SELECT *, CASE WHEN g_title IS NULL THEN 0 ELSE round_even({_OVERLAP.format(_WORDS.format('g_title'), _WORDS.format('title'))}, 3) END AS t, {_YEAR.replace('r_year', 'g_year')} AS y, greatest({_GVI}, {_GPG}) AS pg,
+  g_volume = '' AND g_issue = '' AND g_page = '' AS unplaced FROM ({_duck(_GAPPY)}) x)
+SELECT ref_id, concat('title ', CASE WHEN g_title IS NULL THEN '?' ELSE {_SHORT.format('t')} END, ' / authors ', CASE WHEN anonymous THEN '?' ELSE 'ok' END, ' / year ', CASE WHEN g_year IS NULL THEN '?' ELSE {_SHORT.format('y')} END,
+  ' / venue ', CASE WHEN g_venue IS NULL OR h_venue IS NULL THEN '?' ELSE 'ok' END, ' / pages ', CASE WHEN unplaced THEN '?' ELSE {_SHORT.format('pg')} END) AS summary,
+concat_ws(',', CASE WHEN g_title IS NULL THEN 'missing_input' WHEN t >= 0.7 THEN 'ok' WHEN t >= 0.35 THEN 'near' ELSE 'mismatch' END, CASE WHEN anonymous THEN 'missing_input' ELSE 'ok' END,
+  CASE WHEN g_year IS NULL THEN 'missing_input' WHEN y = 1 THEN 'ok' WHEN y >= 0.7 THEN 'near' ELSE 'mismatch' END,
+  CASE WHEN g_venue IS NULL AND h_venue IS NULL THEN 'missing_both' WHEN g_venue IS NULL THEN 'missing_input' WHEN h_venue IS NULL THEN 'missing_candidate' ELSE 'ok' END,
+  CASE WHEN unplaced THEN 'missing_input' WHEN pg >= 0.7 THEN 'ok' WHEN pg >= 0.35 THEN 'near' ELSE 'mismatch' END) AS states,
+concat_ws(',', CASE WHEN g_title IS NULL THEN '{score.MISSING_IN_REFERENCE}' ELSE '-' END, CASE WHEN anonymous THEN '{score.MISSING_IN_REFERENCE}' ELSE '-' END,
+  CASE WHEN g_year IS NULL THEN '{score.MISSING_IN_REFERENCE}' WHEN y = 0.7 THEN '{score.YEAR_APART}' ELSE '-' END,
+  CASE WHEN g_venue IS NULL AND h_venue IS NULL THEN '-' WHEN g_venue IS NULL THEN '{score.MISSING_IN_REFERENCE}' WHEN h_venue IS NULL THEN '{score.MISSING_IN_CANDIDATE}' ELSE '-' END,
+  CASE WHEN unplaced THEN '{score.MISSING_IN_REFERENCE}' ELSE '-' END) AS reasons FROM g"""
+)
+def field_states(spark, sf_dir):
+    gappy = _sql(spark, sf_dir, _GAPPY).select("ref_id", "g_title", "g_year", "g_venue", "h_venue", "g_volume", "g_issue", "g_page", "anonymous")
+    pairs = known_pairs(spark, sf_dir).join(gappy, "ref_id")
+    none = F.array().cast("array<string>")
+    r = F.col("r")
+    for f in ("title", "year", "venue", "volume", "issue", "page"):
+        r = r.withField(f, F.col(f"g_{f}"))
+    pairs = pairs.withColumns({"r": r.withField("authors", F.when(F.col("anonymous"), none).otherwise(F.col("r.authors"))), "c": F.col("c").withField("venue", F.col("h_venue"))})
+    of = lambda f: F.array_join(F.transform("field_diffs", lambda d: F.coalesce(d[f], F.lit("-"))), ",").alias(f"{f}s")
+    return score.score(pairs, sequence=False).select("ref_id", "summary", of("state"), of("reason"))
+
+
+_ISSNS = "CASE work_id % 4 WHEN 0 THEN ['2', '1', '1', ' 3 '] WHEN 1 THEN ['', ' '] WHEN 2 THEN ['3', '3', '9'] ELSE [] END"
+
+
+@query(
+    f"""WITH w AS (SELECT *, list_sort(list_distinct(list_filter(list_transform({_ISSNS}, lambda x: trim(x)), lambda x: x <> '')))[1:2] AS issns FROM ({_duck(WORKS)}) w), a(issn, name) AS (VALUES ('2', 'Two'), ('3', 'Three'), ('9', 'Nine'))
+SELECT work_id, CASE WHEN len(issns) = 0 THEN concat('J ', kind, ' Stud') ELSE coalesce((SELECT name FROM a WHERE a.issn = issns[1]), (SELECT name FROM a WHERE a.issn = issns[2]), '') END AS aliases FROM w"""
+)
+def alias_lookup(spark, sf_dir):
+    works = works_table(spark, sf_dir).withColumns({"issns": F.expr(_ISSNS.replace("[", "array(").replace("]", ")")).cast("array<string>"), "gate": F.lit(True)})
+    title = F.expr("lower(concat('Journal of ', kind, ' Studies'))")
+    by_title = works.select("kind").distinct().select(F.lit(None).cast("string").alias("issn"), title.alias("title_norm"), F.expr("array(concat('J ', kind, ' Stud'))").alias("aliases"))
+    by_issn = spark.createDataFrame([("2", None, ["Two"]), ("3", None, ["Three"]), ("9", None, ["Nine"])], "issn string, title_norm string, aliases array<string>")
+    return retrieve.with_aliases(works, by_title.unionByName(by_issn)).select("work_id", F.array_join("venue_aliases", "|").alias("aliases"))
+
+
+_TWICE = f"SELECT * FROM ({NOTICES}) a UNION ALL SELECT target_doi, CASE WHEN length(target_doi) % 2 = 0 THEN notice_doi ELSE concat(notice_doi, 'b') END, upper(update_type), source, label, updated FROM ({NOTICES}) b"
+
+
+@query(
+    f"""SELECT target_doi, count(DISTINCT (notice_doi, lower(update_type))) AS n FROM ({_duck(_TWICE)}) t WHERE lower(update_type) IN ('retraction', 'withdrawal', 'removal', 'partial_retraction') GROUP BY target_doi"""
+)
+def retraction_types(spark, sf_dir):
+    return decide.retractions(_sql(spark, sf_dir, _TWICE)).select("target_doi", F.size("retraction_details").cast("long").alias("n"))
+
+
+@query(
+    f"""SELECT o_custkey AS ref_id, o_orderkey AS ordinal, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY CAST(o_orderpriority = '1-URGENT' AS INT), o_orderkey) AS INT) AS rank FROM orders"""
+)
+def rank_by_record(spark, sf_dir):
+    """Candidates that only look like preprints by their source are ranked as published ones."""
+    rows = _sql(spark, sf_dir, "SELECT o_custkey AS ref_id, o_orderkey AS ordinal, 'accept' AS decision, 1.0 AS total, named_struct('is_preprint', o_orderpriority = '1-URGENT', 'source', CASE WHEN o_orderkey % 2 = 0 THEN 'arxiv' ELSE 'crossref' END) AS c, o_orderkey % 2 = 0 AS preprint_like FROM {orders}")
+    return decide.rank(rows).select("ref_id", "ordinal", "rank")
+
+
+_LAST_YEAR = "CAST(list_filter(regexp_extract_all(input_text, '\\d+'), lambda x: regexp_full_match(x, '(19|20)\\d\\d'))[-1] AS INT)"
+
+
+@query(
+    f"""SELECT ref_id, CASE WHEN ref_id % 3 = 0 THEN work_doi END AS doi, false AS is_website, r_title AS title, concat(lower(a1), '|', lower(a2)) AS authors, {_LAST_YEAR} AS year, venue, volume, issue, page, page AS article_number FROM ({_duck(LINES)}) l"""
+)
+def record_fields(spark, sf_dir):
+    parsed = parse.parse(references_table(spark, sf_dir).select("ref_id", "input_text"))
+    return parsed.select("ref_id", "doi", "is_website", "title", F.array_join("authors", "|").alias("authors"), "year", "venue", "volume", "issue", "page", "article_number")
+
+
+# works whose ids agree modulo 676 have the same authors; no others can be accepted, and each reference's own work is at least suggested
+_OVERLAPS = lambda a, b: _OVERLAP.format(_WORDS.format(a), _WORDS.format(b))
+
+
+@query(
+    f"""WITH l AS (SELECT ref_id, work_id AS own, r_title, venue AS r_venue, volume AS r_volume, issue AS r_issue, page AS r_page, {_LAST_YEAR} AS r_year FROM ({_duck(LINES)}) x),
+p AS (SELECT l.*, w.* FROM l JOIN ({_duck(WORKS)}) w ON own % 676 = w.work_id % 676 AND (ref_id % 3 <> 0 OR own = w.work_id)),
+s AS (SELECT *, round_even({_OVERLAPS('r_title', 'title')}, 3) AS t, {_YEAR} AS y, CASE WHEN venue = r_venue THEN 1.0 ELSE round_even({_OVERLAPS('r_venue', 'venue')}, 3) END::DOUBLE AS v, {_VI} AS vi, {_PAGES} AS pg FROM p),
+z AS (SELECT *, round_even(0.0::DOUBLE + 0.3::DOUBLE * t + 0.2::DOUBLE + 0.1::DOUBLE + 0.1::DOUBLE * y + 0.1::DOUBLE * v + 0.08::DOUBLE * vi + 0.12::DOUBLE * pg, 3) AS total,
+  CAST(t >= 0.45 AS INT) + 2 + CAST(y >= 0.7 AS INT) + CAST(v >= 0.6 AS INT) + CAST(pg >= 0.8 AS INT) + CAST(vi >= 0.7 AS INT) AS support FROM s),
+d AS (SELECT *, {_DECISION} AS decision FROM z QUALIFY row_number() OVER (PARTITION BY ref_id ORDER BY CASE {_DECISION} WHEN 'accept' THEN 2 WHEN 'suggest' THEN 1 ELSE 0 END DESC, total DESC) = 1)
+SELECT ref_id, CASE decision WHEN 'accept' THEN 'found' WHEN 'suggest' THEN 'likely_wrong' END AS status, CASE WHEN decision = 'accept' AND y = 0.7 THEN 'year_warning' WHEN decision = 'suggest' THEN 'candidate_mismatch' END AS note,
+CASE WHEN ref_id % 3 = 0 THEN 'doi-crossref' ELSE 'bibliographic' END AS method, doi AS matched_doi FROM d"""
+)
+def audit_statuses(spark, sf_dir):
+    refs = references_table(spark, sf_dir).select("ref_id", "input_text")
+    return audit(refs, works_table(spark, sf_dir), sequence=False).select("ref_id", "status", "note", "method", "matched_doi")
+
+
 @query()
 def browser_report(spark, sf_dir):
     return report.browser_lines(audit(references_table(spark, sf_dir).select("ref_id", "input_text"), works_table(spark, sf_dir), _sql(spark, sf_dir, NOTICES)))

@@ -152,3 +152,63 @@ def merged(a: str, b: str) -> dict[str, Column]:
     out["is_preprint"] = F.col(f"{a}.is_preprint") & F.col(f"{b}.is_preprint")
     out["aliases_resolved"] = F.col(f"{a}.aliases_resolved") | F.col(f"{b}.aliases_resolved")
     return out
+
+
+def csl_metadata(raw: DataFrame, column: str = "json") -> DataFrame:
+    """CSL-JSON to DOI metadata beside the other columns, of which ``doi`` is one.
+
+    Values whose type changes from agency to agency (a title as text or as an array of texts, parts of dates as numbers or
+    texts) are read from a variant. What can not be read is null; a row that is no JSON object has only nulls.
+    """
+    v = F.try_parse_json(column)
+    one = lambda path, kind="string": F.try_variant_get("_v", path, kind)
+    is_array = lambda path: F.startswith(F.coalesce(F.schema_of_variant(F.try_variant_get("_v", path, "variant")), F.lit("")), F.lit("ARRAY"))
+    either = lambda path: F.when(is_array(path), one(f"{path}[0]")).otherwise(one(path))
+    people = F.coalesce(one("$.author", "array<struct<family:string,given:string,literal:string>>"), F.array().cast("array<struct<family:string,given:string,literal:string>>"))
+    person = lambda a: F.struct(F.coalesce(a["family"], F.lit("")).alias("family"), F.coalesce(a["given"], a["literal"], F.lit("")).alias("given"))
+    year = one('$.issued["date-parts"][0][0]').try_cast("int")
+    rows = raw.withColumn("_v", v)
+    return rows.select(
+        *[c for c in raw.columns if c != column], either("$.title").alias("title"), F.transform(people, person).alias("authors"), year.alias("year"),
+        either('$["container-title"]').alias("container_title"), one("$.volume").alias("volume"), F.coalesce(nullif_blank(one("$.issue")), one("$.number")).alias("issue"), one("$.page").alias("page"),
+    )
+
+
+def csl_records(raw: DataFrame, column: str = "json") -> DataFrame:
+    """CSL-JSON rows (doi, json) to records, as a table that content negotiation answers from. No work of theirs is a preprint by its type."""
+    return work_records(metadata_works(csl_metadata(raw.select("doi", column), column).filter("title is not null")), source="crossref")
+
+
+SUMMARY = (
+    "struct<title:string,authors:array<struct<name:string>>,pubdate:string,sortpubdate:string,source:string,fulljournalname:string,"
+    "volume:string,issue:string,pages:string,articleids:array<struct<idtype:string,value:string>>>"
+)
+#: Hits of a search for which a missing DOI is looked up in the article's XML.
+FETCHED = 3
+
+
+def pubmed_details(found: DataFrame, summaries: DataFrame, articles: DataFrame | None = None) -> DataFrame:
+    """The hits of searches with their details, for ``pubmed_records``. ``found`` is (ref_id, pmid, place) with places from 1.
+
+    ``summaries`` is (pmid, json). The year is the first of pubdate, or of sortpubdate where that is empty; the DOI is the first
+    article id of that type. Where it is missing, the first ``FETCHED`` hits of a search look into ``articles`` (pmid, xml).
+    A hit without a summary keeps its id, with empty fields.
+    """
+    read = json_rows(summaries.select("pmid", "json"), SUMMARY)
+    some = lambda c: F.when(F.col(c) != "", F.col(c))
+    said = F.coalesce(some("pubdate"), some("sortpubdate"), F.lit(""))
+    names = F.filter(F.transform("authors", lambda a: F.trim(F.coalesce(a["name"], F.lit("")))), lambda n: n != "")
+    ids = F.filter("articleids", lambda a: F.coalesce(F.lower(a["idtype"]) == "doi", F.lit(False)))
+    told = read.select(
+        "pmid", F.coalesce("title", F.lit("")).alias("title"), F.coalesce(names, F.array().cast("array<string>")).alias("authors"), nullif_blank(F.regexp_extract(said, r"\b((?:19|20)\d{2})\b", 1)).cast("int").alias("year"),
+        some("source").alias("journal"), some("fulljournalname").alias("journal_full"), some("volume").alias("volume"), some("issue").alias("issue"), some("pages").alias("pages"), F.try_element_at(ids, F.lit(1))["value"].alias("doi"),
+    )
+    hits = found.join(told.dropDuplicates(["pmid"]), "pmid", "left").withColumns({"title": F.coalesce("title", F.lit("")), "authors": F.coalesce("authors", F.array().cast("array<string>"))})
+    if articles is None:
+        return hits
+    lower = "translate(@IdType, 'DOI', 'doi') = 'doi'"
+    inner = F.trim(F.xpath_string("xml", F.lit(f"//ArticleIdList/ArticleId[{lower}]")))
+    open_ = hits.filter(f"coalesce(doi, '') = '' and place <= {FETCHED}").select("pmid").distinct()
+    own = open_.join(articles.dropDuplicates(["pmid"]), "pmid").select("pmid", inner.alias("_doi"))
+    looked = (F.coalesce("doi", F.lit("")) == "") & (F.col("place") <= FETCHED)
+    return hits.join(own, "pmid", "left").withColumn("doi", F.when(looked, F.coalesce("_doi", "doi")).otherwise(F.col("doi"))).drop("_doi")

@@ -119,3 +119,82 @@ def load_references(docs: DataFrame, id_col: str = "source_doc", text_col: str =
     entries = bibtex_table(docs.filter(bib), id_col, text_col)
     cited = entries.select(id_col, "line_no", entry_text(F.col("fields")).alias("input_text")).filter("trim(input_text) <> ''")
     return split_references(docs.filter(~bib), id_col, text_col).unionByName(cited)
+
+
+# -- the dialect of the interactive page: its own braces, fields and authors -----------------------
+
+#: What the page counts as white space around a value.
+PAGE_SPACE = " \t\n\v\f\r\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
+_PAGE_ENTRY = re.compile(r"@[{0}]*(?:{1})[{0}]*\{{".format(PAGE_SPACE, "|".join(ENTRY_TYPES)), re.I)
+_PAGE_FIELD = re.compile(rf"([A-Za-z0-9_]+)[{PAGE_SPACE}]*=[{PAGE_SPACE}]*")
+_PAGE_AND = re.compile(rf"[{PAGE_SPACE}]+and[{PAGE_SPACE}]+", re.I)
+
+
+def _partners(text: str) -> dict[int, int]:
+    """The place of the closing brace of each opening one that has one."""
+    open_, out = [], {}
+    for m in re.finditer("[{}]", text):
+        if m[0] == "{":
+            open_.append(m.start())
+        elif open_:
+            out[open_.pop()] = m.start()
+    return out
+
+
+def page_entries(text: str) -> Iterator[dict[str, str]]:
+    """The fields of each entry of a listed type, as the interactive page reads them.
+
+    It differs from ``bibtex_entries``: braces count inside quotes, a quoted value ends at the next quote, what looks like a field
+    inside a value is one too (the last of a name holds), an entry inside an entry is one more, blanks inside values
+    stay, all braces go, and what is never closed loses its last character.
+    """
+    closing = _partners(text)
+
+    def inside(opening: int, limit: int) -> int:
+        end = closing.get(opening, limit)
+        return max(opening + 1, end if end < limit else limit - 1)
+
+    for entry in _PAGE_ENTRY.finditer(text):
+        end, fields = inside(entry.end() - 1, len(text)), {}
+        for field in _PAGE_FIELD.finditer(text, entry.end(), end):
+            at = field.end()
+            first = text[at] if at < end else ""
+            if first == "{":
+                value = text[at + 1 : inside(at, end)]
+            elif first == '"':
+                value = text[at + 1 : max(at + 1, text.find('"', at + 1, end))]
+            else:
+                value = re.compile("[^,}]*").match(text, at, end)[0]
+            fields[field[1].lower()] = value.replace("{", "").replace("}", "").strip(PAGE_SPACE)
+        yield fields
+
+
+def page_line(fields: dict[str, str]) -> str:
+    """The citation that the page makes of an entry: like ``entry_text``, but with its authors, and arXiv ids only of that very prefix."""
+    said = lambda k: fields.get(k, "")
+    names = [n.strip(PAGE_SPACE) for n in _PAGE_AND.split(said("author"))]
+    last = [n.split(",")[0].strip(PAGE_SPACE) if "," in n else re.split(f"[{PAGE_SPACE}]+", n)[-1] for n in names]
+    arxiv = said("eprint") and said("archiveprefix").lower() == "arxiv"
+    parts = [said("author") and ", ".join(last), said("year"), said("title"), said("journal") or said("booktitle"), said("doi") and f"DOI: {said('doi')}", arxiv and f"arXiv:{said('eprint')}"]
+    # authors count where the field says anything, even if no name is left of it
+    return ". ".join(p for i, p in enumerate(parts) if p or (i == 0 and said("author")))
+
+
+@F.udtf(returnType="line_no int, fields map<string,string>, input_text string")
+class PageBibtex:
+    """A table function: the entries of a BibTeX text in the page's dialect."""
+
+    def eval(self, text: str):
+        for n, fields in enumerate(page_entries(text or "")):
+            yield n, fields, page_line(fields)
+
+
+def page_references(docs: DataFrame, id_col: str = "source_doc", text_col: str = "text") -> DataFrame:
+    """(id, line_no, input_text) of texts as the interactive page splits them: BibTeX in its dialect, or lines, which end only at line feeds."""
+    bib = is_bibtex(F.col(text_col))
+    entries = docs.filter(bib).select(id_col, text_col).lateralJoin(PageBibtex(F.col(text_col).outer()))
+    cited = entries.select(id_col, "line_no", "input_text").filter("input_text <> ''")
+    trim = lambda c: F.regexp_replace(c, rf"^[{PAGE_SPACE}]+|[{PAGE_SPACE}]+$", "")
+    lines = docs.filter(~bib).select(id_col, F.posexplode(F.split(F.coalesce(text_col, F.lit("")), r"\r?\n")).alias("line_no", "line"))
+    lines = lines.withColumn("line", trim(F.col("line"))).filter((F.col("line") != "") & ~F.lower("line").isin(*LABELS))
+    return lines.select(id_col, "line_no", trim(F.regexp_replace("line", r"^(\[\d+\]|\d+[.)])", "")).alias("input_text")).unionByName(cited)
