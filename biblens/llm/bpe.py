@@ -40,7 +40,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from biblens.llm.common import as_bytes, pick
+from biblens.llm.common import as_bytes, pick, tidy
 
 #: Words, and chunks of several, whose tokens are remembered; the table is emptied when it is full.
 REMEMBERED = 400_000
@@ -496,4 +496,4 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id
     rows = pick(docs, doc_id=id_col, text=text_col).withColumn("text", F.col("text").cast("string"))
     kind = dict(rows.dtypes)["doc_id"]
     extra = ", ids binary" if with_ids else ""
-    return rows.mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string{extra}")
+    return rows.mapInArrow(tidy(run), f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string{extra}")

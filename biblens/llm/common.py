@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import contextlib
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -90,6 +92,28 @@ def join_hot(rows: DataFrame, table: DataFrame, keys: list[str], count: str) ->
     return rows.join(few, keys).unionByName(cold)
 
 
+def settle() -> None:
+    """Give memory that is no longer used back to the system: a worker lives on for other stages, beside its executor."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # a C library that has no such calls
+        libc = ctypes.CDLL(None)
+        libc.mallopt(-3, 4 << 20)  # blocks from here on are mapped on their own, and unmapped when freed
+        libc.malloc_trim(0)
+
+
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run``, after and before which a worker's unused memory goes back."""
+
+    def steps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        settle()
+        try:
+            yield from run(batches)
+        finally:
+            settle()
+
+    return steps
+
+
 def by_bytes(batches: Iterator[pa.RecordBatch], column: int, most: int = 4 * CHUNK) -> Iterator[pa.RecordBatch]:
     """Batches cut, without copies, into slices: less than ``most`` bytes of a text column beside their first row."""
     for b in batches:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from biblens.llm.common import by_bytes, join_hot, shelter, text_or_empty, with_uid
+from biblens.llm.common import by_bytes, join_hot, shelter, text_or_empty, tidy, with_uid
 from biblens.llm.mixing import WORD
 from biblens.runtime import partitions, write_table
 
@@ -140,5 +140,5 @@ def dedup(docs: DataFrame, min_words: int = MIN_WORDS, digest: bool = False) ->
             yield pa.RecordBatch.from_arrays(columns, names=names[:-1])
 
     if digest:
-        return joined.mapInArrow(run, f"doc_id {dict(joined.dtypes)['doc_id']}, n_lines long, n_removed long, n_spans long, kept_sha256 string")
-    return joined.mapInArrow(run, joined.drop("_cut").schema).withColumnsRenamed(back)
+        return joined.mapInArrow(tidy(run), f"doc_id {dict(joined.dtypes)['doc_id']}, n_lines long, n_removed long, n_spans long, kept_sha256 string")
+    return joined.mapInArrow(tidy(run), joined.drop("_cut").schema).withColumnsRenamed(back)

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from biblens.llm.common import join_hot, pick, prefix_sums, shelter, with_uid
+from biblens.llm.common import join_hot, pick, prefix_sums, shelter, tidy, with_uid
 from biblens.runtime import partitions, write_table
 
 BLOCK = 64
@@ -155,9 +155,9 @@ def deal_slots(sources: DataFrame, shard: int, seed: int) -> DataFrame:
 
     p = partitions(spark)
     # one row for each source, then for each source and group, then for each source and shard: each dealt out before it grows
-    grouped = sources.filter("draws > 0").select("source_no", "blocks", "draws").mapInArrow(to_groups, "source_no long, group long, blocks long, first long, n long")
-    dealt = grouped.repartition(p, "source_no", "group").mapInArrow(to_shards, "shard long, source_no long, blocks long, first long, n long")
-    return dealt.repartition(p, "shard", "source_no").mapInArrow(to_slots, "shard long, source_no long, block long")
+    grouped = sources.filter("draws > 0").select("source_no", "blocks", "draws").mapInArrow(tidy(to_groups), "source_no long, group long, blocks long, first long, n long")
+    dealt = grouped.repartition(p, "source_no", "group").mapInArrow(tidy(to_shards), "shard long, source_no long, blocks long, first long, n long")
+    return dealt.repartition(p, "shard", "source_no").mapInArrow(tidy(to_slots), "shard long, source_no long, block long")
 
 
 def plan(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, block: int = BLOCK, shard: int = SHARD, seed: int = 20240607):
@@ -253,4 +253,4 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
             yield pa.RecordBatch.from_arrays(columns, names=kept)
 
     schema = joined.drop("_taken").schema
-    return joined.mapInArrow(run, schema).withColumnsRenamed(back)
+    return joined.mapInArrow(tidy(run), schema).withColumnsRenamed(back)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from biblens.llm.common import as_bytes, pick, row_chunks, word_spans
+from biblens.llm.common import as_bytes, pick, row_chunks, tidy, word_spans
 
 PASSAGE = 48
 #: Documents, and bytes of their texts, that are learned from at most.
@@ -194,7 +194,7 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", most:
                 got = [x[first[k] : first[k + 1]].astype(np.float16).tobytes() for k in range(j - i)]
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(got, pa.binary()), b.column(2).slice(i, j - i)], names=["y", "x", "at"])
 
-    bags = sample.mapInArrow(run, "y double, x binary, at long").collect()  # bounded: most_bytes of text
+    bags = sample.mapInArrow(tidy(run), "y double, x binary, at long").collect()  # bounded: most_bytes of text
     bags.sort(key=lambda r: (r["at"], r["y"], bytes(r["x"])))
     if not bags:
         return Model(0.5)
@@ -213,7 +213,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                 s[i:j] = sent.value.score(x, first)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s)], names=["doc_id", "score"])
 
-    return rows.mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, score double")
+    return rows.mapInArrow(tidy(run), f"doc_id {dict(rows.dtypes)['doc_id']}, score double")
 
 
 def keep_good(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
@@ -228,4 +228,4 @@ def keep_good(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> Da
                 good[i:j] = sent.value.score(x, first) >= threshold
             yield b.filter(pa.array(good))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)
