@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from biblens.llm.common import as_bytes, pick, row_chunks, tidy, word_spans
+from biblens.runtime import write_table
 
 PASSAGE = 48
 #: Documents, and bytes of their texts, that are learned from at most.
@@ -184,9 +185,11 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", most:
     chosen = lab.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     texts = pick(docs, doc_id="doc_id", text="text").join(F.broadcast(chosen), "doc_id")  # at most ``most`` rows
     size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
-    short = texts.filter(size <= most_bytes // 4).groupBy("doc_id", "y").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
-    order = Window.partitionBy(F.lit(0)).orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, 0)
-    sample = short.withColumn("at", F.sum(size).over(order)).filter(F.col("at") <= most_bytes).select("y", "text", "at")
+    short, _ = write_table(texts.filter(size <= most_bytes // 4).groupBy("doc_id", "y").agg(F.min(F.coalesce("text", F.lit(""))).alias("text")), "labelled")
+    order = Window.orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, 0)
+    # only ids and sizes, of ``most`` texts at most, go through one task
+    places = short.select("doc_id", F.sum(size).over(order).alias("at")).filter(F.col("at") <= most_bytes)
+    sample = short.join(F.broadcast(places), "doc_id").select("y", "text", "at")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
