@@ -63,6 +63,8 @@ WEAK_WORDS = frozenset(
     "related recommended widget search skip hidden tags".split()
 )
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Elements of running text: inside an article only a whole class or id that is such a word tells against them, not a part of one.
+PROSE = frozenset("p li blockquote pre dd dt td th figcaption".split())
 KEEP_TAGS = frozenset("html body main article".split())
 
 TOKEN = re.compile(
@@ -94,7 +96,7 @@ def noise(tag: str, attributes: str, inside: bool) -> float:
         if name == "role" and value.lower() in DROP_ROLES:
             return 0
         if name in ("class", "id"):
-            words = {w.lower() for w in WORDS.findall(value)}
+            words = {w.lower() for w in (value.split() if inside and tag in PROSE else WORDS.findall(value))}
             named = words & {"article", "content", "main", "body", "post", "entry"}
             if words & DROP_WORDS and not (named and not words & {"comment", "comments", "sidebar", "nav", "footer", "ad", "ads"}):
                 return 0
