@@ -274,7 +274,7 @@ FENCE = "```"
 
 
 def page_report(results: DataFrame, entered: DataFrame | None = None, checks: DataFrame | None = None) -> DataFrame:
-    """(part, number, markdown): the interactive view's whole report, to be read in order of part and number.
+    """(part, number, markdown): the interactive view's whole report, to be read in order of part and number (0 for heads).
 
     What was entered (rows ``number``, ``line``; the references themselves, if left out) is echoed, then come the
     eight counts, a numbered verdict for each result in order of ref_id, the sections of those that need attention, and, if any
@@ -285,8 +285,7 @@ def page_report(results: DataFrame, entered: DataFrame | None = None, checks: Da
     lines = browser_lines(results, "number")
     kinds = results.agg(*[F.count_if(browser_class() == k).alias(k) for k in PAGE_COUNTS])
     bad = reduce(lambda a, b: a + b, [F.col(k) for k in PAGE_COUNTS if k not in ("ok", "website")])
-    nothing = F.lit(None).cast("long")
-    head = lambda part, *text, of=kinds: of.select(F.lit(part).alias("part"), nothing.alias("number"), F.array_join(_lines(*text), "\n").alias("markdown"))
+    head = lambda part, *text, of=kinds: of.select(F.lit(part).alias("part"), F.lit(0).cast("long").alias("number"), F.array_join(_lines(*text), "\n").alias("markdown"))
     rows = lambda part, df, text: df.select(F.lit(part).alias("part"), F.col("number").cast("long"), text.alias("markdown"))
     echo = F.replace(F.coalesce("line", F.lit("")), F.lit(FENCE), F.lit("``\u200b`"))
     counted = [F.array(F.concat(F.lit(f"- {BROWSER_LABELS[k]}: "), F.col(k).cast("string"))) for k in PAGE_COUNTS]

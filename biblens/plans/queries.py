@@ -663,6 +663,75 @@ def audit_statuses(spark, sf_dir):
     return audit(refs, works_table(spark, sf_dir), sequence=False).select("ref_id", "status", "note", "method", "matched_doi")
 
 
+_PAGE_BIB = "concat('@Article{k', CAST(work_id AS STRING), ', author = \"', a1, ', A and B. ', a2, '\", title = {{', title, '} of {', kind, '}}, note = {year = 1, x}, year = ', CAST(year AS STRING), ', journal = {', venue, '}, doi = {', doi, CASE WHEN work_id % 3 = 0 THEN '}, eprint = {2101.00001}, archivePrefix = {ARXIV' WHEN work_id % 3 = 1 THEN '}, eprint = {2101.00001}, archivePrefix = {arXiv e-print' ELSE '' END, '}}')"
+
+
+@query(
+    f"""SELECT work_id, 0 AS line_no, concat_ws('. ', concat(a1, ', ', a2), CAST(year AS VARCHAR), concat(title, ' of ', kind), venue, concat('DOI: ', doi), CASE WHEN work_id % 3 = 0 THEN 'arXiv:2101.00001' END) AS input_text FROM ({_duck(WORKS)}) w"""
+)
+def page_references(spark, sf_dir):
+    """Entries in the dialect of the interactive page; a field inside the note comes before the entry's own."""
+    return T.page_references(_sql(spark, sf_dir, WORKS).select("work_id", F.expr(_PAGE_BIB).alias("text")), "work_id", "text")
+
+
+_PAGE_ROWS = f"SELECT *, concat('Line `', CAST(ref_id AS STRING), '` of ``` text') AS input_text FROM ({STATUSES}) s"
+_BLANK = "array<struct<title:string,doi:string,field_summary:string>>"
+_NL = "chr(10)"
+_PAGE_CLASS = _CLASS
+_PAGE_SECTIONS = {
+    "partial": ("⏱ 検証未完了", []),
+    "likely_wrong": ("⚠️ Likely Wrong Citation", []),
+    "year_warning": ("△ 出版年注意", [f"'{report.YEAR_REMARK}'"]),
+    "not_found": ("❌ 未発見", ["concat('- 理由: ', coalesce(note, '候補なし'))"]),
+    "retracted": ("🚩 撤回・撤回相当（Crossref 更新通知）", ["'- マッチ: **(no title)**'", "'- DOI: `N/A`'", "''", "'#### 参照された更新（通知）'", "''"]),
+}
+_PAGE_TEXT = "CASE kind " + " ".join(f"WHEN '{k}' THEN array_to_string(['### {head}', '', concat('- 入力: ', code), {''.join(x + ', ' for x in more)}''], {_NL})" for k, (head, more) in _PAGE_SECTIONS.items()) + " END"
+_PAGE_LABEL = "CASE kind " + " ".join(f"WHEN '{k}' THEN '{'🚩 ' * (k == 'retracted')}{v}'" for k, v in report.BROWSER_LABELS.items()) + " END"
+
+
+@query(
+    f"""WITH r AS (SELECT *, row_number() OVER (ORDER BY ref_id) AS number, {_PAGE_CLASS} AS kind, concat('`', replace(input_text, '`', '\\`'), '`') AS code FROM ({_duck(_PAGE_ROWS)}) x)
+SELECT '0' AS part, 0 AS number, array_to_string(['# Reference Audit Report', '', '## 入力', '', '```'], {_NL}) AS markdown UNION ALL SELECT '1', number, replace(input_text, '```', concat('``', chr(8203), '`')) FROM r
+UNION ALL SELECT '2', 0, array_to_string(list_concat(['```', '', '## チェック結果', ''], [{", ".join(f"concat('- {report.BROWSER_LABELS[k]}: ', CAST(count(*) FILTER (kind = '{k}') AS VARCHAR))" for k in report.PAGE_COUNTS)}], ['']), {_NL}) FROM r
+UNION ALL SELECT '3', number, concat(CAST(number AS VARCHAR), '. **[', {_PAGE_LABEL}, ']** ', code) FROM r UNION ALL SELECT '4', 0, array_to_string(['', '## 注意すべき候補', ''], {_NL})
+UNION ALL SELECT '5', number, {_PAGE_TEXT} FROM r WHERE kind NOT IN ('ok', 'website')
+UNION ALL SELECT '6', 0, array_to_string(['---', '', '## Diagnostics', '', '| # | elapsed (s) | budget (s) | skipped | error |', '|---|---|---|---|---|'], {_NL})
+UNION ALL SELECT '7', number, concat('| ', CAST(number AS VARCHAR), CASE WHEN ref_id % 2 = 0 THEN ' | 1.5 | 55 | jalc, arxiv | pubmed:TimeoutError |' ELSE ' | - | - | - | - |' END) FROM r UNION ALL SELECT '8', 0, ''"""
+)
+def page_report(spark, sf_dir):
+    none = F.lit(None).cast("string")
+    rows = _sql(spark, sf_dir, _PAGE_ROWS).withColumns({c: none for c in ("matched_title", "matched_doi", "comparison_summary")})
+    details = {"retraction_details": "array<struct<notice_doi:string,update_type:string,source:string,updated:string,label:string>>", "unchecked_sources": "array<string>", "source_errors": "map<string,string>", "candidates": _BLANK, "field_diffs": "array<struct<field:string,state:string,input_value:string,candidate_value:string,reason:string,score:double>>"}
+    rows = rows.withColumns({c: F.lit(None).cast(t) for c, t in details.items()})
+    checks = rows.filter("ref_id % 2 = 0").select("ref_id", F.lit(1.5).alias("elapsed_sec"), F.lit(55.0).alias("budget_sec"), F.array(F.lit("jalc"), F.lit("arxiv")).alias("skipped"), F.create_map(F.lit("pubmed"), F.lit("TimeoutError")).alias("source_errors"), none.alias("error"))
+    return report.page_report(rows, checks=checks)
+
+
+_CSL = """concat('{"title":', CASE WHEN work_id % 2 = 0 THEN concat('"', title, '"') ELSE concat('["', title, '","Other"]') END, ',"author":[{"family":"', a1, '","given":"A"},{"family":"', a2, '"}],"issued":{"date-parts":[[', CASE WHEN work_id % 3 = 0 THEN concat('"', CAST(year AS STRING), '"') ELSE CAST(year AS STRING) END,
+',5]]},"container-title":', CASE WHEN work_id % 5 = 0 THEN concat('["', venue, '"]') ELSE concat('"', venue, '"') END, ',"volume":', CASE WHEN work_id % 7 = 0 THEN volume ELSE concat('"', volume, '"') END, CASE WHEN work_id % 2 = 0 THEN ',"number":"' ELSE ',"issue":"' END, issue, '","page":"', page, '"}')"""
+
+
+@query(f"SELECT doi, title, concat(lower(a1), '|', lower(a2)) AS authors, year, venue, volume, issue, page, page AS article_number, false AS is_preprint FROM ({_duck(WORKS)}) w")
+def csl_records(spark, sf_dir):
+    found = payloads.csl_records(_sql(spark, sf_dir, WORKS).select("doi", F.expr(_CSL).alias("json")))
+    return found.select("doi", "title", F.array_join("authors", "|").alias("authors"), "year", "venue", "volume", "issue", "page", "article_number", "is_preprint")
+
+
+_HITS = "SELECT o_custkey AS ref_id, CAST(o_orderkey % (SELECT count(*) FROM {part}) AS STRING) AS pmid, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS INT) AS place FROM {orders}"
+_SUMMARY = """concat('{"title":"', title, '","authors":[{"name":"', a1, ' A"},{"name":""}],"pubdate":"', CASE WHEN work_id % 3 = 0 THEN '' ELSE concat(CAST(year AS STRING), ' Jan') END, '","sortpubdate":"', CAST(year + 1 AS STRING), '/01/01 00:00","source":"', venue,
+'","articleids":[{"idtype":"pubmed","value":"', CAST(work_id AS STRING), '"}', CASE WHEN work_id % 4 = 0 THEN concat(',{"idtype":"DOI","value":"', doi, '"}') ELSE '' END, ']}')"""
+_XML = "concat('<A><ArticleIdList><ArticleId IdType=\"pmc\">x</ArticleId><ArticleId IdType=\"doi\">', CASE WHEN work_id % 4 = 1 THEN concat(doi, 'x') ELSE '' END, '</ArticleId></ArticleIdList></A>')"
+
+
+@query(
+    f"""SELECT ref_id, pmid, place, title, year + CASE WHEN work_id % 3 = 0 THEN 1 ELSE 0 END AS year, venue AS journal,
+CASE WHEN work_id % 4 = 0 THEN doi WHEN place <= 3 AND work_id % 4 = 1 THEN concat(doi, 'x') WHEN place <= 3 THEN '' END AS doi FROM ({_duck(_HITS)}) h JOIN ({_duck(WORKS)}) w ON pmid = CAST(work_id AS VARCHAR)"""
+)
+def pubmed_details(spark, sf_dir):
+    works = _sql(spark, sf_dir, WORKS).select(F.col("work_id").cast("string").alias("pmid"), F.expr(_SUMMARY).alias("json"), F.expr(_XML).alias("xml"))
+    return payloads.pubmed_details(_sql(spark, sf_dir, _HITS), works.select("pmid", "json"), works.select("pmid", "xml")).select("ref_id", "pmid", "place", "title", "year", "journal", "doi")
+
+
 @query()
 def browser_report(spark, sf_dir):
     return report.browser_lines(audit(references_table(spark, sf_dir).select("ref_id", "input_text"), works_table(spark, sf_dir), _sql(spark, sf_dir, NOTICES)))
