@@ -1,18 +1,20 @@
 """Main text of web pages by line-block distribution.
 
 Markup is stripped into lines, one for each block of the page; block tags without text between them
-leave empty lines. A line weighs its characters outside links. Weights are summed over sliding windows
-of ``WINDOW`` lines; a surge is where the sum passes ``SURGE``, a dive where it returns to zero, and the
-text of every stretch that surges before it dives is kept. That decides on every page. A stretch of
-headings alone goes with the stretch that follows it, and a short stretch between two kept ones stays.
-
-Structure only shapes the weights. Elements that HTML or the page itself declares to be no content
-(menus, forms, scripts, asides, footers, hidden parts) and those whose class or id names adverts,
-comments, sidebars and the like weigh nothing and leave a gap of empty lines; where the name is a
-weaker hint (notice, share, tags, ...), a quarter, so long prose survives it. If an article or main
-element holds at least ``TRUST`` of a page's weight, its lines that are not mostly links weigh ``SURGE`` more, and lines
-outside weigh nothing; otherwise, as with teasers in article elements, it counts for nothing.
-If nothing surges, the stretch with most weight (without any, most characters) is the text.
+leave empty lines, containers around bare text one more. A line weighs its characters outside links. Weights
+are summed over sliding windows of ``WINDOW`` lines; a surge is where the sum passes ``SURGE``, or ``PEAK`` of the
+page's highest sum where that is more, a dive where it returns to zero, and the text of every stretch that surges
+before it dives is kept. A stretch of headings alone goes with the stretch that follows it, and a short stretch
+between two kept ones stays.
+
+Structure only shapes the lines and their weights. Elements that HTML or the page itself declares to be no content
+(menus, forms, scripts, asides, footers, hidden parts) are left out. Text whose class or id names adverts,
+comments, sidebars and the like weighs ``FAINT`` of its characters, and ``WEAK`` of them where the name is a weaker hint
+(notice, share, tags, ...): such parts have stretches of their own, which surge if they are long enough. If an
+article or main element holds at least ``TRUST`` of a page's weight, its lines that no name tells against weigh ``MARK`` times and those outside
+1 / ``MARK`` of their characters, and empty lines inside count as one, however its parts are nested; otherwise, as with
+teasers in article elements, it counts for nothing. If nothing surges, the stretch with most weight (without
+any, most characters) that no name tells against is the text.
 
 Null, empty and text-less pages give an empty string. Unclosed or crossed tags end at the next
 structural tag, so a broken page gives what can be read of it. Time and memory are linear in a page's length,
@@ -32,13 +34,13 @@ from pyspark.sql import DataFrame
 from biblens.llm.common import pick
 
 #: Lines in a window of the distribution, and the empty lines that a removed part leaves.
-WINDOW = 3
-#: Characters in a window, without link text, above which a stretch is text of the page.
-SURGE = 86
-#: Share of a page's weight from which on its article or main elements are trusted.
-TRUST = 1 / 3
-#: Weight of text under a weak hint.
-WEAK = 0.25
+WINDOW = 2
+#: Weight of a window above which a stretch is text of the page, and that weight as a share of the page's highest.
+SURGE, PEAK = 100, 1 / 32
+#: Share of a page's weight from which on its article or main elements are trusted, and what they count then.
+TRUST, MARK = 1 / 3, 4
+#: Weight of text under a weak hint, and under a name of what is no content.
+WEAK, FAINT = 1 / 4, 1 / 16
 
 # Fixed values of HTML: elements without content of their own, and elements that break lines.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -48,7 +50,7 @@ BLOCK = frozenset(
     "form frame frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre "
     "section select summary table tbody td tfoot th thead tr ul".split()
 )
-# Parts that are not content, by element, by role and by the words of class and id.
+# Parts that are not content, by element and by role, and words of class and id that tell against a part.
 DROP = frozenset("head nav aside footer form button select menu dialog fieldset svg object audio video canvas".split())
 DROP_ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog form menu menubar toolbar tablist".split())
 DROP_WORDS = frozenset(
@@ -62,6 +64,7 @@ WEAK_WORDS = frozenset(
     "banner promotion header aside rail notice notices notification alert overlay subscribe subscription share sharing social reply "
     "related recommended widget search skip hidden tags".split()
 )
+CONTAINERS = frozenset("article aside blockquote body center details div dl fieldset figure footer form header html main nav ol section table td ul".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Elements of running text: inside an article only a whole class or id that is such a word tells against them, not a part of one.
 PROSE = frozenset("p li blockquote pre dd dt td th figcaption".split())
@@ -79,7 +82,7 @@ SPACE = re.compile(r"\s+")
 
 
 def noise(tag: str, attributes: str, inside: bool) -> float:
-    """Weight of an element's text: 0 if it is no content, ``WEAK`` if that is only hinted at, else 1. A header inside the article is its heading."""
+    """Weight of an element's text: 0 if HTML tells that it is no content, ``FAINT`` or ``WEAK`` if names do, else 1. A header inside the article is its heading."""
     if tag in KEEP_TAGS:
         return 1
     if tag in DROP or (tag == "header" and not inside):
@@ -99,9 +102,9 @@ def noise(tag: str, attributes: str, inside: bool) -> float:
             words = {w.lower() for w in (value.split() if inside and tag in PROSE else WORDS.findall(value))}
             named = words & {"article", "content", "main", "body", "post", "entry"}
             if words & DROP_WORDS and not (named and not words & {"comment", "comments", "sidebar", "nav", "footer", "ad", "ads"}):
-                return 0
-            if words & WEAK_WORDS and not named:
-                out = WEAK
+                out = FAINT
+            elif words & WEAK_WORDS and not named:
+                out = min(out, WEAK)
     return out
 
 
@@ -122,7 +125,7 @@ def page_lines(page: str) -> list[Line]:
     link = heading = False
     skip: str | None = None  # the element being dropped, and how many of its name are open
     opened = 0
-    weak: list[str] = []  # open elements under a weak hint, and those of the same names inside them
+    named: list[tuple[str, float]] = []  # open elements that names tell against, those of the same tags inside them, and the least weight so far
     unclosed: set[str] = set()  # raw elements that no end tag follows any more
     at, size, last = 0, len(page), page.rfind(">")
 
@@ -130,13 +133,13 @@ def page_lines(page: str) -> list[Line]:
         nonlocal linked, heading
         text = SPACE.sub(" ", html.unescape("".join(parts))).strip()
         if text or empty:
-            lines.append(Line(text, max(0, len(text) - linked), depth > 0, WEAK if weak else 1.0, heading))
+            lines.append(Line(text, max(0, len(text) - linked), depth > 0, named[-1][1] if named else 1.0, heading))
         parts.clear()
         linked, heading = 0, False
 
     def gap() -> None:
         flush()
-        lines.extend(Line("", 0, False, 1.0, False, True) for _ in range(WINDOW))
+        lines.extend(Line("", 0, depth > 0, 1.0, False, True) for _ in range(WINDOW))
 
     while at < size:
         m = TOKEN.search(page, at) if at <= last else None
@@ -189,33 +192,48 @@ def page_lines(page: str) -> list[Line]:
         if tag == "a":
             link = not closing
         if tag in BLOCK:
+            bare = tag in CONTAINERS and any(x and not x.isspace() for x in parts)
             flush(empty=True)
+            if bare:
+                flush(empty=True)
             link = False
             heading = tag in HEADINGS and not closing
             if tag in ("article", "main"):
+                named.clear()
+                if depth == 0:
+                    gap()
                 depth = max(0, depth + (-1 if closing else 1))
-                weak.clear()
+                if closing and depth == 0:
+                    gap()
+            elif named and named[-1][0] in ("p", "li") and (tag != "br" if not closing else tag in CONTAINERS):
+                closed = named.pop()[0] == tag and closing  # an open paragraph or item ends here
+                if not named:
+                    gap()
+                if closed:
+                    continue
+        if closing and named and tag == named[-1][0]:
+            named.pop()
+            if not named:
                 gap()
-        if closing and weak and tag == weak[-1]:
-            weak.pop()
-            if not weak:
+        elif not closing and tag not in VOID and (share < 1 or (named and tag == named[-1][0] and tag != "p" and tag != "li")):
+            if not named:
                 gap()
-        elif not closing and tag not in VOID and (share < 1 or (weak and tag == weak[-1] and tag != "p" and tag != "li")):
-            if not weak:
-                gap()
-            weak.append(tag)
+            named.append((tag, min(share, named[-1][1] if named else 1.0)))
     flush()
     return lines
 
 
-def weights(lines: list[Line]) -> list[float]:
+def trusted(lines: list[Line]) -> bool:
+    """Whether the page's article or main elements hold enough of its weight."""
+    marked = sum(n.plain * n.share for n in lines if n.inside)
+    return marked > 0 and marked >= TRUST * sum(n.plain * n.share for n in lines)
+
+
+def weights(lines: list[Line], marked: bool) -> list[float]:
     """What each line counts in the distribution."""
-    own = [n.plain * n.share for n in lines]
-    marked = sum(w for n, w in zip(lines, own, strict=True) if n.inside)
-    if not marked or marked < TRUST * sum(own):
-        return own
-    # a line of which half or more is link text takes its characters only
-    return [(w + SURGE * (n.share == 1 and 2 * n.plain > len(n.text))) if n.inside else 0.0 for n, w in zip(lines, own, strict=True)]
+    if not marked:
+        return [n.plain * n.share for n in lines]
+    return [n.plain * (n.share if n.share < 1 else MARK) if n.inside else n.plain * n.share / MARK for n in lines]
 
 
 def stretches(weight: list[float], window: int = WINDOW) -> list[tuple[int, int, float]]:
@@ -237,18 +255,32 @@ def stretches(weight: list[float], window: int = WINDOW) -> list[tuple[int, int,
 
 
 def kept_lines(lines: list[Line], window: int = WINDOW, surge: float = SURGE) -> list[bool]:
-    """Which lines the distribution keeps."""
-    weight = weights(lines)
-    found = stretches(weight, window)
+    """Which lines the distribution keeps: parts that names tell against are a distribution of their own."""
+    marked = trusted(lines)
+    weight = weights(lines, marked)
+    plain, named = [], []
+    for i, n in enumerate(lines):
+        if n.share < 1 or n.gap:
+            named.append(i)
+        if n.share == 1 and not (marked and n.inside and not n.text and (n.gap or (plain and lines[plain[-1]].inside and not lines[plain[-1]].text))):
+            plain.append(i)
+    found = stretches([weight[i] for i in plain], window)
+    apart = stretches([weight[i] for i in named], window)
+    level = max(surge, PEAK * max((high for *_, high in [*found, *apart]), default=0))
+    out = [False] * len(lines)
+    for a, b, high in apart:
+        if high > level:
+            for i in named[a:b]:
+                out[i] = True
     if not found:
-        found = stretches([float(len(n.text)) for n in lines], window)
         weight = [float(len(n.text)) for n in lines]
-    keep = [high > surge for _, _, high in found]
-    if found and not any(keep):
-        totals = [sum(weight[a:b]) for a, b, _ in found]
+        found = stretches([weight[i] for i in plain], window)
+    keep = [high > level for *_, high in found]
+    if found and not any(keep) and not any(out):
+        totals = [sum(weight[i] for i in plain[a:b]) for a, b, _ in found]
         keep[totals.index(max(totals))] = True
-    touching = [all(not n.text and not n.gap for n in lines[x[1] : y[0]]) for x, y in zip(found, found[1:], strict=False)]
-    titles = [all(n.heading or not n.text for n in lines[a:b]) for a, b, _ in found]
+    touching = [all(not lines[i].text and not lines[i].gap for i in plain[x[1] : y[0]]) for x, y in zip(found, found[1:], strict=False)]
+    titles = [all(lines[i].heading or not lines[i].text for i in plain[a:b]) for a, b, _ in found]
     for i in reversed(range(len(found) - 1)):  # headings go with what follows
         keep[i] = keep[i] or (titles[i] and touching[i] and keep[i + 1])
     for i in range(1, len(found) - 1):  # short ones between two kept ones
@@ -258,10 +290,10 @@ def kept_lines(lines: list[Line], window: int = WINDOW, surge: float = SURGE) ->
                 j += 1
             if keep[j]:
                 keep[i] = True
-    out = [False] * len(lines)
     for (a, b, _), k in zip(found, keep, strict=True):
         if k:
-            out[a:b] = [True] * (b - a)
+            for i in plain[a:b]:
+                out[i] = True
     return out
 
 
