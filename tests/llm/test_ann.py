@@ -106,7 +106,7 @@ def test_shards_are_left_out(spark):
     seen = []
     kept, ann._answers = ann._answers, lambda rows, k, factor: (seen.append(rows), kept(rows, k, factor))[1]
     try:
-        got = answers(spark, range(4000), x, shard=200)
+        got = answers(spark, range(4000), x, shard=200, team=1)
     finally:
         ann._answers = kept
     assert got == brute(range(4000), x)
@@ -114,6 +114,26 @@ def test_shards_are_left_out(spark):
     assert asked[0] == 200 and asked[1] < 200 * 19 / 2
 
 
+@pytest.mark.parametrize("team", [1, 3, 7, 32])
+def test_teams_of_shards(spark, team):
+    """A query travels once to a team of shards, whatever their number; lengths, copies and ties as before."""
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(2000, 24)) * rng.choice([0.2, 1, 3], size=(2000, 1))
+    x[300:900] = x[5]
+    seen = []
+    kept, ann._answers = ann._answers, lambda rows, k, factor: (seen.append(rows), kept(rows, k, factor))[1]
+    try:
+        got = answers(spark, range(2000), x, [(2020, [1.0, 2.0]), (2003, [2.0, 1.0])], shard=50, team=team)
+    finally:
+        ann._answers = kept
+    want = brute(range(2000), x)
+    want[2020] = [(-4.0, 2003)]
+    assert got == want
+    asked = seen[1].filter("asks").groupBy("vec_id").count().agg({"count": "max"}).first()[0]
+    shards = seen[1].filter("not asks and dim = 24").select("team", "slot").distinct().count()
+    assert asked <= -(-shards // team) + 1 and shards >= 40
+
+
 def test_registered_query(spark, tmp_path):
     rng = np.random.default_rng(8)
     x = rng.normal(size=(100, 8)).astype(np.float32)
