@@ -52,6 +52,24 @@ def test_word_search_is_the_join_on_every_word(spark, tmp_path, power, top, firs
         assert {tuple(x) for x in again.search(asked, top).collect()} == want and again.profiles.count() > 3
 
 
+def test_a_search_shuffles_no_pairs_of_works_and_queries(spark):
+    r = random.Random(7)
+    line = lambda i: sorted(r.sample([f"w{k}" for k in range(60)], 6))
+    works, refs = [(i, line(i)) for i in range(3000)], [(i, line(i)) for i in range(600)]
+    told = lambda: spark.sparkContext._jsc.sc().statusStore().executorList(True).apply(0).totalShuffleWrite()
+    kept, before = index.WordIndex.build(spark.createDataFrame(works, NAMED)), told()
+    got = {tuple(x) for x in kept.search(spark.createDataFrame(refs, ASKED)).collect()}
+    assert got == plain(works, refs, 2, 5) and told() - before < 3_000_000
+
+
+def test_blocks_meet_chunks(spark, monkeypatch):
+    monkeypatch.setattr(index, "BLOCK", 40)
+    monkeypatch.setattr(index, "CHUNK", 20)
+    works, refs = some_rows(6)
+    got = index.WordIndex.build(spark.createDataFrame(works, NAMED)).search(spark.createDataFrame(refs, ASKED), 5, 1)
+    assert {tuple(x) for x in got.collect()} == plain(works, refs, 2, 5)
+
+
 def test_empty_indexes(spark):
     none, asked = spark.createDataFrame([], NAMED), spark.createDataFrame([(1, ["a"])], ASKED)
     assert index.WordIndex.build(none).search(asked).count() == 0 == index.PhraseIndex.build(none).search(asked).count()
