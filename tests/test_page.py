@@ -6,6 +6,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
+from biblens import runtime
 from biblens.operators import report
 from biblens.plans.audit import audit, citation_index
 from biblens.runtime import numbered, shared_dir
@@ -149,3 +150,13 @@ def test_a_replayed_batch_is_written_once(spark, tmp_path):
     got = spark.read.parquet(str(tmp_path / "out"))
     assert sorted(r["ref_id"] for r in got.collect()) == [0, 1, 2] and {r["status"] for r in got.collect()} == {"found"}
     assert set(os.listdir(shared_dir(spark).removeprefix("file:"))) == before
+
+
+def test_slices_of_a_numbering_stay_small(spark, monkeypatch):
+    monkeypatch.setattr(runtime, "SLICE", 100, raising=False)
+    dealt = []
+    plain = runtime.write_table
+    monkeypatch.setattr(runtime, "write_table", lambda df, name: dealt.append(plain(df, name)[0]) or (dealt[-1], ""))
+    rows = runtime.numbered(spark.range(2000).select((F.col("id") * 7 % 2000).alias("k")), [F.col("k")]).collect()
+    assert sorted((r["k"], r["number"]) for r in rows) == [(i, i + 1) for i in range(2000)]
+    assert max(r["count"] for r in dealt[0].groupBy(F.input_file_name()).count().collect()) <= 200
