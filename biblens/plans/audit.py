@@ -11,7 +11,7 @@ from biblens.operators import retrieve as R
 from biblens.operators import score as S
 from biblens.operators.index import WordIndex, citation_words, title_words
 from biblens.operators.parse import parse
-from biblens.runtime import scratch, ship, write_table
+from biblens.runtime import scratch, ship, spread, write_table
 from biblens.sources.payloads import RECORD_COLUMNS
 
 REFERENCE_FIELDS = ("title", "authors", "year", "venue", "volume", "issue", "page", "article_number", "doi")
@@ -72,7 +72,7 @@ def audit(
 
 
 def _audit(refs, works, notices, aliases, sequence, top, sources, gaps, details, debug, dois, index) -> DataFrame:
-    parsed, _ = write_table(parse(refs), "parsed")
+    parsed, _ = write_table(parse(spread(refs, "ref_id")), "parsed")
     every, _ = write_table(D.dedup_candidates(candidates(parsed, works, top, sources, dois, index)), "pairs")
     pairs = every.filter("c is not null")
     columns = ["ref_id", "r", "c", "ordinal", "method"]

@@ -199,3 +199,19 @@ def test_states_and_reasons_where_a_side_says_nothing(spark):
 def test_long_lists_of_authors(spark):
     a = spark.createDataFrame([(["a", "b", "c", "d"],), (["a", "b"],), ([],)], "x array<string>").select(score.display_authors(F.col("x")).alias("s"))
     assert [r["s"] for r in a.collect()] == ["a, b, c, et al.", "a, b", None]
+
+
+def test_references_of_one_partition_are_parsed_by_all_tasks(spark, monkeypatch):
+    from biblens.plans import audit as plan
+
+    class Seen(Exception):
+        pass
+
+    def first(df, name):
+        raise Seen(name, df.rdd.getNumPartitions())
+
+    works, refs = golden(spark)
+    monkeypatch.setattr(plan, "write_table", first)
+    with pytest.raises(Seen) as seen:
+        audit(refs.coalesce(1), works)
+    assert seen.value.args == ("parsed", 4)
