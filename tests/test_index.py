@@ -70,6 +70,32 @@ def test_blocks_meet_chunks(spark, monkeypatch):
     assert {tuple(x) for x in got.collect()} == plain(works, refs, 2, 5)
 
 
+def test_sets_and_queries_meet_in_their_realm_only(spark, monkeypatch):
+    """A realm's sets go to one slot, those of a large one to slots of its own; answers are those of a join inside the realm."""
+    for name, most in (("BLOCK", 40), ("CHUNK", 20), ("LEAST", 5)):
+        monkeypatch.setattr(index, name, most)
+    works, refs = some_rows(8)
+    realm = lambda i: "ab" if i % 2 else f"r{i % 24}"
+    named = [(i, realm(i), w) for i, w in works] + [(i, "other", w) for i, w in works[:100]]
+    asked = [(i, realm(i), w) for i, w in refs] + [(500 + i, "none", w) for i, w in refs[:3]]
+    kept = index.WordIndex.build(spark.createDataFrame(named, "work_id long, realm string, words array<string>"), total=len(works) - 2)
+    want, inside = set(), lambda rows, r: [(i, w) for i, k, w in rows if k == r]
+    for r in {k for _, k, _ in asked}:
+        mine = inside(named, r)
+        df = {x: sum(x in (w or ()) for _, w in mine) for _, w in mine for x in w or ()}
+        weight = {x: round(math.log(1 + (len(works) - 2) / n) ** 2 * 1000) for x, n in df.items()}
+        for i, w in inside(asked, r):
+            shared = [(k, set(w or ()) & set(v or ())) for k, v in mine]
+            scored = sorted((-sum(weight[x] for x in s), k, len(s)) for k, s in shared if s)[:5]
+            want |= {(i, k, hits, -s, n + 1) for n, (s, k, hits) in enumerate(scored)}
+    assert {tuple(x) for x in kept.search(spark.createDataFrame(asked, "ref_id long, realm string, words array<string>"), 5, 1).collect()} == want and len(want) > 200
+    queries = spark.createDataFrame([(bytes([i]), r, [1]) for i, (_, r, _) in enumerate(asked)], "qid binary, realm string, codes array<long>")
+    realms, large, bundles, parted = kept._slots(queries)
+    assert [(r["realm"], r["base"], r["blocks"] > 1) for r in large.collect()] == [("ab", bundles, True)] and bundles < realms.count()
+    alone = index.WordIndex(kept.sets.filter("realm <> 'ab'"), kept.words, kept.profiles)
+    assert alone._slots(queries)[1].count() == 0 and not alone._slots(queries)[3].any()
+
+
 def test_empty_indexes(spark):
     none, asked = spark.createDataFrame([], NAMED), spark.createDataFrame([(1, ["a"])], ASKED)
     assert index.WordIndex.build(none).search(asked).count() == 0 == index.PhraseIndex.build(none).search(asked).count()
