@@ -222,6 +222,17 @@ def test_states_and_reasons_where_a_side_says_nothing(spark):
             assert (d["state"], d["reason"]) == told.get(d["field"], ("ok", None)), (row["i"], d)
 
 
+def test_equal_citations_are_searched_once(spark, monkeypatch):
+    asked, block = [], collect.block
+    monkeypatch.setattr(collect, "block", lambda refs, works, top: asked.append(refs.count()) or block(refs, works, top))
+    works = spark.createDataFrame([(1, "Slow tides in narrow harbours"), (2, "Slow rivers")], "work_id long, title string")
+    texts = ["Slow tides (2020). 10.1234/x", "Slow, rivers", "", None]
+    refs = spark.createDataFrame([(i, texts[i % 4]) for i in range(200)], "ref_id long, input_text string")
+    got = {tuple(r) for r in collect.staged_candidates(refs, works).collect()}
+    assert asked[0] < 10
+    assert got == {(i, *x, "raw") for i in range(200) for x in {0: [(1, 1), (2, 2)], 1: [(2, 1), (1, 2)]}.get(i % 4, [])}
+
+
 def test_long_lists_of_authors(spark):
     a = spark.createDataFrame([(["a", "b", "c", "d"],), (["a", "b"],), ([],)], "x array<string>").select(score.display_authors(F.col("x")).alias("s"))
     assert [r["s"] for r in a.collect()] == ["a, b, c, et al.", "a, b", None]
