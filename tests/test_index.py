@@ -233,6 +233,22 @@ def test_equal_citations_are_searched_once(spark, monkeypatch):
     assert got == {(i, *x, "raw") for i in range(200) for x in {0: [(1, 1), (2, 2)], 1: [(2, 1), (1, 2)]}.get(i % 4, [])}
 
 
+def test_rows_without_doi_do_not_meet_in_one_task(spark):
+    works = table(spark, work(1, "Slow tides", doi="10.1/A"))
+    rows = spark.createDataFrame([(i, "10.1/a" if i % 10 == 0 else "10.1/none" if i % 10 == 1 else None) for i in range(1000)], "i long, doi string")
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    try:
+        for k, v in zip(kept, ("false", "-1")):
+            spark.conf.set(k, v)
+        parts = collect.DoiTables(works).lookup(rows).select("i", "doi", "w.title", "doi_method", F.spark_partition_id().alias("task")).collect()
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+    assert sorted((r["i"], r["title"], r["doi_method"]) for r in parts) == [(i, "Slow tides" if i % 10 == 0 else None, "doi-crossref" if i % 10 < 2 else None) for i in range(1000)]
+    tasks = [r["task"] for r in parts if r["doi"] is None]
+    assert max(tasks.count(t) for t in set(tasks)) < 400
+
+
 def test_long_lists_of_authors(spark):
     a = spark.createDataFrame([(["a", "b", "c", "d"],), (["a", "b"],), ([],)], "x array<string>").select(score.display_authors(F.col("x")).alias("s"))
     assert [r["s"] for r in a.collect()] == ["a, b, c, et al.", "a, b", None]
