@@ -249,6 +249,13 @@ def test_rows_without_doi_do_not_meet_in_one_task(spark):
     assert max(tasks.count(t) for t in set(tasks)) < 400
 
 
+def test_field_states_reads_orders_once(spark):
+    from biblens.plans import queries
+
+    plan = queries.QUERIES["field_states"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [o_orderkey") == 1
+
+
 def test_long_lists_of_authors(spark):
     a = spark.createDataFrame([(["a", "b", "c", "d"],), (["a", "b"],), ([],)], "x array<string>").select(score.display_authors(F.col("x")).alias("s"))
     assert [r["s"] for r in a.collect()] == ["a, b, c, et al.", "a, b", None]
