@@ -2,11 +2,15 @@
 
 A text is a weighted set of its five-word shingles (words are runs of letters, digits and underscores,
 lower-cased; a text with fewer words is one shingle of them all). A shingle weighs its count times
-idf = 1 + log10(N / max(df, N / 10)): only shingles in more than a tenth of all N documents, the
-boilerplate of a corpus, weigh less than others: down to half. (A weight that fell on with the
-frequency would part large groups of copies: what they share is frequent, their differences are not.)
-Frequent shingles are counted exactly over all documents, whatever their partitioning; there are at
-most ten times an average text's shingles of them, so they are broadcast.
+idf = 2 - log(df) / (2 log N), in 64ths: its own document frequency df among all N documents decides, whatever it
+is, from 2 for a shingle of one document down to 1.5 for one of all. (The logarithm is smoothed so far because
+a weight that fell on with the frequency would part large groups of copies: what they share is frequent, their
+differences are not.)
+
+Frequencies are exact, for every shingle. Chunks of texts send their shingles' hashes, packed, to shards of the
+hashes' range; a shard counts its own and answers with the weight of each, a byte of 64ths; a chunk puts the
+answers together to the weights of each text, in the order of its hashes. They are kept beside the texts and go with
+them through signatures and verification; nothing of them passes through the driver or is broadcast.
 
 ``SAMPLES`` improved consistent weighted samples (Ioffe 2010) of each text are cut into bands. Texts
 that share a band meet in a bucket. A bucket does not emit its pairs: from the samples' agreement it
@@ -35,6 +39,8 @@ gives no rows; texts of any length count whole; ties go to the smaller id, furth
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -57,10 +63,10 @@ TURNS = 2
 FEW_EDGES = 20_000
 #: Ids of texts to verify that are broadcast at most.
 SENT_IDS = 1_000_000
-#: Shingles in more than this share of documents are frequent.
-FREQUENT = 0.1
-#: Share of a chunk's texts from which on the first pass reports a shingle; texts and shingles in a chunk.
-COUNT_ERROR, COUNT_TEXTS, COUNT_SIZE = 0.01, 256, 1 << 20
+#: Shingles in more than this share of documents have a weight of their own: none is left out.
+FREQUENT = 0.0
+#: Texts and shingles in a chunk whose frequencies are asked for at once, and bytes of text for each shard that counts.
+COUNT_TEXTS, COUNT_SIZE, SHARD_BYTES = 1024, 1 << 18, 8 << 20
 
 _rng = np.random.Generator(np.random.PCG64(20100912))
 _TABLE = 1 << 16
@@ -75,20 +81,39 @@ def _log_a(index: np.ndarray, weight: np.ndarray) -> np.ndarray:
     return np.log(_c[index]) - r * (np.floor(np.log(weight) / r + b) - b + 1)
 
 
-#: The weight of a shingle that occurs once and is not frequent, and the order of its ln a.
+#: The weight of a shingle that occurs once, in one document, and the order of its ln a.
 PLAIN = 2.0
 _plain = _log_a(np.arange(_TABLE), np.full(_TABLE, PLAIN))
 _sorted = np.sort(_plain)
 _order = np.empty(_TABLE, np.uint32)
 _order[np.argsort(_plain, kind="stable")] = np.arange(_TABLE, dtype=np.uint32)
+#: The weight of a shingle that occurs once, in all documents; weights between are whole numbers of 1 / STEPS.
+LEAST = 1.5
+STEPS = 64
+_LOW, _HIGH = round(LEAST * STEPS), round(PLAIN * STEPS)
 
 
 def idf(df: np.ndarray, n: int) -> np.ndarray:
-    return 1 + np.log10(n / np.maximum(df, n * FREQUENT))
+    """Weights of shingles of ``df`` documents among ``n``."""
+    return np.rint(STEPS * (PLAIN - (PLAIN - LEAST) * np.log(np.maximum(df, 1)) / np.log(max(n, 2)))) / STEPS
+
+
+def _place(index: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    return np.minimum(np.searchsorted(_sorted, _log_a(index, weight)), _TABLE - 1)
+
+
+@cache
+def _places() -> np.ndarray:
+    """Places of ln a, one row of the table for each weight of ``idf``, as ``_order`` has them for ``PLAIN``."""
+    out = np.empty((_HIGH - _LOW + 1, _TABLE), np.uint16)
+    for k in range(_LOW, _HIGH):
+        out[k - _LOW] = _place(np.arange(_TABLE), np.full(_TABLE, k / STEPS))
+    out[-1] = _order
+    return out.reshape(-1)
 
 
 class Weights:
-    """idf of frequent shingles; all others weigh ``PLAIN`` an occurrence."""
+    """idf of given shingles; all others weigh ``PLAIN`` an occurrence."""
 
     def __init__(self, hashes: np.ndarray, df: np.ndarray, n: int):
         order = np.argsort(hashes)
@@ -116,71 +141,139 @@ def samples(row: np.ndarray, h: np.ndarray, w: np.ndarray, rows: int) -> tuple[n
     if not len(have):
         return have, out
     h32 = ((h >> np.uint64(16)) ^ h).astype(np.uint32)
-    odd = np.flatnonzero(w != PLAIN)
+    step = w * STEPS
+    even = (step >= _LOW) & (step <= _HIGH) & (step == np.rint(step))
+    odd = np.flatnonzero(~even)
     odd_w = w[odd]
+    places, base = _places(), (np.where(even, step, _HIGH).astype(np.uint32) - np.uint32(_LOW)) * np.uint32(_TABLE)
     for k in range(SAMPLES):
         v = h32 * _MULTIPLY[k] + _ADD[k]
         index = v >> np.uint32(16)
-        place = _order[index]
+        place = places[base + index].astype(np.uint32)
         if len(odd):
-            place[odd] = np.minimum(np.searchsorted(_sorted, _log_a(index[odd], odd_w)), _TABLE - 1)
+            place[odd] = _place(index[odd], odd_w)
         out[:, k] = np.minimum.reduceat((place << np.uint32(16)) | (v & np.uint32(0xFFFF)), first)
     return have, out
 
 
-def frequent_shingles(rows: DataFrame) -> Weights:
-    """Shingles in more than a tenth of the documents, with their exact document frequencies.
+class Frequencies(NamedTuple):
+    """(uid, idf) of texts, the idf of each of a text's shingles in the order of their hashes, a byte of 1 / STEPS each; and the
+    number of documents. Texts without shingles may have no row."""
+
+    table: DataFrame
+    n: int
+
+
+class Own:
+    """Weights of the shingles of some texts, from the bytes beside them."""
+
+    def __init__(self, given: list[bytes | None]):
+        self.steps = np.frombuffer(b"".join(x or b"" for x in given), np.uint8)
+
+    def of(self, h: np.ndarray, tf: np.ndarray) -> np.ndarray:
+        if len(self.steps) != len(h):
+            raise ValueError(f"{len(self.steps)} weights for {len(h)} shingles")
+        return self.steps / STEPS * tf
+
+
+def document_frequencies(rows: DataFrame) -> Frequencies:
+    """Weights of all shingles of rows (uid, text), uid unique, by their exact frequencies.
 
-    A first pass finds who can be one: each chunk of texts reports what is in at least a hundredth of
-    its texts, so a shingle in more than a tenth of all documents is reported for more than nine
-    hundredths of them, however the texts are dealt. A second pass counts those exactly.
+    A chunk of texts sends one row to each shard: the hashes, of 6 bytes, and from which text each is, as its distance
+    from the text before. Shards are ranges of hashes, so a text's answers follow each other as its hashes do. Shards grow in number
+    with the texts, not in size; a shingle of all documents is 6 bytes for each of them in its shard.
     """
+    spark = rows.sparkSession
+    total = rows.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("text").cast("long")).alias("bytes")).first()
+    n_docs = total["n"]
+    shards = min(max(partitions(spark), -(-(total["bytes"] or 0) // SHARD_BYTES)), 1 << 16)
 
-    def reported(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         n = size = 0
 
         def told() -> pa.RecordBatch:
-            value, count = np.unique(np.concatenate(held), return_counts=True)
-            often = count >= COUNT_ERROR * n
-            return pa.RecordBatch.from_arrays([pa.array(value[often].astype(np.int64)), pa.array(count[often].astype(np.int64))], names=["h", "n"])
+            uid, owner, h = (np.concatenate(x) for x in zip(*held, strict=True))
+            shard = ((h * np.uint64(shards)) >> np.uint64(48)).astype(np.uint16)
+            order = np.argsort(shard, kind="stable")
+            shard, owner, h = shard[order], owner[order], h[order]
+            packed = memoryview(np.ascontiguousarray(h.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).reshape(-1))
+            first = np.flatnonzero(np.concatenate([np.ones(min(1, len(h)), bool), shard[1:] != shard[:-1]]))
+            spans = list(zip(first.tolist(), [*first[1:].tolist(), len(h)]))
+            step = np.diff(owner, prepend=0)
+            step[first] = owner[first]
+            steps = memoryview(step.astype(np.uint16).view(np.uint8))
+            uids = [None if k else uid.astype(np.int64).tobytes() for k in range(len(spans))]
+            return pa.RecordBatch.from_arrays(
+                [pa.array(shard[first].astype(np.int32)), pa.array(np.full(len(spans), uid[0], np.int64)), pa.array(uids, pa.binary()), pa.array([steps[2 * a : 2 * b] for a, b in spans], pa.binary()), pa.array([packed[6 * a : 6 * b] for a, b in spans], pa.binary())],
+                names=["shard", "chunk", "uids", "steps", "hashes"],
+            )
 
         for b in batches:
-            for i, j, _, h, _ in shingle_sets(b.column(0), SHINGLE):
-                held.append(h)
+            uid = np.asarray(b.column(0), np.int64)
+            for i, j, row, h, _ in shingle_sets(b.column(1), SHINGLE):
+                held.append((uid[i:j], row + n, h))
                 n, size = n + j - i, size + len(h)
                 if n >= COUNT_TEXTS or size >= COUNT_SIZE:
                     yield told()
-                    held, n, size = [], 0, 0
+                    held.clear()
+                    n = size = 0
         if held:
             yield told()
 
-    n = rows.count()
-    texts = rows.select("text")
-    least = n * (FREQUENT - COUNT_ERROR)
-    found = texts.mapInArrow(tidy(reported), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).filter(F.col("n") > least)
-    maybe = np.sort(np.array([r["h"] for r in found.select("h").collect()], np.int64))  # at most an average text's shingles / 0.09
-    if not len(maybe):
-        return Weights(maybe, np.zeros(0), n)
-    sent = rows.sparkSession.sparkContext.broadcast(maybe.astype(np.uint64))
-
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = sent.value
-        total = np.zeros(len(known), np.int64)
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows_ = [b for b in batches if b.num_rows]  # a shard: about SHARD_BYTES of text
+        if not rows_:
+            return
+        raw = [x for b in rows_ for x in b.column(4).to_pylist()]
+        ends = np.cumsum([0, *(len(x) // 6 for x in raw)]).tolist()
+        wide = np.zeros((ends[-1], 8), np.uint8)
+        wide[:, :6] = np.frombuffer(b"".join(raw), np.uint8).reshape(-1, 6)
+        del raw
+        h = wide.view("<u8").reshape(-1)
+        order = np.argsort(h)
+        h = h[order]
+        df = np.diff(np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1], [True]])))
+        steps = np.empty(len(h), np.uint8)
+        steps[order] = np.repeat(np.rint(idf(df, n_docs) * STEPS).astype(np.uint8), df)
+        del h, wide, order
+        at = 0
+        for b in rows_:
+            out = [steps[i:j].tobytes() for i, j in zip(ends[at : at + b.num_rows], ends[at + 1 : at + b.num_rows + 1])]
+            at += b.num_rows
+            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(out, pa.binary())], names=["shard", "chunk", "uids", "steps", "idf"])
+
+    def together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _whole_groups(batches, ["chunk"]):
+            uid = np.frombuffer(next(x for x in t["uids"].to_pylist() if x is not None), np.int64)
+            owner = np.concatenate([np.cumsum(np.frombuffer(x, np.uint16), dtype=np.int32) for x in t["steps"].to_pylist()])
+            found = np.frombuffer(b"".join(t["idf"].to_pylist()), np.uint8)[np.argsort(owner, kind="stable")]
+            ends = np.cumsum([0, *np.bincount(owner, minlength=len(uid))])
+            data = memoryview(found)
+            yield pa.RecordBatch.from_arrays([pa.array(uid), pa.array([data[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())], pa.binary())], names=["uid", "idf"])
+
+    head = "shard int, chunk long, uids binary, steps binary"
+    asked = rows.select("uid", "text").mapInArrow(tidy(ask), f"{head}, hashes binary")
+    told = asked.repartitionById(shards, F.col("shard")).mapInArrow(tidy(answer), f"{head}, idf binary")  # each partition one shard
+    dealt = told.repartition(partitions(spark), "chunk").sortWithinPartitions("chunk", "shard")
+    return Frequencies(write_table(dealt.mapInArrow(tidy(together), "uid long, idf binary"), "frequencies")[0], n_docs)
+
+
+def frequent_shingles(rows: DataFrame) -> Weights:
+    """Shingles of more than ``FREQUENT`` of the documents, with their exact frequencies, in the driver: for comparisons on small tables."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for _, _, _, h, _ in shingle_sets(b.column(0), SHINGLE):
-                at = np.minimum(np.searchsorted(known, h), len(known) - 1)
-                total += np.bincount(at[known[at] == h], minlength=len(known))
-        yield pa.RecordBatch.from_arrays([pa.array(known.astype(np.int64)), pa.array(total)], names=["h", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(h.astype(np.int64))], names=["h"])
 
-    exact = texts.mapInArrow(tidy(counted), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).filter(F.col("n") > n * FREQUENT)
-    got = exact.collect()
+    n = rows.count()
+    got = rows.select("text").mapInArrow(tidy(each), "h long").groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > FREQUENT * n).collect()
     return Weights(np.array([r["h"] for r in got], np.int64), np.array([r["n"] for r in got], np.float64), n)
 
 
-def _signatures(rows: DataFrame, weights: Weights) -> DataFrame:
+def _signatures(rows: DataFrame, weights: Frequencies) -> DataFrame:
     """(uid, text_key, bands, sig): a 128-bit key of the text, band hashes (null without words), short samples."""
-    sent = rows.sparkSession.sparkContext.broadcast(weights)
     mult = np.array([pow(0x9E3779B97F4A7C15, i + 1, 1 << 64) for i in range(ROWS)], np.uint64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -188,10 +281,11 @@ def _signatures(rows: DataFrame, weights: Weights) -> DataFrame:
 
         for b in batches:
             col = b.column(1)
+            given = b.column(2).to_pylist()
             data, offsets = as_bytes(col)
             keys = [hashlib.blake2b(memoryview(data[offsets[i] : offsets[i + 1]]), digest_size=16).digest() for i in range(len(col))]
             for i, j, row, h, tf in shingle_sets(col, SHINGLE):
-                have, got = samples(row, h, sent.value.of(h, tf), j - i)
+                have, got = samples(row, h, Own(given[i:j]).of(h, tf), j - i)
                 band = (got.reshape(len(have), BANDS, ROWS).astype(np.uint64) * mult).sum(2, dtype=np.uint64)
                 band ^= band >> np.uint64(29)
                 band *= np.uint64(0xBF58476D1CE4E5B9)
@@ -205,7 +299,8 @@ def _signatures(rows: DataFrame, weights: Weights) -> DataFrame:
                     names=["uid", "text_key", "bands", "sig"],
                 )
 
-    return rows.select("uid", "text").mapInArrow(tidy(run), "uid long, text_key binary, bands array<long>, sig binary")
+    weighed = rows.select("uid", "text").join(weights.table.hint("shuffle_hash"), "uid", "left")
+    return weighed.select("uid", "text", "idf").mapInArrow(tidy(run), "uid long, text_key binary, bands array<long>, sig binary")
 
 
 def forest(sig: np.ndarray, least: float) -> list[tuple[int, int]]:
@@ -312,8 +407,9 @@ def candidate_pairs(texts: DataFrame, similarity: float) -> tuple[DataFrame, Dat
 class Sets:
     """The weighted sets of some texts, and the exact similarity of one of them with all the others at once."""
 
-    def __init__(self, texts: list[str], weights: Weights):
-        self.sets = [weighted_set(t, weights) for t in texts]
+    def __init__(self, texts: list[str], weights: Weights | list[Own]):
+        each = weights if isinstance(weights, list) else [weights] * len(texts)
+        self.sets = [weighted_set(t, w) for t, w in zip(texts, each, strict=True)]
         self.total = np.array([w.sum() for _, w in self.sets])
         self.first: np.ndarray | None = None
 
@@ -367,7 +463,7 @@ def join_apart(sig: np.ndarray, own: np.ndarray, ask: np.ndarray, sets: Sets, le
     return out
 
 
-def _open_links(members: DataFrame, met: DataFrame, texts: DataFrame, rows: DataFrame, roots: DataFrame, weights: Weights, similarity: float) -> DataFrame | None:
+def _open_links(members: DataFrame, met: DataFrame, texts: DataFrame, rows: DataFrame, roots: DataFrame, weights: Frequencies, similarity: float) -> DataFrame | None:
     """Links between components whose texts met without being linked, or None if there are none such.
 
     Components that met make groups. In each group the texts outside its largest component ask. They
@@ -389,7 +485,7 @@ def _open_links(members: DataFrame, met: DataFrame, texts: DataFrame, rows: Data
     counted = owned.groupBy("own").agg(F.count(F.lit(1)).alias("texts"))
     groups, _ = write_table(groups.join(counted, "own"), "groups")
     inside = join_hot(owned, groups, ["own"], "texts").select("uid", "sig", "own", "grp")
-    inside, _ = write_table(with_texts(inside, rows), "inside")
+    inside, _ = write_table(with_texts(inside, rows, weights), "inside")
     size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
     sizes = inside.groupBy("grp", "own").agg(F.count(F.lit(1)).alias("n"), F.sum(size).alias("bytes"))
     each = sizes.groupBy("grp").agg(F.max(F.struct("n", "own", "bytes")).alias("large"), F.sum("n").alias("n"), F.sum("bytes").alias("bytes"))
@@ -408,11 +504,10 @@ def _open_links(members: DataFrame, met: DataFrame, texts: DataFrame, rows: Data
         return F.explode(F.sequence(F.lit(0), F.col(count) - 1))
 
     key = ["grp", "asked", "chunk"]
-    columns = ["grp", "uid", "own", "sig", "text"]
+    columns = ["grp", "uid", "own", "sig", "text", "idf"]
     asking = dealt.filter("own <> large").select(*columns, F.lit(1).alias("ask"), of("ask_chunks").alias("asked"), every("all_chunks").alias("chunk"))
     others = dealt.select(*columns, F.lit(0).alias("ask"), of("all_chunks").alias("chunk"), every("ask_chunks").alias("asked"))
     blocks = asking.unionByName(others).repartition(partitions(spark), *key).sortWithinPartitions(*key, "uid")
-    sent = spark.sparkContext.broadcast(weights)
     least = similarity - MARGIN
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -420,12 +515,13 @@ def _open_links(members: DataFrame, met: DataFrame, texts: DataFrame, rows: Data
             uid, own = (np.asarray(t[c], np.int64) for c in ("uid", "own"))
             ask = np.asarray(t["ask"], np.int64) == 1
             sig = np.frombuffer(b"".join(t["sig"].to_pylist()), np.uint16).reshape(len(uid), SAMPLES)
-            found = join_apart(sig, own, ask, Sets([x or "" for x in t["text"].to_pylist()], sent.value), least, similarity)
+            sets = Sets([x or "" for x in t["text"].to_pylist()], [Own([x]) for x in t["idf"].to_pylist()])
+            found = join_apart(sig, own, ask, sets, least, similarity)
             if found:
                 x = uid[np.array(found)]
                 yield pa.RecordBatch.from_arrays([pa.array(x.min(1)), pa.array(x.max(1))], names=["a", "b"])
 
-    return blocks.select(*key, "uid", "own", "ask", "sig", "text").mapInArrow(tidy(run), "a long, b long")
+    return blocks.select(*key, "uid", "own", "ask", "sig", "text", "idf").mapInArrow(tidy(run), "a long, b long")
 
 
 def _whole_groups(batches: Iterator[pa.RecordBatch], key: list[str]) -> Iterator[pa.Table]:
@@ -445,7 +541,7 @@ def _whole_groups(batches: Iterator[pa.RecordBatch], key: list[str]) -> Iterator
         yield held
 
 
-def settled(pairs: DataFrame, members: DataFrame, texts: DataFrame, rows: DataFrame, weights: Weights, similarity: float) -> DataFrame:
+def settled(pairs: DataFrame, members: DataFrame, texts: DataFrame, rows: DataFrame, weights: Frequencies, similarity: float) -> DataFrame:
     """(uid, root) of every linked uid, when no pair that met joins two components without having been refuted."""
     links, _ = write_table(verified(pairs, rows, weights, similarity), "links")
     roots = components(links)
@@ -469,41 +565,40 @@ def weighted_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.n
     return float(least / total) if total else 0.0
 
 
-def weighted_set(text: str, weights: Weights) -> tuple[np.ndarray, np.ndarray]:
+def weighted_set(text: str, weights: Weights | Own) -> tuple[np.ndarray, np.ndarray]:
     for _, _, _, h, tf in shingle_sets(pa.array([text], pa.string()), SHINGLE):
         return h, weights.of(h, tf)
     return np.zeros(0, np.uint64), np.zeros(0)
 
 
-def with_texts(ids: DataFrame, rows: DataFrame) -> DataFrame:
-    """ids (uid, ...) with the text of each. Texts that are not asked for are not shuffled where the ids are few."""
+def with_texts(ids: DataFrame, rows: DataFrame, weights: Frequencies) -> DataFrame:
+    """ids (uid, ...) with the text of each and its shingles' weights. Texts that are not asked for are not shuffled where the ids are few."""
     few = ids.select("uid")
-    texts = rows.select("uid", "text")
+    texts, counts = rows.select("uid", "text"), weights.table
     if ids.count() <= SENT_IDS:  # 8 bytes each: beyond that, a shuffle
-        texts = texts.join(F.broadcast(few), "uid", "left_semi")
-    return ids.join(texts, "uid")
+        texts, counts = (x.join(F.broadcast(few), "uid", "left_semi") for x in (texts, counts))
+    return ids.join(texts, "uid").join(counts.hint("shuffle_hash"), "uid", "left")
 
 
-def verified(pairs: DataFrame, rows: DataFrame, weights: Weights, similarity: float) -> DataFrame:
+def verified(pairs: DataFrame, rows: DataFrame, weights: Frequencies, similarity: float) -> DataFrame:
     """Links (a, b, similarity) among pairs. A text in many pairs is dealt with salt on its side."""
-    sent = rows.sparkSession.sparkContext.broadcast(weights)
     ids = pairs.select(F.col("a").alias("uid")).unionByName(pairs.select(F.col("b").alias("uid"))).distinct()
-    texts = with_texts(ids, rows)
+    texts = with_texts(ids, rows, weights)
     degree = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("d"))
     salt = (F.pmod(F.xxhash64("b"), F.ceil(F.col("d") / 500))).cast("int")
     salted = pairs.join(degree, "a").select("a", "b", salt.alias("salt"))
-    other = salted.join(texts.withColumnsRenamed({"uid": "b", "text": "text_b"}), "b")
-    heads = salted.select("a", "salt").distinct().join(texts.withColumnsRenamed({"uid": "a", "text": "text_a"}), "a")
-    both = other.join(heads, ["a", "salt"]).select("a", "b", "text_a", "text_b")
+    other = salted.join(texts.withColumnsRenamed({"uid": "b", "text": "text_b", "idf": "idf_b"}), "b")
+    heads = salted.select("a", "salt").distinct().join(texts.withColumnsRenamed({"uid": "a", "text": "text_a", "idf": "idf_a"}), "a")
+    both = other.join(heads, ["a", "salt"]).select("a", "b", "text_a", "text_b", "idf_a", "idf_b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, own = None, None
         for batch in batches:
             out: tuple = ([], [], [])
-            for a, b, x, y in zip(*(batch.column(i) for i in range(4)), strict=True):
+            for a, b, x, y, p, q in zip(*(batch.column(i) for i in range(6)), strict=True):
                 if a.as_py() != last:
-                    last, own = a.as_py(), weighted_set(x.as_py() or "", sent.value)
-                s = weighted_jaccard(own, weighted_set(y.as_py() or "", sent.value))
+                    last, own = a.as_py(), weighted_set(x.as_py() or "", Own([p.as_py()]))
+                s = weighted_jaccard(own, weighted_set(y.as_py() or "", Own([q.as_py()])))
                 if s >= similarity:
                     for o, v in zip(out, (last, b.as_py(), s), strict=True):
                         o.append(v)
@@ -561,7 +656,7 @@ def components(links: DataFrame) -> DataFrame:
 def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """(uid, class_uid, copies) for rows (uid, text): class_uid is the least uid of the class."""
     rows = docs.select("uid", "text")
-    weights = frequent_shingles(rows)
+    weights = document_frequencies(rows)
     signed, _ = write_table(_signatures(rows, weights), "signatures")
     reps = signed.groupBy("text_key").agg(F.min("uid").alias("rep"), F.count(F.lit(1)).alias("copies"))
     reps, _ = write_table(reps, "texts")

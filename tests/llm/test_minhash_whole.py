@@ -1,7 +1,10 @@
 """Near-duplicates: frequencies whatever the partitioning, classes against all pairs, very long texts."""
 
 import itertools
+import math
 import random
+import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -84,3 +87,66 @@ def test_very_long_texts(spark):
     assert first.tolist() == [0, 500_000] and got[:3].tolist() == parts
     table = spark.createDataFrame([(1, long), (2, long + " more words here"), (3, "more words here")], "doc_id long, text string")
     assert {r["doc_id"]: r["class_id"] for r in minhash.near_duplicates(table).collect()} == {1: 1, 2: 1, 3: 3}
+
+
+def plain_shingles(text):
+    """Five-word shingles of a text, by words and not by hashes."""
+    w = re.findall(r"\w+", (text or "").lower())
+    return Counter(tuple(w[i : i + 5]) for i in range(max(len(w) - 4, min(1, len(w)))))
+
+
+def test_every_frequency_counts(spark, monkeypatch):
+    """Each text's own frequencies, of all its shingles, for any dealing, chunks and shards; null, empty and short texts."""
+    texts = [*corpus(200), None, "", "one two", "one two", " \n"]
+    df = Counter(x for t in texts for x in plain_shingles(t))
+    assert sum(1 < n <= len(texts) / 10 for n in df.values()) > 1000
+    table = spark.createDataFrame([*enumerate(texts)], "uid long, text string")
+    for parts, most, size in ((1, 4096, 1 << 24), (30, 7, 1 << 24), (3, 64, 1 << 12)):
+        monkeypatch.setattr(minhash, "COUNT_TEXTS", most)
+        monkeypatch.setattr(minhash, "SHARD_BYTES", size)
+        got, n = minhash.document_frequencies(table.repartition(parts))
+        found = {r["uid"]: np.frombuffer(r["idf"], np.uint8) for r in got.collect()}
+        assert n == len(texts)
+        for i, t in enumerate(texts):
+            assert sorted(found.get(i, np.zeros(0)).tolist()) == sorted(round(64 * (2 - math.log(df[x]) / (2 * math.log(n)))) for x in plain_shingles(t))
+            h = minhash.weighted_set(t or "", minhash.Weights(np.zeros(0, np.int64), np.zeros(0), n))[0]
+            assert len(h) == len(found.get(i, ()))
+
+
+def test_classes_by_independent_weights(spark):
+    """All pairs by words and by an idf written anew; shingles far below a tenth of the documents weigh less, and that decides classes."""
+    r, texts = random.Random(3), corpus(200)
+    for g in range(12):  # templates of 8 texts: what they share is in 8 of 300 documents, what is their own in one
+        base = words(9000 + g, 110)
+        for _ in range(8):
+            mine = list(base)
+            for k in r.sample(range(0, 110, 6), 2):
+                mine[k] = f"own{len(texts)}x{k}"
+            texts.append(" ".join(mine))
+    n = len(texts)
+    sets = [plain_shingles(t) for t in texts]
+    df = Counter(x for s in sets for x in s)
+
+    def classes(weigh):
+        root = list(range(n))
+        for a, b in itertools.combinations(range(n), 2):
+            least = sum(min(c, sets[b][x]) * weigh(x) for x, c in sets[a].items() if x in sets[b])
+            total = sum(c * weigh(x) for s in (sets[a], sets[b]) for x, c in s.items()) - least
+            if least / total >= 0.8 and root[a] != root[b]:
+                low, high = sorted((root[a], root[b]))
+                root = [low if v == high else v for v in root]
+        return root
+
+    want = classes(lambda x: round(64 * (2 - math.log(df[x]) / (2 * math.log(n)))) / 64)
+    assert want != classes(lambda x: 1 + math.log10(n / max(df[x], n / 10)))
+    got = {r["doc_id"]: r["class_id"] for r in minhash.near_duplicates(spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")).collect()}
+    assert [got[i] for i in range(n)] == want
+
+
+def test_samples_from_the_table_of_weights():
+    """Places read from the table are those that each weight gives by itself."""
+    at = np.arange(0, 1 << 16, 97)
+    table = minhash._places().reshape(-1, 1 << 16)
+    for df in (1, 2, 9, 5_000, 1_000_000):
+        w = float(minhash.idf(np.array([df]), 1_000_000)[0])
+        assert (table[round(64 * w) - 96, at] == minhash._place(at, np.full(len(at), w))).all()
