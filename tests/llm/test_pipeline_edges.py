@@ -39,3 +39,19 @@ def test_empty_tables(spark, tmp_path):
     sf = write(spark, tmp_path, [], [])
     out = corpus_pipeline.run(spark, sf)
     assert out.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] and out.count() == 0
+
+
+def test_near_stage_weighs_by_frequency(spark):
+    """Texts that are near each other by equal weights are not where what they share is less rare than what parts them."""
+    import math
+
+    def text(*parts):
+        return " ".join(parts)
+
+    shared = " ".join(f"s{i}" for i in range(100))
+    rows = [row(i, text(shared, " ".join(f"own{i}x{k}" for k in range(11)))) for i in range(8)]
+    rows += [row(100 + i, " ".join(f"far{i}x{k}" for k in range(30))) for i in range(92)]
+    weight = round(64 * (2 - math.log(8) / (2 * math.log(100)))) / 64  # of the 96 shingles that all 8 share
+    assert 96 * 2 / (96 * 2 + 22 * 2) > 0.8 > 96 * weight / (96 * weight + 22 * 2)
+    kept = corpus_pipeline.near_stage(spark, spark.createDataFrame(rows, COLUMNS), "")
+    assert kept.count() == 100  # by equal weights 93
