@@ -141,6 +141,15 @@ def as_bytes(col: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return raw, offsets.astype(np.int64)
 
 
+def cut_bytes(data: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """A binary column whose row i is data[ends[i]:ends[i + 1]], without copies. A list of memoryviews would do the same, but pyarrow
+    (23.0) never releases those: their arrays stay for as long as the worker lives."""
+    data, ends = np.ascontiguousarray(data).view(np.uint8), np.asarray(ends)
+    if len(data) > np.iinfo(np.int32).max:
+        raise ValueError(f"{len(data)} bytes in one binary column")
+    return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(data)])
+
+
 def row_chunks(offsets: np.ndarray, target: int = CHUNK, most: int = CHUNK_DOCS) -> Iterator[tuple[int, int]]:
     """Ranges of rows of about ``target`` bytes; a longer row is alone in its range."""
     i, n = 0, len(offsets) - 1

@@ -44,10 +44,11 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from biblens.llm.common import as_bytes, join_hot, pick, shelter, shingle_sets, tidy, with_uid
+from biblens.llm.common import as_bytes, cut_bytes, join_hot, pick, shelter, shingle_sets, tidy, with_uid
 from biblens.runtime import drop_table, partitions, write_table
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -197,15 +198,14 @@ def document_frequencies(rows: DataFrame) -> Frequencies:
             shard = ((h * np.uint64(shards)) >> np.uint64(48)).astype(np.uint16)
             order = np.argsort(shard, kind="stable")
             shard, owner, h = shard[order], owner[order], h[order]
-            packed = memoryview(np.ascontiguousarray(h.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).reshape(-1))
+            packed = h.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].reshape(-1)
             first = np.flatnonzero(np.concatenate([np.ones(min(1, len(h)), bool), shard[1:] != shard[:-1]]))
-            spans = list(zip(first.tolist(), [*first[1:].tolist(), len(h)]))
+            ends = np.append(first, len(h))
             step = np.diff(owner, prepend=0)
             step[first] = owner[first]
-            steps = memoryview(step.astype(np.uint16).view(np.uint8))
-            uids = [None if k else uid.astype(np.int64).tobytes() for k in range(len(spans))]
+            uids = [None if k else uid.astype(np.int64).tobytes() for k in range(len(first))]
             return pa.RecordBatch.from_arrays(
-                [pa.array(shard[first].astype(np.int32)), pa.array(np.full(len(spans), uid[0], np.int64)), pa.array(uids, pa.binary()), pa.array([steps[2 * a : 2 * b] for a, b in spans], pa.binary()), pa.array([packed[6 * a : 6 * b] for a, b in spans], pa.binary())],
+                [pa.array(shard[first].astype(np.int32)), pa.array(np.full(len(first), uid[0], np.int64)), pa.array(uids, pa.binary()), cut_bytes(step.astype(np.uint16), 2 * ends), cut_bytes(packed, 6 * ends)],
                 names=["shard", "chunk", "uids", "steps", "hashes"],
             )
 
@@ -225,11 +225,11 @@ def document_frequencies(rows: DataFrame) -> Frequencies:
         rows_ = [b for b in batches if b.num_rows]  # a shard: about SHARD_BYTES of text
         if not rows_:
             return
-        raw = [x for b in rows_ for x in b.column(4).to_pylist()]
-        ends = np.cumsum([0, *(len(x) // 6 for x in raw)]).tolist()
+        size = [pc.binary_length(b.column(4)).to_numpy() // 6 for b in rows_]
+        ends = np.cumsum([0, *map(np.sum, size)])
         wide = np.zeros((ends[-1], 8), np.uint8)
-        wide[:, :6] = np.frombuffer(b"".join(raw), np.uint8).reshape(-1, 6)
-        del raw
+        for b, i, j in zip(rows_, ends, ends[1:]):
+            wide[i:j, :6] = np.frombuffer(b"".join(b.column(4).to_pylist()), np.uint8).reshape(-1, 6)
         h = wide.view("<u8").reshape(-1)
         order = np.argsort(h)
         h = h[order]
@@ -237,11 +237,8 @@ def document_frequencies(rows: DataFrame) -> Frequencies:
         steps = np.empty(len(h), np.uint8)
         steps[order] = np.repeat(np.rint(idf(df, n_docs) * STEPS).astype(np.uint8), df)
         del h, wide, order
-        at = 0
-        for b in rows_:
-            out = [steps[i:j].tobytes() for i, j in zip(ends[at : at + b.num_rows], ends[at + 1 : at + b.num_rows + 1])]
-            at += b.num_rows
-            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(out, pa.binary())], names=["shard", "chunk", "uids", "steps", "idf"])
+        for b, n, i, j in zip(rows_, size, ends, ends[1:]):
+            yield pa.RecordBatch.from_arrays([*b.columns[:4], cut_bytes(steps[i:j], np.cumsum([0, *n]))], names=["shard", "chunk", "uids", "steps", "idf"])
 
     def together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _whole_groups(batches, ["chunk"]):
@@ -249,8 +246,7 @@ def document_frequencies(rows: DataFrame) -> Frequencies:
             owner = np.concatenate([np.cumsum(np.frombuffer(x, np.uint16), dtype=np.int32) for x in t["steps"].to_pylist()])
             found = np.frombuffer(b"".join(t["idf"].to_pylist()), np.uint8)[np.argsort(owner, kind="stable")]
             ends = np.cumsum([0, *np.bincount(owner, minlength=len(uid))])
-            data = memoryview(found)
-            yield pa.RecordBatch.from_arrays([pa.array(uid), pa.array([data[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())], pa.binary())], names=["uid", "idf"])
+            yield pa.RecordBatch.from_arrays([pa.array(uid), cut_bytes(found, ends)], names=["uid", "idf"])
 
     head = "shard int, chunk long, uids binary, steps binary"
     asked = rows.select("uid", "text").mapInArrow(tidy(ask), f"{head}, hashes binary")

@@ -4,6 +4,7 @@ import itertools
 import math
 import random
 import re
+import weakref
 from collections import Counter
 
 import numpy as np
@@ -150,3 +151,36 @@ def test_samples_from_the_table_of_weights():
     for df in (1, 2, 9, 5_000, 1_000_000):
         w = float(minhash.idf(np.array([df]), 1_000_000)[0])
         assert (table[round(64 * w) - 96, at] == minhash._place(at, np.full(len(at), w))).all()
+
+
+def test_workers_keep_nothing_of_a_table(spark, monkeypatch):
+    """Workers live on after counting: no view of its arrays, which would hold them for good, is left in one."""
+    monkeypatch.setattr(minhash, "COUNT_TEXTS", 16)
+    table = spark.createDataFrame([*enumerate(corpus(300))], "uid long, text string").repartition(4)
+
+    def views(batches):
+        import gc
+
+        held = sum(isinstance(x, memoryview) for x in gc.get_objects())
+        for _ in batches:
+            pass
+        yield pa.RecordBatch.from_arrays([pa.array([held])], names=["held"])
+
+    for _ in range(2):
+        assert minhash.document_frequencies(table)[0].count() == 300
+    assert max(r["held"] for r in spark.range(0, 16, 1, 16).mapInArrow(views, "held long").collect()) < 20
+
+
+def test_rows_cut_from_one_array():
+    """Rows as slices of one array, empty ones and none at all; the array is free once the column is."""
+    data = np.arange(20, dtype=np.uint8)
+    for ends in ([0, 3, 3, 20], [5, 7], [0]):
+        want = [data[i:j].tobytes() for i, j in zip(ends, ends[1:])]
+        column = common.cut_bytes(data, np.array(ends))
+        column.validate(full=True)
+        assert column.to_pylist() == want
+    wide = np.arange(4, dtype=np.uint16)
+    assert common.cut_bytes(wide, np.array([0, 2, 8])).to_pylist() == [wide[:1].tobytes(), wide[1:].tobytes()]
+    alive = weakref.ref(data)
+    del data, column
+    assert alive() is None
