@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,6 +28,23 @@ def dedup_candidates(rows: DataFrame, key: str = "ref_id", ordinal: str = "ordin
     return rows.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
 
 
+def listed(ranked: DataFrame, key: str = "ref_id", keep: int = 3) -> DataFrame:
+    """The ranked pairs that results tell of: the first of all, and of references without an accepted pair the first ``keep``."""
+    accepted = F.max(F.col("decision") == "accept").over(Window.partitionBy(key))
+    return ranked.withColumn("_any", accepted).filter((F.col("rank") <= keep) & ((F.col("rank") == 1) | ~F.col("_any"))).drop("_any")
+
+
+#: What tells of sources that were not asked.
+GAPS = {"unchecked_sources": "array<string>", "source_errors": "map<string,string>"}
+
+
+def with_gaps(results: DataFrame) -> DataFrame:
+    """Decided results with unchecked_sources or source_errors: a search without an accepted candidate is partial, others forget them."""
+    some = reduce(or_, [F.coalesce(F.size(c) > 0, F.lit(False)) for c in GAPS])
+    partial = some & ~F.col("found") & F.col("doi").isNull()
+    return results.withColumns({"verification_status": F.when(partial, "partial").otherwise("complete")} | {c: F.when(partial & (F.size(c) > 0), F.col(c)) for c in GAPS})
+
+
 def decide(refs: DataFrame, ranked: DataFrame, key: str = "ref_id") -> DataFrame:
     """refs with status, note, found, method and verification_status.
 
@@ -51,13 +71,9 @@ def decide(refs: DataFrame, ranked: DataFrame, key: str = "ref_id") -> DataFrame
         .otherwise("no_match")
     )
     method = F.when(site, "website").when(accepted | wrong, F.col("_method")).when(by_doi, F.coalesce("doi_method", F.lit("doi-crossref")) if "doi_method" in refs.columns else F.lit("doi-crossref")).otherwise("bibliographic")
-    gaps = F.lit(False)
-    if "unchecked_sources" in refs.columns:
-        gaps = F.coalesce(F.size("unchecked_sources") > 0, F.lit(False)) | F.coalesce(F.size("source_errors") > 0, F.lit(False))
-    partial = gaps & ~site & ~by_doi & ~accepted
-    out = joined.withColumns({"status": status, "note": note, "found": site | accepted, "method": method, "verification_status": F.when(partial, "partial").otherwise("complete")})
+    out = joined.withColumns({"status": status, "note": note, "found": site | accepted, "method": method, "verification_status": F.lit("complete")})
     if "unchecked_sources" in refs.columns:
-        out = out.withColumns({c: F.when(partial & (F.size(c) > 0), F.col(c)) for c in ("unchecked_sources", "source_errors")})
+        out = with_gaps(out)
     return out.drop("_d", "_own", "_method", "_late", "doi_method")
 
 

@@ -5,10 +5,11 @@ Pairs carry a record in each of the struct columns ``r`` and ``c``.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 from operator import or_
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from biblens.functions import similarity as S
@@ -56,6 +57,19 @@ def with_normal(rows: DataFrame, side: str) -> DataFrame:
     return rows.withColumn("_n", F.struct(*[v.alias(f) for f, v in zip(NORMAL, forms, strict=True)])).withColumn(side, F.col(side).withField("n", F.col("_n"))).drop("_n")
 
 
+def _plain_signals() -> dict[str, Column]:
+    """The signals of pairs with normal forms that take no sequence ratio."""
+    r, c = (lambda f: F.col(f"r.{f}")), (lambda f: F.col(f"c.{f}"))
+    mine, theirs = (lambda f: F.col(f"r.n.{f}")), (lambda f: F.col(f"c.n.{f}"))
+    return {
+        "authors": S.author_overlap(r("authors"), c("authors")),
+        "first_author": S.first_author_match(r("authors"), c("authors")),
+        "year": S.year_similarity(r("year"), c("year")),
+        "volume_issue": S.volume_issue_similarity(mine("volume"), mine("issue"), theirs("volume"), theirs("issue")),
+        "pages": S.page_similarity(mine("page"), mine("article_number"), theirs("page"), theirs("article_number")),
+    }
+
+
 def signals(pairs: DataFrame, sequence: bool = True) -> DataFrame:
     """The seven signals as columns s_<name>, and venue_kind. Without ``sequence`` the Ratcliff-Obershelp
     ratio is left out of title and venue.
@@ -81,29 +95,50 @@ def signals(pairs: DataFrame, sequence: bool = True) -> DataFrame:
         {
             "s_title": F.when((mine("title") != "") & (theirs("title") != ""), title).otherwise(F.lit(0.0)),
             "_venue": venue,
-            "s_authors": S.author_overlap(r("authors"), c("authors")),
-            "s_first_author": S.first_author_match(r("authors"), c("authors")),
-            "s_year": S.year_similarity(r("year"), c("year")),
-            "s_volume_issue": S.volume_issue_similarity(mine("volume"), mine("issue"), theirs("volume"), theirs("issue")),
-            "s_pages": S.page_similarity(mine("page"), mine("article_number"), theirs("page"), theirs("article_number")),
         }
+        | {f"s_{f}": v for f, v in _plain_signals().items()}
     )
     return step.withColumns({"s_venue": F.col("_venue.score"), "venue_kind": F.col("_venue.kind")}).drop("_venue")
 
 
+def _total(preprint: Column, value: Callable[[str], Column]) -> Column:
+    raw = sum((F.lit(w) * value(f) for f, w in WEIGHTS.items()), F.lit(0.0))
+    return S.round3(F.greatest(raw - F.when(preprint, PREPRINT_PENALTY).otherwise(0.0), F.lit(0.0)))
+
+
+def _accepted(total: Column, preprint: Column, value: Callable[[str], Column], strict: bool) -> Column:
+    accept, title, author = (ACCEPT, TITLE_ACCEPT, AUTHOR_ACCEPT) if strict else (LOOSE_ACCEPT, TITLE_SUGGEST, AUTHOR_SUGGEST)
+    years = F.col("r.year").isNotNull() & F.col("c.year").isNotNull() & (value("year") == 0)
+    return (total >= accept) & (value("title") >= title) & ((value("first_author") == 1) | (value("authors") >= author)) & ~years & ~preprint
+
+
+def contenders(pairs: DataFrame, key: str = "ref_id", strict: bool = True) -> DataFrame:
+    """pairs without those that another one of their reference surely comes before, and is surely accepted: of such a reference
+    nothing is told but its first pair.
+
+    Titles and venues take the sequence ratio, which costs most of a score. Their words, equal names and the other signals bound the total
+    from both sides without it: a total grows with each signal, and rounding keeps the order. Only pairs whose most is less than the least
+    of a sure one go, so the first pair, its total and all of a reference without a sure one stay as they are.
+    """
+    step = with_normal(with_normal(pairs, "r"), "c")
+    step = step.withColumns({f"_{f}": v for f, v in _plain_signals().items()} | {"_words": S.round3(S.token_overlap(F.col("r.n.title"), F.col("c.n.title"))), "_preprint": preprint_like()})
+    same = F.coalesce((F.col("r.venue") == F.col("c.venue")) & F.col("c.n.venue").rlike("[a-z0-9]"), F.lit(False))
+    least = {"title": F.col("_words"), "venue": F.when(same, F.lit(1.0)).otherwise(F.lit(0.0))}
+    low, high = (lambda f: least.get(f, F.col(f"_{f}"))), (lambda f: F.lit(1.0) if f in least else F.col(f"_{f}"))
+    step = step.withColumns({"_low": _total(F.col("_preprint"), low), "_high": _total(F.col("_preprint"), high)})
+    sure = F.when(_accepted(F.col("_low"), F.col("_preprint"), low, strict), F.col("_low"))
+    step = step.withColumn("_sure", F.max(sure).over(Window.partitionBy(key)))
+    return step.filter(F.col("_sure").isNull() | (F.col("_high") >= F.col("_sure"))).select(*pairs.columns)
+
+
 def decide_pairs(pairs: DataFrame, sequence: bool = True, strict: bool = True) -> DataFrame:
     """pairs with signals, total, support, decision and note: all that ranks them and decides."""
     s = lambda f: F.col(f"s_{f}")
-    step = signals(pairs, sequence)
-    raw = sum((F.lit(w) * s(f) for f, w in WEIGHTS.items()), F.lit(0.0))
-    step = step.withColumn("preprint_like", preprint_like())
-    total = S.round3(F.greatest(raw - F.when(F.col("preprint_like"), PREPRINT_PENALTY).otherwise(0.0), F.lit(0.0)))
+    step = signals(pairs, sequence).withColumn("preprint_like", preprint_like())
     thresholds = (("title", TITLE_SUGGEST), ("authors", AUTHOR_SUGGEST), ("first_author", 1.0), ("year", 0.7), ("venue", 0.6), ("pages", 0.8), ("volume_issue", 0.7))
     support = sum(((s(f) >= t).cast("int") for f, t in thresholds), F.lit(0))
-    step = step.withColumns({"total": total, "support": support})
-    accept, title, author = (ACCEPT, TITLE_ACCEPT, AUTHOR_ACCEPT) if strict else (LOOSE_ACCEPT, TITLE_SUGGEST, AUTHOR_SUGGEST)
-    years = F.col("r.year").isNotNull() & F.col("c.year").isNotNull() & (s("year") == 0)
-    accepted = (F.col("total") >= accept) & (s("title") >= title) & ((s("first_author") == 1) | (s("authors") >= author)) & ~years & ~F.col("preprint_like")
+    step = step.withColumns({"total": _total(F.col("preprint_like"), s), "support": support})
+    accepted = _accepted(F.col("total"), F.col("preprint_like"), s, strict)
     suggested = (F.col("total") >= SUGGEST) & (F.col("support") >= 2)
     step = step.withColumn("decision", F.when(accepted, "accept").when(suggested, "suggest").otherwise("reject"))
     note = F.when(F.col("preprint_like"), "preprint_only").when(F.col("decision") == "suggest", "candidate_mismatch")
