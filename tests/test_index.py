@@ -70,6 +70,23 @@ def test_blocks_meet_chunks(spark, monkeypatch):
     assert {tuple(x) for x in got.collect()} == plain(works, refs, 2, 5)
 
 
+def test_queries_go_on_only_to_blocks_that_may_hold_more(spark, monkeypatch):
+    """Works of an author are in one block, where most of its queries end; others meet every block, and all answers are those of the join."""
+    for name, most in (("BLOCK", 60), ("CHUNK", 50), ("LEAST", 5), ("ANCHOR", 3), ("SHARE", 4)):
+        monkeypatch.setattr(index, name, most)
+    r, both, plain_answers = random.Random(5), [], index._answers
+    line = lambda i: [f"a{i % 60}", f"b{i % 60}", *sorted(r.sample([f"w{k}" for k in range(12)], 4))]
+    works = [(i, line(i)) for i in range(400)] + [(400, ["alone", "w1"]), (401, None)]
+    refs = [(i, line(i)) for i in range(200)] + [(200, ["w1", "w2", "alone"]), (201, ["a1", "a2", "a3"]), (202, ["no"]), (203, None)]
+    monkeypatch.setattr(index, "_answers", lambda *more: both.append(more) or plain_answers(*more))
+    written, plain_write = {}, index.write_table
+    monkeypatch.setattr(index, "write_table", lambda df, name: written.setdefault(name, plain_write(df, name)))
+    got = index.WordIndex.build(spark.createDataFrame(works, NAMED)).search(spark.createDataFrame(refs, ASKED), 5, 10)
+    assert {tuple(x) for x in got.collect()} == plain(works, refs, 2, 5)
+    near = written["found-near"][0]
+    assert [len(m) for m in both] == [4, 3] and near.filter("not whole").count() < near.count() / 4
+
+
 def test_sets_and_queries_meet_in_their_realm_only(spark, monkeypatch):
     """A realm's sets go to one slot, those of a large one to slots of its own; answers are those of a join inside the realm."""
     for name, most in (("BLOCK", 40), ("CHUNK", 20), ("LEAST", 5)):
