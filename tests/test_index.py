@@ -4,6 +4,8 @@ import math
 import os
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -87,6 +89,23 @@ def test_queries_go_on_only_to_blocks_that_may_hold_more(spark, monkeypatch):
     assert [len(m) for m in both] == [4, 3] and near.filter("not whole").count() < near.count() / 4
 
 
+def test_queries_weighed_together_have_the_same_firsts(monkeypatch):
+    """Ties, sets with nothing of the anchor, queries of unknown words and pieces of a group included."""
+    r, pick = random.Random(3), lambda n, k: np.array(sorted((w << index.BITS) + c for c, w in r.sample(words, n) if c % k), np.int64)
+    words = [(c, 900 - 20 * (c // 10)) for c in range(1, 300)] + [(c, 5) for c in range(300, 312)]
+    sets = [np.union1d(pick(6, 2), pick(3, 300)) for _ in range(600)]
+    held = [(pa.array([[i] for i in range(600)], pa.list_(pa.int64())), np.array([len(x) for x in sets]), np.concatenate(sets))]
+    asked = [r.choice(sets)[::-1] for _ in range(150)] + [pick(5, 300)[::-1] for _ in range(150)] + [np.array([7 + (999 << index.BITS)])]
+    monkeypatch.setattr(index, "ANCHOR", 8)
+    for cells in (1 << 22, 3000):
+        monkeypatch.setattr(index, "CELLS", cells)
+        block, alone = index.Block(held, pa.list_(pa.int64())), []
+        want, plain = [block.firsts(q, 5, 20) for q in asked], block.firsts
+        block.firsts = lambda *more: alone.append(0) or plain(*more)
+        got = block.many(np.concatenate(asked), np.array([len(q) for q in asked]), 5, 20)
+        assert all(x.tolist() == y.tolist() for g, w in zip(got, want) for x, y in zip(g, w)) and 0 < len(alone) < len(asked)
+
+
 def test_sets_and_queries_meet_in_their_realm_only(spark, monkeypatch):
     """A realm's sets go to one slot, those of a large one to slots of its own; answers are those of a join inside the realm."""
     for name, most in (("BLOCK", 40), ("CHUNK", 20), ("LEAST", 5)):
